@@ -5,25 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
 from .common import read_table
+from .epsilon_join import near_duplicates
+from .hnsw import build_index, search
 from .packing import pack
 from .token_tables import encode_to_tables
 from .tokens import public_tokenizer
+from .warc import deduplicated_archives
+
+
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=1, length=2048, with_ids=False)
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_archives(read_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_to_tables(read_table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hnsw": op2_hnsw,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op7_warc_revisits": op7_warc_revisits,
     "op9_token_tables": op9_token_tables,
+    "op10_epsilon_grid_join": op10_epsilon_grid_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL}
