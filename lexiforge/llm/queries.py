@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import language, mixing
+from .chunk_dedup import dedup_chunks
 from .common import read_table
 from .epsilon_join import near_duplicates
 from .hnsw import build_index, search
@@ -17,6 +18,15 @@ from .tokens import public_tokenizer
 from .warc import deduplicated_archives
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages; models fitted on a bounded sample of documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.fit_on(docs)
+    found = language.of_documents(docs, model).select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), "declared", "host", "language", "posterior", "accepted")
+    pages = language.of_pages(read_table(spark, sf_dir, "pages"), model)
+    return found.unionByName(pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("page_id"), "declared", "host", "language", "posterior", "accepted"))
+
+
 def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return search(build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10)
@@ -30,6 +40,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=1, length=2048, with_ids=False)
 
 
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_chunks(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("lexi_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return out.select("doc_id", F.col("lexi_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("lexi_spans").cast("long").alias("n_spans"), "text")
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_archives(read_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -44,9 +60,11 @@ def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_hnsw": op2_hnsw,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_chunk_dedup": op5_chunk_dedup,
     "op7_warc_revisits": op7_warc_revisits,
     "op9_token_tables": op9_token_tables,
     "op10_epsilon_grid_join": op10_epsilon_grid_join,
