@@ -170,14 +170,32 @@ def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, shar
     sums = materialize(sums.select("pattern", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start")), "mix-buckets")
     inside = W.partitionBy("pattern", "bucket").orderBy("hash", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = slim.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(sums.withColumnRenamed("pattern", "p").withColumnRenamed("bucket", "b"), F.col("pattern").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b")))
-    placed = placed.drop("p", "b").withColumn("place", F.col("start") + F.col("within"))
+    placed = placed.join(sums, ["pattern", "bucket"]).withColumn("place", F.col("start") + F.col("within"))
     # proven small: the driver has just checked its number of rows
     placed = placed.join(F.broadcast(plan.withColumnRenamed("pattern", "p")), F.col("pattern").eqNullSafe(F.col("p")))
     taken = sum((F.when(2 * F.col("place") + F.col("size") <= 2 * F.col("per_copy")[k], F.col("size")).otherwise(0) for k in range(copies)), F.lit(0).cast("long"))
     return placed.select("doc_id", "pattern", "size", "source_size", "target", taken.alias("taken"), "tie")
 
 
+def apply_mix(docs: DataFrame, sources: str = "source", **options) -> DataFrame:
+    """The rows of docs that the mix takes, all columns as they are, a row for each time that it is taken.
+
+    Rows that agree in doc_id, source and text share the times that they are taken together, the first ones more.
+    """
+    own = F.col(sources).cast("string")
+    found = mix(docs, sources, **options).where(F.col("taken") > 0)
+    times = found.groupBy("doc_id", "pattern", "tie").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("lexi_times"), F.count("*").alias("lexi_rows"))
+    times = materialize(times.select(F.col("doc_id").alias("lexi_id"), F.xxhash64(F.col("pattern")[0], "tie").alias("lexi_key"), "lexi_times", "lexi_rows"), "mix-times")
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("lexi_id")) & (F.xxhash64(own, F.xxhash64("text")) == F.col("lexi_key"))
+    columns = docs.columns
+    once = docs.join(times.where(F.col("lexi_rows") == 1), key).select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("lexi_times"))).alias("lexi_copy")).drop("lexi_copy")
+    if times.where(F.col("lexi_rows") > 1).isEmpty():
+        return once
+    # few rows: those that repeat doc_id, source and text
+    again = docs.dropDuplicates(["doc_id", sources, "text"]).join(times.where(F.col("lexi_rows") > 1), key)
+    return once.unionByName(again.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("lexi_times"))).alias("lexi_copy")).drop("lexi_copy"))
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, text, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents),
 s AS (SELECT source, sum(size) AS n FROM d GROUP BY source),

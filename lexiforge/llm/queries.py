@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing
+from . import forest_join, language, mixing
 from .chunk_dedup import dedup_chunks
 from .common import read_table
 from .epsilon_join import near_duplicates
@@ -50,6 +50,10 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_archives(read_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_to_tables(read_table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_chunk_dedup": op5_chunk_dedup,
     "op7_warc_revisits": op7_warc_revisits,
+    "op8_forest_join": op8_forest_join,
     "op9_token_tables": op9_token_tables,
     "op10_epsilon_grid_join": op10_epsilon_grid_join,
 }
