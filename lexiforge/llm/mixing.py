@@ -170,7 +170,7 @@ def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, shar
     sums = materialize(sums.select("pattern", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start")), "mix-buckets")
     inside = W.partitionBy("pattern", "bucket").orderBy("hash", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = slim.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(sums, ["pattern", "bucket"]).withColumn("place", F.col("start") + F.col("within"))
+    placed = placed.join(sums.hint("merge"), ["pattern", "bucket"]).withColumn("place", F.col("start") + F.col("within"))
     # proven small: the driver has just checked its number of rows
     placed = placed.join(F.broadcast(plan.withColumnRenamed("pattern", "p")), F.col("pattern").eqNullSafe(F.col("p")))
     taken = sum((F.when(2 * F.col("place") + F.col("size") <= 2 * F.col("per_copy")[k], F.col("size")).otherwise(0) for k in range(copies)), F.lit(0).cast("long"))
