@@ -13,6 +13,7 @@ from .common import read_table
 from .epsilon_join import near_duplicates
 from .hnsw import build_index, search
 from .packing import pack
+from .suffix_dedup import digests
 from .token_tables import encode_to_tables
 from .tokens import public_tokenizer
 from .warc import deduplicated_archives
@@ -46,6 +47,10 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("lexi_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("lexi_spans").cast("long").alias("n_spans"), "text")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_archives(read_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_chunk_dedup": op5_chunk_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_forest_join": op8_forest_join,
     "op9_token_tables": op9_token_tables,
