@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .vectors import batches_of
 
 SAMPLE_DOCS, BUCKETS = 3000, 1 << 16
 UNDETERMINED = "und"
@@ -69,8 +70,13 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 def fit_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
     """The models of a table with text and lang."""
-    some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return fit([tuple(r) for r in some.orderBy(F.xxhash64("text"), "lang").limit(sample_docs).collect()])
+    some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"))
+    # the digests first, so that no task sends more texts than are in the sample
+    least = some.select("key").orderBy("key").limit(sample_docs).agg(F.max("key")).first()[0]
+    if least is None:
+        return fit([])
+    rows = some.where(F.col("key") <= least).dropDuplicates(["key", "lang"]).select("text", "lang", "key").collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))[:sample_docs]])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -102,7 +108,8 @@ def identify(rows: DataFrame, model, html: bool = False) -> DataFrame:
 
     shares = [f"s{k}" for k in range(n)]
     plain = rows.select(F.col("id").cast("long").alias("id"), F.col("tkey").cast("long").alias("tkey"), F.lower(F.col("declared").cast("string")).alias("declared"), F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("suffix").cast("string"), F.lit("")).alias("suffix"), F.col("text").cast("string").alias("text"))
-    scored = materialize(plain.mapInArrow(score, "id long, tkey long, declared string, host string, suffix string, letters long, scores array<double>, " + ", ".join(f"{s} double" for s in shares)), "scores")
+    with batches_of(spark, 1000):
+        scored = materialize(plain.mapInArrow(score, "id long, tkey long, declared string, host string, suffix string, letters long, scores array<double>, " + ", ".join(f"{s} double" for s in shares)), "scores")
     sums = [F.sum(s).alias(s) for s in shares]
     hosts = materialize(scored.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums), "hosts")
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("suffix_n"), *(F.sum(s).alias(f"suffix_{s}") for s in shares))
