@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -50,7 +52,7 @@ def _drop_all() -> None:
             drop_path(spark, path)
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and return the table read from there.
 
     The shuffle files of the write go as soon as it ends.
@@ -86,6 +88,23 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def tidy(run):
+    """A map function over Arrow batches that gives memory back to the system when its task ends: workers live on, and idle ones would keep it."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def make_folder(uri: str) -> None:
     filesystem_, path = filesystem(uri)
     filesystem_.create_dir(path, recursive=True)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, tidy
 from .epsilon_join import Union
 from .graph import components
 from .shingles import WORDS, shingle_set
@@ -69,7 +69,7 @@ def profiles(docs: DataFrame, depth: int, words: int) -> DataFrame:
                 paths.append([int(x) for x in np.array([xxhash.xxh3_64_intdigest(row.tobytes()) for row in sig], np.uint64).view(np.int64)] if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(paths, pa.list_(pa.int64()))], ["oid", "tkey", "digest", "node", "n", "paths"])
 
-    return docs.mapInArrow(run, "oid long, tkey long, digest binary, node long, n long, paths array<long>")
+    return docs.mapInArrow(tidy(run), "oid long, tkey long, digest binary, node long, n long, paths array<long>")
 
 
 def similar(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, ta
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(sets, pa.binary())], ["node", "component", "weight", "blocks", "block", "shingles"])
 
     with batches_of(docs.sparkSession, 1000):
-        sets = materialize(texts.mapInArrow(to_sets, "node long, component long, weight long, blocks int, block int, shingles binary"), "shingles")
+        sets = materialize(texts.mapInArrow(tidy(to_sets), "node long, component long, weight long, blocks int, block int, shingles binary"), "shingles")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("node", "component", "weight", "block", "shingles", other)
     dealt = dealt.select("node", "component", "weight", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shingles")
@@ -189,7 +189,7 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, ta
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "links"])
 
     with batches_of(docs.sparkSession, 256):
-        links = materialize(dealt.mapInArrow(run, "a long, b long, links long"), "similar")
+        links = materialize(dealt.mapInArrow(tidy(run), "a long, b long, links long"), "similar")
     discard(sets)
     counts = links.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     near = materialize(components(links.where(F.col("b").isNotNull()).select("a", "b")), "near-groups")
