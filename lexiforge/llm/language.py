@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .vectors import batches_of
 
 SAMPLE_DOCS, BUCKETS = 3000, 1 << 16
@@ -109,7 +109,7 @@ def identify(rows: DataFrame, model, html: bool = False) -> DataFrame:
     shares = [f"s{k}" for k in range(n)]
     plain = rows.select(F.col("id").cast("long").alias("id"), F.col("tkey").cast("long").alias("tkey"), F.lower(F.col("declared").cast("string")).alias("declared"), F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("suffix").cast("string"), F.lit("")).alias("suffix"), F.col("text").cast("string").alias("text"))
     with batches_of(spark, 1000):
-        scored = materialize(plain.mapInArrow(score, "id long, tkey long, declared string, host string, suffix string, letters long, scores array<double>, " + ", ".join(f"{s} double" for s in shares)), "scores")
+        scored = materialize(plain.mapInArrow(tidy(score), "id long, tkey long, declared string, host string, suffix string, letters long, scores array<double>, " + ", ".join(f"{s} double" for s in shares)), "scores")
     sums = [F.sum(s).alias(s) for s in shares]
     hosts = materialize(scored.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums), "hosts")
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("suffix_n"), *(F.sum(s).alias(f"suffix_{s}") for s in shares))

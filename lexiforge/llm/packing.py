@@ -22,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .tokens import encoder
+from .vectors import batches_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -41,7 +42,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, words: bool = False)
             place += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(n), pa.int64()), pa.array(at), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "place", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, part long, place long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, part long, place long, n_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, words: bool = False, with_ids: bool = True) -> DataFrame:
@@ -50,7 +51,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     Driver memory: two numbers for each scan task of the input.
     """
     spark = docs.sparkSession
-    tokens = materialize(tokenise(docs, tokenizer, end_id, words), "pack")
+    with batches_of(spark, 1000):
+        tokens = materialize(tokenise(docs, tokenizer, end_id, words), "pack")
     totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.max(F.col("place") + F.col("n_tokens")).alias("n")).collect()}
     base, total = {}, 0
     for part in sorted(totals):

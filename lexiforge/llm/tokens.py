@@ -16,9 +16,9 @@ import os
 
 import numpy as np
 
-#: Entries of each of the two generations of the unit cache; both together take about 150 MB of a Python worker.
+#: Entries of each of the two generations of the unit cache; both together take about 100 MB of a Python worker.
 #: When the young one is full it becomes the old one, and units found there again move back: rare words age out.
-CACHE_UNITS = 350_000
+CACHE_UNITS = 200_000
 
 
 class Encoder:
