@@ -66,7 +66,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             for doc, key, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode() if text else b""
                 ends = chunk_ends(data)
-                begin = [0, *ends[:-1]]
+                begin = [0, *ends][: len(ends)]
                 view = memoryview(data)
                 docs_.append(doc)
                 keys.append(key)
