@@ -140,13 +140,13 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, ta
     groups = materialize(components(star), "candidates")
 
     # every candidate component to one task, large ones as pairs of blocks
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("size")), "candidate-sizes")
     asked = groups.join(sizes, "component").join(classes.select("node", "first", "weight"), "node")
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     asked = asked.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     asked = materialize(asked.select("node", "component", "weight", "blocks", "block", F.col("first.oid").alias("oid"), F.col("first.tkey").alias("tkey")), "asked")
-    # rows that agree in oid and tkey hold the same text: any of them serves
-    texts = asked.join(plain, ["oid", "tkey"]).select("node", "component", "weight", "blocks", "block", "text")
+    # rows that agree in oid and tkey hold the same text: any of them serves. The candidates grow with the data, so they are not broadcast
+    texts = asked.join(plain.hint("merge"), ["oid", "tkey"]).select("node", "component", "weight", "blocks", "block", "text")
 
     def to_sets(batches):
         for b in batches:
@@ -195,7 +195,7 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, ta
     near = materialize(components(links.where(F.col("b").isNotNull()).select("a", "b")), "near-groups")
     per = classes.select("digest", "node", "first", "weight").join(counts, "node", "left").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = materialize(per, "near-classes")
-    heads = per.groupBy("component").agg(F.min("first").alias("head"))
+    heads = materialize(per.groupBy("component").agg(F.min("first").alias("head")), "group-heads")
     per = per.join(heads, "component").select("digest", F.col("first.oid").alias("class_oid"), "head", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     per = materialize(per, "near-results")
     known = found.where(F.col("digest").isNotNull()).select("oid", "tkey", "digest").join(per, "digest").select("oid", "tkey", "class_oid", F.col("head.oid").alias("group_oid"), F.col("head.tkey").alias("group_key"), "n_links")
