@@ -13,7 +13,8 @@ The principal axes are fitted on at most SAMPLE vectors; they only set the order
 so a bad fit costs time and no link. The driver holds the boxes of at most MAX_INTERVALS intervals.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link with nothing;
-vectors of different lengths do not link; equal vectors are joined once, with their number as weight;
+vectors of different lengths do not link; equal vectors are joined once, with their number as weight
+(a 64-bit hash of the vector names them, so rows that repeat an id stay apart);
 an empty table gives none.
 """
 
@@ -110,7 +111,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     spark = vectors.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
     found = valid(vectors)
-    classes = materialize(found.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "eps-classes")
+    classes = materialize(found.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("rep", F.xxhash64("embedding")), "eps-classes")
     n = classes.count()
 
     # principal axes of the commonest length, from a bounded sample
@@ -209,8 +210,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         found_links = materialize(both.join(left, "block").join(right, "block2").mapInArrow(work, "a long, b long, links long"), "eps-links")
     counts = found_links.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     group = components(found_links.where(F.col("b").isNotNull()).select("a", "b"))
-    per_class = classes.join(counts, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
-    per_class = materialize(per_class.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "eps-result")
+    per_class = classes.join(counts, "rep", "left").join(group, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    per_class = materialize(per_class, "eps-components")
+    least = materialize(per_class.groupBy("component").agg(F.min("first").alias("component_id")), "eps-heads")
+    per_class = per_class.join(least, "component")
+    per_class = materialize(per_class.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "eps-result")
     discard(blocks)
     rows_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows_ = rows_.withColumn("embedding", F.when(F.col("vec_id").isNotNull(), F.col("embedding")))
