@@ -27,7 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="lexiforge-"))
         folder = _own_folder[0]
-    return folder.rstrip("/") + "/lexiforge"
+    # with its scheme, so that executors' own file systems find it too
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/lexiforge")
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
 
 
 def new_path(spark: SparkSession, label: str) -> str:
