@@ -42,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4."""
-    return packing.pack(docs, public_tokenizer("byte_bpe_50k.json"), end_id=1, length=2048)
+    return packing.pack(docs, public_tokenizer("byte_bpe_50k.json"), end_id=1, length=2048, release=True)
 
 
 STAGES = [

@@ -29,8 +29,11 @@ from .vectors import batches_of
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, words: bool = False) -> DataFrame:
-    """doc_id, part, place (ids of the partition before the document), n_tokens, ids (packed, end_id last)."""
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, words: bool = False, release: bool = False) -> DataFrame:
+    """doc_id, part, place (ids of the partition before the document), n_tokens, ids (packed, end_id last).
+
+    release: empty the unit cache at the end of each task, for jobs whose other stages need the workers' memory.
+    """
 
     def run(batches):
         enc, part, place = encoder(tokenizer, words), TaskContext.get().partitionId(), 0
@@ -41,18 +44,20 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, words: bool = False)
             at = place + np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
             place += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(n), pa.int64()), pa.array(at), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "place", "n_tokens", "ids"])
+        if release:
+            enc.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, part long, place long, n_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, words: bool = False, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, words: bool = False, with_ids: bool = True, release: bool = False) -> DataFrame:
     """One row per piece: PIECES, then padded_length (of its sequence) and, with_ids, the piece's ids.
 
     Driver memory: two numbers for each scan task of the input.
     """
     spark = docs.sparkSession
     with batches_of(spark, 1000):
-        tokens = materialize(tokenise(docs, tokenizer, end_id, words), "pack")
+        tokens = materialize(tokenise(docs, tokenizer, end_id, words, release), "pack")
     totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.max(F.col("place") + F.col("n_tokens")).alias("n")).collect()}
     base, total = {}, 0
     for part in sorted(totals):

@@ -63,6 +63,10 @@ class Encoder:
             open_end = bool(out) and out[-1][-1:].isspace()
         return out
 
+    def release(self) -> None:
+        """Empty the unit cache."""
+        self.cache, self.old = {}, {}
+
     def packed(self, ids: list[int]) -> bytes:
         if sys.byteorder == "little" and self.dtype.itemsize == 2:
             return array.array("H", ids).tobytes()
