@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Combining accents.
 STRESS = "́"
 GRAVE = "̀"
 

@@ -22,6 +22,7 @@ def context_features(rows: DataFrame) -> DataFrame:
     by = Window.partitionBy("word_id").orderBy("pos")
     size = F.count("*").over(Window.partitionBy("word_id"))
     seen = rows.select("word_id", "pos", "letter", F.coalesce(F.lag("letter").over(by), F.lit("")).alias("p"), F.coalesce(F.lead("letter").over(by), F.lit("")).alias("n"), size.alias("size"))
+    # The names of the features, here and below.
     each = F.array(
         F.format_string("%s-%s-PWORD-WORD", "p", "letter"), F.format_string("%s-WORD", "letter"), F.format_string("%s-%s-WORD-NWORD", "letter", "n"),
         F.format_string("%d-POSITION", "pos"), F.format_string("%d-BACK-POSITION", F.col("size") - F.col("pos")),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.endings import segment_ending
 from ..functions.text import drop_stress
 
+# Fixed value: a placeholder and the ending that follows it.
 FORM = r"(\{\{\{[^ ]+\}\}\})([а-яёй]*)"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.calls import call_name, template_call
 
+# What calls, titles, words and stems look like.
 MORFO = r"\{\{морфо"
 TABLE = r"\{\{(прич|сущ|гл|мест|прил|числ) ru "
 TEMPLATE_TITLE = "Шаблон:(прич|сущ|гл|мест|прил|числ) ru"
