@@ -62,6 +62,32 @@ def test_chunks_catch_shared_passages(docs, odd_docs, no_docs):
     assert chunk_dedup.dedup_chunks(odd_docs).columns[: len(odd_docs.columns)] == odd_docs.columns
 
 
+def test_chunks_remove_passages_of_51_words(spark):
+    """Every second copy goes, to a few bytes at its edges; its neighbours stay."""
+    from conftest import passage
+
+    rows, want = [], {}
+    for k in range(200):
+        shared, before, after = passage(1000 + k, 51), passage(3000 + k, 40), passage(5000 + k, 40)
+        rows += [(k, f"{passage(7000 + k, 40)} {shared} {passage(9000 + k, 40)}"), (1000 + k, f"{before} {shared} {after}")]
+        want[1000 + k] = (before, after)
+    got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == t for k, t in rows if k < 1000)
+    left = [len(got[k]) - len(a) - len(b) for k, (a, b) in want.items()]
+    assert max(left) <= 2
+    assert all(got[k].startswith(a) and got[k].endswith(b) for k, (a, b) in want.items())
+
+
+def test_extensions_go_past_their_first_window(spark, monkeypatch):
+    from conftest import passage
+
+    monkeypatch.setattr(chunk_dedup, "WINDOW", 4)
+    shared = passage(1, 51)
+    rows = [(1, f"{passage(2, 30)} {shared} {passage(3, 30)}"), (2, f"{passage(4, 30)} {shared} {passage(5, 30)}")]
+    got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2].split() == f"{passage(4, 30)} {passage(5, 30)}".split()
+
+
 def test_chunk_ends_resist_insertions():
     data = np.random.default_rng(4).integers(32, 127, 20_000).astype(np.uint8).tobytes()
     ends = set(chunk_dedup.chunk_ends(data))
