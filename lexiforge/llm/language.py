@@ -7,7 +7,7 @@ towards its suffix's, these towards all documents'. The counts are sums of the t
 before it serves as prior. One more class, undetermined, has a uniform text model, so text in an unknown language or
 script falls to it.
 
-The trigram models are fitted on at most SAMPLE_DOCS labelled rows (those with the smallest text digests);
+The trigram models are fitted on about SAMPLE_DOCS distinct labelled texts, an equal number of each language (at least one; those with the smallest digests);
 everything else covers all rows. A text moves through no shuffle: only its scores do.
 
 Edge cases: a null text, and one without letters, is rejected; a null or unknown declaration is no
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import discard, materialize, tidy
 from .vectors import batches_of
 
 SAMPLE_DOCS, BUCKETS = 3000, 1 << 16
@@ -69,14 +69,32 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 
 def fit_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
-    """The models of a table with text and lang."""
+    """The models of a table with text and lang. Each language has max(1, sample_docs // languages) distinct texts, or all if it has fewer."""
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"))
-    # the digests first, so that no task sends more texts than are in the sample
-    least = some.select("key").orderBy("key").limit(sample_docs).agg(F.max("key")).first()[0]
-    if least is None:
+    # the digests first, so that no task sends more texts than are in the sample; their counts by upper bits say how many of them are needed
+    keys = materialize(some.select("lang", "key").distinct(), "text-digests")
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in keys.groupBy("lang", F.shiftright("key", 52).alias("part")).count().collect():
+        counts.setdefault(r["lang"], []).append((r["part"], r["count"]))
+    if not counts:
         return fit([])
-    rows = some.where(F.col("key") <= least).dropDuplicates(["key", "lang"]).select("text", "lang", "key").collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))[:sample_docs]])
+    each = max(1, sample_docs // len(counts))
+    upto = []
+    for lang, parts in counts.items():
+        n = 0
+        for part, count in sorted(parts):
+            n += count
+            if n >= each:
+                break
+        upto.append((lang, part))
+    upto_ = F.broadcast(docs.sparkSession.createDataFrame(upto, "lang string, part long"))
+    least: dict[str, list[int]] = {}
+    for r in keys.join(upto_, "lang").where(F.shiftright("key", 52) <= F.col("part")).select("lang", "key").collect():
+        least.setdefault(r["lang"], []).append(r["key"])
+    most = F.broadcast(docs.sparkSession.createDataFrame([(lang, sorted(k)[:each][-1]) for lang, k in least.items()], "lang string, most long"))
+    rows = some.join(most, "lang").where(F.col("key") <= F.col("most")).dropDuplicates(["key", "lang"]).select("text", "lang", "key").collect()
+    discard(keys)
+    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

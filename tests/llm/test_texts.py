@@ -162,6 +162,18 @@ def test_languages_on_held_out_rows(spark, docs, no_docs, odd_docs):
     assert language.of_documents(docs, unlabelled).where("accepted").count() > 10
 
 
+def test_rare_languages_and_copies_in_the_sample(spark, monkeypatch):
+    from conftest import passage
+
+    rows = [(passage(k, 20), "en") for k in range(1000)] + [("the same text", "de")] * 500 + [(f"der andere text {k}", "de") for k in range(30)] + [("Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "el")]
+    seen: list = []
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda sample: seen.append(sample) or fit(sample))
+    names, _ = language.fit_on(spark.createDataFrame(rows, "text string, lang string"), sample_docs=30)
+    assert names == ["de", "el", "en", language.UNDETERMINED]
+    assert Counter(x for _, x in seen[0]) == {"en": 10, "de": 10, "el": 1} and len(set(seen[0])) == 21
+
+
 def test_pages_use_markup_and_host(spark):
     model = language.fit_on(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     pages = spark.createDataFrame([(1, "http://a.example.de/x", '<html lang="de"><p>der die und ist nicht keit heit schen</p>'), (2, None, None), (3, "bad", "<p>")], "page_id long, url string, html string")
