@@ -141,6 +141,23 @@ def lexicon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.clique_features(first, spark.createDataFrame(lexicon, "morpheme string, type string"), "CpC")
 
 
+def spelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word_id, word: the distinct words A-Z, a-z of all documents as they are spelled, each its own id. A word's features depend on nothing else."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word"))
+    return words.where(F.col("word") != "").distinct().select(F.col("word").alias("word_id"), "word")
+
+
+def ctx_features_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of ctx_features for every word of every text."""
+    return features.clique_features(spelled_words(spark, sf_dir), None, "C")
+
+
+def lexicon_features_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of lexicon_features for every word of every text."""
+    lexicon = [(m, "end") for m in LATIN_INFLEXIONS if m] + [(m, "mid") for m in LATIN_SUFFIXES]
+    return features.clique_features(spelled_words(spark, sf_dir), spark.createDataFrame(lexicon, "morpheme string, type string"), "CpC")
+
+
 def conll_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CoNLL-X sentences from documents: a sentence per line of text, a token per word, one of the ten fields empty now and then."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
@@ -176,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "align_stems": align, "template_forms": template_forms, "param_lookup": param_lookup, "segment_forms": segment_forms, "form_rejects": form_rejects, "template_misses": template_misses, "extract_template": extract_template,
     "metas": metas, "page_rejects": page_rejects, "letters": letter_rows, "letters_roundtrip": letters_roundtrip, "pivot_morphemes": pivot_morphemes, "ctx_features": ctx_features, "lexicon_features": lexicon_features,
     "conll_columns": conll_columns, "html_tables": html_tables, "crf_decode": crf_decode,
+    "ctx_features_words": ctx_features_words, "lexicon_features_words": lexicon_features_words,
 }
 
 NM = len(X.METAS)
@@ -259,6 +277,10 @@ SELECT g.doc, g.tokens, coalesce(p.parts, 0)::BIGINT AS parts, g.bad FROM (SELEC
     "crf_decode": f"SELECT word, regexp_replace(regexp_replace(word, '[aeiou]', 'V', 'g'), '[a-z]', 'C', 'g') AS labels FROM {WORDS_SQL}",
 }
 
+# the same rules over all words instead of first words
+_SPELLED = "(SELECT DISTINCT word AS word_id, word FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word FROM documents) WHERE word <> '')"
+ORACLE_SQL |= {f"{n}_words": ORACLE_SQL[n].replace(_FIRST, _SPELLED) for n in ("ctx_features", "lexicon_features")}
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_forms(spark, sf_dir)
