@@ -249,7 +249,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SEARC
                         node = found[i, j]
                         # of equal vectors only the first k other ids can be among the k nearest
                         same = ids[ends[node - 1] if node else 0 : ends[node]]
-                        best += [(float(d), int(v)) for v in same[: k + 1] if v != own][:k]
+                        best += [(float(d), int(v)) for v in same[same != own][:k]]
                         best.sort()
                     out += [(own, v, d) for d, v in best[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [(), (), ()], (pa.int64(), pa.int64(), pa.float64()), strict=True)], names)

@@ -46,6 +46,13 @@ def test_neighbours_recall(vectors):
     assert search(build_index(vectors.limit(0)), vectors, k=3).count() == 0
 
 
+def test_rows_that_repeat_the_query_hide_no_neighbour(spark):
+    rows = [(1, [1.0, 0.0])] * 15 + [(2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").schema)
+    got = {r["vec_id"] for r in search(build_index(table), table.where("vec_id = 1").limit(1), k=2).collect()}
+    assert got == {2, 3}
+
+
 def test_join_equals_brute_force(vectors):
     rows = vectors.collect()
     all_ = clean(rows)
