@@ -1,10 +1,9 @@
-"""Similarity join of documents by an LSH forest of MinHash signatures.
+"""Similarity join of documents by fixed bands of MinHash signatures.
 
 1. Each whole text becomes a set of word shingles. Documents with equal sets form a class; from here on a class is one node with a weight.
-2. A class's signature is cut into TREES label strings of DEPTH hash values: its paths in the forest's sorted prefix tries. Matching starts with
-   whole strings and shortens the prefix, level by level, until two sets at the threshold meet in some trie
-   with the target recall; classes under one trie node of that depth are linked to the least
-   among them. No pairs are listed, so a node of n classes costs n rows.
+2. Fixed banding takes the place of an LSH forest's tries: of a class's TREES strings of DEPTH hash values only a prefix is used, whose one length
+   is computed from the threshold and the target recall, not from the data; nothing is sorted or descended. Classes with equal prefixes in one band are linked
+   to the least among them. No pairs are listed, so a band's group of n classes costs n rows.
 3. The components of these links hold every candidate pair. Each component's shingle sets meet in one task; a large
    component is cut into blocks, and pairs of blocks are dealt out. There the Jaccard similarity of each pair is computed exactly, from
    products of incidence matrices. Tasks return link counts and a spanning forest of the links, never the pairs.
