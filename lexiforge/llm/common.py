@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one if there is one machine only (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="lexiforge-"))
         folder = _own_folder[0]
@@ -84,11 +88,18 @@ def discard(*tables: DataFrame) -> None:
             drop_path(t.sparkSession, path)
 
 
+#: Hadoop's names of file systems that Arrow knows by other names.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str):
-    """(file system, path in it) of a URI, on any machine of the cluster."""
+    """(file system, path in it) of a URI, on any machine of the cluster. A DBFS path is read through its mount."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def tidy(run):

@@ -30,7 +30,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, words: bool = False, release: bool = False) -> DataFrame:
-    """doc_id, part, place (ids of the partition before the document), n_tokens, ids (packed, end_id last).
+    """doc_id, part, place (ids of the partition before the document), n_tokens, ids (packed, end_id last), in scan order, without a shuffle.
 
     release: empty the unit cache at the end of each task, for jobs whose other stages need the workers' memory.
     """

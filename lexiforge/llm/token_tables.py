@@ -12,7 +12,7 @@ Key: 1 byte (0 for a null identifier), the identifier with its sign bit
 inverted in big-endian order, and a 4-byte counter for rows with equal
 identifiers. Value: ids of the whole text with the end id, packed.
 
-Documents are dealt by ranges of the identifier, sorted in each range and written by one task
+The tasks of the scan encode the texts. Documents are then dealt by ranges of the identifier, sorted in each range and written by one task
 each; a task writes to a name of its own, and only names that finished tasks report are read, so a
 repeated or speculative attempt does no harm. The start of a document is the sum of the shards before
 its own and of the documents before it in the shard.
@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, make_folder, materialize, new_path, task_file
+from .common import discard, filesystem, make_folder, materialize, new_path, task_file, tidy
+from .packing import tokenise
 from .tokens import encoder
+from .vectors import batches_of
 
 MAGIC = b"LXSST001"
 FOOTER = struct.Struct("<QIQIQQII8s")
 RESTART, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 16, 256 << 10, 10, 7
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 
 
@@ -192,41 +194,48 @@ class Table:
 
 
 def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, words: bool, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write every text of docs (doc_id, text) as shards below folder; returns the manifest, one row per shard, in order of the identifiers.
+    """Write every text of docs (doc_id, text) as shards of about shard_bytes of ids below folder; returns the manifest, one row per shard, in order of the identifiers.
 
     Null texts count as empty, null identifiers come first, rows with equal identifiers stay all, ordered by
-    a digest of the text. An empty table gives no shard.
+    a digest of their ids, and may fill several shards. An empty table gives no shard.
     """
     make_folder(folder)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spark = docs.sparkSession
+    # the scan's tasks encode, so that packed ids move, not texts
+    with batches_of(spark, 1000):
+        tokens = materialize(tokenise(docs, tokenizer, end_id, words).withColumn("tie", F.xxhash64("ids")), "tokens")
+    size = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    width = encoder(tokenizer, words).dtype.itemsize
 
     def run(batches):
-        enc = encoder(tokenizer, words)
-        end, out = np.array([end_id], enc.dtype).tobytes(), None
+        out = None
         for b in batches:
             if b.num_rows and out is None:
                 part = TaskContext.get().partitionId()
                 path = task_file(folder, part, ".sst")
                 files, where = filesystem(path)
                 sink = files.open_output_stream(where)
-                out = Writer(sink, enc.dtype.itemsize)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out.add(doc, enc.encode(text) + end)
+                out = Writer(sink, width)
+            for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out.add(doc, ids)
         if out is not None:
             out.close()
             sink.close()
             yield pa.RecordBatch.from_pylist([{"shard": part, "path": path, "n_docs": out.n_docs, "n_tokens": out.n_tokens}])
 
-    dealt = docs.repartitionByRange(size // shard_bytes + 1, F.col("doc_id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return materialize(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    # rows that repeat an identifier, or all have none, are dealt out by their digests and places
+    keys = [F.col("doc_id").asc_nulls_first(), "tie", "part", "place"]
+    ordered = tokens.repartitionByRange(size // shard_bytes + 1, *keys).sortWithinPartitions(*keys)
+    with batches_of(spark, 1000):
+        manifest = materialize(ordered.select("doc_id", "ids").mapInArrow(tidy(run), MANIFEST), "token-manifest")
+    discard(tokens)
+    return manifest
 
 
 def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (32 bits each), one row per document of the shards.
 
-    Driver memory: one row for each shard.
+    Driver memory: one row for each shard. A shard's counter of equal identifiers starts anew.
     """
     rows, start, plan = sorted(manifest.collect(), key=lambda r: r["shard"]), 0, []
     for r in rows:
@@ -256,8 +265,8 @@ def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def encode_to_tables(docs: DataFrame, tokenizer: str, end_id: int = 2, words: bool = True, folder: str | None = None) -> DataFrame:
+def encode_to_tables(docs: DataFrame, tokenizer: str, end_id: int = 2, words: bool = True, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards and read them back."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    return read_tables(spark, write_tables(docs, folder, tokenizer, end_id, words))
+    return read_tables(spark, write_tables(docs, folder, tokenizer, end_id, words, shard_bytes))

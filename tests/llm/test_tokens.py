@@ -12,7 +12,7 @@ from lexiforge.llm.tokens import Encoder, public_tokenizer
 
 FILES = {False: "byte_bpe_50k.json", True: "word_bpe_49k.json"}
 ENCODERS = {w: Encoder(public_tokenizer(f), w, cache_units=50) for w, f in FILES.items()}
-PIECES = st.sampled_from(["a", "Foo", " ", "  ", "\n", "\n\n", "\t", "\r", "é", "'s", "'", "12", "3", ",", "!?", " ", "　", "\x1c", "\x85", "日本", "é", "<|endoftext|>", "​", "I'll", "ß", "ж"])
+PIECES = st.sampled_from(["a", "Foo", " ", "  ", "\n", "\n\n", "\t", "\r", "é", "'s", "'", "12", "3", ",", "!?", " ", "　", "\x1c", "\x85", "日本", "é", "<|endoftext|>", "​", "I'll", "ß", "ж", "ÉÀÜ", "straße", " Über", "ÿ"])
 
 
 def plain(words):
@@ -61,7 +61,7 @@ def test_packing_covers_each_id_once(docs, no_docs):
 
 
 def test_tables_round_trip_and_lookup(spark, docs, no_docs, tmp_path):
-    manifest = write_tables(docs, f"file://{tmp_path}", public_tokenizer(FILES[True]), 2, True, shard_bytes=40_000)
+    manifest = write_tables(docs, f"file://{tmp_path}", public_tokenizer(FILES[True]), 2, True, shard_bytes=20_000)
     tables = [Table(r["path"]) for r in manifest.collect()]
     assert len(tables) > 1
     for r in docs.collect():
@@ -76,3 +76,43 @@ def test_tables_round_trip_and_lookup(spark, docs, no_docs, tmp_path):
         at += r["n_tokens"]
     assert sorted(r["ids_crc32"] for r in rows) == sorted(zlib.crc32(np.array(ids(r["text"], True, 2), "<u4").tobytes()) for r in docs.collect())
     assert encode_to_tables(no_docs, public_tokenizer(FILES[True])).count() == 0
+
+
+def test_rows_that_repeat_an_identifier_fill_several_shards(spark, tmp_path):
+    rows = [(None if k % 3 else 7, f"word{k} " * (k % 90)) for k in range(600)] + [(3, "same text")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = write_tables(docs, f"file://{tmp_path}", public_tokenizer(FILES[True]), 2, True, shard_bytes=8_000)
+    tables = [Table(r["path"]) for r in manifest.collect()]
+    assert len(tables) > 5 and sum(bool(t.get(None)) for t in tables) > 1 and sum(bool(t.get(7)) for t in tables) > 1
+    assert sum(len(t.get(None)) for t in tables) == 400 and sum(len(t.get(3)) for t in tables) == 50
+    got = encode_to_tables(docs, public_tokenizer(FILES[True]), shard_bytes=8_000).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda x: -1 if x is None else x)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(np.array(ids(t, True, 2), "<u4").tobytes()) for _, t in rows)
+
+
+def test_damage_and_false_positives(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(2 * k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    path = write_tables(docs, f"file://{tmp_path}", public_tokenizer(FILES[True]), 2, True).first()["path"]
+    table = Table(path)
+    table.bloom = np.full_like(table.bloom, 255)  # the filter lets everything through: the block decides
+    assert [len(table.get(k)) for k in (-1, 0, 1, 78, 79, 80, None)] == [0, 1, 0, 1, 0, 0, 0]
+    data = bytearray(open(path[7:], "rb").read())
+    data[table.blocks[0][0] + 3] ^= 1
+    open(f"{tmp_path}/damaged.sst", "wb").write(data)
+    with pytest.raises(ValueError, match="damaged"):
+        Table(f"file://{tmp_path}/damaged.sst").get(2)
+    open(f"{tmp_path}/other", "wb").write(bytes(200))
+    with pytest.raises(ValueError, match="not a token table"):
+        Table(f"file://{tmp_path}/other")
+
+
+@pytest.mark.parametrize(("n", "last"), [(2048, 2048), (2048 + 256, 256), (2048 + 257, 2048), (2049, 1)])
+def test_the_last_sequence_is_padded_unless_it_is_a_power_of_two(spark, n, last):
+    docs = spark.createDataFrame([(1, " a" * (n - 1), "x", 5)], "doc_id long, text string, length string, part long")
+    rows = sorted(pack(docs, public_tokenizer(FILES[False])).collect(), key=lambda r: r["start"])
+    assert sum(r["length"] for r in rows) == n and rows[-1]["padded_length"] == last
+    assert all(r["padded_length"] == 2048 for r in rows[:-1])
