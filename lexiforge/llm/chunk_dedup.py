@@ -1,18 +1,17 @@
 """Substring dedup with content-defined chunks.
 
-A gear rolling hash over the last 16 bytes sets chunk ends, so that an insertion moves only the chunks around it. Chunks are counted by digest
+A gear rolling hash over the last 16 bytes sets cuts: a place is a cut if the hash of the bytes before it is low, and no place just before it is one. So cuts
+depend on 20 bytes of content and on nothing else, and an insertion moves only those around it. A chunk begins at every cut (and at the text's
+start) and ends SPAN cuts later (or at the text's end). Chunks overlap: a repeated passage loses only the stretches before its first cut and after its last
+one, while every chunk is long enough that a common phrase does not make one. Chunks are counted by digest
 (partial sums before the shuffle); the first occurrence, by doc_id, stays, and all others are marked by a join of two stored tables, which
-the adaptive skew join splits at chunks of very common passages. A passage's first and last bytes share chunks with
-its neighbours, so whole chunks alone fall short of it (and stretches without a cut get anchors besides): runs of marked chunks are extended, byte by byte, against
-the texts around the first occurrences of their chunks. It comes in windows, each distinct window once; where all of a window is equal, a longer one follows. In each document, adjacent marked chunks and
-extensions form runs; runs of at least min_run bytes are removed, from word to word. A chunk that is common by itself (a short
-phrase, a common line) is thus left alone, and so is a chunk whose 64-bit digest collides by chance.
-
-Chunks that cannot reach min_run are not extended: without an equal side of SIDE bytes they grow by less than twice SIDE.
+the adaptive skew join splits at chunks of very common passages. In each document overlapping and adjacent marked chunks
+form runs; runs of at least min_run bytes are removed, from word to word. A shorter run (a common line) is left alone.
 
 Edge cases: null or empty texts have no chunks and stay as they are; texts shorter than min_run never lose anything;
+a stretch without cuts (one repeated character, say) is part of a longer chunk and repeats with it only;
 rows that agree in doc_id and text count as one document and get the same result; a null doc_id comes
-first; an empty table gives none; very long texts are chunked whole.
+first; extra columns of any name stay as they are; an empty table gives none; very long texts are chunked whole, in slices.
 """
 
 from __future__ import annotations
@@ -21,20 +20,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, materialize
+from .common import discard, materialize, quoted, tidy
+from .shingles import mix, powers
 
-MIN_CHUNK, MAX_CHUNK, MASK_BITS, MIN_RUN = 16, 256, 5, 150
-#: Places without a cut from which on anchors are taken, and the bytes of one.
-GAP, ANCHOR = 96, 16
-#: Bytes at both sides of a chunk of which a digest is kept, and the bytes of the first window of an extension.
-SIDE, WINDOW = 32, 256
+#: The share of places that are low, the bytes before a cut without a low place, cuts in a chunk, and the least bytes of a run.
+LOW, APART, SPAN, MIN_RUN = 1 / 14, 4, 5, 100
 _SPACE = re.compile(rb"\s")
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 16, 256).astype(np.uint16)
-WIDE_GEAR = np.random.default_rng(20240608).integers(0, 1 << 32, 256).astype(np.uint32)
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SLICE = 1 << 20
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -47,211 +46,59 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def sides(data: bytes, begin: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling hashes of the SIDE bytes before each begin and after each end; the latter are 0 at the end of data only."""
-    if not begin:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
-    h = WIDE_GEAR[np.frombuffer(data, np.uint8)]
-    for step in (1, 2, 4, 8, 16):
-        more = h.copy()
-        more[step:] += h[:-step] << np.uint32(step)
-        h = more
-    first, last = np.array(begin), np.array(ends)
-    right = np.where(last < len(data), h[np.minimum(last + SIDE, len(data)) - 1] | np.uint32(1), np.uint32(0))
-    return h[np.maximum(first, 1) - 1].view(np.int32), right.view(np.int32)
-
-
-def chunk_ends(data: bytes) -> list[int]:
-    """The ends of the chunks of data: where the upper bits of the hash are zero, chunks of MIN_CHUNK to MAX_CHUNK bytes."""
-    n, last, out = len(data), 0, []
-    if not n:
-        return out
-    for p in (np.flatnonzero(gear(np.frombuffer(data, np.uint8)) < 1 << (16 - MASK_BITS)) + 1).tolist():
-        while p - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            out.append(last)
-        if p - last >= MIN_CHUNK:
-            out.append(p)
-            last = p
-    while n - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        out.append(last)
-    if last < n:
-        out.append(n)
-    return out
-
-
-def anchors(data: bytes) -> list[int]:
-    """Starts of ANCHOR-byte strings for stretches without a cut, where chunk ends depend on what comes before: those with the least hash in any GAP places that have no cut.
-
-    A passage with such a stretch has the same anchors wherever it stands. Of equal ones in a stretch, as in periodic texts, the first is given.
-    """
-    if len(data) < GAP + ANCHOR:
-        return []
-    h, out = gear(np.frombuffer(data, np.uint8)), []
-    stops = np.concatenate([[ANCHOR - 2], np.flatnonzero(h < 1 << (16 - MASK_BITS)), [len(data)]])
-    for k in np.flatnonzero(np.diff(stops) > GAP).tolist():
-        lo = max(stops[k] + 1, ANCHOR - 1)
-        zone = h[lo : stops[k + 1]]
-        for part in range(0, len(zone) - GAP + 1, 1 << 16):
-            seen = np.lib.stride_tricks.sliding_window_view(zone[part : part + (1 << 16) + GAP - 1], GAP)
-            at = np.unique(seen.argmin(axis=1) + np.arange(len(seen))) + part
-            at = at[np.unique(zone[at], return_index=True)[1]]
-            out += (at + lo + 1 - ANCHOR).tolist()
-    return sorted(out)
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places between bytes, 0 and the end included, where chunks begin and end."""
+    found = []
+    for lo in range(0, len(data), _SLICE):
+        begin = max(0, lo - 32)  # what the hash and APART look back on
+        low = np.flatnonzero(gear(data[begin : lo + _SLICE]) < LOW * 65536) + 1
+        low = low[low >= 16] if begin else low[low > 15]
+        apart = low[np.diff(low, prepend=-APART) > APART]
+        found.append(apart[apart + begin > lo] + begin)
+    inner = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return np.concatenate([[0], inner[inner < len(data)], [len(data)]]).astype(np.int64)
+
+
+def chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, digests) of the chunks of data."""
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    at = cuts(b)
+    # hashes of the pieces between cuts, then of SPAN pieces: sums of bytes times powers of a base
+    pieces = np.zeros(len(at) - 1, np.uint64)
+    for lo in range(0, len(pieces), 1 << 15):
+        a = at[lo : lo + (1 << 15) + 1]
+        part = (b[a[0] : a[-1]].astype(np.uint64) + np.uint64(1)) * powers(_BASE, int(a[-1] - a[0]))
+        pieces[lo : lo + len(a) - 1] = np.add.reduceat(part, a[:-1] - a[0]) * powers(_INVERSE, int(a[-1] - a[0]) + 1)[a[:-1] - a[0]]
+    n = np.diff(at)
+    pieces = mix(pieces ^ (n.astype(np.uint64) * np.uint64(_BASE)))
+    k = min(SPAN, len(pieces))
+    digest = np.zeros(len(pieces) - k + 1, np.uint64)
+    for j in range(k):
+        digest = mix(digest * np.uint64(_BASE) + pieces[j : len(pieces) - k + 1 + j])
+    return at[: len(digest)], at[k:], digest.view(np.int64)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, start, size, digest, left, right for every chunk and anchor of docs (doc_id, tkey, text); left and right are hashes of the SIDE bytes beside it."""
-    names, limit = ["doc_id", "tkey", "start", "size", "digest", "left", "right"], 500_000
-
-    def run(batches):
-        digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            docs_, keys, counts, starts, sizes, digests, lefts, rights = [], [], [], [], [], [], [], []
-            for doc, key, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                data = text.encode() if text else b""
-                ends = chunk_ends(data)
-                begin = [0, *ends][: len(ends)]
-                more = anchors(data)
-                begin, ends = begin + more, ends + [a + ANCHOR for a in more]
-                view = memoryview(data)
-                docs_.append(doc)
-                keys.append(key)
-                counts.append(len(ends))
-                starts += begin
-                sizes += [e - a for a, e in zip(begin, ends, strict=False)]
-                digests += [digest(view[a:e]) for a, e in zip(begin, ends, strict=False)]
-                left, right = sides(data, begin, ends)
-                lefts.append(left)
-                rights.append(right)
-                if len(starts) > limit:
-                    yield table(docs_, keys, counts, starts, sizes, digests, lefts, rights)
-                    docs_, keys, counts, starts, sizes, digests, lefts, rights = [], [], [], [], [], [], [], []
-            yield table(docs_, keys, counts, starts, sizes, digests, lefts, rights)
-
-    def table(docs_, keys, counts, starts, sizes, digests, lefts, rights):
-        at = pa.array(np.repeat(np.arange(len(docs_)), counts))
-        cols = [pa.array(docs_, pa.int64()).take(at), pa.array(keys, pa.int64()).take(at), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.array(digests, np.uint64).view(np.int64))]
-        cols += [pa.array(np.concatenate([np.empty(0, np.int32), *x])) for x in (lefts, rights)]
-        return pa.RecordBatch.from_arrays(cols, names)
-
-    return docs.select("doc_id", "tkey", "text").mapInArrow(run, "doc_id long, tkey long, start int, size int, digest long, left int, right int")
-
-
-def edges(marked: DataFrame, min_run: int) -> DataFrame:
-    """doc_id, tkey, at, back, s_id, s_key, s_at: the ends of runs of marked chunks with each of their first occurrences (s_id, s_key), as far as they can reach min_run.
-
-    at and s_at are the same place in both texts; back tells the left end.
-    """
+    """doc_id, tkey, start, size, digest for every chunk of docs (doc_id, tkey, text)."""
+    names, limit = ["doc_id", "tkey", "start", "size", "digest"], 500_000
 
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
-            for doc, key, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                parts: list[list] = []
-                text_end = next((m["start"] + m["size"] for m in found if m["at_end"]), None)
-                for m in sorted(found, key=lambda m: m["start"]):
-                    a, e, s, same = m["start"], m["start"] + m["size"], m["s_at"], m["left_same"] or m["right_same"]
-                    last = parts[-1] if parts else None
-                    if last and e <= last[1]:
-                        continue  # an anchor in a marked chunk
-                    if last and last[1] == a and last[3:5] == [m["s_id"], m["s_key"]] and last[2] + last[1] - last[0] == s:
-                        last[1], last[5] = e, last[5] or same
-                    else:
-                        parts.append([a, e, s, m["s_id"], m["s_key"], same])
-                first = 0
-                for k, (_, e, *_) in enumerate(parts):
-                    if k + 1 < len(parts) and parts[k + 1][0] == e:
-                        continue
-                    begin, run_ = parts[first][0], parts[first : k + 1]
-                    # each source of the run is asked at both ends of the run, as the source of an end's own chunk may be another text that has this chunk only
-                    shifts = {(s_id, s_key, s - a) for a, z, s, s_id, s_key, same in run_ if e - begin >= min_run or same or z - a > min_run - 2 * SIDE}
-                    for s_id, s_key, shift in shifts:
-                        if begin > 0 and begin + shift > 0:
-                            out.append((doc, key, begin, True, s_id, s_key, begin + shift))
-                        if e != text_end:
-                            out.append((doc, key, e, False, s_id, s_key, e + shift))
-                    first = k + 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
-
-    names = ["doc_id", "tkey", "at", "back", "s_id", "s_key", "s_at"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
-    place = F.struct("start", "size", F.col("first.doc_id").alias("s_id"), F.col("first.tkey").alias("s_key"), F.col("first.start").alias("s_at"), "left_same", "right_same", "at_end")
-    per_doc = marked.groupBy("doc_id", "tkey").agg(F.collect_set(place).alias("found"))
-    return per_doc.mapInArrow(run, "doc_id long, tkey long, at int, back boolean, s_id long, s_key long, s_at int")
+            held, rows, first = [], 0, 0
+            for k, text in enumerate(b.column(2).to_pylist()):
+                found = chunks_of(text.encode() if text else b"")
+                held.append(found)
+                rows += len(found[0])
+                if rows > limit or k == b.num_rows - 1:
+                    at = pa.array(np.repeat(np.arange(first, k + 1), [len(f[0]) for f in held]))
+                    start, end, digest = (np.concatenate([f[j] for f in held]) for j in range(3))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(digest)], names)
+                    held, rows, first = [], 0, k + 1
 
-
-def windows(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
-    """s_id, s_key, s_at, back, window: up to width bytes of the text (docs: doc_id, tkey, text) before or after each distinct place of ends."""
-
-    def run(batches):
-        for b in batches:
-            ids, keys, at, back, out = [], [], [], [], []
-            for doc, key, text, places in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                data = text.encode()
-                for p in places:
-                    s = p["s_at"]
-                    ids.append(doc)
-                    keys.append(key)
-                    at.append(s)
-                    back.append(p["back"])
-                    out.append(data[max(0, s - width) : s] if p["back"] else data[s : s + width])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(back, pa.bool_()), pa.array(out, pa.binary())], ["s_id", "s_key", "s_at", "back", "window"])
-
-    wanted = ends.groupBy("s_id", "s_key").agg(F.collect_set(F.struct("s_at", "back")).alias("places"))
-    joined = docs.join(wanted, F.col("tkey").eqNullSafe(F.col("s_key")) & F.col("doc_id").eqNullSafe(F.col("s_id"))).select("doc_id", "tkey", "text", "places")
-    # rows that agree in doc_id and text give their windows twice
-    return joined.mapInArrow(run, "s_id long, s_key long, s_at int, back boolean, window binary").dropDuplicates(["s_id", "s_key", "s_at", "back"])
-
-
-def equal_bytes(a: bytes, b: bytes, back: bool) -> int:
-    """Length of the common prefix of a and b, or of their common suffix."""
-    n = min(len(a), len(b))
-    if not n:
-        return 0
-    x, y = (np.frombuffer(t[len(t) - n :][::-1] if back else t[:n], np.uint8) for t in (a, b))
-    other = np.flatnonzero(x != y)
-    return int(other[0]) if len(other) else n
-
-
-def extend(docs: DataFrame, ends: DataFrame, around: DataFrame, width: int) -> DataFrame:
-    """ends with start and size of the bytes equal beyond each; more tells that all of a whole window was equal, and at and s_at have then moved past it."""
-    ids = ["s_id", "s_key", "s_at", "back"]
-    named = around.select(*(F.col(c).alias(f"w_{c}") for c in ids), "window")
-    both = ends.join(named, (F.col("s_key") == F.col("w_s_key")) & (F.col("s_at") == F.col("w_s_at")) & (F.col("back") == F.col("w_back")) & F.col("s_id").eqNullSafe(F.col("w_s_id")))
-    per_doc = both.groupBy(F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key")).agg(F.collect_set(F.struct("at", *ids, "window")).alias("ends"))
-    joined = docs.join(per_doc, F.col("tkey").eqNullSafe(F.col("e_key")) & F.col("doc_id").eqNullSafe(F.col("e_id"))).select("doc_id", "tkey", "text", "ends")
-
-    def run(batches):
-        for b in batches:
-            out: list[tuple] = []
-            for doc, key, text, found in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                data = text.encode()
-                for e in found:
-                    at, back, s = e["at"], e["back"], e["s_at"]
-                    n = equal_bytes(data[max(0, at - width) : at] if back else data[at : at + width], e["window"], back)
-                    step = -n if back else n
-                    out.append((doc, key, at + step, back, e["s_id"], e["s_key"], s + step, at - n if back else at, n, n == width))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
-
-    names = ["doc_id", "tkey", "at", "back", "s_id", "s_key", "s_at", "start", "size", "more"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-    return joined.mapInArrow(run, "doc_id long, tkey long, at int, back boolean, s_id long, s_key long, s_at int, start int, size int, more boolean")
-
-
-def extensions(docs: DataFrame, ends: DataFrame) -> list[DataFrame]:
-    """Tables with doc_id, tkey, start, size of the bytes beyond ends that equal those beyond the first occurrence, however many they are."""
-    out, width = [], WINDOW
-    while True:
-        around = materialize(windows(docs, ends, width), "windows")
-        done = materialize(extend(docs, ends, around, width), "extensions")
-        discard(around)
-        out.append(done)
-        ends = done.where("more").select("doc_id", "tkey", "at", "back", "s_id", "s_key", "s_at")
-        if ends.isEmpty():
-            return out
-        width *= 8
+    return docs.select("doc_id", "tkey", "text").mapInArrow(tidy(run), "doc_id long, tkey long, start int, size int, digest long")
 
 
 def remove(data: bytes, marked: list[tuple[int, int]], min_run: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -289,22 +136,13 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     found = materialize(chunks(plain), "chunks")
     place = F.struct("doc_id", "tkey", "start")
     # rows with equal doc_id and text are one document: their chunks are the same places
-    twice = found.groupBy("digest").agg(F.min(F.struct("doc_id", "tkey", "start", "left", "right")).alias("first"), F.max(place).alias("last"))
-    origin = F.struct("first.doc_id", "first.tkey", "first.start")
-    twice = materialize(twice.where(~origin.eqNullSafe(F.col("last"))).select("digest", "first"), "repeated-chunks")
-    marked = found.join(twice, "digest").where(~place.eqNullSafe(origin))
-    same = [(F.col(c) == F.col(f"first.{c}")).alias(f"{c}_same") for c in ("left", "right")]
-    marked = materialize(marked.select("doc_id", "tkey", "start", "size", "first", *same, (F.col("right") == 0).alias("at_end")), "all-marked-chunks")
-    discard(found, twice)
-    ends = materialize(edges(marked, min_run), "edges")
-    more = extensions(plain.where(F.col("text").isNotNull()), ends)
-    pieces = marked.select("doc_id", "tkey", "start", "size")
-    for t in more:
-        pieces = pieces.unionByName(t.where("size > 0").select("doc_id", "tkey", "start", "size"))
-    per_doc = pieces.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "size")).alias("lexi_marked"), F.sum("size").alias("marked_bytes"))
+    twice = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    twice = materialize(twice.where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "repeated-chunks")
+    marked = found.join(twice, "digest").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tkey", "start", "size")
+    per_doc = marked.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "size")).alias("lexi_marked"), F.sum("size").alias("marked_bytes"))
     per_doc = materialize(per_doc.where(F.col("marked_bytes") >= min_run).select(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key"), "lexi_marked"), "marked-chunks")
-    discard(marked, ends, *more)
-    joined = keyed.join(per_doc, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left").select(*columns, "lexi_text", "lexi_marked")
+    discard(found, twice)
+    joined = keyed.join(per_doc, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left").select(*map(quoted, columns), "lexi_text", "lexi_marked")
 
     def run(batches):
         for b in batches:
@@ -319,9 +157,11 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                 new.append(text)
                 sizes.append(len(data))
                 spans.append([{"start": a, "end": e} for a, e in cut])
-            out = {c: b.column(k) for k, c in enumerate(columns)} | {"text": pa.array(new, pa.string()), "lexi_bytes": pa.array(sizes, pa.int64()), "lexi_spans": pa.array(spans, span_type)}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            out = [pa.array(new, pa.string()) if c == "text" else b.column(k) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(sizes, pa.int64()), pa.array(spans, span_type)], [*columns, "lexi_bytes", "lexi_spans"])
 
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, schema + ", lexi_bytes long, lexi_spans array<struct<start: long, end: long>>")
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
+    schema = T.StructType([*fields, T.StructField("lexi_bytes", T.LongType()), T.StructField("lexi_spans", T.ArrayType(span))])
+    return joined.mapInArrow(tidy(run), schema)

@@ -129,7 +129,10 @@ def task_file(folder: str, part: int, suffix: str) -> str:
     return f"{folder}/part-{part:06d}-{uuid.uuid4().hex}{suffix}"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def quoted(name: str):
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

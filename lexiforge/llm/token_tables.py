@@ -203,7 +203,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, word
     spark = docs.sparkSession
     # the scan's tasks encode, so that packed ids move, not texts
     with batches_of(spark, 1000):
-        tokens = materialize(tokenise(docs, tokenizer, end_id, words).withColumn("tie", F.xxhash64("ids")), "tokens")
+        tokens = materialize(tokenise(docs, tokenizer, end_id, words).withColumn("tie", F.xxhash64("ids")), "tokens", "zstd")
     size = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     width = encoder(tokenizer, words).dtype.itemsize
 
