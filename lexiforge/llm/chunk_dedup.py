@@ -10,7 +10,7 @@ form runs; runs of at least min_run bytes are removed, from word to word. A shor
 
 Edge cases: null or empty texts have no chunks and stay as they are; texts shorter than min_run never lose anything;
 a stretch without cuts (one repeated character, say) is part of a longer chunk and repeats with it only;
-rows that agree in doc_id and text count as one document and get the same result; a null doc_id comes
+rows that agree in doc_id and text (told apart by a 32-bit hash) count as one document and get the same result; a null doc_id comes
 first; extra columns of any name stay as they are; an empty table gives none; very long texts are chunked whole, in slices.
 """
 
@@ -28,7 +28,7 @@ from .common import discard, materialize, quoted, tidy
 from .shingles import mix, powers
 
 #: The share of places that are low, the bytes before a cut without a low place, cuts in a chunk, and the least bytes of a run.
-LOW, APART, SPAN, MIN_RUN = 1 / 14, 4, 5, 100
+LOW, APART, SPAN, MIN_RUN = 1 / 18, 4, 3, 90
 _SPACE = re.compile(rb"\s")
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 16, 256).astype(np.uint16)
 _BASE = 0xD1342543DE82EF95
@@ -98,7 +98,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(digest)], names)
                     held, rows, first = [], 0, k + 1
 
-    return docs.select("doc_id", "tkey", "text").mapInArrow(tidy(run), "doc_id long, tkey long, start int, size int, digest long")
+    return docs.select("doc_id", "tkey", "text").mapInArrow(tidy(run), "doc_id long, tkey int, start int, size int, digest long")
 
 
 def remove(data: bytes, marked: list[tuple[int, int]], min_run: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -131,13 +131,13 @@ def remove(data: bytes, marked: list[tuple[int, int]], min_run: int) -> tuple[by
 def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """All columns of docs (doc_id, text, ...) with text deduplicated, and lexi_bytes (before), lexi_spans (array of start and end, in bytes)."""
     columns = docs.columns
-    keyed = docs.withColumn("lexi_id", F.col("doc_id").cast("long")).withColumn("lexi_text", F.col("text").cast("string")).withColumn("lexi_key", F.xxhash64("lexi_text"))
+    keyed = docs.withColumn("lexi_id", F.col("doc_id").cast("long")).withColumn("lexi_text", F.col("text").cast("string")).withColumn("lexi_key", F.hash("lexi_text"))
     plain = keyed.select(F.col("lexi_id").alias("doc_id"), F.col("lexi_key").alias("tkey"), F.col("lexi_text").alias("text"))
     found = materialize(chunks(plain), "chunks")
     place = F.struct("doc_id", "tkey", "start")
+    twice = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    twice = materialize(twice.where("n > 1").select("digest", "first"), "repeated-chunks")
     # rows with equal doc_id and text are one document: their chunks are the same places
-    twice = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    twice = materialize(twice.where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "repeated-chunks")
     marked = found.join(twice, "digest").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tkey", "start", "size")
     per_doc = marked.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "size")).alias("lexi_marked"), F.sum("size").alias("marked_bytes"))
     per_doc = materialize(per_doc.where(F.col("marked_bytes") >= min_run).select(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key"), "lexi_marked"), "marked-chunks")
