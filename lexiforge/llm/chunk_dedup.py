@@ -2,11 +2,12 @@
 
 A gear rolling hash over the last 16 bytes sets cuts: a place is a cut if the hash of the bytes before it is low, and no place just before it is one. So cuts
 depend on 20 bytes of content and on nothing else, and an insertion moves only those around it. A chunk begins at every cut (and at the text's
-start) and ends SPAN cuts later (or at the text's end). Chunks overlap: a repeated passage loses only the stretches before its first cut and after its last
-one, while every chunk is long enough that a common phrase does not make one. Chunks are counted by digest
+start) and ends SPAN cuts later (or at the text's end). Chunks overlap: of a repeated passage only the stretches before its first cut and after its last
+one are in no chunk of its own, while every chunk is long enough that a common phrase does not make one. Chunks are counted by digest
 (partial sums before the shuffle); the first occurrence, by doc_id, stays, and all others are marked by a join of two stored tables, which
 the adaptive skew join splits at chunks of very common passages. In each document overlapping and adjacent marked chunks
-form runs; runs of at least min_run bytes are removed, from word to word. A shorter run (a common line) is left alone.
+form runs. What repeats ends before the next cut, so a run asks for the bytes up to there (of every first occurrence that a chunk of it has) and grows by those that are equal.
+Runs of at least min_run bytes are removed, from word to word. A shorter run (a common line) is left alone.
 
 Edge cases: null or empty texts have no chunks and stay as they are; texts shorter than min_run never lose anything;
 a stretch without cuts (one repeated character, say) is part of a longer chunk and repeats with it only;
@@ -29,6 +30,8 @@ from .shingles import mix, powers
 
 #: The share of places that are low, the bytes before a cut without a low place, cuts in a chunk, and the least bytes of a run.
 LOW, APART, SPAN, MIN_RUN = 1 / 18, 4, 3, 90
+#: Bytes before a cut that decide on it: within as many bytes of its start, a passage's cuts are those of its surroundings.
+LOOK = 16 + APART
 _SPACE = re.compile(rb"\s")
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 16, 256).astype(np.uint16)
 _BASE = 0xD1342543DE82EF95
@@ -59,12 +62,11 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], inner[inner < len(data)], [len(data)]]).astype(np.int64)
 
 
-def chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, digests) of the chunks of data."""
+def chunks_of(data: bytes) -> tuple[np.ndarray, ...]:
+    """(starts, ends, digests, bytes from the cut before, bytes to the cut after) of the chunks of data."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
-        z = np.zeros(0, np.int64)
-        return z, z, z
+        return (np.zeros(0, np.int64),) * 5
     at = cuts(b)
     # hashes of the pieces between cuts, then of SPAN pieces: sums of bytes times powers of a base
     pieces = np.zeros(len(at) - 1, np.uint64)
@@ -78,12 +80,13 @@ def chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     digest = np.zeros(len(pieces) - k + 1, np.uint64)
     for j in range(k):
         digest = mix(digest * np.uint64(_BASE) + pieces[j : len(pieces) - k + 1 + j])
-    return at[: len(digest)], at[k:], digest.view(np.int64)
+    n = np.concatenate([[0], n, [0]])
+    return at[: len(digest)], at[k:], digest.view(np.int64), n[: len(digest)], n[k + 1 :]
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, start, size, digest for every chunk of docs (doc_id, tkey, text)."""
-    names, limit = ["doc_id", "tkey", "start", "size", "digest"], 500_000
+    """doc_id, tkey, start, size, digest, before, after (see chunks_of()) for every chunk of docs (doc_id, tkey, text)."""
+    names, limit = ["doc_id", "tkey", "start", "size", "digest", "before", "after"], 500_000
 
     def run(batches):
         for b in batches:
@@ -94,11 +97,94 @@ def chunks(docs: DataFrame) -> DataFrame:
                 rows += len(found[0])
                 if rows > limit or k == b.num_rows - 1:
                     at = pa.array(np.repeat(np.arange(first, k + 1), [len(f[0]) for f in held]))
-                    start, end, digest = (np.concatenate([f[j] for f in held]) for j in range(3))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(digest)], names)
+                    start, end, digest, before, after = (np.concatenate([f[j] for f in held]) for j in range(5))
+                    ints = [pa.array(x.astype(np.int32)) for x in (start, end - start, before, after)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *ints[:2], pa.array(digest), *ints[2:]], names)
                     held, rows, first = [], 0, k + 1
 
-    return docs.select("doc_id", "tkey", "text").mapInArrow(tidy(run), "doc_id long, tkey int, start int, size int, digest long")
+    return docs.select("doc_id", "tkey", "text").mapInArrow(tidy(run), "doc_id long, tkey int, start int, size int, digest long, before int, after int")
+
+
+def runs_of(found: list[dict]) -> list[list[dict]]:
+    """Marked chunks (start, size, ...) of a text, grouped into runs of overlapping and adjacent ones."""
+    out: list[list[dict]] = []
+    end = -1
+    for m in sorted(found, key=lambda m: (m["start"], m["size"])):
+        if m["start"] > end:
+            out.append([])
+        out[-1].append(m)
+        end = max(end, m["start"] + m["size"])
+    return out
+
+
+def edges(per_doc: DataFrame, min_run: int) -> DataFrame:
+    """doc_id, tkey, at, back, n, s_id, s_key, s_at: the ends of the runs of per_doc (m_id, m_key, found), with the same place in each first occurrence and the bytes asked for there.
+
+    back tells the left end. Runs that cannot reach min_run ask for nothing.
+    """
+    names = ["doc_id", "tkey", "at", "back", "n", "s_id", "s_key", "s_at"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for doc, key, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for part in runs_of(found):
+                    first, last = part[0], max(part, key=lambda m: m["start"] + m["size"])
+                    a, e = first["start"], last["start"] + last["size"]
+                    back = min(a, first["before"] + LOOK)
+                    if e - a + back + last["after"] < min_run:
+                        continue
+                    for s_id, s_key, shift in {(m["s_id"], m["s_key"], m["s_at"] - m["start"]) for m in part}:
+                        if back and a + shift > 0:
+                            out.append((doc, key, a, True, back, s_id, s_key, a + shift))
+                        if last["after"]:
+                            out.append((doc, key, e, False, last["after"], s_id, s_key, e + shift))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+    return per_doc.select("m_id", "m_key", "found").mapInArrow(run, "doc_id long, tkey int, at int, back boolean, n int, s_id long, s_key int, s_at int")
+
+
+def windows(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """s_id, s_key, s_at, back, window: of each distinct place of ends the bytes of the text (docs: doc_id, tkey, text) before or after it, as many as the longest request."""
+    names = ["s_id", "s_key", "s_at", "back", "window"]
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for doc, key, text, places in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                data = text.encode()
+                for p in places:
+                    s, n = p["s_at"], p["n"]
+                    out.append((doc, key, s, p["back"], data[max(0, s - n) : s] if p["back"] else data[s : s + n]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names)
+
+    # a passage of very many texts asks for one place: the requests are summed up before they meet
+    places = ends.groupBy("s_id", "s_key", "s_at", "back").agg(F.max("n").alias("n"))
+    wanted = places.groupBy("s_id", "s_key").agg(F.collect_list(F.struct("s_at", "back", "n")).alias("places"))
+    joined = docs.join(wanted, F.col("tkey").eqNullSafe(F.col("s_key")) & F.col("doc_id").eqNullSafe(F.col("s_id"))).select("doc_id", "tkey", "text", "places")
+    # rows that agree in doc_id and text give their windows twice
+    return joined.mapInArrow(run, "s_id long, s_key int, s_at int, back boolean, window binary").dropDuplicates(["s_id", "s_key", "s_at", "back"])
+
+
+def equal_bytes(a: bytes, b: bytes, back: bool) -> int:
+    """Length of the common prefix of a and b, or of their common suffix."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    x, y = (np.frombuffer(t[len(t) - n :][::-1] if back else t[:n], np.uint8) for t in (a, b))
+    other = np.flatnonzero(x != y)
+    return int(other[0]) if len(other) else n
+
+
+def grown(data: bytes, ends: list[dict]) -> list[tuple[int, int]]:
+    """(start, size) of the bytes beyond ends (at, back, n, window) that equal those beyond the first occurrence."""
+    out = []
+    for e in ends:
+        at, n = e["at"], e["n"]
+        k = equal_bytes(data[max(0, at - n) : at] if e["back"] else data[at : at + n], e["window"][-n:] if e["back"] else e["window"][:n], e["back"])
+        out.append((at - k if e["back"] else at, k))
+    return [x for x in out if x[1]]
 
 
 def remove(data: bytes, marked: list[tuple[int, int]], min_run: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -138,21 +224,30 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     twice = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     twice = materialize(twice.where("n > 1").select("digest", "first"), "repeated-chunks")
     # rows with equal doc_id and text are one document: their chunks are the same places
-    marked = found.join(twice, "digest").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tkey", "start", "size")
-    per_doc = marked.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "size")).alias("lexi_marked"), F.sum("size").alias("marked_bytes"))
-    per_doc = materialize(per_doc.where(F.col("marked_bytes") >= min_run).select(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key"), "lexi_marked"), "marked-chunks")
+    marked = found.join(twice, "digest").where(~place.eqNullSafe(F.col("first")))
+    mark = F.struct("start", "size", F.col("first.doc_id").alias("s_id"), F.col("first.tkey").alias("s_key"), F.col("first.start").alias("s_at"), "before", "after")
+    per_doc = marked.groupBy(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key")).agg(F.collect_set(mark).alias("found"))
+    per_doc = materialize(per_doc, "marked-chunks")
     discard(found, twice)
-    joined = keyed.join(per_doc, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left").select(*map(quoted, columns), "lexi_text", "lexi_marked")
+    ends = materialize(edges(per_doc, min_run), "edges")
+    around = materialize(windows(plain.where(F.col("text").isNotNull()), ends), "windows")
+    named = around.select(*(F.col(c).alias(f"w_{c}") for c in ("s_id", "s_key", "s_at", "back")), "window")
+    same = (F.col("s_key") == F.col("w_s_key")) & (F.col("s_at") == F.col("w_s_at")) & (F.col("back") == F.col("w_back")) & F.col("s_id").eqNullSafe(F.col("w_s_id"))
+    asked = ends.join(named, same).groupBy(F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key")).agg(F.collect_set(F.struct("at", "back", "n", "window")).alias("ends"))
+    marks = per_doc.select("m_id", "m_key", F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["size"].alias("size"))).alias("lexi_marked"))
+    marks = marks.join(asked, F.col("m_key").eqNullSafe(F.col("e_key")) & F.col("m_id").eqNullSafe(F.col("e_id")), "left").select("m_id", "m_key", "lexi_marked", F.col("ends").alias("lexi_ends"))
+    marks = materialize(marks, "marks")
+    discard(per_doc, ends, around)
+    joined = keyed.join(marks, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left").select(*map(quoted, columns), "lexi_text", "lexi_marked", "lexi_ends")
 
     def run(batches):
         for b in batches:
-            texts, marks = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             new, sizes, spans = [], [], []
-            for text, mark in zip(texts, marks, strict=True):
+            for text, mark, ends in zip(*(b.column(b.num_columns - k).to_pylist() for k in (3, 2, 1)), strict=True):
                 data = text.encode() if text else b""
                 cut: list = []
                 if mark:
-                    kept, cut = remove(data, [(m["start"], m["size"]) for m in mark], min_run)
+                    kept, cut = remove(data, [(m["start"], m["size"]) for m in mark] + grown(data, ends or []), min_run)
                     text = kept.decode()
                 new.append(text)
                 sizes.append(len(data))

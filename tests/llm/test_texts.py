@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexiforge.llm import chunk_dedup, forest_join, language, suffix_dedup
+from lexiforge.llm import chunk_dedup, forest_join, language, mixing, suffix_dedup
 from lexiforge.llm.graph import components
 from lexiforge.llm.shingles import shingle_set
 
@@ -78,22 +78,93 @@ def test_chunks_remove_passages_of_51_words(spark):
     assert all(got[k].startswith(a) and got[k].endswith(b) for k, (a, b) in want.items())
 
 
-def test_extensions_go_past_their_first_window(spark, monkeypatch):
+def test_runs_grow_past_their_chunks(spark):
     from conftest import passage
 
-    monkeypatch.setattr(chunk_dedup, "WINDOW", 4)
-    shared = passage(1, 51)
-    rows = [(1, f"{passage(2, 30)} {shared} {passage(3, 30)}"), (2, f"{passage(4, 30)} {shared} {passage(5, 30)}")]
-    got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == rows[0][1] and got[2].split() == f"{passage(4, 30)} {passage(5, 30)}".split()
-
-
-def test_chunk_ends_resist_insertions():
-    data = np.random.default_rng(4).integers(32, 127, 20_000).astype(np.uint8).tobytes()
-    ends = set(chunk_dedup.chunk_ends(data))
-    moved = {e - 7 for e in chunk_dedup.chunk_ends(data[:5000] + b"insert!" + data[5000:])}
-    assert len(ends & moved) > 0.7 * len(ends) and max(ends) == 20_000
-    assert [b - a for a, b in zip([0, *chunk_dedup.chunk_ends(b"x" * 1000)], chunk_dedup.chunk_ends(b"x" * 1000), strict=False)][0] <= chunk_dedup.MAX_CHUNK
+    for seed, words in ((1, 51), (2, 200)):
+        shared = passage(seed, words)
+        rows = [(1, f"{passage(12, 30)} {shared} {passage(13, 30)}"), (2, f"{passage(14, 30)} {shared} {passage(15, 30)}")]
+        got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[1] == rows[0][1] and got[2].split() == f"{passage(14, 30)} {passage(15, 30)}".split()
+
+
+def slow_chunks(data):
+    """(start, chunk, bytes from the cut before, bytes to the cut after) by the rule, byte by byte."""
+    low, cuts = [], [0]
+    for p in range(16, len(data) + 1):
+        h = sum(int(chunk_dedup.GEAR[data[p - 1 - k]]) << k for k in range(16)) & 0xFFFF
+        if h < chunk_dedup.LOW * 65536:
+            if not low or p - low[-1] > chunk_dedup.APART:
+                cuts.append(p)
+            low.append(p)
+    cuts = [c for c in cuts if c < len(data)] + [len(data)]
+    k = min(chunk_dedup.SPAN, len(cuts) - 1)
+    return [(cuts[i], data[cuts[i] : cuts[i + k]], cuts[i] - cuts[i - 1] if i else 0, cuts[i + k + 1] - cuts[i + k] if i + k + 1 < len(cuts) else 0) for i in range(len(cuts) - k)]
+
+
+def slow_runs(text, pieces, first, texts):
+    """Marked places: chunks that are not the first ones, and what equals the bytes beside each first one's place at both ends of a run."""
+    doc, data = text
+    marked = [(a, len(c), first[c], before, after) for a, c, before, after in pieces if first[c] != (doc, a)]
+    out = [(a, n) for a, n, *_ in marked]
+    at = 0
+    while at < len(marked):
+        run, end = [marked[at]], marked[at][0] + marked[at][1]
+        while at + len(run) < len(marked) and marked[at + len(run)][0] <= end:
+            run.append(marked[at + len(run)])
+            end = max(end, run[-1][0] + run[-1][1])
+        begin, more = run[0][0], run[-1][4]
+        room = min(begin, run[0][3] + 16 + chunk_dedup.APART)
+        for a, _, (d, s), *_ in run:
+            other, n = texts[d], 0
+            while n < room and begin + s - a - n > 0 and data[begin - n - 1] == other[begin + s - a - n - 1]:
+                n += 1
+            m = 0
+            while m < more and end + s - a + m < len(other) and data[end + m] == other[end + s - a + m]:
+                m += 1
+            if end - begin + room + more >= chunk_dedup.MIN_RUN:
+                out += [(begin - n, n), (end, m)]
+        at += len(run)
+    return [x for x in out if x[1]]
+
+
+def test_chunks_equal_brute_force(spark, docs):
+    """Which bytes go, and which documents stay as they are: all chunks but the first ones, in runs of MIN_RUN bytes or more."""
+    rows = docs.where("doc_id IS NOT NULL").collect() + spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "CAST(n_chars AS long) AS n_chars").collect()
+    rows = [r for r in rows if len(r["text"] or "") < 20_000]
+    first, found = {}, {}
+    for doc, text in sorted({(r["doc_id"], r["text"] or "") for r in rows if r["doc_id"] != 12}):
+        found[doc] = slow_chunks(text.encode()) if text else []
+        for a, c, *_ in found[doc]:
+            first.setdefault(c, (doc, a))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in rows}
+    got = {r["doc_id"]: r for r in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, docs.schema).where("doc_id != 12")).collect()}
+    n = 0
+    for doc, pieces in found.items():
+        kept, spans = chunk_dedup.remove(texts[doc], slow_runs((doc, texts[doc]), pieces, first, texts), chunk_dedup.MIN_RUN)
+        assert (got[doc]["text"] or "").encode() == kept and [tuple(x) for x in got[doc]["lexi_spans"]] == spans, doc
+        n += len(spans)
+    assert n > 10
+
+
+def test_cuts_do_not_depend_on_what_is_far(monkeypatch):
+    data = np.random.default_rng(4).integers(32, 127, 20_000).astype(np.uint8)
+    whole = chunk_dedup.cuts(data)
+    moved = chunk_dedup.cuts(np.concatenate([data[:5000], np.frombuffer(b"insert!", np.uint8), data[5000:]]))
+    near = range(4900, 5100)
+    assert {c for c in whole.tolist() if c not in near} == {c - 7 * (c > 5000) for c in moved.tolist()} - set(near)
+    monkeypatch.setattr(chunk_dedup, "_SLICE", 333)
+    assert chunk_dedup.cuts(data).tolist() == whole.tolist()
+    assert chunk_dedup.cuts(np.full(1000, 120, np.uint8)).tolist() in ([0, 1000], [0, 16, 1000])
+
+
+def test_columns_of_any_name_stay(spark, docs):
+    from pyspark.sql import functions as F
+
+    odd = docs.select("*", F.lit(1).alias("a.b"), F.lit("t").alias("c`d"), F.struct(F.lit(1).alias("x y")).alias("e f"))
+    for out in (chunk_dedup.dedup_chunks(odd).drop("lexi_bytes", "lexi_spans"), forest_join.keep_one(odd), mixing.apply_mix(odd), language.keep_accepted(odd, language.fit_on(docs))):
+        rows = out.collect()
+        assert out.columns == odd.columns and rows and all(r["a.b"] == 1 and r["c`d"] == "t" and r["e f"][0] == 1 for r in rows)
 
 
 def test_similarity_join_equals_brute_force(docs, no_docs, odd_docs):
@@ -129,14 +200,88 @@ def test_prefix_depth_meets_the_recall():
     assert 1 - (1 - 0.8**d) ** forest_join.TREES >= forest_join.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** forest_join.TREES
 
 
+def test_tries_keep_strings_with_company(spark):
+    r = np.random.default_rng(8)
+    values = r.integers(0, 2, (200, 3, 8)).astype(">u2")
+    pairs = values.view(">i8").astype(np.int64)
+    classes = spark.createDataFrame([(k, p[:, 0].tolist(), p[:, 1].tolist()) for k, p in enumerate(pairs)], "node long, hi array<long>, lo array<long>").repartition(3)
+    for depth in (3, 6, 8):
+        prefixes = Counter((t, v[t, :depth].tobytes()) for v in values for t in range(3))
+        want = {(t, k) for k, v in enumerate(values) for t in range(3) if prefixes[t, v[t, :depth].tobytes()] > 1}
+        got = [(x["tree"], x["node"]) for x in forest_join.tries(classes, depth).collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 2 * 8
+
+
+def near_copies(n, edits, seed, words=120):
+    """n texts that share all words but `edits` each."""
+    from conftest import passage
+
+    r, base = np.random.default_rng(seed), passage(seed, words).split()
+    out = []
+    for k in range(n):
+        w = list(base)
+        for at in r.choice(words, edits, replace=False):
+            w[at] = f"w{k}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def links_by_force(texts, threshold=0.8):
+    sets = [shingle_set(t) for t in texts]
+    groups = {}
+    for k, s in enumerate(sets):
+        for x in s.tolist():
+            groups.setdefault(x, []).append(k)
+    common = Counter((a, b) for ks in groups.values() for i, a in enumerate(ks) for b in ks[i + 1 :])
+    count = Counter()
+    for (a, b), n in common.items():
+        if n / (len(sets[a]) + len(sets[b]) - n) >= threshold:
+            count[a] += 1
+            count[b] += 1
+    return count
+
+
+def test_prefixes_shorten_until_the_recall_is_reached(spark):
+    """A class with many near copies stops on the first level, one with a single partner at the threshold goes on to the last; blocks agree with one block."""
+    texts = near_copies(120, 1, 50, 400) + [t for k in range(40) for t in near_copies(2, 1, 200 + k)]  # similarities of 0.95 and 0.84
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = links_by_force(texts)
+    for block in (256, 20):
+        levels: list = []
+        got = {r["oid"]: r["n_links"] for r in forest_join.join_similar(docs, block=block, levels=levels).collect()}
+        assert got == {k: want[k] for k in range(len(texts))}
+        assert [d for d, _, _ in levels] == list(range(8, forest_join.prefix_depth(0.8) - 1, -1)) and levels[0][1] > 0
+        finished = [n for _, _, n in levels]
+        assert 100 <= finished[0] <= 120 and finished == sorted(finished) and finished[-2] < 120 + 80 == finished[-1]
+
+
+def test_recall_on_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = links_by_force([r["text"] for r in rows])
+    got = {r["doc_id"]: r["n_links"] for r in forest_join.near_duplicates(docs).collect()}
+    assert sum(want.values()) > 50 and all(got[r["doc_id"]] <= want[k] for k, r in enumerate(rows))
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
+def test_one_row_stays_of_rows_that_differ_elsewhere(spark):
+    from conftest import passage
+
+    t = passage(1, 50)
+    docs = spark.createDataFrame([(1, t, "x", 1), (1, t, "y", 2), (2, t + " more", "z", 3), (3, "", "q", 4), (3, "", "r", 5)], "doc_id long, text string, `a.b` string, copies int")
+    kept = [forest_join.keep_one(docs.repartition(n)).collect() for n in (1, 3)]
+    assert sorted(kept[0]) == sorted(kept[1]) and Counter(r["doc_id"] for r in kept[0]) == {1: 1, 3: 1} and kept[0][0].asDict().keys() == {"doc_id", "text", "a.b", "copies"}
+
+
 def test_blocks_of_a_large_component_agree():
     r = np.random.default_rng(6)
     base = r.integers(0, 1 << 60, 50, np.uint64)
     sets = [np.unique(np.concatenate([base[r.random(50) < 0.97], r.integers(0, 1 << 60, 2, np.uint64)])) for _ in range(40)]
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.8}
-    i, j = forest_join.similar(sets, 0, 0.8)
+    i, j, share = forest_join.similar(sets, 0, 0.8)
+    assert all(x == len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a, b, x in zip(i, j, share, strict=True))
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
-    i, j = forest_join.similar(sets, 15, 0.8)
+    i, j, _ = forest_join.similar(sets, 15, 0.8)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a, b in want if a < 15 <= b}
 
 
