@@ -6,16 +6,16 @@
 2. A min-cost flow routes words from patterns to the sources' quotas. The first copy of a
    pattern's words costs 0 a word, the second 1: convex costs, so nothing is repeated
    while an unused word of the same source is left.
-3. Each pattern's flow is turned into documents in seeded order: a running sum of sizes, in two
-   levels (sums of hash buckets, then rows within a bucket), tells which documents lie within the
-   flow. No task sees more than one bucket of one pattern.
+3. Each pattern's flow is turned into documents in seeded order: a running sum of sizes, in three
+   levels (sums of coarse and of fine hash buckets, then rows within a bucket), tells which documents lie within the
+   flow. A task sees the rows of one bucket of one pattern at a time, or sums.
 
 Documents are taken whole: the last one is taken if the flow ends nearer to its end than to its start. The
 order is the MD5 of seed and doc_id, so reruns agree.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; null and repeated
 ids share an order key, ties are broken by size and text digest, and rows that agree in all are interchangeable; an empty table mixes
-to an empty one; documents of size 0 take 0 words and stay as long as their source is used.
+to an empty one; documents of size 0 take 0 words, so apply_mix() leaves them out.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, quoted
 
 WEIGHTS = (3, 1, 2)
 #: Rows of the pattern table that the driver accepts: about 50 MB.
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
-NONE = "\x00"  # joins the sources of a pattern; a null source is the empty last part
 
 
 def targets(sizes: dict, weights: dict, share: float, most: float) -> dict:
@@ -131,6 +130,14 @@ def route(words: dict[tuple, int], quotas: dict, copies: int) -> dict[tuple, dic
     return out
 
 
+def pattern_of(docs: DataFrame, sources: str):
+    """The sources of a document as a sorted array; one null where it has none."""
+    if not dict(docs.dtypes)[sources].startswith("array"):
+        return F.array(quoted(sources).cast("string"))
+    own = F.array_sort(F.array_distinct(quoted(sources).cast("array<string>")))
+    return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None).cast("string")))
+
+
 def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, copies: int = 2, seed: str = "mix", max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """Every document of docs with size, source_size, target and taken (words that the mix takes, repeats counted).
 
@@ -138,11 +145,8 @@ def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, shar
     first source. Sources weigh as weights say, repeated in the order of their code points, null last.
     """
     spark = docs.sparkSession
-    many = dict(docs.dtypes)[sources].startswith("array")
-    own = F.array_sort(F.array_distinct(F.col(sources).cast("array<string>"))) if many else F.array(F.col(sources).cast("string"))
-    own = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None).cast("string"))) if many else own
     slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), own.alias("pattern"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col("doc_id").cast("long").alias("doc_id"), pattern_of(docs, sources).alias("pattern"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("hash"), F.xxhash64("text").alias("tie"),
     )
     slim = materialize(slim, "mix")
@@ -166,11 +170,16 @@ def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, shar
         digits += 1
     slim = slim.withColumn("bucket", F.substring("hash", 1, digits))
     sums = slim.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = materialize(sums.select("pattern", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start")), "mix-buckets")
+    sums = materialize(sums.withColumn("coarse", F.substring("bucket", 1, (digits + 1) // 2)), "mix-sums")
+    upto = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    top = sums.groupBy("pattern", "coarse").agg(F.sum("in_bucket").alias("in_coarse"))
+    top = top.select("pattern", "coarse", upto(W.partitionBy("pattern").orderBy("coarse"), "in_coarse").alias("before"))
+    sums_ = sums.withColumn("inside", upto(W.partitionBy("pattern", "coarse").orderBy("bucket"), "in_bucket")).join(top.hint("merge"), ["pattern", "coarse"])
+    starts = materialize(sums_.select("pattern", "bucket", (F.col("before") + F.col("inside")).alias("start")), "mix-buckets")
+    discard(sums)
     inside = W.partitionBy("pattern", "bucket").orderBy("hash", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = slim.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(sums.hint("merge"), ["pattern", "bucket"]).withColumn("place", F.col("start") + F.col("within"))
+    placed = placed.join(starts.hint("merge"), ["pattern", "bucket"]).withColumn("place", F.col("start") + F.col("within"))
     # proven small: the driver has just checked its number of rows
     placed = placed.join(F.broadcast(plan.withColumnRenamed("pattern", "p")), F.col("pattern").eqNullSafe(F.col("p")))
     taken = sum((F.when(2 * F.col("place") + F.col("size") <= 2 * F.col("per_copy")[k], F.col("size")).otherwise(0) for k in range(copies)), F.lit(0).cast("long"))
@@ -180,20 +189,29 @@ def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, shar
 def apply_mix(docs: DataFrame, sources: str = "source", **options) -> DataFrame:
     """The rows of docs that the mix takes, all columns as they are, a row for each time that it is taken.
 
-    Rows that agree in doc_id, source and text share the times that they are taken together, the first ones more.
+    Rows that agree in doc_id, sources and text share the times that they are taken together evenly; those with the least hashes of all columns are taken
+    once more where the times do not divide. Rows that agree in all columns are interchangeable.
     """
-    own = F.col(sources).cast("string")
     found = mix(docs, sources, **options).where(F.col("taken") > 0)
-    times = found.groupBy("doc_id", "pattern", "tie").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("lexi_times"), F.count("*").alias("lexi_rows"))
-    times = materialize(times.select(F.col("doc_id").alias("lexi_id"), F.xxhash64(F.col("pattern")[0], "tie").alias("lexi_key"), "lexi_times", "lexi_rows"), "mix-times")
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("lexi_id")) & (F.xxhash64(own, F.xxhash64("text")) == F.col("lexi_key"))
-    columns = docs.columns
-    once = docs.join(times.where(F.col("lexi_rows") == 1), key).select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("lexi_times"))).alias("lexi_copy")).drop("lexi_copy")
+    times = found.groupBy("doc_id", "pattern", "tie").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("lexi_times"))
+    times = times.select(F.col("doc_id").alias("lexi_id"), F.xxhash64("pattern", "tie").alias("lexi_key"), "lexi_times")
+    # how many rows share the times, those with times 0 included
+    shared = docs.select(F.col("doc_id").cast("long").alias("n_id"), F.xxhash64(pattern_of(docs, sources), F.xxhash64("text")).alias("n_key")).groupBy("n_id", "n_key").agg(F.count("*").alias("lexi_rows"))
+    times = materialize(times.join(shared, F.col("lexi_id").eqNullSafe(F.col("n_id")) & (F.col("lexi_key") == F.col("n_key"))).drop("n_id", "n_key"), "mix-times")
+    columns = [quoted(c) for c in docs.columns]
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("lexi_id")) & (F.xxhash64(pattern_of(docs, sources), F.xxhash64("text")) == F.col("lexi_key"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("lexi_times"))).alias("lexi_copy")
+    once = docs.join(times.where(F.col("lexi_rows") == 1), match).select(*columns, copies).drop("lexi_copy")
     if times.where(F.col("lexi_rows") > 1).isEmpty():
         return once
-    # few rows: those that repeat doc_id, source and text
-    again = docs.dropDuplicates(["doc_id", sources, "text"]).join(times.where(F.col("lexi_rows") > 1), key)
-    return once.unionByName(again.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("lexi_times"))).alias("lexi_copy")).drop("lexi_copy"))
+    # few keys: those that repeat doc_id, sources and text. Equal rows become one with a number before they meet
+    known = [quoted(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    again = docs.join(times.where(F.col("lexi_rows") > 1), match)
+    again = again.groupBy("lexi_id", "lexi_key", "lexi_times", "lexi_rows", F.xxhash64(*known).alias("lexi_hash")).agg(F.count("*").alias("n"), F.first(F.struct(*columns)).alias("lexi_row"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("lexi_id", "lexi_key").orderBy("lexi_hash").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    each, rest = F.floor(F.col("lexi_times") / F.col("lexi_rows")), F.col("lexi_times") % F.col("lexi_rows")
+    again = again.withColumn("lexi_times", (F.col("n") * each + F.greatest(F.lit(0), F.least(F.col("n"), rest - before))).cast("int"))
+    return once.unionByName(again.select("lexi_row", copies).select("lexi_row.*"))
 
 
 SQL = r"""

@@ -40,6 +40,22 @@ def test_mix_equals_sql(spark, docs, odd_docs):
     assert sum(size[r["doc_id"], r["text"]] for r in mixing.apply_mix(docs).collect()) == taken
 
 
+def test_overlapping_sources_and_rows_that_differ_elsewhere(spark):
+    sources = [["a"], ["b"], ["a", "b"], ["b", "c"], [], None, ["a", "a"]]
+    rows = [(k, f"w{k} " * (k % 7), sources[k % 7], "x", k) for k in range(300)] + [(500, "two words", ["a"], o, 1) for o in ("x", "y", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>, other string, size long").repartition(3)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    runs = [sorted((r["doc_id"], r["other"]) for r in mixing.apply_mix(docs.repartition(n)).collect()) for n in (1, 4)]
+    assert runs[0] == runs[1] and len(runs[0]) > 200
+    for k, text, *_ in rows:
+        n = len(text.split())
+        assert sum(i == k for i, _ in runs[0]) == (taken[k] // n if n else 0)
+    got = [o for i, o in runs[0] if i == 500]
+    assert not got or abs(2 * got.count("x") - got.count("y")) <= 2
+
+
 def test_mix_of_nothing(no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.apply_mix(no_docs).count() == 0
 
