@@ -10,11 +10,12 @@ double-precision cosine of the original vectors decides. It returns link counts
 forest of its links, never the links themselves.
 
 The principal axes are fitted on at most SAMPLE vectors; they only set the order and the boxes,
-so a bad fit costs time and no link. The driver holds the boxes of at most MAX_INTERVALS intervals.
+so a bad fit costs time and no link. The driver holds the boxes of at most MAX_INTERVALS intervals and recurses down to stretches of
+1 / STRETCHES of them: at most STRETCHES (STRETCHES + 1) / 2 pairs of stretches. Tasks go on from there.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link with nothing;
 vectors of different lengths do not link; equal vectors are joined once, with their number as weight
-(a 64-bit hash of the vector names them, so rows that repeat an id stay apart);
+(a number stored with the distinct vector names them, so rows that repeat an id stay apart);
 an empty table gives none.
 """
 
@@ -30,7 +31,7 @@ from .common import discard, materialize
 from .graph import components
 from .vectors import batches_of, matrix, valid
 
-SAMPLE, MAX_INTERVALS, INTERVAL_ROWS, BLOCK_ROWS, LEADING = 4096, 4096, 8192, 2048, 8
+SAMPLE, MAX_INTERVALS, STRETCHES, INTERVAL_ROWS, BLOCK_ROWS, LEADING = 4096, 4096, 128, 8192, 2048, 8
 BLOCKS = "part long, block long, dim long, n long, low array<double>, high array<double>, reps binary, weights binary, vectors binary"
 
 
@@ -40,8 +41,11 @@ def axes(sample: np.ndarray, leading: int) -> np.ndarray:
     return np.ascontiguousarray(vec[:, ::-1][:, :leading])
 
 
-def interval_pairs(boxes: list[tuple], eps: float) -> list[tuple[int, int]]:
-    """Pairs (i <= j) of intervals whose boxes (dim, low, high) come within eps, by recursion over the sequence."""
+def interval_pairs(boxes: list[tuple], eps: float, width: int = 1) -> list[tuple[int, int, int, int]]:
+    """Pairs (a, b, c, d) of stretches of at most width intervals, a to b and c to d (b and d excluded, a <= c), whose boxes (dim, low, high) come within eps, by recursion over the sequence.
+
+    A stretch paired with itself stands for its pairs i <= j.
+    """
     tree: dict = {}
 
     def box(a: int, b: int):
@@ -64,8 +68,8 @@ def interval_pairs(boxes: list[tuple], eps: float) -> list[tuple[int, int]]:
         gap = np.maximum(0, np.maximum(l1 - h2, l2 - h1))
         if gap @ gap > eps * eps:
             continue
-        if b - a == 1 and d - c == 1:
-            out.append((a, c))
+        if b - a <= width and d - c <= width:
+            out.append((a, b, c, d))
         elif (a, b) == (c, d):
             m = (a + b) // 2
             todo += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
@@ -106,18 +110,18 @@ def links(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     return i[keep], j[keep]
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, interval_rows: int = INTERVAL_ROWS, block_rows: int = BLOCK_ROWS, stretches: int = STRETCHES) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable), kept."""
     spark = vectors.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
     found = valid(vectors)
-    classes = materialize(found.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("rep", F.xxhash64("embedding")), "eps-classes")
+    classes = materialize(found.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "eps-classes")
     n = classes.count()
 
     # principal axes of the commonest length, from a bounded sample
     lengths = classes.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     common = lengths[0]["dim"] if lengths else 0
-    some = classes.where(F.size("embedding") == common).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").collect()
+    some = classes.where(F.size("embedding") == common).orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").collect()
     basis = axes(unit(np.array([r[0] for r in some])), LEADING) if len(some) > 1 else np.eye(common)[:, :LEADING]
     basis_ = spark.sparkContext.broadcast((common, basis))
 
@@ -139,17 +143,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                 )
 
     placed = materialize(classes.select("embedding", "rep", "weight").mapInArrow(place, "dim long, cell binary, lead array<double>, rep long, weight long, embedding array<double>"), "eps-placed")
-    parts = -(-n // max(INTERVAL_ROWS, n // MAX_INTERVALS + 1)) or 1
+    parts = -(-n // max(interval_rows, n // MAX_INTERVALS + 1)) or 1
 
     def cut(batches):
         part, block, held = TaskContext.get().partitionId(), 0, []
         for b in batches:
             at = 0
             while at < b.num_rows:
-                room = BLOCK_ROWS - sum(h.num_rows for h in held)
+                room = block_rows - sum(h.num_rows for h in held)
                 held.append(b.slice(at, room))
                 at += room
-                if sum(h.num_rows for h in held) >= BLOCK_ROWS:
+                if sum(h.num_rows for h in held) >= block_rows:
                     for row in rows_of(held, part, block):
                         block += 1
                         yield row
@@ -179,8 +183,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     sums = blocks.groupBy("part", "dim").agg(F.array(*(F.min(F.col("low")[k]) for k in range(LEADING))).alias("low"), F.array(*(F.max(F.col("high")[k]) for k in range(LEADING))).alias("high")).collect()
     keys = sorted({(r["dim"], r["part"]) for r in sums})
     box = {(r["dim"], r["part"]): (r["dim"], r["low"], r["high"]) for r in sums}
-    pairs = [(keys[i][0], keys[i][1], keys[j][1]) for i, j in interval_pairs([box[k] for k in keys], eps)]
-    pairs = spark.createDataFrame(pairs, "dim long, part long, part2 long")
+    stretch_pairs = spark.createDataFrame(interval_pairs([box[k] for k in keys], eps, -(-len(keys) // stretches)), "a long, b long, c long, d long")
+    numbers = spark.createDataFrame([(k, *key) for k, key in enumerate(keys)], "i long, dim long, part long")
+    pairs = stretch_pairs.select(F.explode(F.sequence("a", F.col("b") - 1)).alias("i"), "c", "d").select("i", F.explode(F.sequence("c", F.col("d") - 1)).alias("j")).where(F.col("i") <= F.col("j"))
+    pairs = pairs.join(numbers, "i").join(numbers.select(F.col("i").alias("j"), "dim", F.col("part").alias("part2")), ["j", "dim"]).select("dim", "part", "part2")
     heads = blocks.select("dim", "part", "block", "low", "high")
     other = heads.select("dim", F.col("part").alias("part2"), F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     both = pairs.join(heads, ["dim", "part"]).join(other, ["dim", "part2"]).where((F.col("part") != F.col("part2")) | (F.col("block") <= F.col("block2")))

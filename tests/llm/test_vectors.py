@@ -53,7 +53,8 @@ def test_rows_that_repeat_the_query_hide_no_neighbour(spark):
     assert got == {2, 3}
 
 
-def test_join_equals_brute_force(vectors):
+@pytest.mark.parametrize("sizes", [{}, {"interval_rows": 40, "block_rows": 16, "stretches": 3}])
+def test_join_equals_brute_force(vectors, sizes):
     rows = vectors.collect()
     all_ = clean(rows)
     n = len(all_)
@@ -77,7 +78,7 @@ def test_join_equals_brute_force(vectors):
         want.append((all_[a][0], len(links[a]), seen[a], all_[a][0] == seen[a]))
     used = {id(v) for _, v in all_}
     assert len(used) == n
-    out = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(vectors).collect()]
+    out = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(vectors, **sizes).collect()]
     assert len(out) == len(rows)
     lone = [o for o in out if o[1] == 0 and o[0] in (None, 1000, 1001, 1100, 1101, 1200)]
     assert sorted(lone, key=str) == sorted([(None, 0, None, False), *((i, 0, i, True) for i in (1000, 1001, 1100, 1101, 1200))], key=str)
@@ -94,5 +95,8 @@ def test_intervals_skip_distant_pairs_only():
         low = r.random(3) * 5
         boxes.append((int(r.integers(2, 4)), low, low + r.random(3)))
     want = {(i, j) for i in range(23) for j in range(i, 23) if boxes[i][0] == boxes[j][0] and (np.maximum(0, np.maximum(boxes[i][1] - boxes[j][2], boxes[j][1] - boxes[i][2])) ** 2).sum() <= 0.25}
-    got = {tuple(sorted(p)) for p in interval_pairs(boxes, 0.5)}
-    assert want <= got <= {(i, j) for i in range(23) for j in range(i, 23)}
+    for width in (1, 2, 5):
+        stretches = interval_pairs(boxes, 0.5, width)
+        got = [(i, j) for a, b, c, d in stretches for i in range(a, b) for j in range(c, d) if i <= j]
+        assert want <= set(got) <= {(i, j) for i in range(23) for j in range(i, 23)} and len(got) == len(set(got))
+        assert all(b - a <= width and d - c <= width for a, b, c, d in stretches)
