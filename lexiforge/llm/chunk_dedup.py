@@ -27,9 +27,10 @@ from pyspark.sql import types as T
 
 from .common import discard, materialize, quoted, tidy
 from .shingles import mix, powers
+from .vectors import batches_of
 
 #: The share of places that are low, the bytes before a cut without a low place, cuts in a chunk, and the least bytes of a run.
-LOW, APART, SPAN, MIN_RUN = 1 / 18, 4, 3, 90
+LOW, APART, SPAN, MIN_RUN = 1 / 18, 4, 2, 150
 #: Bytes before a cut that decide on it: within as many bytes of its start, a passage's cuts are those of its surroundings.
 LOOK = 16 + APART
 _SPACE = re.compile(rb"\s")
@@ -86,7 +87,7 @@ def chunks_of(data: bytes) -> tuple[np.ndarray, ...]:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, start, size, digest, before, after (see chunks_of()) for every chunk of docs (doc_id, tkey, text)."""
-    names, limit = ["doc_id", "tkey", "start", "size", "digest", "before", "after"], 500_000
+    names, limit = ["doc_id", "tkey", "start", "size", "digest", "before", "after"], 200_000
 
     def run(batches):
         for b in batches:
@@ -117,32 +118,40 @@ def runs_of(found: list[dict]) -> list[list[dict]]:
     return out
 
 
-def edges(per_doc: DataFrame, min_run: int) -> DataFrame:
-    """doc_id, tkey, at, back, n, s_id, s_key, s_at: the ends of the runs of per_doc (m_id, m_key, found), with the same place in each first occurrence and the bytes asked for there.
+def runs(per_doc: DataFrame, min_run: int) -> DataFrame:
+    """m_id, m_key, runs (start, size), asks (at, back, n, s_id, s_key, s_at) of per_doc (m_id, m_key, found): runs that can reach min_run, and what they ask for.
 
-    back tells the left end. Runs that cannot reach min_run ask for nothing.
+    An ask is the end of a run (back: the left end) with the same place in each first occurrence, and the number of bytes wanted beyond.
     """
-    names = ["doc_id", "tkey", "at", "back", "n", "s_id", "s_key", "s_at"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    asks = pa.list_(pa.struct([("at", pa.int32()), ("back", pa.bool_()), ("n", pa.int32()), ("s_id", pa.int64()), ("s_key", pa.int32()), ("s_at", pa.int32())]))
+    places = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
-            for doc, key, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            kept, all_runs, all_asks = [], [], []
+            for k, found in enumerate(b.column(2).to_pylist()):
+                mine, wanted = [], []
                 for part in runs_of(found):
                     first, last = part[0], max(part, key=lambda m: m["start"] + m["size"])
                     a, e = first["start"], last["start"] + last["size"]
                     back = min(a, first["before"] + LOOK)
                     if e - a + back + last["after"] < min_run:
                         continue
+                    mine.append({"start": a, "size": e - a})
                     for s_id, s_key, shift in {(m["s_id"], m["s_key"], m["s_at"] - m["start"]) for m in part}:
                         if back and a + shift > 0:
-                            out.append((doc, key, a, True, back, s_id, s_key, a + shift))
+                            wanted.append({"at": a, "back": True, "n": back, "s_id": s_id, "s_key": s_key, "s_at": a + shift})
                         if last["after"]:
-                            out.append((doc, key, e, False, last["after"], s_id, s_key, e + shift))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+                            wanted.append({"at": e, "back": False, "n": last["after"], "s_id": s_id, "s_key": s_key, "s_at": e + shift})
+                if mine:
+                    kept.append(k)
+                    all_runs.append(mine)
+                    all_asks.append(wanted)
+            at = pa.array(kept, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(all_runs, places), pa.array(all_asks, asks)], ["m_id", "m_key", "runs", "asks"])
 
-    return per_doc.select("m_id", "m_key", "found").mapInArrow(run, "doc_id long, tkey int, at int, back boolean, n int, s_id long, s_key int, s_at int")
+    schema = "m_id long, m_key int, runs array<struct<start: int, size: int>>, asks array<struct<at: int, back: boolean, n: int, s_id: long, s_key: int, s_at: int>>"
+    return per_doc.select("m_id", "m_key", "found").mapInArrow(tidy(run), schema)
 
 
 def windows(docs: DataFrame, ends: DataFrame) -> DataFrame:
@@ -164,7 +173,7 @@ def windows(docs: DataFrame, ends: DataFrame) -> DataFrame:
     wanted = places.groupBy("s_id", "s_key").agg(F.collect_list(F.struct("s_at", "back", "n")).alias("places"))
     joined = docs.join(wanted, F.col("tkey").eqNullSafe(F.col("s_key")) & F.col("doc_id").eqNullSafe(F.col("s_id"))).select("doc_id", "tkey", "text", "places")
     # rows that agree in doc_id and text give their windows twice
-    return joined.mapInArrow(run, "s_id long, s_key int, s_at int, back boolean, window binary").dropDuplicates(["s_id", "s_key", "s_at", "back"])
+    return joined.mapInArrow(tidy(run), "s_id long, s_key int, s_at int, back boolean, window binary").dropDuplicates(["s_id", "s_key", "s_at", "back"])
 
 
 def equal_bytes(a: bytes, b: bytes, back: bool) -> int:
@@ -219,7 +228,9 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     columns = docs.columns
     keyed = docs.withColumn("lexi_id", F.col("doc_id").cast("long")).withColumn("lexi_text", F.col("text").cast("string")).withColumn("lexi_key", F.hash("lexi_text"))
     plain = keyed.select(F.col("lexi_id").alias("doc_id"), F.col("lexi_key").alias("tkey"), F.col("lexi_text").alias("text"))
-    found = materialize(chunks(plain), "chunks")
+    spark = docs.sparkSession
+    with batches_of(spark, 1000):
+        found = materialize(chunks(plain), "chunks", "zstd")
     place = F.struct("doc_id", "tkey", "start")
     twice = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     twice = materialize(twice.where("n > 1").select("digest", "first"), "repeated-chunks")
@@ -229,15 +240,18 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     per_doc = marked.groupBy(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key")).agg(F.collect_set(mark).alias("found"))
     per_doc = materialize(per_doc, "marked-chunks")
     discard(found, twice)
-    ends = materialize(edges(per_doc, min_run), "edges")
-    around = materialize(windows(plain.where(F.col("text").isNotNull()), ends), "windows")
+    with batches_of(spark, 500):
+        marked_runs = materialize(runs(per_doc, min_run), "runs")
+    discard(per_doc)
+    ends = marked_runs.select("m_id", "m_key", F.explode("asks").alias("a")).select("m_id", "m_key", "a.*")
+    with batches_of(spark, 500):
+        around = materialize(windows(plain.where(F.col("text").isNotNull()), ends), "windows")
     named = around.select(*(F.col(c).alias(f"w_{c}") for c in ("s_id", "s_key", "s_at", "back")), "window")
     same = (F.col("s_key") == F.col("w_s_key")) & (F.col("s_at") == F.col("w_s_at")) & (F.col("back") == F.col("w_back")) & F.col("s_id").eqNullSafe(F.col("w_s_id"))
-    asked = ends.join(named, same).groupBy(F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key")).agg(F.collect_set(F.struct("at", "back", "n", "window")).alias("ends"))
-    marks = per_doc.select("m_id", "m_key", F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["size"].alias("size"))).alias("lexi_marked"))
-    marks = marks.join(asked, F.col("m_key").eqNullSafe(F.col("e_key")) & F.col("m_id").eqNullSafe(F.col("e_id")), "left").select("m_id", "m_key", "lexi_marked", F.col("ends").alias("lexi_ends"))
+    asked = ends.join(named, same).groupBy(F.col("m_id").alias("e_id"), F.col("m_key").alias("e_key")).agg(F.collect_set(F.struct("at", "back", "n", "window")).alias("lexi_ends"))
+    marks = marked_runs.join(asked, F.col("m_key").eqNullSafe(F.col("e_key")) & F.col("m_id").eqNullSafe(F.col("e_id")), "left").select("m_id", "m_key", F.col("runs").alias("lexi_marked"), "lexi_ends")
     marks = materialize(marks, "marks")
-    discard(per_doc, ends, around)
+    discard(marked_runs, around)
     joined = keyed.join(marks, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left").select(*map(quoted, columns), "lexi_text", "lexi_marked", "lexi_ends")
 
     def run(batches):
