@@ -91,7 +91,7 @@ def decode(words: DataFrame, weights: DataFrame, labels: list[str], features: Ca
     @F.pandas_udf("array<struct<letter: string, label: string>>")
     def best(column: pd.Series) -> pd.Series:
         one, two, names, make = shared.value
-        return column.map(lambda w: viterbi(w, one, two, names, make) if w else [])
+        return pd.Series(viterbi(column.tolist(), one, two, names, make), index=column.index, dtype=object)
 
     return words.withColumn("labelled", best("word"))
 
@@ -106,17 +106,34 @@ def plain_features(word: str) -> list[list[str]]:
     return out
 
 
-def viterbi(word: str, single: dict, double: dict, labels: list[str], make: Callable) -> list[dict]:
-    score, back = None, []
-    for found in make(word):
-        own = sum((single[f] for f in found if f in single), np.zeros(len(labels)))
-        if score is None:
-            score = own
-            continue
-        step = score[:, None] + sum((double[f] for f in found if f in double), np.zeros((len(labels), len(labels)))) + own[None, :]
-        back.append(step.argmax(axis=0))
-        score = step.max(axis=0)
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return [{"letter": c, "label": labels[k]} for c, k in zip(word, reversed(path), strict=True)]
+def viterbi(words: list[str], single: dict, double: dict, labels: list[str], make: Callable) -> list[list[dict]]:
+    """The best labels of each word, in arrays over all words of one length."""
+    out: list[list[dict]] = [[] for _ in words]
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        if w:
+            by_length.setdefault(len(w), []).append(i)
+    m = len(labels)
+    for n, places in by_length.items():
+        most = max(1, 4_000_000 // (n * m * m))
+        for lo in range(0, len(places), most):
+            some = places[lo : lo + most]
+            own, step = np.zeros((len(some), n, m)), np.zeros((len(some), n, m, m)) if double else None
+            for row, i in enumerate(some):
+                for k, found in enumerate(make(words[i])):
+                    for f in found:
+                        if f in single:
+                            own[row, k] += single[f]
+                        if f in double:
+                            step[row, k] += double[f]
+            score, back = own[:, 0], []
+            for k in range(1, n):
+                all_ = score[:, :, None] + (step[:, k] if double else 0.0) + own[:, k, None, :]
+                back.append(all_.argmax(axis=1))
+                score = all_.max(axis=1)
+            path = [score.argmax(axis=1)]
+            for b in reversed(back):
+                path.append(np.take_along_axis(b, path[-1][:, None], 1)[:, 0])
+            for i, found in zip(some, np.stack(path[::-1], axis=1).tolist(), strict=True):
+                out[i] = [{"letter": c, "label": labels[k]} for c, k in zip(words[i], found, strict=True)]
+    return out

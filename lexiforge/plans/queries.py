@@ -11,6 +11,7 @@ from ..functions.base_form import base_form, format_parts, part_order
 from ..functions.calls import template_call
 from ..functions.endings import default_inflexions, default_suffixes, segment_ending
 from ..functions.stems import align_stems, lookup, parameters, placeholder
+from ..functions.text import computed
 from ..operators import conllx, features, letters, segmentation, templates, wikitext
 from ..sources.html_tables import parse_tables, table_text
 from ..sources.texts import dictionary
@@ -48,7 +49,8 @@ def segment_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_words(spark, sf_dir).select("word", segment_ending(F.col("word"), LATIN_INFLEXIONS, LATIN_SUFFIXES).alias("seg")).where(F.col("seg").isNotNull())
+    # the rules run on distinct words: without computed() the filter would take them below the distinct
+    return computed(document_words(spark, sf_dir), "seg", segment_ending(F.col("word"), LATIN_INFLEXIONS, LATIN_SUFFIXES)).where(F.col("seg").isNotNull())
 
 
 def part_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,30 +132,19 @@ def pivot_morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("word_id", *(c.alias(n) for c, n in zip(conllx.morpheme_columns(F.col("morphemes")), ("prist", "koren", "suff", "okonch"), strict=True)))
 
 
-def ctx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("word_id"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("word")).where(F.col("word") != "")
-    return features.clique_features(first, None, "C")
-
-
-def lexicon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("word_id"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("word")).where(F.col("word") != "")
-    lexicon = [(m, "end") for m in LATIN_INFLEXIONS if m] + [(m, "mid") for m in LATIN_SUFFIXES]
-    return features.clique_features(first, spark.createDataFrame(lexicon, "morpheme string, type string"), "CpC")
-
-
 def spelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word_id, word: the distinct words A-Z, a-z of all documents as they are spelled, each its own id. A word's features depend on nothing else."""
     words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word"))
     return words.where(F.col("word") != "").distinct().select(F.col("word").alias("word_id"), "word")
 
 
-def ctx_features_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features of ctx_features for every word of every text."""
+def ctx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context features of every word of every text."""
     return features.clique_features(spelled_words(spark, sf_dir), None, "C")
 
 
-def lexicon_features_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features of lexicon_features for every word of every text."""
+def lexicon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair features of every word of every text."""
     lexicon = [(m, "end") for m in LATIN_INFLEXIONS if m] + [(m, "mid") for m in LATIN_SUFFIXES]
     return features.clique_features(spelled_words(spark, sf_dir), spark.createDataFrame(lexicon, "morpheme string, type string"), "CpC")
 
@@ -193,7 +184,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "align_stems": align, "template_forms": template_forms, "param_lookup": param_lookup, "segment_forms": segment_forms, "form_rejects": form_rejects, "template_misses": template_misses, "extract_template": extract_template,
     "metas": metas, "page_rejects": page_rejects, "letters": letter_rows, "letters_roundtrip": letters_roundtrip, "pivot_morphemes": pivot_morphemes, "ctx_features": ctx_features, "lexicon_features": lexicon_features,
     "conll_columns": conll_columns, "html_tables": html_tables, "crf_decode": crf_decode,
-    "ctx_features_words": ctx_features_words, "lexicon_features_words": lexicon_features_words,
 }
 
 NM = len(X.METAS)
@@ -228,8 +218,8 @@ _LETTERS_SQL = f"""
 WITH w AS ({_WORDS_SQL}), t AS (SELECT word_id, unnest(string_split(value, ' ')) AS tok, generate_subscripts(string_split(value, ' '), 1) AS tn FROM w),
 l AS (SELECT word_id, tn, split_part(tok, '_', 1) AS type, unnest(string_split(split_part(tok, '_', 2), '')) AS letter, generate_subscripts(string_split(split_part(tok, '_', 2), ''), 1) AS ln FROM t WHERE split_part(tok, '_', 2) <> '')
 SELECT word_id, (row_number() OVER (PARTITION BY word_id ORDER BY tn, ln) - 1)::INTEGER AS pos, letter, type || CASE WHEN ln = 1 THEN '_начало' ELSE '' END AS label, tn FROM l"""
-_FIRST = "(SELECT doc_id AS word_id, regexp_extract(text, '[A-Za-z]+') AS word FROM documents WHERE regexp_extract(text, '[A-Za-z]+') <> '')"
-_AT = f"(SELECT word_id, word, length(word) AS n, unnest(range(length(word)))::INTEGER AS pos FROM {_FIRST})"
+_SPELLED = "(SELECT DISTINCT word AS word_id, word FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word FROM documents) WHERE word <> '')"
+_AT = f"(SELECT word_id, word, length(word) AS n, unnest(range(length(word)))::INTEGER AS pos FROM {_SPELLED})"
 _P, _C, _N = "CASE WHEN pos > 0 THEN substr(word, pos, 1) ELSE '' END", "substr(word, pos + 1, 1)", "substr(word, pos + 2, 1)"
 _PAGE_CODES = [(i, code) for i, (_, _, code, _) in enumerate(X.PAGES) if code]
 _CALLS = [
@@ -277,10 +267,5 @@ SELECT g.doc, g.tokens, coalesce(p.parts, 0)::BIGINT AS parts, g.bad FROM (SELEC
     "crf_decode": f"SELECT word, regexp_replace(regexp_replace(word, '[aeiou]', 'V', 'g'), '[a-z]', 'C', 'g') AS labels FROM {WORDS_SQL}",
 }
 
-# the same rules over all words instead of first words
-_SPELLED = "(SELECT DISTINCT word AS word_id, word FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word FROM documents) WHERE word <> '')"
-ORACLE_SQL |= {f"{n}_words": ORACLE_SQL[n].replace(_FIRST, _SPELLED) for n in ("ctx_features", "lexicon_features")}
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_forms(spark, sf_dir)

@@ -53,10 +53,13 @@ def segmented_name(name: str) -> str:
 
 
 def write_sentences(lines: DataFrame, folder: str) -> None:
-    """sent_id, line_no, line: sentences in order, each with the blank line that ends it."""
-    per = lines.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    text = per.orderBy("sent_id").select(F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
-    text.write.mode("overwrite").text(folder)
+    """doc, sent_id, line_no, line: a folder per input file under its segmented_name(), its sentences in order, each with the blank line that ends it."""
+    per = lines.groupBy("doc", "sent_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    name = F.when(F.col("doc").endswith(".conll"), F.concat(F.expr("left(doc, length(doc) - 6)"), F.lit(".segmented.conll"))).otherwise(F.concat("doc", F.lit(".segmented")))
+    # a file was read whole, so its sentences can meet in one task
+    ordered = per.repartition("doc").sortWithinPartitions("doc", "sent_id")
+    ordered.select(name.alias("file"), text.alias("value")).write.mode("overwrite").partitionBy("file").text(folder)
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -111,3 +111,16 @@ def test_conll_columns_and_decoder(spark, tmp_path):
     morphemes = F.array(*(F.struct(F.lit("суфф").alias("type"), F.lit(p).alias("part")) for p in "аб"))
     row = spark.range(1).select(*conllx.morpheme_columns(morphemes, compatible=True)).first()
     assert row["суфф"] == "|аб" and sinks.segmented_name("a.conll") == "a.segmented.conll"
+
+
+def test_sentences_of_several_files_stay_apart(spark, tmp_path):
+    rows = [("a.conll", 0, 1, "a0 second"), ("b", 0, 0, "b0"), ("a.conll", 1, 0, "a1"), ("a.conll", 0, 0, "a0 first")]
+    sinks.write_sentences(spark.createDataFrame(rows, "doc string, sent_id long, line_no int, line string").repartition(3), str(tmp_path / "out"))
+    got = {d.name: "".join(f.read_text() for f in sorted(d.glob("part-*"))) for d in (tmp_path / "out").iterdir() if d.is_dir()}
+    assert got == {"file=a.segmented.conll": "a0 first\na0 second\n\na1\n\n", "file=b.segmented": "b0\n\n"}
+
+
+def test_one_dictionary_alone(spark, tmp_path):
+    (tmp_path / "i").write_text("# note\nам\n ым \n")
+    assert texts.dictionaries(spark, str(tmp_path / "i")) == (["", "ам", "ым"], None)
+    assert texts.dictionaries(spark, None, str(tmp_path / "i")) == (None, ["ам", "ым"])

@@ -29,7 +29,7 @@ def test_same_rows(spark, duck, name):
     assert sorted(map(tuple, df.select(*cols).collect()), key=key) == sorted(r.fetchall(), key=key)
 
 
-@pytest.mark.parametrize("name", ["ctx_features_words", "lexicon_features_words"])
+@pytest.mark.parametrize("name", ["ctx_features", "lexicon_features"])
 def test_features_cover_words_after_the_first(spark, tmp_path, name):
     spark.createDataFrame([(1, "one two, Two"), (2, "one"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["word_id"], r["pos"]) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
