@@ -81,4 +81,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_epsilon_grid_join": op10_epsilon_grid_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL}
+#: The digest's 160 bits, five at a time, are the letters of its base32 form.
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, payload, octet_length(payload) AS n, unhex(sha1(payload))::BIT::VARCHAR AS bits FROM p),
+d AS (SELECT page_id, n, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * k + 1, 1)::INT + 8 * substr(bits, 5 * k + 2, 1)::INT + 4 * substr(bits, 5 * k + 3, 1)::INT
+  + 2 * substr(bits, 5 * k + 4, 1)::INT + substr(bits, 5 * k + 5, 1)::INT, 1) FOR k IN range(32)], 'string_agg', '') AS digest, max(page_id) OVER (PARTITION BY payload) AS origin FROM h)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM origin THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM origin THEN origin END AS refers_to FROM d
+"""
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON e.vec_id = c.node
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_warc_revisits": OP7_SQL, "op10_epsilon_grid_join": OP10_SQL}
