@@ -273,4 +273,5 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("lexi_bytes", T.LongType()), T.StructField("lexi_spans", T.ArrayType(span))])
-    return joined.mapInArrow(tidy(run), schema)
+    # by number on the way in: mapInArrow reads names as paths
+    return joined.toDF(*(f"c{k}" for k in range(len(joined.columns)))).mapInArrow(tidy(run), schema)
