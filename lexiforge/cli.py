@@ -1,4 +1,4 @@
-"""Command line: pages, tables, metas, letters, or (without a command) the whole segmentation."""
+"""Command line: pages, tables, metas, letters, model, segment, or (without a command) the whole segmentation."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import logging
 
 from pyspark.sql import SparkSession
 
+from .operators import conllx, features
+from .operators.letters import BEGIN
 from .plans import api
 from .sources import html_tables, sinks, texts
 
@@ -23,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-I", "--inflexions", help="dictionary of inflexions")
     p.add_argument("-S", "--suffixes", help="dictionary of suffixes")
     p.add_argument("-d", "--debug", action="store_true", help="print rejects")
+    p.add_argument("-R", "--rejects", help="folder for rejects (stage, code, detail, key)")
     p.add_argument("--compatible", action="store_true", help="keep known slips of the original rules")
     sub = p.add_subparsers(dest="command")
     one = sub.add_parser("pages", help="pages whose title begins with a match")
@@ -33,6 +36,17 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("metas", help="metas of the dump")
     four = sub.add_parser("letters", help="letter rows of segmentation files")
     four.add_argument("files", nargs="+")
+    five = sub.add_parser("model", help="store a sequence model")
+    five.add_argument("weights", help="lines: feature, previous label or nothing, label, weight, between tabs")
+    five.add_argument("model", help="its folder")
+    five.add_argument("--labels", required=True, help="all labels, between commas")
+    five.add_argument("--lexicon", action="append", default=[], metavar="TYPE=FILE", help="morphemes of a type, one a line")
+    six = sub.add_parser("segment", help="add morpheme columns to CoNLL-X files")
+    six.add_argument("files", nargs="+")
+    six.add_argument("--model", required=True, help="folder of a stored model")
+    six.add_argument("--begin", default=BEGIN, help="mark of labels that begin a morpheme")
+    six.add_argument("--partitions", type=int, help="tasks to decode in")
+    six.add_argument("--strict", action="store_true", help="stop at a line without ten fields")
     return p
 
 
@@ -57,16 +71,36 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.write_metas(api.metas(spark, args.dump), args.output)
     elif args.command == "letters":
         sinks.write_letters(api.to_letters(spark, args.files), args.output)
+    elif args.command == "model":
+        lexicon = features.load_lexicon(spark, dict(x.split("=", 1) for x in args.lexicon)) if args.lexicon else None
+        features.save_model(features.read_weights(spark, args.weights), args.labels.split(","), args.model, lexicon)
+    elif args.command == "segment":
+        weights, labels, lexicon = features.load_model(spark, args.model)
+        lines = conllx.sentences(texts.whole_files(spark, args.files))
+        done = api.segment_lines(lines.repartition(args.partitions) if args.partitions else lines, weights, labels, args.begin, args.compatible, lexicon, args.strict)
+        done, seen = sinks.counted(done, "tokens")
+        sinks.write_sentences(done.select("doc", "sent_id", "line_no", conllx.line().alias("line")), args.output)
+        logging.info("%d tokens", seen.get["rows"])
+        tell_rejects(conllx.rejects(lines), args)
     else:
         found = texts.metas(spark, args.metas) if args.metas else api.metas(spark, args.dump)
         inflexions, suffixes = texts.dictionaries(spark, args.inflexions, args.suffixes)
         done, bad = api.segment(found, read_tables(spark, args.tables), inflexions, suffixes, args.compatible)
+        done, seen = sinks.counted(done, "segmentations")
         sinks.write_segmentations(done, args.output)
-        if args.debug:
-            bad.show(1000, truncate=False)
+        logging.info("%d segmentations", seen.get["rows"])
+        tell_rejects(bad, args)
     return 0
 
 
+def tell_rejects(bad, args) -> None:
+    """Writes rejects where -R says, and shows the first thousand with -d."""
+    if args.rejects:
+        sinks.write_rejects(bad, args.rejects)
+    if args.debug:
+        bad.show(1000, truncate=False)
+
+
 def read_tables(spark: SparkSession, folder: str):
     """Table texts: .table files, or the folders that `tables` writes."""
     from pyspark.sql import functions as F

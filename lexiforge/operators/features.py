@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUFFIX = "|"
+#: What a model may hold at most: it is sent to every executor whole.
+MODEL_ROWS = 2_000_000
+WEIGHTS = "feature string, label_prev string, label string, weight double"
 
 
 def split_letters(word: Column) -> Column:
@@ -34,8 +38,10 @@ def pair_features(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """word_id, pos, feature of words (word_id, word): letter pairs, and every lexicon morpheme (morpheme, type) that starts or ends at a place.
 
     The places are exploded to substrings, which meet the lexicon in an equality join; those longer than its longest morpheme are not made.
+    An empty morpheme ends everywhere and starts nowhere.
     """
-    longest = lexicon.agg(F.max(F.length("morpheme"))).first()[0] or 0
+    longest, shortest = lexicon.agg(F.max(F.length("morpheme")), F.min(F.length("morpheme"))).first()
+    longest, first = longest or 0, 0 if shortest == 0 else 1
     n = F.length("word")
     at = words.where(n > 0).select("word_id", "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
     letter = lambda k: F.substring("word", k, F.lit(1))
@@ -44,7 +50,7 @@ def pair_features(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     pairs = at.select("word_id", "pos", F.explode(F.array(F.format_string("%s-%s-PWORD-WORD", p, c), F.format_string("%s-%s-WORD-NWORD", c, nxt))).alias("feature"))
     none = F.array().cast("array<int>")
     forward = F.when(n > F.col("pos"), F.sequence(F.lit(1), F.least(n - F.col("pos"), F.lit(max(longest, 1))))).otherwise(none)
-    back = F.when(F.col("pos") > 0, F.sequence(F.lit(1), F.least(F.col("pos"), F.lit(max(longest, 1))))).otherwise(none)
+    back = F.when(F.col("pos") >= first, F.sequence(F.lit(first), F.least(F.col("pos"), F.lit(max(longest, 1))))).otherwise(none)
     starts = at.select("word_id", "pos", F.lit("START").alias("side"), F.explode(F.transform(forward, lambda k: F.substring("word", F.col("pos") + 1, k))).alias("morpheme"))
     ends = at.select("word_id", "pos", F.lit("END").alias("side"), F.explode(F.transform(back, lambda k: F.substring("word", F.col("pos") - k + 1, k))).alias("morpheme"))
     hits = starts.unionByName(ends).join(lexicon.groupBy("morpheme").agg(F.collect_set("type").alias("types")), "morpheme")
@@ -71,38 +77,79 @@ def load_lexicon(spark, files: dict[str, str]) -> DataFrame:
     return out.dropDuplicates()
 
 
-def decode(words: DataFrame, weights: DataFrame, labels: list[str], features: Callable[[str], list[list[str]]] | None = None) -> DataFrame:
-    """words (word_id, word) with labelled: the best label sequence of a linear-chain model.
+def save_model(weights: DataFrame, labels: list[str], folder: str, lexicon: DataFrame | None = None) -> None:
+    """A model's folder: weights (WEIGHTS), labels in their order, lexicon (morpheme, type)."""
+    spark = weights.sparkSession
+    weights.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in WEIGHTS.split(", "))).write.mode("overwrite").parquet(f"{folder}/weights")
+    spark.createDataFrame(list(enumerate(labels)), "place int, label string").write.mode("overwrite").parquet(f"{folder}/labels")
+    lexicon = spark.createDataFrame([], "morpheme string, type string") if lexicon is None else lexicon
+    lexicon.select("morpheme", "type").write.mode("overwrite").parquet(f"{folder}/lexicon")
 
-    weights: feature, label_prev (null for one-label features), label, weight. The model is collected and sent to the executors; it
-    is a dictionary of a model, not of the data. features gives each letter's features; by default the context features.
+
+def load_model(spark, folder: str) -> tuple[DataFrame, list[str], DataFrame]:
+    """(weights, labels, lexicon) of save_model()."""
+    if not (folder or "").strip():
+        raise ValueError("no model given")
+    labels = [r["label"] for r in spark.read.parquet(f"{folder}/labels").orderBy("place").collect()]
+    return spark.read.parquet(f"{folder}/weights"), labels, spark.read.parquet(f"{folder}/lexicon")
+
+
+def read_weights(spark, path: str) -> DataFrame:
+    """WEIGHTS from lines of text: feature, previous label (empty: none), label and weight between tabs."""
+    return spark.read.csv(path, sep="\t", schema=WEIGHTS, quote="", mode="FAILFAST", emptyValue="", nullValue="")
+
+
+def bounded(rows: DataFrame, what: str) -> list:
+    found = rows.limit(MODEL_ROWS + 1).collect()
+    if len(found) > MODEL_ROWS:
+        raise ValueError(f"{what} of more than {MODEL_ROWS} rows: too large to send to executors")
+    return found
+
+
+def decode(words: DataFrame, weights: DataFrame, labels: list[str], lexicon: DataFrame | None = None, features: Callable[[str], list[list[str]]] | None = None) -> DataFrame:
+    """words (word_id, word) with labelled: the best label sequence of a linear-chain model; none for an empty or null word.
+
+    weights: feature, label_prev (null for one-label features), label, weight; lexicon: morpheme, type. Both are collected, up to MODEL_ROWS
+    rows each, and sent to the executors. features gives each letter's features; by default those of both cliques.
     """
     spark = words.sparkSession
     single: dict = {}
     double: dict = {}
     place = {name: k for k, name in enumerate(labels)}
-    for r in weights.collect():
+    for r in bounded(weights, "weights"):
         if r["label_prev"] is None:
             single.setdefault(r["feature"], np.zeros(len(labels)))[place[r["label"]]] += r["weight"]
         else:
             double.setdefault(r["feature"], np.zeros((len(labels), len(labels))))[place[r["label_prev"]], place[r["label"]]] += r["weight"]
-    shared = spark.sparkContext.broadcast((single, double, labels, features or plain_features))
+    types: dict[str, set[str]] = {}
+    for r in bounded(lexicon, "a lexicon") if lexicon is not None else []:
+        types.setdefault(r["morpheme"], set()).add(r["type"])
+    shared = spark.sparkContext.broadcast((single, double, labels, features or partial(letter_features, types=types)))
 
     @F.pandas_udf("array<struct<letter: string, label: string>>")
     def best(column: pd.Series) -> pd.Series:
         one, two, names, make = shared.value
-        return pd.Series(viterbi(column.tolist(), one, two, names, make), index=column.index, dtype=object)
+        # words repeat: each spelling of a batch is decoded once
+        codes, spelled = pd.factorize(column.fillna(""))
+        found = viterbi(list(spelled), one, two, names, make)
+        return pd.Series([found[c] for c in codes], index=column.index, dtype=object)
 
     return words.withColumn("labelled", best("word"))
 
 
-def plain_features(word: str) -> list[list[str]]:
-    n = len(word)
-    out = []
+def letter_features(word: str, types: dict[str, set[str]]) -> list[list[str]]:
+    """The features of both cliques for each letter: what context_features() and pair_features() give as rows."""
+    n, out = len(word), []
+    longest = max(map(len, types), default=0)
     for k, c in enumerate(word):
-        p, x = word[k - 1] if k else "", word[k + 1] if k + 1 < n else ""
-        mine = [f"{p}-{c}-PWORD-WORD", f"{c}-WORD", f"{c}-{x}-WORD-NWORD", f"{k}-POSITION", f"{n - k}-BACK-POSITION"]
-        out.append([f + SUFFIX + "C" for f in mine] + [f + SUFFIX + "CpC" for f in (mine[0], mine[2])])
+        before, after = f"{word[k - 1] if k else ''}-{c}-PWORD-WORD", f"{c}-{word[k + 1] if k + 1 < n else ''}-WORD-NWORD"
+        pair = [before, after]
+        for side, found in (("START", (word[k:e] for e in range(k + 1, min(n, k + longest) + 1))), ("END", (word[b:k] for b in range(max(0, k - longest), k + 1)))):
+            for m in found:
+                if m in types:
+                    pair += [f"{side}-OF-{m}-MORPHEME", *(f"{side}-OF-{t}-TYPE-MORPHEME" for t in types[m])]
+        alone = [before, f"{c}-WORD", after, f"{k}-POSITION", f"{n - k}-BACK-POSITION"]
+        out.append([f + SUFFIX + "C" for f in dict.fromkeys(alone)] + [f + SUFFIX + "CpC" for f in dict.fromkeys(pair)])
     return out
 
 

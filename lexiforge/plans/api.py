@@ -40,11 +40,19 @@ def to_letters(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return letters.conll_text(letters.letters(words)).join(words.select("doc", "word_id"), "word_id").select("doc", "value")
 
 
-def segment_conll(spark: SparkSession, path: str, weights: DataFrame, labels: list[str], begin: str = letters.BEGIN, partitions: int | None = None, compatible: bool = False) -> DataFrame:
-    """doc, sent_id, line_no and the fields of a CoNLL-X file with morpheme columns."""
-    tokens = conllx.parse(conllx.sentences(texts.whole_files(spark, path)))
-    tokens = tokens.repartition(partitions) if partitions else tokens
+def segment_conll(spark: SparkSession, path: str | list[str], weights: DataFrame, labels: list[str], begin: str = letters.BEGIN, partitions: int | None = None, compatible: bool = False, lexicon: DataFrame | None = None, fail_fast: bool = False) -> DataFrame:
+    """doc, sent_id, line_no and the fields of CoNLL-X files with morpheme columns."""
+    lines = conllx.sentences(texts.whole_files(spark, path))
+    return segment_lines(lines.repartition(partitions) if partitions else lines, weights, labels, begin, compatible, lexicon, fail_fast)
+
+
+def segment_lines(lines: DataFrame, weights: DataFrame, labels: list[str], begin: str = letters.BEGIN, compatible: bool = False, lexicon: DataFrame | None = None, fail_fast: bool = False) -> DataFrame:
+    """segment_conll() for lines (doc, sent_id, line_no, line).
+
+    A form whose labels do not begin a morpheme leaves its columns empty. Lines without ten fields raise an error, or are left out.
+    """
+    tokens = conllx.parse(lines, fail_fast)
     key = ("doc", "sent_id", "line_no")
     parts = conllx.words(tokens).select(*key, "part_no", F.col("part").alias("word"))
-    found = features.decode(parts, weights, labels).withColumn("r", letters.reconstruct(F.col("labelled"), begin))
+    found = features.decode(parts, weights, labels, lexicon).withColumn("r", letters.reconstruct(F.col("labelled"), begin))
     return conllx.with_morphemes(tokens, found.where(F.col("r.err").isNull()).select(*key, "part_no", "r.morphemes"), key, compatible)

@@ -11,8 +11,8 @@ def safe_title(title):
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """A folder per page title with its text."""
-    pages.select(safe_title(F.col("title")).alias("page"), F.coalesce("text", F.lit("")).alias("value")).write.mode("append").partitionBy("page").text(folder)
+    """page (the title as a file's name), title and text of each page, as Parquet: a folder per title would make a million of them. A rerun replaces what is there."""
+    pages.select(safe_title(F.col("title")).alias("page"), "title", F.coalesce("text", F.lit("")).alias("text")).write.mode("overwrite").parquet(folder)
 
 
 def write_titles(pages: DataFrame, folder: str) -> None:
@@ -62,6 +62,10 @@ def write_sentences(lines: DataFrame, folder: str) -> None:
     ordered.select(name.alias("file"), text.alias("value")).write.mode("overwrite").partitionBy("file").text(folder)
 
 
+def write_rejects(rows: DataFrame, folder: str) -> None:
+    rows.select("stage", "code", "detail", "key").write.mode("overwrite").parquet(folder)
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """df with a row counter that is filled when an action has run."""
     seen = Observation(name)

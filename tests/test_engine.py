@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +8,7 @@ from lexiforge import cli
 from lexiforge.functions.base_form import base_form, format_parts
 from lexiforge.functions.calls import template_call
 from lexiforge.functions.endings import default_inflexions, default_suffixes, segment_ending
-from lexiforge.operators import conllx, letters, segmentation, templates, wikitext
+from lexiforge.operators import conllx, features, letters, segmentation, templates, wikitext
 from lexiforge.plans import api, fixtures
 from lexiforge.sources import dumps, html_tables, sinks, texts
 from lexiforge.streaming import dumps as streams
@@ -124,3 +127,86 @@ def test_one_dictionary_alone(spark, tmp_path):
     (tmp_path / "i").write_text("# note\nам\n ым \n")
     assert texts.dictionaries(spark, str(tmp_path / "i")) == (["", "ам", "ым"], None)
     assert texts.dictionaries(spark, None, str(tmp_path / "i")) == (None, ["ам", "ым"])
+
+
+def stored_model(spark, tmp_path):
+    rows = ["м-WORD|C\t\tкорень_начало\t1", "ш-WORD|C\t\tкорень_начало\t1", "у-WORD|C\t\tкорень\t1", "START-OF-суфф-TYPE-MORPHEME|CpC\t\tсуфф_начало\t5", "к-ш-PWORD-WORD|CpC\tсуфф_начало\tкорень_начало\t2"]
+    (tmp_path / "weights.tsv").write_text("\n".join(rows) + "\n")
+    (tmp_path / "suffixes").write_text("# note\nк\n")
+    argv = ["model", str(tmp_path / "weights.tsv"), str(tmp_path / "model"), "--labels", "корень,корень_начало,суфф_начало", "--lexicon", f"суфф={tmp_path / 'suffixes'}"]
+    assert cli.main(argv, spark) == 0
+    return str(tmp_path / "model")
+
+
+def test_command_line_segments_sentences_of_two_files(spark, tmp_path):
+    model = stored_model(spark, tmp_path)
+    line = lambda k, form, pos="N": f"{k}\t{form}\tl\tN\t{pos}\tf\t0\tr\tp\tq"
+    (tmp_path / "a.conll").write_text(f"{line(1, 'му-шук')}\n{line(2, 'му', 'PR')}\n\n{line(1, 'мукшу')}")
+    (tmp_path / "b").write_text(f"{line(1, 'м')}\nonly\tthree\tfields\n")
+    argv = ["-O", str(tmp_path / "out"), "-R", str(tmp_path / "bad"), "segment", str(tmp_path / "a.conll"), str(tmp_path / "b"), "--model", model, "--partitions", "3"]
+    assert cli.main(argv, spark) == 0
+    got = {d.name: "".join(f.read_text() for f in sorted(d.glob("part-*"))) for d in (tmp_path / "out").iterdir() if d.is_dir()}
+    out = lambda k, form, pos, root, suff: f"{k}\t{form}\tl\tN\t{pos}\tf\t_\t{root}\t{suff}\t_\t\t0\tr\tp\tq\n"
+    assert got["file=a.segmented.conll"] == out(1, "му-шук", "N", "му|шу", "к") + out(2, "му", "PR", "_", "_") + "\n" + out(1, "мукшу", "N", "му|шу", "к") + "\n"
+    assert got["file=b.segmented"] == out(1, "м", "N", "_", "_") + "\n"
+    assert [(r["stage"], r["code"], r["detail"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("conll", "bad_columns", "only\tthree\tfields")]
+    with pytest.raises(Exception, match="expected 10 fields"):
+        cli.main([*argv, "--strict"], spark)
+
+
+def test_model_is_required(spark, tmp_path):
+    with pytest.raises(ValueError, match="no model"):
+        features.load_model(spark, " ")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        features.load_model(spark, str(tmp_path / "none"))
+
+
+def test_size_of_a_model_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(features, "MODEL_ROWS", 2)
+    weights = spark.createDataFrame([(f"{c}-WORD|C", None, "a", 1.0) for c in "xyz"], features.WEIGHTS)
+    with pytest.raises(ValueError, match="too large"):
+        features.decode(spark.createDataFrame([(1, "x")], "word_id long, word string"), weights, ["a"])
+
+
+def test_the_decoder_sees_what_the_feature_operators_give(spark):
+    words = spark.createDataFrame([("подходом",) * 2, ("дом",) * 2, ("аа",) * 2, ("",) * 2], "word_id string, word string")
+    lexicon = [("под", "прист"), ("ход", "корень"), ("ход", "слово"), ("ом", "оконч"), ("а", "оконч"), ("", "пусто")]
+    rows = spark.createDataFrame(lexicon, "morpheme string, type string")
+    types = {}
+    for m, t in lexicon:
+        types.setdefault(m, set()).add(t)
+    found = features.clique_features(words, None, "C").unionByName(features.clique_features(words, rows, "CpC")).collect()
+    want = {(w, k, f) for w in ("подходом", "дом", "аа", "") for k, each in enumerate(features.letter_features(w, types)) for f in each}
+    assert len(found) == len(want) and {(r["word_id"], r["pos"], r["feature"]) for r in found} == want
+
+
+def test_decoder_is_the_best_of_all_label_sequences(spark):
+    labels, word = ["a", "b", "c"], "xyxx"
+    rng = random.Random(5)
+    rows = [(f, p, x, rng.random()) for f in ("x-WORD|C", "y-WORD|C") for p in (None,) for x in labels] + [(f, p, x, rng.random()) for f in ("x-y-PWORD-WORD|CpC", "y-x-PWORD-WORD|CpC", "x-x-PWORD-WORD|CpC") for p in labels for x in labels]
+    weight = {(f, p, x): w for f, p, x, w in rows}
+    seen = [set(f) for f in features.letter_features(word, {})]
+    score = lambda path: sum(w for (f, p, x), w in weight.items() for k in range(len(word)) if f in seen[k] and x == path[k] and (p is None or k and p == path[k - 1]))
+    best = max(itertools.product(labels, repeat=len(word)), key=score)
+    words = spark.createDataFrame([(1, word), (2, None), (3, ""), (4, word)], "word_id long, word string")
+    got = {r["word_id"]: tuple(x["label"] for x in r["labelled"]) for r in features.decode(words, spark.createDataFrame(rows, features.WEIGHTS), labels).collect()}
+    assert got == {1: best, 2: (), 3: (), 4: best}
+
+
+def test_sinks_and_sources_of_files(spark, tmp_path):
+    pages = spark.createDataFrame([("a/b c", "text"), ("a-b_c", None)], "title string, text string")
+    for _ in range(2):  # a rerun replaces the pages
+        sinks.write_pages(pages, str(tmp_path / "pages"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "pages")).collect())) == [("a-b_c", "a-b_c", ""), ("a-b_c", "a/b c", "text")]
+    sinks.write_tables(spark.createDataFrame([("сущ/1", "{{{1}}}а |\n")], "template_name string, value string"), str(tmp_path / "tables"))
+    assert cli.read_tables(spark, str(tmp_path / "tables")).collect()[0]["template_name"] == "сущ/1"
+    (tmp_path / "s.txt").write_text("корень_дом\nкорень_муш суфф_к\n")
+    lines = api.to_letters(spark, str(tmp_path / "s.txt"))
+    sinks.write_letters(lines, str(tmp_path / "letters"))
+    assert [d.name for d in (tmp_path / "letters").iterdir() if d.is_dir()] == ["file=s.txt.conll"]
+    assert sorted(r["value"] for r in texts.segmentations(spark, str(tmp_path / "s.txt")).collect()) == ["корень_дом", "корень_муш суфф_к"]
+    (tmp_path / "m").write_text("# x\nом\nом\n")
+    assert sorted(map(tuple, features.load_lexicon(spark, {"оконч": str(tmp_path / "m"), "суфф": str(tmp_path / "m")}).collect())) == [("ом", "оконч"), ("ом", "суфф")]
+    df, seen = sinks.counted(spark.range(7), "n")
+    df.collect()
+    assert seen.get["rows"] == 7
