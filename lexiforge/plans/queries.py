@@ -15,8 +15,13 @@ from ..functions.text import computed
 from ..operators import conllx, features, letters, segmentation, templates, wikitext
 from ..sources.html_tables import parse_tables, table_text
 from ..sources.texts import dictionary
+from . import api
 from . import fixtures as X
 
+#: Characters that XML does not allow.
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+BEFORE = '<p/><table style="float:left;"><tr><td>no</td></tr></table><table style="float : right; x">'
+AFTER = '<tr><td><a>pl.</a></td><td> {{{s}}}i <br/>x</td><td><b/></td></tr></table><table style="float:right;"><tr><td>no</td></tr></table>'
 URL_PATTERN = r"https?://(m|blog)\."
 LATIN_INFLEXIONS = ["", "s", "e", "en", "er", "es", "ing", "ed"]
 LATIN_SUFFIXES = ["tion", "able", "ment", "keit", "heit", "ion", "th", "er", "an", "in", "re"]
@@ -149,25 +154,38 @@ def lexicon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.clique_features(spelled_words(spark, sf_dir), spark.createDataFrame(lexicon, "morpheme string, type string"), "CpC")
 
 
+def conll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CoNLL-X lines from whole texts: a sentence per line of text that is not blank, a token per word, one of the ten fields empty now and then."""
+    token = lambda w, k: F.concat_ws("\t", (k + 1).cast("string"), w, w, F.lit("N"), F.when(k % 7 == 3, "PR").otherwise("N"), F.lit("_"), F.lit("0"), F.when(k % 11 == 5, "").otherwise("root"), F.lit("_"), F.lit("_"))
+    sentence = lambda line: F.array_join(F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), token), "\n")
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), sentence), "\n\n").alias("value"))
+    return conllx.sentences(texts)
+
+
 def conll_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CoNLL-X sentences from documents: a sentence per line of text, a token per word, one of the ten fields empty now and then."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    text = F.array_join(F.transform("w", lambda w, k: F.concat_ws("\t", (k + 1).cast("string"), w, w, F.lit("N"), F.when(k % 7 == 3, "PR").otherwise("N"), F.lit("_"), F.lit("0"), F.when(k % 11 == 5, "").otherwise("root"), F.lit("_"), F.lit("_"))), "\n")
-    lines = conllx.sentences(docs.select("doc", text.alias("value")))
+    """Sentences, tokens, their parts and the malformed lines of every document."""
+    lines = conll_lines(spark, sf_dir)
     tokens = conllx.parse(lines)
     parts = conllx.words(tokens).groupBy("doc").agg(F.count("*").alias("parts"))
     bad = conllx.rejects(lines.withColumn("sent_id", F.col("doc"))).groupBy(F.col("key").cast("long").alias("doc")).agg(F.count("*").alias("bad"))
-    whole = tokens.groupBy("doc").agg(F.count("*").alias("tokens"))
-    return whole.join(parts, "doc", "left").join(bad, "doc", "left").select("doc", "tokens", F.coalesce("parts", F.lit(0)).cast("long").alias("parts"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
+    whole = tokens.groupBy("doc").agg(F.count("*").alias("tokens"), F.count_distinct("sent_id").alias("sentences"))
+    return whole.join(parts, "doc", "left").join(bad, "doc", "left").select("doc", "sentences", "tokens", F.coalesce("parts", F.lit(0)).cast("long").alias("parts"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
 
 
-HTML = ('<p/><table style="float:left;"><tr><td>no</td></tr></table><table style="float : right; x"><tr><th>case</th><td>{{{s}}}a</td></tr>'
-        '<tr><td><a>pl.</a></td><td> {{{s}}}i <br/>x</td><td><b/></td></tr></table><table style="float:right;"><tr><td>no</td></tr></table>')
+def segment_conll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segmenter from end to end over every text: the output lines of each document as one digest. In its model a, e, i, o and u go on with a root, all else begins one."""
+    model = spark.createDataFrame([(f"{c}-WORD|C", None, "корень", 1.0) for c in "aeiou"], features.WEIGHTS)
+    done = api.segment_lines(conll_lines(spark, sf_dir), model, ["корень" + letters.BEGIN, "корень"])
+    per = done.select("doc", F.struct("sent_id", "line_no", conllx.line().alias("line")).alias("l"), F.col("корень") != "_").toDF("doc", "l", "found")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
+    return per.groupBy("doc").agg(F.count("*").alias("tokens"), F.count_if("found").alias("segmented"), F.md5(text).alias("lines_md5"))
 
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's address in a rendered table, read back."""
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("template_name"), F.concat(F.when(F.col("page_id") % 5 == 4, "</b>").otherwise(""), F.lit(HTML)).alias("html"))
+    """The address and the whole markup of every page as cells of a rendered table, read back; every fifth table is malformed."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), CONTROLS, ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = F.concat(F.lit("<tr><th>"), escaped(F.col("url")), F.lit("</th><td>"), escaped(F.col("html")), F.lit("</td></tr>"))
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("template_name"), F.concat(F.when(F.col("page_id") % 5 == 4, "</b>").otherwise(""), F.lit(BEFORE), cells, F.lit(AFTER)).alias("html"))
     return table_text(parse_tables(pages))
 
 
@@ -183,7 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "title_filter": title_filter, "dictionary_load": dictionary_load, "segment_endings": segment_endings, "suffix_words": suffix_words, "part_order": part_orders, "base_form": base_forms, "yot": yot,
     "align_stems": align, "template_forms": template_forms, "param_lookup": param_lookup, "segment_forms": segment_forms, "form_rejects": form_rejects, "template_misses": template_misses, "extract_template": extract_template,
     "metas": metas, "page_rejects": page_rejects, "letters": letter_rows, "letters_roundtrip": letters_roundtrip, "pivot_morphemes": pivot_morphemes, "ctx_features": ctx_features, "lexicon_features": lexicon_features,
-    "conll_columns": conll_columns, "html_tables": html_tables, "crf_decode": crf_decode,
+    "conll_columns": conll_columns, "segment_conll": segment_conll, "html_tables": html_tables, "crf_decode": crf_decode,
 }
 
 NM = len(X.METAS)
@@ -230,7 +248,8 @@ _CALLS = [
 ]
 _ALIGNED = [(i, m[3] if m[3] in ("misaligned", "suffix_gap", "no_base_stem") else None, s) for i, m, s in (
     (i, m, {0: "корень_муш суфф_к;корень_муш суфф_ек", 1: "корень_стол", 2: "корень_стол", 3: "корень_нов", 4: "корень_рыб суфф_", 6: "корень_стол", 7: "корень_стол", 12: "корень_да"}.get(i)) for i, m in enumerate(X.METAS)) if m[4]]
-_TOKENS = "(SELECT doc_id AS doc, w, (row_number() OVER (PARTITION BY doc_id, r ORDER BY i) - 1) AS k FROM (SELECT doc_id, rowid AS r, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w, unnest(range(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))) AS i FROM (SELECT *, row_number() OVER () AS rowid FROM documents)))"
+_LINES = r"(SELECT doc_id AS doc, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS ln FROM documents)"
+_TOKENS = rf"(SELECT doc, ln, unnest(w) AS w, unnest(range(len(w))) AS k FROM (SELECT doc, ln, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') AS w FROM {_LINES}))"
 
 ORACLE_SQL: dict[str, str] = {
     "title_filter": rf"SELECT page_id, url FROM pages WHERE regexp_matches(url, '^(?:{URL_PATTERN})')",
@@ -262,8 +281,14 @@ f AS (SELECT word_id, pos, {_P} || '-' || {_C} || '-PWORD-WORD' AS f FROM places
 SELECT word_id, pos, f || '|CpC' AS feature FROM f""",
     "conll_columns": f"""
 WITH t AS {_TOKENS}, ok AS (SELECT * FROM t WHERE k % 11 <> 5), p AS (SELECT doc, count(*) AS parts FROM (SELECT doc, unnest(string_split_regex(w, '[ -]')) AS p FROM ok WHERE k % 7 <> 3) WHERE length(p) >= 2 GROUP BY doc)
-SELECT g.doc, g.tokens, coalesce(p.parts, 0)::BIGINT AS parts, g.bad FROM (SELECT doc, count(*) FILTER (k % 11 <> 5) AS tokens, count(*) FILTER (k % 11 = 5) AS bad FROM t GROUP BY doc HAVING count(*) FILTER (k % 11 <> 5) > 0) g LEFT JOIN p ON g.doc = p.doc""",
-    "html_tables": "SELECT page_id::VARCHAR AS template_name, E'case | {{{s}}}a |\\npl. | {{{s}}}i |\\n' AS value FROM pages WHERE page_id % 5 <> 4",
+SELECT g.doc, g.sentences, g.tokens, coalesce(p.parts, 0)::BIGINT AS parts, g.bad FROM (SELECT doc, count(DISTINCT ln) FILTER (k % 11 <> 5) AS sentences, count(*) FILTER (k % 11 <> 5) AS tokens, count(*) FILTER (k % 11 = 5) AS bad FROM t GROUP BY doc HAVING count(*) FILTER (k % 11 <> 5) > 0) g LEFT JOIN p ON g.doc = p.doc""",
+    "segment_conll": rf"""
+WITH t AS (SELECT *, CASE WHEN k % 7 = 3 THEN '' ELSE array_to_string(flatten(list_transform(list_filter(string_split_regex(w, '[ -]'), lambda p: length(p) >= 2 AND NOT regexp_matches(p, '^[aeiou]')), lambda p: regexp_extract_all(p, '[^aeiou][aeiou]*'))), '|') END AS m FROM {_TOKENS} WHERE k % 11 <> 5),
+l AS (SELECT *, concat_ws(E'\t', k + 1, w, w, 'N', CASE WHEN k % 7 = 3 THEN 'PR' ELSE 'N' END, '_', '_', CASE WHEN m = '' THEN '_' ELSE m END, '_', '_', '', '0', 'root', '_', '_') AS line FROM t)
+SELECT doc, count(*) AS tokens, count(*) FILTER (m <> '') AS segmented, md5(string_agg(line, E'\n' ORDER BY ln, k)) AS lines_md5 FROM l GROUP BY doc""",
+    "html_tables": rf"""
+WITH c AS (SELECT page_id, page_id::VARCHAR AS template_name, list_transform([url, html], lambda x: trim(replace(replace(regexp_replace(coalesce(x, ''), '{CONTROLS}', '', 'g'), E'\r\n', E'\n'), E'\r', E'\n'), E' \t\n')) AS cells FROM pages)
+SELECT template_name, array_to_string(list_transform(list_filter(cells, lambda x: x <> ''), lambda x: x || ' |'), ' ') || E'\npl. | {{{{{{s}}}}}}i |\n' AS value FROM c WHERE page_id % 5 <> 4""",
     "crf_decode": f"SELECT word, regexp_replace(regexp_replace(word, '[aeiou]', 'V', 'g'), '[a-z]', 'C', 'g') AS labels FROM {WORDS_SQL}",
 }
 
