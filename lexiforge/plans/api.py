@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import computed
 from ..operators import conllx, features, letters
 from ..operators import segmentation as seg
 from ..operators import wikitext
@@ -50,9 +51,13 @@ def segment_lines(lines: DataFrame, weights: DataFrame, labels: list[str], begin
     """segment_conll() for lines (doc, sent_id, line_no, line).
 
     A form whose labels do not begin a morpheme leaves its columns empty. Lines without ten fields raise an error, or are left out.
+    Each spelling is decoded once; a frequent one is a hot key of the join back, whose other side has one row for it, so an adaptive skew join may split it.
     """
     tokens = conllx.parse(lines, fail_fast)
     key = ("doc", "sent_id", "line_no")
     parts = conllx.words(tokens).select(*key, "part_no", F.col("part").alias("word"))
-    found = features.decode(parts, weights, labels, lexicon).withColumn("r", letters.reconstruct(F.col("labelled"), begin))
-    return conllx.with_morphemes(tokens, found.where(F.col("r.err").isNull()).select(*key, "part_no", "r.morphemes"), key, compatible)
+    # few bytes, but much work: without a number of tasks the adaptive plan puts them into one
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spelled = features.decode(parts.select("word").distinct().repartition(tasks), weights, labels, lexicon)
+    found = computed(spelled, "r", letters.reconstruct(F.col("labelled"), begin)).where(F.col("r.err").isNull()).select("word", "r.morphemes")
+    return conllx.with_morphemes(tokens, parts.join(found, "word").select(*key, "part_no", "morphemes"), key, compatible)

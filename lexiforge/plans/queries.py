@@ -193,7 +193,9 @@ def crf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model with one weight per letter class and per label pair, over all distinct words."""
     weights = [(f"{c}-WORD|C", None, "V" if c in "aeiou" else "C", 1.0) for c in "abcdefghijklmnopqrstuvwxyz"]
     model = spark.createDataFrame(weights, "feature string, label_prev string, label string, weight double")
-    out = features.decode(document_words(spark, sf_dir), model, ["C", "V"])
+    # few bytes, but much work: without a number of tasks the adaptive plan puts them into one
+    words = document_words(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = features.decode(words, model, ["C", "V"])
     return out.select("word", F.array_join(F.transform("labelled", lambda x: x["label"]), "").alias("labels"))
 
 
