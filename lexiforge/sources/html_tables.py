@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import http.client
+import itertools
 import re
 import urllib.parse
 import xml.etree.ElementTree as ET
@@ -75,17 +76,19 @@ def table_text(rows: DataFrame) -> DataFrame:
     return per.select("template_name", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
 
 
-def http_fetch(address: str) -> Callable[[Iterable[str]], Iterator[tuple[str, str | None]]]:
+def http_fetch(address: str, timeout: float = 60) -> Callable[[Iterable[str]], Iterator[tuple[str, str | None]]]:
     """A fetcher with one kept connection: (title, html), None where the answer is not 200. Every answer is read to its end."""
 
     def run(titles: Iterable[str]) -> Iterator[tuple[str, str | None]]:
-        link = http.client.HTTPSConnection(address)
-        for title in titles:
-            link.request("GET", "/w/index.php?" + urllib.parse.urlencode({"action": "render", "title": title}), headers={"Connection": "keep-alive"})
-            answer = link.getresponse()
-            body = answer.read().decode("utf-8", "replace")
-            yield title, body if answer.status == 200 else None
-        link.close()
+        link = http.client.HTTPSConnection(address, timeout=timeout)
+        try:
+            for title in titles:
+                link.request("GET", "/w/index.php?" + urllib.parse.urlencode({"action": "render", "title": title}), headers={"Connection": "keep-alive"})
+                answer = link.getresponse()
+                body = answer.read().decode("utf-8", "replace")
+                yield title, body if answer.status == 200 else None
+        finally:
+            link.close()
 
     return run
 
@@ -95,8 +98,9 @@ def render(titles: DataFrame, fetch: Callable[[Iterable[str]], Iterator[tuple[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = (t for b in batches for t in b["title"])
-        out = [(t, html) for t, html in fetch(names) if html is not None]
-        yield pd.DataFrame(out, columns=["title", "html"])
+        found = ((t, html) for t, html in fetch(names) if html is not None)
+        while out := list(itertools.islice(found, 100)):
+            yield pd.DataFrame(out, columns=["title", "html"])
 
     found = titles.select("title").repartition(connections).mapInPandas(run, "title string, html string")
     return found.select(table_name(F.col("title")).alias("template_name"), "html")
