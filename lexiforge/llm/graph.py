@@ -2,7 +2,8 @@
 
 Each step is one aggregation by node (the least neighbour, with partial sums before the shuffle)
 and one join of two stored tables, which the adaptive skew join can split at a node with
-very many neighbours. The number of rounds grows with the logarithm of the component's size.
+very many neighbours. The number of rounds grows with the logarithm of the component's size; they end as soon as
+every component is a star around its least node.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and then no larger one: nothing is left to do."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where(F.col("up") + F.col("down") > 1).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of edges (a, b) of longs; nodes linked with none but themselves are absent."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") > F.col("b")).distinct(), "cc-edges")
-    mark = None
-    while True:
-        found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(found) == mark or found[0] == 0:
-            break
-        mark = tuple(found)
+    while not _stars(now):
         large = _star(now, small=False)
         discard(now)
         now = _star(large, small=True)
