@@ -9,7 +9,7 @@ the suffixes at references, each with up to LENGTH bytes to the right and the by
    fingerprint of its own cannot share a window with another one, so its exchange would be wasted.
 2. Each task sorts the remaining suffixes of its texts into runs. Equal entries of a run become one. Runs are
    front-coded (length of the common prefix with the entry before, then the rest) and compressed in blocks.
-3. Splitters from a bounded sample of block keys cut the runs into ranges; whole blocks move, only those across a splitter
+3. Splitters from a sample of block keys, 16 for each range and SAMPLE at least, cut the runs into at most MOST_RANGES ranges; whole blocks move, only those across a splitter
    are coded again. A range is merged by a loser tree that keeps for each run's head the length of its common
    prefix with the last entry put out: heads are compared by these lengths, and characters only from there on.
 4. In the merged order, suffixes with windows in common are neighbours; common prefixes to the right and
@@ -43,7 +43,7 @@ LENGTH, REACH, SEED = 200, 70, 16
 WINDOW = 2 * REACH  # starts that one minimizer can serve; WINDOW + SEED - 1 must not exceed LENGTH
 STEM = LENGTH - REACH + 1
 HOT = 20_000
-RUN_BYTES, BLOCK_RECORDS, RANGE_BYTES, SAMPLE = 48 << 20, 512, 12 << 20, 20_000
+RUN_BYTES, BLOCK_RECORDS, RANGE_BYTES, SAMPLE, MOST_RANGES = 48 << 20, 512, 12 << 20, 20_000, 100_000
 RUNS = "kind int, run long, seq int, first binary, last binary, data binary"
 HEAD = struct.Struct("<BBBBBII")
 
@@ -314,9 +314,9 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     splitters = {}
     for r in size:
         n = -(-r["n"] // RANGE_BYTES)
-        n = max(n, min(spark.sparkContext.defaultParallelism, -(-r["n"] // (1 << 20))))
+        n = min(MOST_RANGES, max(n, min(spark.sparkContext.defaultParallelism, -(-r["n"] // (1 << 20)))))
         stem = STEM if r["kind"] == 0 else LENGTH
-        keys = runs.where(F.col("kind") == r["kind"]).select("first").orderBy(F.xxhash64("first", "run")).limit(SAMPLE).collect()
+        keys = runs.where(F.col("kind") == r["kind"]).select("first").orderBy(F.xxhash64("first", "run")).limit(max(SAMPLE, 16 * n)).collect()
         keys = sorted(bytes(k[0])[:stem] for k in keys)
         splitters[r["kind"]] = sorted({keys[len(keys) * k // n] for k in range(1, n)})
     shared = spark.sparkContext.broadcast(splitters)
