@@ -37,7 +37,8 @@ DECLARED_RIGHT, HOST_WEIGHT, SUFFIX_WEIGHT, LEAST_POSTERIOR = 0.9, 10.0, 20.0, 0
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&\w+;", re.S | re.I)
+_OPENS = re.compile(r"<(?:(!--)|(script|style)\b)?|&\w+;", re.I)
+_CLOSES = {len(name): re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 
 
 def trigrams(data: bytes):
@@ -53,7 +54,35 @@ def trigrams(data: bytes):
 
 
 def visible(html: str) -> str:
-    return _HIDDEN.sub(" ", html)
+    """html with a space for each comment, script, style, tag and entity, in linear time: an end mark that is found to be missing is not looked for again.
+
+    Without its own end mark a comment, script or style ends like a tag; a tag without an end is text.
+    """
+    kept, at, look, missing = [], 0, 0, set()
+    while m := _OPENS.search(html, look):
+        start, end = m.start(), -1
+        if html[start] == "&":
+            end = m.end()
+        elif m[1] and "-->" not in missing:
+            end = html.find("-->", m.end()) + 3
+            if end < 3:
+                end = -1
+                missing.add("-->")
+        elif m[2] and len(m[2]) not in missing:
+            if close := _CLOSES[len(m[2])].search(html, m.end()):
+                end = close.end()
+            else:
+                missing.add(len(m[2]))
+        if end < 0 and ">" not in missing:
+            end = html.find(">", start) + 1 or -1
+            if end < 0:
+                missing.add(">")
+        if end < 0:
+            look = start + 1
+        else:
+            kept.append(html[at:start])
+            at = look = end
+    return " ".join([*kept, html[at:]])
 
 
 def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
@@ -169,7 +198,7 @@ def of_documents(docs: DataFrame, model) -> DataFrame:
 def of_pages(pages: DataFrame, model) -> DataFrame:
     """Pages: the declared language is that of the html element, host and suffix come from the address."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    rows = pages.select(F.col("page_id").alias("id"), F.xxhash64("html", "url").alias("tkey"), F.col("html").alias("text"), F.nullif(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit("")).alias("declared"), host.alias("host"))
+    rows = pages.select(F.col("page_id").alias("id"), F.xxhash64("html", "url").alias("tkey"), F.col("html").alias("text"), F.nullif(F.regexp_extract("html", r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit("")).alias("declared"), host.alias("host"))
     return identify(rows.withColumn("suffix", F.substring_index("host", ".", -1)), model, html=True)
 
 

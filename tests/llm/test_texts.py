@@ -1,8 +1,12 @@
 import hashlib
+import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lexiforge.llm import chunk_dedup, forest_join, language, mixing, suffix_dedup
 from lexiforge.llm.graph import components
@@ -324,3 +328,17 @@ def test_pages_use_markup_and_host(spark):
     pages = spark.createDataFrame([(1, "http://a.example.de/x", '<html lang="de"><p>der die und ist nicht keit heit schen</p>'), (2, None, None), (3, "bad", "<p>")], "page_id long, url string, html string")
     got = {r["id"]: (r["declared"], r["host"], r["language"], r["accepted"]) for r in language.of_pages(pages, model).collect()}
     assert got[1] == ("de", "a.example.de", "de", True) and got[2][1] == "" and not got[2][3] and not got[3][3]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<!--", "-->", "<script", "<STYLE", "</script >", "</style", ">", "<", "&amp;", "&x", "word", " ", "\n", "b", "</", "<!-->"]), max_size=14))
+def test_visible_text_by_the_rule(parts):
+    hidden = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&\w+;", re.S | re.I)
+    assert language.visible("".join(parts)) == hidden.sub(" ", "".join(parts))
+
+
+def test_unclosed_markup_takes_linear_time():
+    for part in ("<script ", "<style ", "<!--", "<", "</", "&a", "<script></script", "<!-- >"):
+        began = time.time()
+        language.visible(part * (2_000_000 // len(part)))
+        assert time.time() - began < 10, part
