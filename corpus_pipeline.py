@@ -62,6 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir).drop("ids")
 
 
-#: The similarity join and the tokenizer cannot be expressed in SQL. Operators 5 and 8 are tested against brute force, 3 against SQL, 4 by a round trip, 1 on held-out rows;
-#: the stages together only by their counts.
+#: The similarity join and the tokenizer cannot be expressed in SQL. Every stage's rows are tested against a plain version on what its predecessor kept (3 against its SQL, 4 by its token ids).
 ORACLE_SQL = None
