@@ -6,17 +6,19 @@ start) and ends SPAN cuts later (or at the text's end). Chunks overlap: of a rep
 one are in no chunk of its own, while every chunk is long enough that a common phrase does not make one. Chunks are counted by digest
 (partial sums before the shuffle); the first occurrence, by doc_id, stays, and all others are marked by a join of two stored tables, which
 the adaptive skew join splits at chunks of very common passages. In each document overlapping and adjacent marked chunks
-form runs. What repeats ends before the next cut, so a run asks for the bytes up to there (of every first occurrence that a chunk of it has) and grows by those that are equal.
+form runs. A run asks each first occurrence for a digest (128 bits of BLAKE2) of the bytes that it shares with it, and stretches whose digests differ are no
+marks: nothing goes because short digests or row keys happen to agree. What repeats ends before the next cut, so a run also asks for the bytes up to there and grows by those that are equal.
 Runs of at least min_run bytes are removed, from word to word. A shorter run (a common line) is left alone.
 
 Edge cases: null or empty texts have no chunks and stay as they are; texts shorter than min_run never lose anything;
 a stretch without cuts (one repeated character, say) is part of a longer chunk and repeats with it only;
-rows that agree in doc_id and text (told apart by a 32-bit hash) count as one document and get the same result; a null doc_id comes
-first; extra columns of any name stay as they are; an empty table gives none; very long texts are chunked whole, in slices.
+rows that agree in doc_id and text count as one document and get the same result (rows of one doc_id are told apart by a hash of the text, of 64 bits where doc_id is null;
+if it agrees for different texts, a copy between them may stay, and no text is lost); a null doc_id comes first; extra columns of any name stay as they are; an empty table gives none; very long texts are chunked whole, in slices.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -103,7 +105,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *ints[:2], pa.array(digest), *ints[2:]], names)
                     held, rows, first = [], 0, k + 1
 
-    return docs.select("doc_id", "tkey", "text").mapInArrow(tidy(run), "doc_id long, tkey int, start int, size int, digest long, before int, after int")
+    return docs.select("doc_id", "tkey", "text").mapInArrow(tidy(run), "doc_id long, tkey long, start int, size int, digest long, before int, after int")
 
 
 def runs_of(found: list[dict]) -> list[list[dict]]:
@@ -118,45 +120,66 @@ def runs_of(found: list[dict]) -> list[list[dict]]:
     return out
 
 
-def runs(per_doc: DataFrame, min_run: int) -> DataFrame:
-    """m_id, m_key, runs (start, size), asks (at, back, n, s_id, s_key, s_at) of per_doc (m_id, m_key, found): runs that can reach min_run, and what they ask for.
+def stretches(part: list[dict]) -> dict[tuple, list[list[int]]]:
+    """The places [start, end) that the chunks of a run cover together, by first occurrence (its document's id and key, its distance)."""
+    out: dict[tuple, list[list[int]]] = {}
+    for m in part:
+        of = out.setdefault((m["s_id"], m["s_key"], m["s_at"] - m["start"]), [])
+        if of and m["start"] <= of[-1][1]:
+            of[-1][1] = max(of[-1][1], m["start"] + m["size"])
+        else:
+            of.append([m["start"], m["start"] + m["size"]])
+    return out
+
+
+#: What an ask wants: the bytes before or after a place, or the digest of those that start there.
+BEFORE, CHECK, AFTER = -1, 0, 1
+_ASK = "at: int, kind: tinyint, n: int, s_id: bigint, s_key: bigint, s_at: int"
+
+
+def asks(per_doc: DataFrame, min_run: int) -> DataFrame:
+    """m_id, m_key, asks (at, kind, n, s_id, s_key, s_at) of per_doc (m_id, m_key, found): what runs that can reach min_run ask for.
 
-    An ask is the end of a run (back: the left end) with the same place in each first occurrence, and the number of bytes wanted beyond.
+    An ask is a stretch or the end of a run, with the same place in a first occurrence, and the number of bytes wanted.
     """
-    asks = pa.list_(pa.struct([("at", pa.int32()), ("back", pa.bool_()), ("n", pa.int32()), ("s_id", pa.int64()), ("s_key", pa.int32()), ("s_at", pa.int32())]))
-    places = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
+    kinds = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int8()), ("n", pa.int32()), ("s_id", pa.int64()), ("s_key", pa.int64()), ("s_at", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            kept, all_runs, all_asks = [], [], []
+            kept, all_asks = [], []
             for k, found in enumerate(b.column(2).to_pylist()):
-                mine, wanted = [], []
+                wanted = []
                 for part in runs_of(found):
                     first, last = part[0], max(part, key=lambda m: m["start"] + m["size"])
                     a, e = first["start"], last["start"] + last["size"]
                     back = min(a, first["before"] + LOOK)
                     if e - a + back + last["after"] < min_run:
                         continue
-                    mine.append({"start": a, "size": e - a})
-                    for s_id, s_key, shift in {(m["s_id"], m["s_key"], m["s_at"] - m["start"]) for m in part}:
+                    for (s_id, s_key, shift), places in stretches(part).items():
+                        ask = lambda at, kind, n: wanted.append({"at": at, "kind": kind, "n": n, "s_id": s_id, "s_key": s_key, "s_at": at + shift})  # noqa: B023, E731
+                        for lo, hi in places:
+                            ask(lo, CHECK, hi - lo)
                         if back and a + shift > 0:
-                            wanted.append({"at": a, "back": True, "n": back, "s_id": s_id, "s_key": s_key, "s_at": a + shift})
+                            ask(a, BEFORE, back)
                         if last["after"]:
-                            wanted.append({"at": e, "back": False, "n": last["after"], "s_id": s_id, "s_key": s_key, "s_at": e + shift})
-                if mine:
+                            ask(e, AFTER, last["after"])
+                if wanted:
                     kept.append(k)
-                    all_runs.append(mine)
                     all_asks.append(wanted)
             at = pa.array(kept, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(all_runs, places), pa.array(all_asks, asks)], ["m_id", "m_key", "runs", "asks"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(all_asks, kinds)], ["m_id", "m_key", "asks"])
 
-    schema = "m_id long, m_key int, runs array<struct<start: int, size: int>>, asks array<struct<at: int, back: boolean, n: int, s_id: long, s_key: int, s_at: int>>"
-    return per_doc.select("m_id", "m_key", "found").mapInArrow(tidy(run), schema)
+    return per_doc.select("m_id", "m_key", "found").mapInArrow(tidy(run), f"m_id long, m_key long, asks array<struct<{_ASK}>>")
 
 
-def windows(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """s_id, s_key, s_at, back, window: of each distinct place of ends the bytes of the text (docs: doc_id, tkey, text) before or after it, as many as the longest request."""
-    names = ["s_id", "s_key", "s_at", "back", "window"]
+def digest_of(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def answers(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """s_id, s_key, s_at, kind, checked, answer: for each distinct place of wanted the bytes of the text (docs: doc_id, tkey, text) before or after it, as many as the longest ask, or the digest of the next `checked` bytes."""
+    names = ["s_id", "s_key", "s_at", "kind", "checked", "answer"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.binary())
 
     def run(batches):
         for b in batches:
@@ -164,16 +187,22 @@ def windows(docs: DataFrame, ends: DataFrame) -> DataFrame:
             for doc, key, text, places in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode()
                 for p in places:
-                    s, n = p["s_at"], p["n"]
-                    out.append((doc, key, s, p["back"], data[max(0, s - n) : s] if p["back"] else data[s : s + n]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names)
+                    s, n, kind = p["s_at"], p["n"], p["kind"]
+                    found = data[max(0, s - n) : s] if kind == BEFORE else data[s : s + n]
+                    out.append((doc, key, s, kind, p["checked"], digest_of(found) if kind == CHECK else found))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+    # a passage of very many texts asks for one place: the asks are summed up before they meet
+    places = wanted.groupBy("s_id", "s_key", "s_at", "kind", checked()).agg(F.max("n").alias("n"))
+    by_doc = places.groupBy("s_id", "s_key").agg(F.collect_list(F.struct("s_at", "kind", "checked", "n")).alias("places"))
+    joined = docs.join(by_doc, F.col("tkey").eqNullSafe(F.col("s_key")) & F.col("doc_id").eqNullSafe(F.col("s_id"))).select("doc_id", "tkey", "text", "places")
+    # rows that agree in doc_id and text give their answers twice
+    return joined.mapInArrow(tidy(run), "s_id long, s_key long, s_at int, kind tinyint, checked int, answer binary").dropDuplicates(names[:-1])
 
-    # a passage of very many texts asks for one place: the requests are summed up before they meet
-    places = ends.groupBy("s_id", "s_key", "s_at", "back").agg(F.max("n").alias("n"))
-    wanted = places.groupBy("s_id", "s_key").agg(F.collect_list(F.struct("s_at", "back", "n")).alias("places"))
-    joined = docs.join(wanted, F.col("tkey").eqNullSafe(F.col("s_key")) & F.col("doc_id").eqNullSafe(F.col("s_id"))).select("doc_id", "tkey", "text", "places")
-    # rows that agree in doc_id and text give their windows twice
-    return joined.mapInArrow(tidy(run), "s_id long, s_key int, s_at int, back boolean, window binary").dropDuplicates(["s_id", "s_key", "s_at", "back"])
+
+def checked():
+    """The length that belongs to an ask's place: that of a stretch, 0 for ends."""
+    return F.when(F.col("kind") == CHECK, F.col("n")).otherwise(0).alias("checked")
 
 
 def equal_bytes(a: bytes, b: bytes, back: bool) -> int:
@@ -186,13 +215,16 @@ def equal_bytes(a: bytes, b: bytes, back: bool) -> int:
     return int(other[0]) if len(other) else n
 
 
-def grown(data: bytes, ends: list[dict]) -> list[tuple[int, int]]:
-    """(start, size) of the bytes beyond ends (at, back, n, window) that equal those beyond the first occurrence."""
-    out = []
-    for e in ends:
-        at, n = e["at"], e["n"]
-        k = equal_bytes(data[max(0, at - n) : at] if e["back"] else data[at : at + n], e["window"][-n:] if e["back"] else e["window"][:n], e["back"])
-        out.append((at - k if e["back"] else at, k))
+def confirmed(data: bytes, answered: list[dict]) -> list[tuple[int, int]]:
+    """(start, size) of what repeats in data: stretches with the digest of their first occurrence, and the equal bytes beyond their ends. answered: at, kind, n, answer."""
+    out = [(x["at"], x["n"]) for x in answered if x["kind"] == CHECK and digest_of(data[x["at"] : x["at"] + x["n"]]) == x["answer"]]
+    ends = {at for at, _ in out} | {at + n for at, n in out}
+    for x in answered:
+        at, n = x["at"], x["n"]
+        if x["kind"] != CHECK and at in ends:
+            back = x["kind"] == BEFORE
+            k = equal_bytes(data[max(0, at - n) : at] if back else data[at : at + n], x["answer"][-n:] if back else x["answer"][:n], back)
+            out.append((at - k if back else at, k))
     return [x for x in out if x[1]]
 
 
@@ -223,10 +255,15 @@ def remove(data: bytes, marked: list[tuple[int, int]], min_run: int) -> tuple[by
     return b"".join(kept), spans
 
 
+def row_key():
+    """Tells rows of one doc_id apart, those without one above all, of which there may be very many."""
+    return F.when(F.col("lexi_id").isNull(), F.xxhash64("lexi_text")).otherwise(F.hash("lexi_text").cast("long"))
+
+
 def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """All columns of docs (doc_id, text, ...) with text deduplicated, and lexi_bytes (before), lexi_spans (array of start and end, in bytes)."""
     columns = docs.columns
-    keyed = docs.withColumn("lexi_id", F.col("doc_id").cast("long")).withColumn("lexi_text", F.col("text").cast("string")).withColumn("lexi_key", F.hash("lexi_text"))
+    keyed = docs.withColumn("lexi_id", F.col("doc_id").cast("long")).withColumn("lexi_text", F.col("text").cast("string")).withColumn("lexi_key", row_key())
     plain = keyed.select(F.col("lexi_id").alias("doc_id"), F.col("lexi_key").alias("tkey"), F.col("lexi_text").alias("text"))
     spark = docs.sparkSession
     with batches_of(spark, 1000):
@@ -241,27 +278,26 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     per_doc = materialize(per_doc, "marked-chunks")
     discard(found, twice)
     with batches_of(spark, 500):
-        marked_runs = materialize(runs(per_doc, min_run), "runs")
+        asked = materialize(asks(per_doc, min_run), "asks")
     discard(per_doc)
-    ends = marked_runs.select("m_id", "m_key", F.explode("asks").alias("a")).select("m_id", "m_key", "a.*")
+    wanted = asked.select("m_id", "m_key", F.explode("asks").alias("a")).select("m_id", "m_key", "a.*")
     with batches_of(spark, 500):
-        around = materialize(windows(plain.where(F.col("text").isNotNull()), ends), "windows")
-    named = around.select(*(F.col(c).alias(f"w_{c}") for c in ("s_id", "s_key", "s_at", "back")), "window")
-    same = (F.col("s_key") == F.col("w_s_key")) & (F.col("s_at") == F.col("w_s_at")) & (F.col("back") == F.col("w_back")) & F.col("s_id").eqNullSafe(F.col("w_s_id"))
-    asked = ends.join(named, same).groupBy(F.col("m_id").alias("e_id"), F.col("m_key").alias("e_key")).agg(F.collect_set(F.struct("at", "back", "n", "window")).alias("lexi_ends"))
-    marks = marked_runs.join(asked, F.col("m_key").eqNullSafe(F.col("e_key")) & F.col("m_id").eqNullSafe(F.col("e_id")), "left").select("m_id", "m_key", F.col("runs").alias("lexi_marked"), "lexi_ends")
+        found = materialize(answers(plain.where(F.col("text").isNotNull()), wanted), "answers")
+    named = found.select(*(F.col(c).alias(f"w_{c}") for c in ("s_id", "s_key", "s_at", "kind", "checked")), "answer")
+    same = [F.col(c) == F.col(f"w_{c}") for c in ("s_key", "s_at", "kind", "checked")] + [F.col("s_id").eqNullSafe(F.col("w_s_id"))]
+    marks = wanted.withColumn("checked", checked()).join(named, same).groupBy("m_id", "m_key").agg(F.collect_set(F.struct("at", "kind", "n", "answer")).alias("lexi_marks"))
     marks = materialize(marks, "marks")
-    discard(marked_runs, around)
-    joined = keyed.join(marks, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left").select(*map(quoted, columns), "lexi_text", "lexi_marked", "lexi_ends")
+    discard(asked, found)
+    joined = keyed.join(marks, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left").select(*map(quoted, columns), "lexi_text", "lexi_marks")
 
     def run(batches):
         for b in batches:
             new, sizes, spans = [], [], []
-            for text, mark, ends in zip(*(b.column(b.num_columns - k).to_pylist() for k in (3, 2, 1)), strict=True):
+            for text, marks_ in zip(*(b.column(b.num_columns - k).to_pylist() for k in (2, 1)), strict=True):
                 data = text.encode() if text else b""
                 cut: list = []
-                if mark:
-                    kept, cut = remove(data, [(m["start"], m["size"]) for m in mark] + grown(data, ends or []), min_run)
+                if marks_:
+                    kept, cut = remove(data, confirmed(data, marks_), min_run)
                     text = kept.decode()
                 new.append(text)
                 sizes.append(len(data))

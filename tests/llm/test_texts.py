@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexiforge.llm import chunk_dedup, forest_join, language, mixing, suffix_dedup
 from lexiforge.llm.graph import components
@@ -342,3 +343,37 @@ def test_unclosed_markup_takes_linear_time():
         began = time.time()
         language.visible(part * (2_000_000 // len(part)))
         assert time.time() - began < 10, part
+
+
+def test_equal_row_keys_lose_no_text(spark, monkeypatch):
+    """Rows without ids whose keys all agree: text that occurs once stays."""
+    from conftest import passage
+
+    shared = passage(40, 60)
+    texts = [passage(41, 80), f"{passage(42, 30)} {shared}", f"{shared} {passage(43, 45)}"]
+    rows = [(None, t) for t in texts]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(chunk_dedup, "row_key", lambda: F.lit(1).cast("long"))
+    got = [r["text"] for r in chunk_dedup.dedup_chunks(table).collect()]
+    assert texts[0] in got
+    assert all(any(passage(s, n) in t for t in got) for s, n in ((42, 30), (43, 45)))
+    monkeypatch.undo()
+    got = sorted(len(r["text"]) for r in chunk_dedup.dedup_chunks(table).collect())
+    assert sum(map(len, texts)) - sum(got) >= len(shared) - 2 and texts[0] in [r["text"] for r in chunk_dedup.dedup_chunks(table).collect()]
+
+
+def test_stretches_with_other_bytes_are_no_marks():
+    data = b"abcdefgh" * 40
+    check = {"kind": chunk_dedup.CHECK, "at": 8, "n": 200}
+    after = {"kind": chunk_dedup.AFTER, "at": 208, "n": 12, "answer": b"abcdefghXXXX"}
+    assert chunk_dedup.confirmed(data, [{**check, "answer": chunk_dedup.digest_of(data[8:208])}, after]) == [(8, 200), (208, 8)]
+    assert chunk_dedup.confirmed(data, [{**check, "answer": b"another"}, after]) == []
+
+
+def test_rows_of_one_id_and_other_texts_are_deduplicated(spark):
+    from conftest import passage
+
+    shared = passage(50, 70)
+    texts = [f"{passage(51, 30)} {shared}", f"{passage(52, 30)} {shared}"]
+    got = sorted(len(r["text"]) for r in chunk_dedup.dedup_chunks(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")).collect())
+    assert len(shared) - 2 <= sum(map(len, texts)) - sum(got) <= len(shared) + 2
