@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest_join, language, mixing
+from . import forest_join, language, lloyd, mixing, part_codes
 from .chunk_dedup import dedup_chunks
 from .common import read_table
 from .epsilon_join import near_duplicates
@@ -68,6 +68,14 @@ def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+
+
+def op12_ball_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.encode(read_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_hnsw": op2_hnsw,
@@ -79,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_forest_join": op8_forest_join,
     "op9_token_tables": op9_token_tables,
     "op10_epsilon_grid_join": op10_epsilon_grid_join,
+    "op11_lloyd": op11_lloyd,
+    "op12_ball_tree_codes": op12_ball_tree_codes,
 }
 
 #: The digest's 160 bits, five at a time, are the letters of its base32 form.
@@ -100,4 +110,4 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id)::BIGINT AS n_link
 FROM embeddings e JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON e.vec_id = c.node
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_warc_revisits": OP7_SQL, "op10_epsilon_grid_join": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_warc_revisits": OP7_SQL, "op10_epsilon_grid_join": OP10_SQL, "op11_lloyd": lloyd.sql(), "op12_ball_tree_codes": part_codes.sql()}

@@ -9,7 +9,7 @@ import pytest
 from lexiforge.llm import queries
 
 
-@pytest.mark.parametrize("name", ["op7_warc_revisits", "op10_epsilon_grid_join"])
+@pytest.mark.parametrize("name", ["op7_warc_revisits", "op10_epsilon_grid_join", "op11_lloyd", "op12_ball_tree_codes"])
 def test_same_rows(spark, tmp_path, name):
     """On the small tables, with equal payloads, one of them very common, and near vectors added."""
     sf = "/root/testdata/sf0.001"
@@ -29,4 +29,4 @@ def test_same_rows(spark, tmp_path, name):
     assert sorted(cols) == sorted(df.columns)
     got = [tuple(x) for x in df.select(*cols).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert any(x[3] == "revisit" for x in got) if name.startswith("op7") else sum(x[1] > 0 for x in got) > 20
+    assert {"op7": lambda: any(x[3] == "revisit" for x in got), "op10": lambda: sum(x[1] > 0 for x in got) > 20}.get(name.split("_")[0], lambda: len(got) > 500)()
