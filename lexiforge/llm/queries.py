@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest_join, language, lloyd, mixing, part_codes
+from . import forest_join, language, lloyd, main_text, mixing, part_codes
 from .chunk_dedup import dedup_chunks
 from .common import read_table
 from .epsilon_join import near_duplicates
@@ -76,6 +76,10 @@ def op12_ball_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes.encode(read_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
 
+def op13_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_hnsw": op2_hnsw,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_epsilon_grid_join": op10_epsilon_grid_join,
     "op11_lloyd": op11_lloyd,
     "op12_ball_tree_codes": op12_ball_tree_codes,
+    "op13_text_density": op13_text_density,
 }
 
 #: The digest's 160 bits, five at a time, are the letters of its base32 form.
