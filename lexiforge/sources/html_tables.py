@@ -17,35 +17,34 @@ FLOAT_RIGHT = re.compile("float *: *right;")
 ROWS = "template_name string, row_no int, cells array<string>, err string"
 
 
-def table_rows(html: str) -> list[list[str]]:
-    """Cells of the first table that floats right, row by row. Ends with the first table end inside it, nested ones included.
-
-    A cell's text is what precedes its first child, else its first link's; a cell with neither is left out.
-    """
-    events = ET.XMLPullParser(("start", "end"))
-    events.feed(f"<page>{html}</page>")
-    inside, rows, row = False, [], []
-    for kind, node in events.read_events():
-        if kind == "start":
-            inside = inside or (node.tag == "table" and FLOAT_RIGHT.match(node.get("style", "")) is not None)
-            continue
-        if not inside:
-            continue
-        if node.tag == "table":
-            break
-        if node.tag == "tr":
-            rows.append(row)
-            row = []
-        elif node.tag in ("th", "td"):
-            text = node.text
-            if text is None:
-                link = node.find("a")
-                text = None if link is None else link.text
-            if text is not None:
-                row.append(text.strip())
-    if row:
-        rows.append(row)
-    return rows
+def closed_elements(html: str) -> Iterator[ET.Element]:
+    """The elements that close inside the first table that floats right, in that order, up to the first close of a table, nested or not."""
+    markup = ET.XMLPullParser(("start", "end"))
+    markup.feed(f"<page>{html}</page>")
+    events = markup.read_events()
+    floats = (True for kind, x in events if kind == "start" and x.tag == "table" and FLOAT_RIGHT.match(x.get("style", "")))
+    if next(floats, False):
+        ends = (x for kind, x in events if kind == "end")
+        yield from itertools.takewhile(lambda x: x.tag != "table", ends)
+
+
+def cell_text(cell: ET.Element) -> str | None:
+    """The text before a cell's first child, else that of its first link, else none."""
+    texts = (x.text for x in (cell, *cell.findall("a")[:1]))
+    return next((t.strip() for t in texts if t is not None), None)
+
+
+def table_rows(html: str) -> Iterator[list[str]]:
+    """Cells of the first table that floats right, row by row; cells without a text are left out, what follows the last row is a row if it has cells."""
+    cells: list[str | None] = []
+    for x in closed_elements(html):
+        if x.tag in ("th", "td"):
+            cells.append(cell_text(x))
+        elif x.tag == "tr":
+            yield [c for c in cells if c is not None]
+            cells = []
+    if rest := [c for c in cells if c is not None]:
+        yield rest
 
 
 def parse_tables(pages: DataFrame) -> DataFrame:
