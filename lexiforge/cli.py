@@ -6,6 +6,7 @@ import argparse
 import logging
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import conllx, features
 from .operators.letters import BEGIN
@@ -31,11 +32,13 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("pages", help="pages whose title begins with a match")
     one.add_argument("pattern")
     one.add_argument("-O", "--output", dest="folder", help="folder for their texts; titles are printed without it")
+    one.add_argument("--files", action="store_true", help="a file for each page in place of Parquet")
     two = sub.add_parser("tables", help="render inflexion tables")
     two.add_argument("-H", "--html", action="store_true", help="keep the HTML")
     sub.add_parser("metas", help="metas of the dump")
     four = sub.add_parser("letters", help="letter rows of segmentation files")
     four.add_argument("files", nargs="+")
+    four.add_argument("--beside", action="store_true", help="write beside each input in place of -O")
     five = sub.add_parser("model", help="store a sequence model")
     five.add_argument("weights", help="lines: feature, previous label or nothing, label, weight, between tabs")
     five.add_argument("model", help="its folder")
@@ -43,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     five.add_argument("--lexicon", action="append", default=[], metavar="TYPE=FILE", help="morphemes of a type, one a line")
     six = sub.add_parser("segment", help="add morpheme columns to CoNLL-X files")
     six.add_argument("files", nargs="+")
+    six.add_argument("--beside", action="store_true", help="write beside each input in place of -O")
     six.add_argument("--model", required=True, help="folder of a stored model")
     six.add_argument("--begin", default=BEGIN, help="mark of labels that begin a morpheme")
     six.add_argument("--partitions", type=int, help="tasks to decode in")
@@ -57,7 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "pages":
         found = api.pages(spark, args.dump, args.pattern)
         if args.folder:
-            sinks.write_pages(found, args.folder)
+            (sinks.write_page_files if args.files else sinks.write_pages)(found, args.folder)
         else:
             for row in found.select("title").toLocalIterator():
                 print(row["title"])
@@ -70,16 +74,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "metas":
         sinks.write_metas(api.metas(spark, args.dump), args.output)
     elif args.command == "letters":
-        sinks.write_letters(api.to_letters(spark, args.files), args.output)
+        sinks.write_letters(api.to_letters(spark, args.files), None if args.beside else args.output)
     elif args.command == "model":
         lexicon = features.load_lexicon(spark, dict(x.split("=", 1) for x in args.lexicon)) if args.lexicon else None
         features.save_model(features.read_weights(spark, args.weights), args.labels.split(","), args.model, lexicon)
     elif args.command == "segment":
         weights, labels, lexicon = features.load_model(spark, args.model)
-        lines = conllx.sentences(texts.whole_files(spark, args.files))
+        whole = texts.whole_files(spark, args.files)
+        lines = conllx.sentences(whole)
         done = api.segment_lines(lines.repartition(args.partitions) if args.partitions else lines, weights, labels, args.begin, args.compatible, lexicon, args.strict)
         done, seen = sinks.counted(done, "tokens")
-        sinks.write_sentences(done.select("doc", "sent_id", "line_no", conllx.line().alias("line")), args.output)
+        sinks.write_sentences(done.select("doc", "sent_id", "line_no", conllx.line().alias("line")), None if args.beside else args.output, whole)
         logging.info("%d tokens", seen.get["rows"])
         tell_rejects(conllx.rejects(lines), args)
     else:
@@ -102,16 +107,11 @@ def tell_rejects(bad, args) -> None:
 
 
 def read_tables(spark: SparkSession, folder: str):
-    """Table texts: .table files, or the folders that `tables` writes."""
-    from pyspark.sql import functions as F
-
-    written = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", False)
-    try:
-        rows = written.load(folder)
-        if "table" in rows.columns:
-            return rows.select(F.translate("table", "%", "/").alias("template_name"), "value")
-    except Exception as e:  # a folder of .table files has no partitions
-        logging.info("%s", e)
+    """Table texts: the folders that `tables` writes, or .table files where there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/table=*")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path):
+        rows = spark.read.format("text").option("wholetext", True).load(folder)
+        return rows.select(F.translate(F.col("table").cast("string"), "%", "/").alias("template_name"), "value")
     return texts.tables(spark, folder)
 
 

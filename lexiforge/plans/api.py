@@ -36,11 +36,11 @@ def segment(metas_: DataFrame, table_texts: DataFrame, inflexions: list[str] | N
 
 
 def to_letters(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """doc, value: letter rows per word."""
+    """doc, word_id, value: letter rows per word."""
     words = texts.segmentations(spark, path)
     # the file goes with the word's id, so that ids are made once
     named = words.withColumn("word_id", F.struct("doc", "word_id"))
-    return letters.conll_text(letters.letters(named)).select("word_id.doc", "value")
+    return letters.conll_text(letters.letters(named)).select("word_id.doc", "word_id.word_id", "value")
 
 
 def segment_conll(spark: SparkSession, path: str | list[str], weights: DataFrame, labels: list[str], begin: str = letters.BEGIN, partitions: int | None = None, compatible: bool = False, lexicon: DataFrame | None = None, fail_fast: bool = False) -> DataFrame:

@@ -20,11 +20,15 @@ def dictionaries(spark: SparkSession, inflexions: str | None = None, suffixes: s
     return sorted({"", *words(inflexions, False)}) if inflexions else None, sorted(set(words(suffixes, True))) if suffixes else None
 
 
+def decoded(path):
+    """A path as it is; Spark gives it percent-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def tables(spark: SparkSession, folder: str) -> DataFrame:
     """template_name, value of a folder's .table files; % in a file's name stands for /."""
     rows = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.table").load(folder)
-    # the name comes percent-encoded from the path
-    name = F.url_decode(F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.table$", ""), r"\+", "%2B"))
+    name = decoded(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.table$", ""))
     return rows.select(F.translate(name, "%", "/").alias("template_name"), "value")
 
 
@@ -35,10 +39,10 @@ def metas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """doc (file name), value."""
-    return spark.read.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_name").alias("doc"), "value")
+    """doc (the file's whole path), value."""
+    return spark.read.format("text").option("wholetext", True).load(path).select(decoded(F.col("_metadata.file_path")).alias("doc"), "value")
 
 
 def segmentations(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """doc (file name), word_id, value of segmentation files, one word a line. Ids tell words apart and say nothing else."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("doc"), F.monotonically_increasing_id().alias("word_id"), "value")
+    """doc (the file's whole path), word_id, value of segmentation files, one word a line. Ids tell words apart and grow along a file."""
+    return spark.read.text(path).select(decoded(F.col("_metadata.file_path")).alias("doc"), F.monotonically_increasing_id().alias("word_id"), "value")

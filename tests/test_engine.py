@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from lexiforge.functions.calls import template_call
 from lexiforge.functions.endings import default_inflexions, default_suffixes, segment_ending
 from lexiforge.operators import conllx, features, letters, segmentation, templates, wikitext
 from lexiforge.plans import api, fixtures
-from lexiforge.sources import dumps, html_tables, sinks, texts
+from lexiforge.sources import dumps, files, html_tables, sinks, texts
 from lexiforge.streaming import dumps as streams
 
 DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/">
@@ -113,14 +114,56 @@ def test_conll_columns_and_decoder(spark, tmp_path):
     assert len(out) == 3 and out[0, "1"]["корень"] == "му|ша" and out[0, "2"]["корень"] == "_" and out[1, "1"]["корень"] == "_"
     morphemes = F.array(*(F.struct(F.lit("суфф").alias("type"), F.lit(p).alias("part")) for p in "аб"))
     row = spark.range(1).select(*conllx.morpheme_columns(morphemes, compatible=True)).first()
-    assert row["суфф"] == "|аб" and sinks.segmented_name("a.conll") == "a.segmented.conll"
+    assert row["суфф"] == "|аб"
+
+
+def files_in(folder):
+    return {str(f.relative_to(folder)): f.read_text() for f in folder.rglob("*") if f.is_file() and not f.name.endswith(".crc")}
 
 
 def test_sentences_of_several_files_stay_apart(spark, tmp_path):
-    rows = [("a.conll", 0, 1, "a0 second"), ("b", 0, 0, "b0"), ("a.conll", 1, 0, "a1"), ("a.conll", 0, 0, "a0 first")]
-    sinks.write_sentences(spark.createDataFrame(rows, "doc string, sent_id long, line_no int, line string").repartition(3), str(tmp_path / "out"))
-    got = {d.name: "".join(f.read_text() for f in sorted(d.glob("part-*"))) for d in (tmp_path / "out").iterdir() if d.is_dir()}
-    assert got == {"file=a.segmented.conll": "a0 first\na0 second\n\na1\n\n", "file=b.segmented": "b0\n\n"}
+    rows = [("/in/a.conll", 0, 1, "a0 second"), ("/in/x/b", 0, 0, "b0"), ("/in/a.conll", 1, 0, "a1"), ("/in/a.conll", 0, 0, "a0 first"), ("/in/x/a.conll", 0, 0, "other a")]
+    lines = spark.createDataFrame(rows, "doc string, sent_id long, line_no int, line string").repartition(3)
+    docs = lines.select("doc").union(spark.createDataFrame([("/in/empty",)], "doc string"))
+    for _ in range(2):  # a rerun replaces the files
+        sinks.write_sentences(lines, str(tmp_path / "out"), docs)
+    assert files_in(tmp_path / "out") == {"a.segmented.conll": "a0 first\na0 second\n\na1\n\n", "x/b.segmented": "b0\n\n", "x/a.segmented.conll": "other a\n\n", "empty.segmented": ""}
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")] == []
+
+
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    rows = spark.range(4).select(F.concat(F.lit(f"{tmp_path}/out/f"), F.col("id").cast("string")).alias("file"), "id", F.when(F.col("id") < 3, "text").otherwise(F.raise_error(F.lit("stop"))).alias("value"))
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "f0").write_text("before")
+    with pytest.raises(Exception, match="stop"):
+        files.write_files(rows, str(tmp_path / "out"), "id")
+    assert files_in(tmp_path / "out") == {"f0": "before"} and len(list((tmp_path / "out").iterdir())) == 1
+    writer = files.FilesWriter(str(tmp_path / "out"))
+    batch = pa.RecordBatch.from_pydict({"file": [f"{tmp_path}/out/a"], "value": ["x"]})
+    lost, one, two = writer.write([batch]), writer.write([batch]), writer.write([batch])
+    with pytest.raises(ValueError, match="several places"):
+        writer.commit([one, two])
+    writer.commit([writer.write([batch])])  # what a killed attempt (lost) has written goes with the folder
+    assert files_in(tmp_path / "out") == {"f0": "before", "a": "x"} and lost.files[0][0].startswith(writer.temporary)
+
+
+def test_outputs_of_equal_names_and_beside_their_inputs(spark, tmp_path):
+    model = stored_model(spark, tmp_path)
+    line = lambda form: f"1\t{form}\tl\tN\tN\tf\t0\tr\tp\tq\n"
+    for folder, form in (("a", "му"), ("b c%20", "мукшу")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.conll").write_text(line(form))
+        (tmp_path / "in" / folder / "s").write_text(f"корень_{form}\n")
+    inputs = [str(tmp_path / "in" / f / "x.conll") for f in ("a", "b c%20")]
+    assert cli.main(["-O", str(tmp_path / "out"), "segment", *inputs, "--model", model], spark) == 0
+    got = files_in(tmp_path / "out")
+    assert sorted(got) == ["a/x.segmented.conll", "b c%20/x.segmented.conll"]
+    assert "\tму\t" in got["a/x.segmented.conll"] and "му|шу\tк" in got["b c%20/x.segmented.conll"] and all(t.count("\n") == 2 for t in got.values())
+    assert cli.main(["segment", *inputs, "--model", model, "--beside"], spark) == 0
+    assert (tmp_path / "in" / "b c%20" / "x.segmented.conll").read_text() == got["b c%20/x.segmented.conll"]
+    assert cli.main(["-O", str(tmp_path / "letters"), "letters", *(str(tmp_path / "in" / f / "s") for f in ("a", "b c%20"))], spark) == 0
+    assert files_in(tmp_path / "letters") == {"a/s.conll": "м корень_начало\nу корень\n\n", "b c%20/s.conll": "м корень_начало\nу корень\nк корень\nш корень\nу корень\n\n"}
+    assert not [p for p in tmp_path.rglob("_writing*")]
 
 
 def test_one_dictionary_alone(spark, tmp_path):
@@ -145,10 +188,10 @@ def test_command_line_segments_sentences_of_two_files(spark, tmp_path):
     (tmp_path / "b").write_text(f"{line(1, 'м')}\nonly\tthree\tfields\n")
     argv = ["-O", str(tmp_path / "out"), "-R", str(tmp_path / "bad"), "segment", str(tmp_path / "a.conll"), str(tmp_path / "b"), "--model", model, "--partitions", "3"]
     assert cli.main(argv, spark) == 0
-    got = {d.name: "".join(f.read_text() for f in sorted(d.glob("part-*"))) for d in (tmp_path / "out").iterdir() if d.is_dir()}
+    got = files_in(tmp_path / "out")
     out = lambda k, form, pos, root, suff: f"{k}\t{form}\tl\tN\t{pos}\tf\t_\t{root}\t{suff}\t_\t\t0\tr\tp\tq\n"
-    assert got["file=a.segmented.conll"] == out(1, "му-шук", "N", "му|шу", "к") + out(2, "му", "PR", "_", "_") + "\n" + out(1, "мукшу", "N", "му|шу", "к") + "\n"
-    assert got["file=b.segmented"] == out(1, "м", "N", "_", "_") + "\n"
+    assert got["a.segmented.conll"] == out(1, "му-шук", "N", "му|шу", "к") + out(2, "му", "PR", "_", "_") + "\n" + out(1, "мукшу", "N", "му|шу", "к") + "\n"
+    assert got["b.segmented"] == out(1, "м", "N", "_", "_") + "\n"
     assert [(r["stage"], r["code"], r["detail"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("conll", "bad_columns", "only\tthree\tfields")]
     with pytest.raises(Exception, match="expected 10 fields"):
         cli.main([*argv, "--strict"], spark)
@@ -203,7 +246,9 @@ def test_sinks_and_sources_of_files(spark, tmp_path):
     (tmp_path / "s.txt").write_text("корень_дом\nкорень_муш суфф_к\n")
     lines = api.to_letters(spark, str(tmp_path / "s.txt"))
     sinks.write_letters(lines, str(tmp_path / "letters"))
-    assert [d.name for d in (tmp_path / "letters").iterdir() if d.is_dir()] == ["file=s.txt.conll"]
+    assert files_in(tmp_path / "letters") == {"s.txt.conll": "д корень_начало\nо корень\nм корень\n\nм корень_начало\nу корень\nш корень\nк суфф_начало\n\n"}
+    sinks.write_page_files(pages, str(tmp_path / "page-files"))
+    assert files_in(tmp_path / "page-files") == {"a-b_c": "text"}
     assert sorted(r["value"] for r in texts.segmentations(spark, str(tmp_path / "s.txt")).collect()) == ["корень_дом", "корень_муш суфф_к"]
     (tmp_path / "m").write_text("# x\nом\nом\n")
     assert sorted(map(tuple, features.load_lexicon(spark, {"оконч": str(tmp_path / "m"), "суфф": str(tmp_path / "m")}).collect())) == [("ом", "оконч"), ("ом", "суфф")]
