@@ -108,66 +108,78 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "tkey", "text").mapInArrow(tidy(run), "doc_id long, tkey long, start int, size int, digest long, before int, after int")
 
 
-def runs_of(found: list[dict]) -> list[list[dict]]:
-    """Marked chunks (start, size, ...) of a text, grouped into runs of overlapping and adjacent ones."""
-    out: list[list[dict]] = []
-    end = -1
-    for m in sorted(found, key=lambda m: (m["start"], m["size"])):
-        if m["start"] > end:
-            out.append([])
-        out[-1].append(m)
-        end = max(end, m["start"] + m["size"])
-    return out
-
-
-def stretches(part: list[dict]) -> dict[tuple, list[list[int]]]:
-    """The places [start, end) that the chunks of a run cover together, by first occurrence (its document's id and key, its distance)."""
-    out: dict[tuple, list[list[int]]] = {}
-    for m in part:
-        of = out.setdefault((m["s_id"], m["s_key"], m["s_at"] - m["start"]), [])
-        if of and m["start"] <= of[-1][1]:
-            of[-1][1] = max(of[-1][1], m["start"] + m["size"])
-        else:
-            of.append([m["start"], m["start"] + m["size"]])
-    return out
-
-
 #: What an ask wants: the bytes before or after a place, or the digest of those that start there.
 BEFORE, CHECK, AFTER = -1, 0, 1
 _ASK = "at: int, kind: tinyint, n: int, s_id: bigint, s_key: bigint, s_at: int"
 
 
-def asks(per_doc: DataFrame, min_run: int) -> DataFrame:
-    """m_id, m_key, asks (at, kind, n, s_id, s_key, s_at) of per_doc (m_id, m_key, found): what runs that can reach min_run ask for.
+def first_of(*keys: np.ndarray) -> np.ndarray:
+    """Where one of the keys differs from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def stretches(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where a stretch of overlapping or adjacent places begins, of places sorted by (group, start); groups are numbers that grow."""
+    far = group.astype(np.int64) << 40
+    reach = np.maximum.accumulate(end + far)
+    new = np.ones(len(start), bool)
+    new[1:] = (start + far)[1:] > reach[:-1]
+    return new
 
-    An ask is a stretch or the end of a run, with the same place in a first occurrence, and the number of bytes wanted.
+
+def asks_of(doc: np.ndarray, m: dict[str, np.ndarray], min_run: int) -> dict[str, np.ndarray]:
+    """The asks of the marked chunks m (arrays start, size, s_none, s_id, s_key, s_at, before, after) of the documents doc (numbers), sorted by doc.
+
+    Overlapping and adjacent chunks of a document are a run. A run that can reach min_run asks every first occurrence that its chunks have (a document and a distance)
+    for the digests of the stretches that these cover, and for the bytes beyond its ends.
     """
-    kinds = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int8()), ("n", pa.int32()), ("s_id", pa.int64()), ("s_key", pa.int64()), ("s_at", pa.int32())]))
+    order = np.lexsort((m["size"], m["start"], doc))
+    doc, m = doc[order], {k: v[order].astype(np.int64) if k != "s_none" else v[order] for k, v in m.items()}
+    start, end = m["start"], m["start"] + m["size"]
+    new = stretches(doc, start, end)
+    run, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    a, e = start[at], np.maximum.reduceat(end, at)
+    last = np.flatnonzero(end == e[run])
+    last = last[first_of(run[last])]
+    back, after = np.minimum(a, m["before"][at] + LOOK), m["after"][last]
+    some = (e - a + back + after >= min_run)[run]
+    run, doc, start, end, m = run[some], doc[some], start[some], end[some], {k: v[some] for k, v in m.items()}
+    shift = m["s_at"] - start
+    order = np.lexsort((end, start, shift, m["s_key"], m["s_id"], m["s_none"], run))
+    run, doc, start, end, shift, m = run[order], doc[order], start[order], end[order], shift[order], {k: v[order] for k, v in m.items()}
+    begin = first_of(run, m["s_none"], m["s_id"], m["s_key"], shift) if len(run) else np.zeros(0, bool)
+    one = np.flatnonzero(begin)  # a row of each first occurrence of a run
+    lo = np.flatnonzero(stretches(np.cumsum(begin), start, end)) if len(run) else one
+    hi = np.maximum.reduceat(end, lo) if len(lo) else end
+    left, right = one[(back[run[one]] > 0) & (a[run[one]] + shift[one] > 0)], one[after[run[one]] > 0]
+    rows = np.concatenate([lo, left, right])
+    place = np.concatenate([start[lo], a[run[left]], e[run[right]]])
+    kind = np.repeat([CHECK, BEFORE, AFTER], [len(lo), len(left), len(right)])
+    out = {"doc": doc[rows], "at": place, "kind": kind, "n": np.concatenate([hi - start[lo], back[run[left]], after[run[right]]]), "s_none": m["s_none"][rows], "s_id": m["s_id"][rows], "s_key": m["s_key"][rows], "s_at": place + shift[rows]}
+    by = np.argsort(out["doc"], kind="stable")
+    return {k: v[by] for k, v in out.items()}
+
+
+def asks(per_doc: DataFrame, min_run: int) -> DataFrame:
+    """m_id, m_key, asks (at, kind, n, s_id, s_key, s_at) of per_doc (m_id, m_key, found): see asks_of()."""
+    fields = {"at": pa.int32(), "kind": pa.int8(), "n": pa.int32(), "s_id": pa.int64(), "s_key": pa.int64(), "s_at": pa.int32()}
 
     def run(batches):
         for b in batches:
-            kept, all_asks = [], []
-            for k, found in enumerate(b.column(2).to_pylist()):
-                wanted = []
-                for part in runs_of(found):
-                    first, last = part[0], max(part, key=lambda m: m["start"] + m["size"])
-                    a, e = first["start"], last["start"] + last["size"]
-                    back = min(a, first["before"] + LOOK)
-                    if e - a + back + last["after"] < min_run:
-                        continue
-                    for (s_id, s_key, shift), places in stretches(part).items():
-                        ask = lambda at, kind, n: wanted.append({"at": at, "kind": kind, "n": n, "s_id": s_id, "s_key": s_key, "s_at": at + shift})  # noqa: B023, E731
-                        for lo, hi in places:
-                            ask(lo, CHECK, hi - lo)
-                        if back and a + shift > 0:
-                            ask(a, BEFORE, back)
-                        if last["after"]:
-                            ask(e, AFTER, last["after"])
-                if wanted:
-                    kept.append(k)
-                    all_asks.append(wanted)
-            at = pa.array(kept, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(all_asks, kinds)], ["m_id", "m_key", "asks"])
+            lists = b.column(2)
+            sizes, chunk = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            if not len(chunk):
+                continue
+            m = {k: chunk.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in ("start", "size", "s_id", "s_key", "s_at", "before", "after")}
+            m["s_none"] = chunk.field("s_id").is_null().to_numpy(zero_copy_only=False)
+            found = asks_of(np.repeat(np.arange(b.num_rows), sizes), m, min_run)
+            kept, counts = np.unique(found["doc"], return_counts=True)
+            items = pa.StructArray.from_arrays([pa.array(found[k], t, mask=found["s_none"]) if k == "s_id" else pa.array(found[k].astype(t.to_pandas_dtype()), t) for k, t in fields.items()], list(fields))
+            at = pa.array(kept)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), items)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), lists], ["m_id", "m_key", "asks"])
 
     return per_doc.select("m_id", "m_key", "found").mapInArrow(tidy(run), f"m_id long, m_key long, asks array<struct<{_ASK}>>")
 

@@ -377,3 +377,47 @@ def test_rows_of_one_id_and_other_texts_are_deduplicated(spark):
     texts = [f"{passage(51, 30)} {shared}", f"{passage(52, 30)} {shared}"]
     got = sorted(len(r["text"]) for r in chunk_dedup.dedup_chunks(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")).collect())
     assert len(shared) - 2 <= sum(map(len, texts)) - sum(got) <= len(shared) + 2
+
+
+def test_asks_equal_a_plain_version():
+    """Runs, their stretches and ends, chunk by chunk."""
+    r = np.random.default_rng(4)
+    names = ("start", "size", "s_id", "s_key", "s_at", "before", "after")
+    for trial in range(60):
+        n = int(r.integers(0, 40))
+        doc = np.sort(r.integers(0, 4, n))
+        start = r.integers(0, 300, n)
+        cols = dict(zip(names, (start, r.integers(1, 60, n), r.integers(0, 3, n), r.integers(0, 2, n), start + r.integers(-3, 2, n) * 100 + 300, r.integers(0, 20, n), r.integers(0, 20, n)), strict=True))
+        none = (cols["s_id"] == 0) & (r.random(n) < 0.5)
+        want = []
+        for d in range(4):
+            rows = sorted(({k: int(v[i]) for k, v in cols.items()} | {"none": bool(none[i])} for i in np.flatnonzero(doc == d)), key=lambda x: (x["start"], x["size"]))
+            runs, end = [], -1
+            for x in rows:
+                if x["start"] > end:
+                    runs.append([])
+                runs[-1].append(x)
+                end = max(end, x["start"] + x["size"])
+            for part in runs:
+                first, last = part[0], max(part, key=lambda x: x["start"] + x["size"])
+                a, e, after = first["start"], last["start"] + last["size"], last["after"]
+                back = min(a, first["before"] + chunk_dedup.LOOK)
+                if e - a + back + after < 100:
+                    continue
+                by = {}
+                for x in part:
+                    of = by.setdefault((x["none"], x["s_id"], x["s_key"], x["s_at"] - x["start"]), [])
+                    if of and x["start"] <= of[-1][1]:
+                        of[-1][1] = max(of[-1][1], x["start"] + x["size"])
+                    else:
+                        of.append([x["start"], x["start"] + x["size"]])
+                for (none_, s_id, s_key, shift), places in by.items():
+                    ask = lambda at, kind, n: want.append((d, at, kind, n, none_, s_id, s_key, at + shift))  # noqa: B023, E731
+                    for lo, hi in places:
+                        ask(lo, chunk_dedup.CHECK, hi - lo)
+                    if back and a + shift > 0:
+                        ask(a, chunk_dedup.BEFORE, back)
+                    if after:
+                        ask(e, chunk_dedup.AFTER, after)
+        got = chunk_dedup.asks_of(doc, cols | {"s_none": none}, 100)
+        assert sorted(zip(*(got[k].tolist() for k in ("doc", "at", "kind", "n", "s_none", "s_id", "s_key", "s_at")), strict=True)) == sorted(want), trial
