@@ -50,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     six.add_argument("--model", required=True, help="folder of a stored model")
     six.add_argument("--begin", default=BEGIN, help="mark of labels that begin a morpheme")
     six.add_argument("--partitions", type=int, help="tasks to decode in")
+    six.add_argument("--features", metavar="MODULE:FUNCTION", help="feature factory: gives word_id, pos, feature for words (word_id, word) and a lexicon")
     six.add_argument("--strict", action="store_true", help="stop at a line without ten fields")
     return p
 
@@ -82,7 +83,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         weights, labels, lexicon = features.load_model(spark, args.model)
         whole = texts.whole_files(spark, args.files)
         lines = conllx.sentences(whole)
-        done = api.segment_lines(lines.repartition(args.partitions) if args.partitions else lines, weights, labels, args.begin, args.compatible, lexicon, args.strict)
+        done = api.segment_lines(lines, weights, labels, args.begin, args.compatible, lexicon, args.strict, features.factory(args.features), args.partitions)
         done, seen = sinks.counted(done, "tokens")
         sinks.write_sentences(done.select("doc", "sent_id", "line_no", conllx.line().alias("line")), None if args.beside else args.output, whole)
         logging.info("%d tokens", seen.get["rows"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import computed
+
 FIELDS = ("id", "form", "lemma", "cpostag", "postag", "feats", "head", "deprel", "phead", "pdeprel")
 # Morpheme types that have a column, in order, and parts of speech that are not segmented.
 COLUMNS = ("прист", "корень", "суфф", "оконч")
@@ -23,7 +25,7 @@ def parse(lines: DataFrame, fail_fast: bool = False) -> DataFrame:
     fields = F.filter(F.split("line", "\t"), lambda x: x != "")
     if fail_fast:
         fields = F.when(F.size(fields) == 10, fields).otherwise(F.raise_error(F.concat(F.lit("expected 10 fields: "), F.col("line"))).cast("array<string>"))
-    split = lines.withColumn("_f", fields).where(F.size("_f") == 10)
+    split = computed(lines, "_f", fields).where(F.size("_f") == 10)
     return split.select(*[c for c in lines.columns if c != "line"], *(F.col("_f")[k].alias(name) for k, name in enumerate(FIELDS)))
 
 
@@ -32,10 +34,31 @@ def rejects(lines: DataFrame) -> DataFrame:
     return bad.select(F.lit("conll").alias("stage"), F.lit("bad_columns").alias("code"), F.col("line").alias("detail"), F.col("sent_id").cast("string").alias("key"))
 
 
+def is_word() -> Column:
+    """The token's part of speech is segmented."""
+    return ~F.col("postag").isin(*IGNORED_POS)
+
+
+def parts(form: Column) -> Column:
+    """array<string>: the parts of a form that can be segmented."""
+    return F.filter(F.split(form, "[ -]"), lambda p: F.length(p) >= 2)
+
+
 def words(tokens: DataFrame) -> DataFrame:
     """The parts of each form that are to be segmented: all columns of tokens, part_no, part."""
-    wanted = tokens.where(~F.col("postag").isin(*IGNORED_POS))
-    return wanted.select(*tokens.columns, F.posexplode(F.split("form", "[ -]")).alias("part_no", "part")).where(F.length("part") >= 2)
+    return tokens.where(is_word()).select(*tokens.columns, F.posexplode(F.split("form", "[ -]")).alias("part_no", "part")).where(F.length("part") >= 2)
+
+
+def counts(lines: DataFrame) -> DataFrame:
+    """doc, sentences, tokens, parts, bad (lines without ten fields) of each doc that has tokens, in one pass over its lines."""
+    f = F.filter(F.split("line", "\t"), lambda x: x != "")
+    each = computed(lines.select("doc", "sent_id", "line"), "f", f)
+    good = F.size("f") == 10
+    found = F.when(good & ~F.col("f")[FIELDS.index("postag")].isin(*IGNORED_POS), F.size(parts(F.col("f")[FIELDS.index("form")]))).otherwise(0)
+    per = each.select("doc", "sent_id", good.alias("good"), found.alias("parts")).groupBy("doc", "sent_id")
+    sums = per.agg(F.count_if("good").alias("tokens"), F.sum("parts").alias("parts"), F.count_if(~F.col("good")).alias("bad"))
+    out = sums.groupBy("doc").agg(F.count_if(F.col("tokens") > 0).alias("sentences"), *(F.sum(c).alias(c) for c in ("tokens", "parts", "bad")))
+    return out.where("tokens > 0")
 
 
 def morpheme_columns(morphemes: Column, compatible: bool = False) -> list[Column]:
@@ -57,6 +80,14 @@ def with_morphemes(tokens: DataFrame, found: DataFrame, key: tuple[str, ...], co
     return tokens.join(per, list(key), "left").select(*tokens.columns, *morpheme_columns(F.col("morphemes"), compatible))
 
 
+def with_form_morphemes(tokens: DataFrame, found: DataFrame, compatible: bool = False) -> DataFrame:
+    """tokens with the morpheme columns of found (form, part_no, morphemes); parts of a form follow each other. A frequent form is a hot key, whose other side has one row."""
+    per = found.groupBy(F.col("form").alias("_form")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "morphemes"))), lambda x: x["morphemes"])).alias("morphemes"))
+    columns = per.select("_form", *morpheme_columns(F.col("morphemes"), compatible))
+    joined = tokens.join(columns, F.col("form") == F.col("_form"), "left")
+    return joined.select(*tokens.columns, *(F.coalesce(F.when(is_word(), F.col(c)), F.lit("_")).alias(c) for c in COLUMNS))
+
+
 def line(compatible: bool = True) -> Column:
     """The output line: morpheme columns after FEATS; compatible keeps the empty field that follows them."""
     return F.concat_ws("\t", *FIELDS[:6], *COLUMNS, *([F.lit("")] if compatible else []), *FIELDS[6:])

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
+import importlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.automaton import Automaton, automaton
+from ..functions.text import let
+
 SUFFIX = "|"
-#: What a model may hold at most: it is sent to every executor whole.
-MODEL_ROWS = 2_000_000
+#: Up to so many rows a lexicon is an automaton and a model is a table on every executor; beyond it they are joined.
+LEXICON_ROWS = MODEL_ROWS = 500_000
 WEIGHTS = "feature string, label_prev string, label string, weight double"
+FEATURES = "pos int, feature string"
+#: A feature factory gives word_id, pos, feature for words (word_id, word) and a lexicon (morpheme, type) or none.
+Factory = Callable[[DataFrame, "DataFrame | None"], DataFrame]
 
 
 def split_letters(word: Column) -> Column:
@@ -34,12 +42,133 @@ def context_features(rows: DataFrame) -> DataFrame:
     return seen.select("word_id", "pos", F.explode(F.transform(F.array_distinct(each), lambda f: F.concat(f, F.lit(SUFFIX + "C")))).alias("feature"))
 
 
-def pair_features(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+def word_context_features(words: DataFrame) -> DataFrame:
+    """context_features() of whole words (word_id, word): a word's letters are at hand, so nothing is shuffled."""
+    at = lambda letters, k: F.coalesce(F.get(letters, k), F.lit(""))
+
+    def each(letters: Column) -> Column:
+        names = lambda c, k: F.array(
+            F.format_string("%s-%s-PWORD-WORD|C", at(letters, k - 1), c), F.format_string("%s-WORD|C", c), F.format_string("%s-%s-WORD-NWORD|C", c, at(letters, k + 1)),
+            F.format_string("%d-POSITION|C", k), F.format_string("%d-BACK-POSITION|C", F.size(letters) - k),
+        )
+        return F.transform(letters, lambda c, k: F.struct(k.alias("pos"), names(c, k).alias("features")))
+
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    seen = words.select("word_id", F.explode(let(letters, each)).alias("l"))
+    return seen.select("word_id", "l.pos", F.explode("l.features").alias("feature"))
+
+
+class Lexicon:
+    """Morphemes and their types: an automaton, and for each morpheme the numbers of its types."""
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        types: dict[str, set[str]] = {}
+        for morpheme, kind in rows:
+            types.setdefault(morpheme, set()).add(kind)
+        self.empty = sorted(types.pop("", ()))
+        morphemes = sorted(types)
+        self.types = sorted({t for _, t in rows})
+        number = {t: k for k, t in enumerate(self.types)}
+        self.morphemes = pa.array(morphemes, pa.string())
+        self.sizes = np.fromiter(map(len, morphemes), np.int64, len(morphemes))
+        self.first = np.concatenate([[0], np.cumsum([len(types[m]) for m in morphemes])]).astype(np.int64)
+        self.numbers = np.array([number[t] for m in morphemes for t in sorted(types[m])], np.int64)
+        self.automaton: Automaton = automaton(morphemes)
+
+
+def lexicon_of(lexicon: DataFrame | None) -> Lexicon | None:
+    """A lexicon's tables; None if it is too large to be sent to executors."""
+    rows = lexicon.select("morpheme", "type").limit(LEXICON_ROWS + 1).collect() if lexicon is not None else []
+    return Lexicon([(r[0], r[1]) for r in rows]) if len(rows) <= LEXICON_ROWS else None
+
+
+def flat_letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[str], list[str]]:
+    """(word, place, letter, the one before, the one after) of all letters of words; '' beyond a word's ends."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    row, ends = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes)
+    letters = list("".join(words))
+    before, after = ["", *letters][: len(letters)], [*letters[1:], ""][: len(letters)]
+    for k in ends[sizes > 0].tolist():
+        after[k - 1] = ""
+        if k < len(letters):
+            before[k] = ""
+    return row, np.arange(len(letters)) - (ends - sizes)[row], letters, before, after
+
+
+def joined(*parts) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, "-")
+
+
+def pair_rows(words: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(word, place, feature): letter pairs, and the morphemes that start or end at a place, in one pass over the words."""
+    row, pos, letters, before, after = flat_letters(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    c, suffix = pa.array(letters, pa.string()), SUFFIX + "CpC"
+    rows, places = [row, row], [pos, pos]
+    names = [joined(pa.array(before, pa.string()), c, "PWORD", "WORD" + suffix), joined(c, pa.array(after, pa.string()), "WORD", "NWORD" + suffix)]
+    text, end, morpheme = lexicon.automaton.matches(words)
+    inside = end < sizes[text]
+    for side, t, p, m in (("START", text, end - lexicon.sizes[morpheme], morpheme), ("END", text[inside], end[inside], morpheme[inside])):
+        rows.append(t)
+        places.append(p)
+        names.append(joined(side, "OF", lexicon.morphemes.take(pa.array(m)), "MORPHEME" + suffix))
+        many = np.diff(lexicon.first)[m]
+        kind = lexicon.numbers[np.repeat(lexicon.first[m] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        # several morphemes of one type at a place give one feature
+        key = np.unique(np.stack([np.repeat(t, many), np.repeat(p, many), kind]), axis=1)
+        rows.append(key[0])
+        places.append(key[1])
+        names.append(joined(side, "OF", pa.array(lexicon.types, pa.string()).take(pa.array(key[2])), "TYPE", "MORPHEME" + suffix))
+    for name in [f"END-OF--MORPHEME{suffix}", *(f"END-OF-{t}-TYPE-MORPHEME{suffix}" for t in lexicon.empty)] if lexicon.empty else []:
+        # the empty morpheme ends everywhere and starts nowhere
+        rows.append(row)
+        places.append(pos)
+        names.append(pa.array([name] * len(row), pa.string()))
+    row, pos, name = np.concatenate(rows), np.concatenate(places), pa.concat_arrays(names)
+    if lexicon.empty:  # its types may end there by themselves
+        code = name.dictionary_encode()
+        _, at = np.unique(np.stack([row, pos, code.indices.to_numpy()]), axis=1, return_index=True)
+        row, pos, name = row[at], pos[at], name.take(pa.array(at))
+    return row, pos, name
+
+
+def context_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(word, place, feature) of word_context_features()."""
+    row, pos, letters, before, after = flat_letters(words)
+    c, suffix = pa.array(letters, pa.string()), SUFFIX + "C"
+    back = np.fromiter(map(len, words), np.int64, len(words))[row] - pos
+    number = lambda x: pa.array(x).cast(pa.string())
+    names = [
+        joined(pa.array(before, pa.string()), c, "PWORD", "WORD" + suffix), joined(c, "WORD" + suffix), joined(c, pa.array(after, pa.string()), "WORD", "NWORD" + suffix),
+        joined(number(pos), "POSITION" + suffix), joined(number(back), "BACK", "POSITION" + suffix),
+    ]
+    return np.tile(row, 5), np.tile(pos, 5), pa.concat_arrays(names)
+
+
+def pair_features(words: DataFrame, lexicon: DataFrame | None) -> DataFrame:
     """word_id, pos, feature of words (word_id, word): letter pairs, and every lexicon morpheme (morpheme, type) that starts or ends at a place.
 
-    The places are exploded to substrings, which meet the lexicon in an equality join; those longer than its longest morpheme are not made.
-    An empty morpheme ends everywhere and starts nowhere.
+    An automaton of the lexicon goes over each word once, where the word is; a lexicon that is too large for executors is joined.
+    An empty morpheme ends everywhere and starts nowhere. A word_id names one word.
     """
+    table = lexicon_of(lexicon)
+    if table is None:
+        return pair_features_by_join(words, lexicon)
+    shared = words.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                some = b.slice(lo, 2000)
+                row, pos, name = pair_rows([w or "" for w in some.column(1).to_pylist()], shared.value)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), name], ["word_id", "pos", "feature"])
+
+    plain = words.select("word_id", F.col("word").cast("string").alias("word"))
+    return plain.mapInArrow(run, f"word_id {plain.schema['word_id'].dataType.simpleString()}, {FEATURES}")
+
+
+def pair_features_by_join(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """pair_features() for a lexicon of any size: the places are exploded to substrings, which meet it in an equality join; those longer than its longest morpheme are not made."""
     longest, shortest = lexicon.agg(F.max(F.length("morpheme")), F.min(F.length("morpheme"))).first()
     longest, first = longest or 0, 0 if shortest == 0 else 1
     n = F.length("word")
@@ -59,15 +188,28 @@ def pair_features(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return found.withColumn("feature", F.concat("feature", F.lit(SUFFIX + "CpC")))
 
 
-def clique_features(words: DataFrame, lexicon: DataFrame, clique: str) -> DataFrame:
+def clique_features(words: DataFrame, lexicon: DataFrame | None, clique: str) -> DataFrame:
     """Features of one clique: C or CpC."""
     if clique == "C":
-        return context_features(words.select("word_id", F.explode(split_letters(F.col("word"))).alias("l")).select("word_id", "l.pos", "l.letter"))
+        return word_context_features(words)
     if clique == "CpC":
         return pair_features(words, lexicon)
     raise ValueError(f"unknown clique {clique}")
 
 
+def all_features(words: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """The feature factory that is taken by default: both cliques."""
+    return word_context_features(words).unionByName(pair_features(words, lexicon))
+
+
+def factory(name: str | None) -> Factory | None:
+    """The feature factory that `module:function` names."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function or "features")
+
+
 def load_lexicon(spark, files: dict[str, str]) -> DataFrame:
     """morpheme, type from one file per type; lines that start with # are left out."""
     out = None
@@ -99,88 +241,125 @@ def read_weights(spark, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=WEIGHTS, quote="", mode="FAILFAST", emptyValue="", nullValue="")
 
 
-def bounded(rows: DataFrame, what: str) -> list:
-    found = rows.limit(MODEL_ROWS + 1).collect()
-    if len(found) > MODEL_ROWS:
-        raise ValueError(f"{what} of more than {MODEL_ROWS} rows: too large to send to executors")
-    return found
+class Model:
+    """Weights as arrays: a row for each feature that weighs one label, another for each that weighs two."""
+
+    def __init__(self, rows: list, labels: list[str]):
+        m, place = len(labels), {name: k for k, name in enumerate(labels)}
+        one = sorted({r["feature"] for r in rows if r["label_prev"] is None})
+        two = sorted({r["feature"] for r in rows if r["label_prev"] is not None})
+        at_one, at_two = ({f: k for k, f in enumerate(x)} for x in (one, two))
+        self.labels, self.one, self.two = labels, pa.array(one, pa.string()), pa.array(two, pa.string())
+        self.single, self.double = np.zeros((len(one), m)), np.zeros((len(two), m, m))
+        for r in rows:
+            if r["label_prev"] is None:
+                self.single[at_one[r["feature"]], place[r["label"]]] += r["weight"]
+            else:
+                self.double[at_two[r["feature"]], place[r["label_prev"]], place[r["label"]]] += r["weight"]
+
+    def scores(self, words: list[str], n: int, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray | None]:
+        """(scores of labels, scores of label pairs) at each place of words of n letters."""
+        m = len(self.labels)
+        own, step = np.zeros((len(words), n, m)), np.zeros((len(words), n, m, m)) if len(self.two) else None
+        for row, pos, name in (context_rows(words), pair_rows(words, lexicon)):
+            for known, weights, out in ((self.one, self.single, own), (self.two, self.double, step)):
+                if len(known):
+                    at = pc.index_in(name, value_set=known)
+                    some = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                    np.add.at(out, (row[some], pos[some]), weights[at.drop_null().to_numpy()])
+        return own, step
+
+
+def best_paths(own: np.ndarray, step: np.ndarray | None) -> np.ndarray:
+    """The best label sequence of each word (word, place) for scores (word, place, label) and (word, place, label before, label); the first of equals."""
+    score, back = own[:, 0], []
+    for k in range(1, own.shape[1]):
+        all_ = score[:, :, None] + (step[:, k] if step is not None else 0.0) + own[:, k, None, :]
+        back.append(all_.argmax(axis=1))
+        score = all_.max(axis=1)
+    path = [score.argmax(axis=1)]
+    for b in reversed(back):
+        path.append(np.take_along_axis(b, path[-1][:, None], 1)[:, 0])
+    return np.stack(path[::-1], axis=1)
+
+
+def by_length(words: list[str], labels: int) -> Iterator[tuple[int, list[int]]]:
+    """(length, numbers of words of it), in blocks whose score arrays stay small."""
+    places: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        if w:
+            places.setdefault(len(w), []).append(i)
+    for n, all_ in places.items():
+        most = max(1, 4_000_000 // (n * labels * labels))
+        for lo in range(0, len(all_), most):
+            yield n, all_[lo : lo + most]
+
 
+def labelled(word: str, path: list[int], labels: list[str]) -> list[dict]:
+    return [{"letter": c, "label": labels[k]} for c, k in zip(word, path, strict=True)]
 
-def decode(words: DataFrame, weights: DataFrame, labels: list[str], lexicon: DataFrame | None = None, features: Callable[[str], list[list[str]]] | None = None) -> DataFrame:
-    """words (word_id, word) with labelled: the best label sequence of a linear-chain model; none for an empty or null word.
 
-    weights: feature, label_prev (null for one-label features), label, weight; lexicon: morpheme, type. Both are collected, up to MODEL_ROWS
-    rows each, and sent to the executors. features gives each letter's features; by default those of both cliques.
+LABELLED = "array<struct<letter: string, label: string>>"
+
+
+def decode(words: DataFrame, weights: DataFrame, labels: list[str], lexicon: DataFrame | None = None, features: Factory | None = None) -> DataFrame:
+    """words (word, ...) with labelled: the best label sequence of a linear-chain model; none for an empty or null word.
+
+    weights: feature, label_prev (null for one-label features), label, weight; lexicon: morpheme, type. features: by default all_features().
+    Models and lexicons of up to MODEL_ROWS and LEXICON_ROWS rows are sent to the executors, where whole batches of words are scored in arrays;
+    larger ones, and features of one's own, go by joins (see scored()).
     """
     spark = words.sparkSession
-    single: dict = {}
-    double: dict = {}
-    place = {name: k for k, name in enumerate(labels)}
-    for r in bounded(weights, "weights"):
-        if r["label_prev"] is None:
-            single.setdefault(r["feature"], np.zeros(len(labels)))[place[r["label"]]] += r["weight"]
-        else:
-            double.setdefault(r["feature"], np.zeros((len(labels), len(labels))))[place[r["label_prev"]], place[r["label"]]] += r["weight"]
-    types: dict[str, set[str]] = {}
-    for r in bounded(lexicon, "a lexicon") if lexicon is not None else []:
-        types.setdefault(r["morpheme"], set()).add(r["type"])
-    shared = spark.sparkContext.broadcast((single, double, labels, features or partial(letter_features, types=types)))
-
-    @F.pandas_udf("array<struct<letter: string, label: string>>")
+    some = weights.limit(MODEL_ROWS + 1).collect() if features is None else []
+    table = lexicon_of(lexicon) if features is None and len(some) <= MODEL_ROWS else None
+    if table is None:
+        return decode_by_join(words, weights, labels, lexicon, features or all_features)
+    shared = spark.sparkContext.broadcast((Model(some, labels), table))
+
+    @F.pandas_udf(LABELLED)
     def best(column: pd.Series) -> pd.Series:
-        one, two, names, make = shared.value
+        model, morphemes = shared.value
         # words repeat: each spelling of a batch is decoded once
         codes, spelled = pd.factorize(column.fillna(""))
-        found = viterbi(list(spelled), one, two, names, make)
+        found: list[list[dict]] = [[] for _ in spelled]
+        for n, at in by_length(list(spelled), len(labels)):
+            paths = best_paths(*model.scores([spelled[i] for i in at], n, morphemes))
+            for i, path in zip(at, paths.tolist(), strict=True):
+                found[i] = labelled(spelled[i], path, labels)
         return pd.Series([found[c] for c in codes], index=column.index, dtype=object)
 
     return words.withColumn("labelled", best("word"))
 
 
-def letter_features(word: str, types: dict[str, set[str]]) -> list[list[str]]:
-    """The features of both cliques for each letter: what context_features() and pair_features() give as rows."""
-    n, out = len(word), []
-    longest = max(map(len, types), default=0)
-    for k, c in enumerate(word):
-        before, after = f"{word[k - 1] if k else ''}-{c}-PWORD-WORD", f"{c}-{word[k + 1] if k + 1 < n else ''}-WORD-NWORD"
-        pair = [before, after]
-        for side, found in (("START", (word[k:e] for e in range(k + 1, min(n, k + longest) + 1))), ("END", (word[b:k] for b in range(max(0, k - longest), k + 1)))):
-            for m in found:
-                if m in types:
-                    pair += [f"{side}-OF-{m}-MORPHEME", *(f"{side}-OF-{t}-TYPE-MORPHEME" for t in types[m])]
-        alone = [before, f"{c}-WORD", after, f"{k}-POSITION", f"{n - k}-BACK-POSITION"]
-        out.append([f + SUFFIX + "C" for f in dict.fromkeys(alone)] + [f + SUFFIX + "CpC" for f in dict.fromkeys(pair)])
-    return out
-
-
-def viterbi(words: list[str], single: dict, double: dict, labels: list[str], make: Callable) -> list[list[dict]]:
-    """The best labels of each word, in arrays over all words of one length."""
-    out: list[list[dict]] = [[] for _ in words]
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        if w:
-            by_length.setdefault(len(w), []).append(i)
+def scored(spelled: DataFrame, weights: DataFrame, labels: list[str], lexicon: DataFrame | None, features: Factory) -> DataFrame:
+    """word, scores (pos, before: -1 for none, label, score) of distinct words (word): their features are joined with the weights, wherever these are, and summed by place and labels.
+
+    A place's number is a feature of very many words: the join's skewed partitions can be split, since sums are taken after another shuffle.
+    """
+    place = F.create_map(*(x for k, name in enumerate(labels) for x in (F.lit(name), F.lit(k))))
+    named = features(spelled.select(F.col("word").alias("word_id"), "word"), lexicon)
+    known = weights.select("feature", F.when(F.col("label_prev").isNotNull(), place[F.col("label_prev")]).otherwise(-1).alias("before"), place[F.col("label")].alias("label"), "weight")
+    sums = named.join(known, "feature").groupBy("word_id", "pos", "before", "label").agg(F.sum("weight").alias("score"))
+    return sums.groupBy(F.col("word_id").alias("word")).agg(F.collect_list(F.struct("pos", "before", "label", "score")).alias("scores"))
+
+
+def decode_by_join(words: DataFrame, weights: DataFrame, labels: list[str], lexicon: DataFrame | None, features: Factory) -> DataFrame:
+    """decode() with weights of any number."""
     m = len(labels)
-    for n, places in by_length.items():
-        most = max(1, 4_000_000 // (n * m * m))
-        for lo in range(0, len(places), most):
-            some = places[lo : lo + most]
-            own, step = np.zeros((len(some), n, m)), np.zeros((len(some), n, m, m)) if double else None
-            for row, i in enumerate(some):
-                for k, found in enumerate(make(words[i])):
-                    for f in found:
-                        if f in single:
-                            own[row, k] += single[f]
-                        if f in double:
-                            step[row, k] += double[f]
-            score, back = own[:, 0], []
-            for k in range(1, n):
-                all_ = score[:, :, None] + (step[:, k] if double else 0.0) + own[:, k, None, :]
-                back.append(all_.argmax(axis=1))
-                score = all_.max(axis=1)
-            path = [score.argmax(axis=1)]
-            for b in reversed(back):
-                path.append(np.take_along_axis(b, path[-1][:, None], 1)[:, 0])
-            for i, found in zip(some, np.stack(path[::-1], axis=1).tolist(), strict=True):
-                out[i] = [{"letter": c, "label": labels[k]} for c, k in zip(words[i], found, strict=True)]
-    return out
+
+    @F.pandas_udf(LABELLED)
+    def best(column: pd.Series, scores: pd.Series) -> pd.Series:
+        spelled = list(column)
+        found: list[list[dict]] = [[] for _ in spelled]
+        for n, at in by_length(spelled, m):
+            own, step = np.zeros((len(at), n, m)), np.zeros((len(at), n, m, m))
+            for row, i in enumerate(at):
+                for s in scores.iloc[i] if scores.iloc[i] is not None else ():
+                    (own[row, s["pos"]] if s["before"] < 0 else step[row, s["pos"], s["before"]])[s["label"]] += s["score"]
+            for i, path in zip(at, best_paths(own, step).tolist(), strict=True):
+                found[i] = labelled(spelled[i], path, labels)
+        return pd.Series(found, index=column.index, dtype=object)
+
+    spelled = words.select("word").where(F.length("word") > 0).distinct()
+    found = spelled.join(scored(spelled, weights, labels, lexicon, features), "word", "left").select("word", best("word", "scores").alias("labelled"))
+    return words.join(found, "word", "left").select(*words.columns, F.coalesce("labelled", F.array().cast(LABELLED)).alias("labelled"))

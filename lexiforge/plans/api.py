@@ -46,20 +46,20 @@ def to_letters(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def segment_conll(spark: SparkSession, path: str | list[str], weights: DataFrame, labels: list[str], begin: str = letters.BEGIN, partitions: int | None = None, compatible: bool = False, lexicon: DataFrame | None = None, fail_fast: bool = False) -> DataFrame:
     """doc, sent_id, line_no and the fields of CoNLL-X files with morpheme columns."""
     lines = conllx.sentences(texts.whole_files(spark, path))
-    return segment_lines(lines.repartition(partitions) if partitions else lines, weights, labels, begin, compatible, lexicon, fail_fast)
+    return segment_lines(lines, weights, labels, begin, compatible, lexicon, fail_fast, partitions=partitions)
 
 
-def segment_lines(lines: DataFrame, weights: DataFrame, labels: list[str], begin: str = letters.BEGIN, compatible: bool = False, lexicon: DataFrame | None = None, fail_fast: bool = False) -> DataFrame:
+def segment_lines(lines: DataFrame, weights: DataFrame, labels: list[str], begin: str = letters.BEGIN, compatible: bool = False, lexicon: DataFrame | None = None, fail_fast: bool = False, features_: features.Factory | None = None, partitions: int | None = None) -> DataFrame:
     """segment_conll() for lines (doc, sent_id, line_no, line).
 
     A form whose labels do not begin a morpheme leaves its columns empty. Lines without ten fields raise an error, or are left out.
-    Each spelling is decoded once; a frequent one is a hot key of the join back, whose other side has one row for it, so an adaptive skew join may split it.
+    The lines are made and dealt out once: the distinct forms and the tokens that get their columns read the same exchange. Each form is decoded once.
     """
-    tokens = conllx.parse(lines, fail_fast)
-    key = ("doc", "sent_id", "line_no")
-    parts = conllx.words(tokens).select(*key, "part_no", F.col("part").alias("word"))
     # few bytes, but much work: without a number of tasks the adaptive plan puts them into one
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spelled = features.decode(parts.select("word").distinct().repartition(tasks), weights, labels, lexicon)
-    found = computed(spelled, "r", letters.reconstruct(F.col("labelled"), begin)).where(F.col("r.err").isNull()).select("word", "r.morphemes")
-    return conllx.with_morphemes(tokens, parts.join(found, "word").select(*key, "part_no", "morphemes"), key, compatible)
+    tasks = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = conllx.parse(lines.select("doc", "sent_id", "line_no", "line").repartition(tasks, "doc", "sent_id", "line_no"), fail_fast)
+    forms = tokens.where(conllx.is_word()).select("form").distinct().repartition(tasks)
+    parts = forms.select("form", F.posexplode(conllx.parts(F.col("form"))).alias("part_no", "word"))
+    spelled = features.decode(parts, weights, labels, lexicon, features_)
+    found = computed(spelled, "r", letters.reconstruct(F.col("labelled"), begin)).where(F.col("r.err").isNull())
+    return conllx.with_form_morphemes(tokens, found.select("form", "part_no", "r.morphemes"), compatible)

@@ -158,18 +158,15 @@ def conll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CoNLL-X lines from whole texts: a sentence per line of text that is not blank, a token per word, one of the ten fields empty now and then."""
     token = lambda w, k: F.concat_ws("\t", (k + 1).cast("string"), w, w, F.lit("N"), F.when(k % 7 == 3, "PR").otherwise("N"), F.lit("_"), F.lit("0"), F.when(k % 11 == 5, "").otherwise("root"), F.lit("_"), F.lit("_"))
     sentence = lambda line: F.array_join(F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), token), "\n")
-    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), sentence), "\n\n").alias("value"))
+    # few bytes, but much work: a file of one row group would be one task
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), sentence), "\n\n").alias("value"))
     return conllx.sentences(texts)
 
 
 def conll_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences, tokens, their parts and the malformed lines of every document."""
-    lines = conll_lines(spark, sf_dir)
-    tokens = conllx.parse(lines)
-    parts = conllx.words(tokens).groupBy("doc").agg(F.count("*").alias("parts"))
-    bad = conllx.rejects(lines.withColumn("sent_id", F.col("doc"))).groupBy(F.col("key").cast("long").alias("doc")).agg(F.count("*").alias("bad"))
-    whole = tokens.groupBy("doc").agg(F.count("*").alias("tokens"), F.count_distinct("sent_id").alias("sentences"))
-    return whole.join(parts, "doc", "left").join(bad, "doc", "left").select("doc", "sentences", "tokens", F.coalesce("parts", F.lit(0)).cast("long").alias("parts"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
+    return conllx.counts(conll_lines(spark, sf_dir))
 
 
 def segment_conll(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@ import random
 
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiforge import cli
+from lexiforge.functions.automaton import automaton
 from lexiforge.functions.base_form import base_form, format_parts
 from lexiforge.functions.calls import template_call
 from lexiforge.functions.endings import default_inflexions, default_suffixes, segment_ending
@@ -204,23 +207,90 @@ def test_model_is_required(spark, tmp_path):
         features.load_model(spark, str(tmp_path / "none"))
 
 
-def test_size_of_a_model_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(features, "MODEL_ROWS", 2)
-    weights = spark.createDataFrame([(f"{c}-WORD|C", None, "a", 1.0) for c in "xyz"], features.WEIGHTS)
-    with pytest.raises(ValueError, match="too large"):
-        features.decode(spark.createDataFrame([(1, "x")], "word_id long, word string"), weights, ["a"])
+def letter_features(word, types):
+    """Plain version: the features of both cliques for each letter."""
+    n, out = len(word), []
+    for k, c in enumerate(word):
+        before, after = f"{word[k - 1] if k else ''}-{c}-PWORD-WORD", f"{c}-{word[k + 1] if k + 1 < n else ''}-WORD-NWORD"
+        alone, pair = {before, f"{c}-WORD", after, f"{k}-POSITION", f"{n - k}-BACK-POSITION"}, {before, after}
+        for side, found in (("START", [word[k:e] for e in range(k + 1, n + 1)]), ("END", [word[b:k] for b in range(k + 1)])):
+            for m in found:
+                if m in types:
+                    pair |= {f"{side}-OF-{m}-MORPHEME", *(f"{side}-OF-{t}-TYPE-MORPHEME" for t in types[m])}
+        out.append({f + "|C" for f in alone} | {f + "|CpC" for f in pair})
+    return out
+
+
+LEXICON = [("под", "прист"), ("ход", "корень"), ("ход", "слово"), ("хо", "корень"), ("ом", "оконч"), ("м", "оконч"), ("а", "оконч"), ("", "пусто"), ("", "оконч"), ("дом", "корень")]
 
 
-def test_the_decoder_sees_what_the_feature_operators_give(spark):
-    words = spark.createDataFrame([("подходом",) * 2, ("дом",) * 2, ("аа",) * 2, ("",) * 2], "word_id string, word string")
-    lexicon = [("под", "прист"), ("ход", "корень"), ("ход", "слово"), ("ом", "оконч"), ("а", "оконч"), ("", "пусто")]
-    rows = spark.createDataFrame(lexicon, "morpheme string, type string")
+@pytest.mark.parametrize("rows", [LEXICON, [r for r in LEXICON if r[0]], []])
+def test_features_equal_the_plain_version(spark, monkeypatch, rows):
+    spelled = ["подходом", "дом", "аа", "", "x😀", "а-б"]
+    words = spark.createDataFrame([(w, w) for w in spelled], "word_id string, word string")
+    lexicon = spark.createDataFrame(rows, "morpheme string, type string")
     types = {}
-    for m, t in lexicon:
+    for m, t in rows:
         types.setdefault(m, set()).add(t)
-    found = features.clique_features(words, None, "C").unionByName(features.clique_features(words, rows, "CpC")).collect()
-    want = {(w, k, f) for w in ("подходом", "дом", "аа", "") for k, each in enumerate(features.letter_features(w, types)) for f in each}
-    assert len(found) == len(want) and {(r["word_id"], r["pos"], r["feature"]) for r in found} == want
+    want = sorted((w, k, f) for w in spelled for k, each in enumerate(letter_features(w, types)) for f in each)
+    assert sorted(map(tuple, features.all_features(words, lexicon).collect())) == want
+    letters_ = words.select("word_id", F.explode(features.split_letters(F.col("word"))).alias("l")).select("word_id", "l.pos", "l.letter")
+    assert sorted(map(tuple, features.context_features(letters_).collect())) == sorted(x for x in want if x[2].endswith("|C"))
+    monkeypatch.setattr(features, "LEXICON_ROWS", -1 if not rows else 1)  # as if it were too large for executors
+    assert sorted(map(tuple, features.pair_features(words, lexicon).collect())) == sorted(x for x in want if x[2].endswith("|CpC"))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abç", min_size=1, max_size=5), max_size=15, unique=True), st.lists(st.text("abçx", max_size=12), max_size=12))
+def test_automaton_finds_every_occurrence(strings, texts_):
+    got = sorted(zip(*(x.tolist() for x in automaton(strings).matches(texts_)), strict=True))
+    assert got == sorted((i, e, k) for i, t in enumerate(texts_) for k, s in enumerate(strings) for e in range(len(s), len(t) + 1) if t[e - len(s) : e] == s)
+
+
+def test_a_model_of_any_size_gives_the_same_labels(spark, monkeypatch):
+    rng = random.Random(8)
+    labels, spelled = ["a", "b", "c"], ["подходом", "ход", "пох", "а", "", None, "ход"]
+    names = {f for w in spelled if w for each in letter_features(w, {"ход": {"корень"}}) for f in each}
+    rows = [(f, p, x, rng.random()) for f in sorted(names) for p in (None, *labels) for x in labels]
+    words = spark.createDataFrame([(k, w) for k, w in enumerate(spelled)], "word_id long, word string")
+    weights, lexicon = spark.createDataFrame(rows, features.WEIGHTS), spark.createDataFrame([("ход", "корень")], "morpheme string, type string")
+    run = lambda **more: {r["word_id"]: [(x["letter"], x["label"]) for x in r["labelled"]] for r in features.decode(words, weights, labels, lexicon, **more).collect()}
+    small = run()
+    assert [len(small[k]) for k in range(7)] == [8, 3, 3, 1, 0, 0, 3]
+    assert run(features=features.factory("lexiforge.operators.features:all_features")) == small
+    monkeypatch.setattr(features, "MODEL_ROWS", 2)
+    assert run() == small
+    # and each is the best of all sequences
+    weight = {(f, p, x): w for f, p, x, w in rows}
+    for w, path in ((w, [x for _, x in small[k]]) for k, w in enumerate(spelled) if w and len(w) == 3):
+        seen = letter_features(w, {"ход": {"корень"}})
+        score = lambda path: sum(weight[f, p, path[k]] for k in range(len(w)) for f in seen[k] for p in ((None, path[k - 1]) if k else (None,)))  # noqa: B023, E731
+        assert score(path) == pytest.approx(max(map(score, itertools.product(labels, repeat=len(w)))))
+
+
+def one_letter_features(words, lexicon):
+    """A feature factory of one's own."""
+    return words.select("word_id", F.posexplode(F.split("word", "")).alias("pos", "feature"))
+
+
+def test_a_feature_factory_by_name(spark, tmp_path):
+    weights = spark.createDataFrame([("м", None, "корень_начало", 1.0), ("у", None, "корень", 1.0), ("к", None, "суфф_начало", 1.0)], features.WEIGHTS)
+    features.save_model(weights, ["корень", "корень_начало", "суфф_начало"], str(tmp_path / "model"))
+    (tmp_path / "a.conll").write_text("1\tмук\tl\tN\tN\tf\t0\tr\tp\tq\n")
+    argv = ["-O", str(tmp_path / "out"), "segment", str(tmp_path / "a.conll"), "--model", str(tmp_path / "model")]
+    assert cli.main([*argv, "--features", f"{__name__}:one_letter_features"], spark) == 0
+    assert "\tf\t_\tму\tк\t_\t" in (tmp_path / "out" / "a.segmented.conll").read_text()
+
+
+def test_lines_are_made_once(spark, tmp_path):
+    (tmp_path / "a.conll").write_text("1\tму-ша\tl\tN\tN\tf\t0\tr\tp\tq\n")
+    weights = spark.createDataFrame([("м-WORD|C", None, "корень_начало", 1.0)], features.WEIGHTS)
+    out = api.segment_conll(spark, str(tmp_path / "a.conll"), weights, ["корень", "корень_начало"])
+    out.write.format("noop").mode("overwrite").save()
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan text") == 1 and "ReusedExchange" in final
 
 
 def test_decoder_is_the_best_of_all_label_sequences(spark):
@@ -228,7 +298,7 @@ def test_decoder_is_the_best_of_all_label_sequences(spark):
     rng = random.Random(5)
     rows = [(f, p, x, rng.random()) for f in ("x-WORD|C", "y-WORD|C") for p in (None,) for x in labels] + [(f, p, x, rng.random()) for f in ("x-y-PWORD-WORD|CpC", "y-x-PWORD-WORD|CpC", "x-x-PWORD-WORD|CpC") for p in labels for x in labels]
     weight = {(f, p, x): w for f, p, x, w in rows}
-    seen = [set(f) for f in features.letter_features(word, {})]
+    seen = letter_features(word, {})
     score = lambda path: sum(w for (f, p, x), w in weight.items() for k in range(len(word)) if f in seen[k] and x == path[k] and (p is None or k and p == path[k - 1]))
     best = max(itertools.product(labels, repeat=len(word)), key=score)
     words = spark.createDataFrame([(1, word), (2, None), (3, ""), (4, word)], "word_id long, word string")
