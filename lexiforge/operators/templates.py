@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.endings import segment_ending
+from ..functions.endings import segment_ending, segment_endings
 from ..functions.text import drop_stress
 
 # Fixed value: a placeholder and the ending that follows it.
@@ -21,9 +21,15 @@ def template_forms(tables: DataFrame, pattern: str = FORM) -> DataFrame:
     return forms.select("template_name", F.regexp_extract("form", pattern, 1).alias("parameter"), F.regexp_extract("form", pattern, 2).alias("ending")).dropDuplicates()
 
 
-def segmented_forms(forms: DataFrame, inflexions: Iterable[str] | None = None, suffixes: Iterable[str] | None = None) -> DataFrame:
-    """forms with seg_ending, null where an ending cannot be segmented."""
-    return forms.withColumn("seg_ending", segment_ending(F.col("ending"), inflexions, suffixes))
+Words = Iterable[str] | DataFrame | None
+
+
+def segmented_forms(forms: DataFrame, inflexions: Words = None, suffixes: Words = None) -> DataFrame:
+    """forms with seg_ending, null where an ending cannot be segmented. Dictionaries are lists, which become part of the plan, or tables (value) of any size, which are joined."""
+    if not (isinstance(inflexions, DataFrame) or isinstance(suffixes, DataFrame)):
+        return forms.withColumn("seg_ending", segment_ending(F.col("ending"), inflexions, suffixes))
+    table = lambda words: words if words is None or isinstance(words, DataFrame) else forms.sparkSession.createDataFrame([(w,) for w in words], "value string")
+    return forms.join(segment_endings(forms, table(inflexions), table(suffixes)), "ending", "left").select(*forms.columns, "seg_ending")
 
 
 def usable_templates(forms: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def usable_templates(forms: DataFrame) -> DataFrame:
     return per.withColumn("forms", F.when(~F.col("poisoned"), F.col("forms")))
 
 
-def templates(tables: DataFrame, inflexions: Iterable[str] | None = None, suffixes: Iterable[str] | None = None) -> DataFrame:
+def templates(tables: DataFrame, inflexions: Words = None, suffixes: Words = None) -> DataFrame:
     return usable_templates(segmented_forms(template_forms(tables), inflexions, suffixes))
 
 

@@ -11,7 +11,7 @@ from ..functions.text import computed
 from ..operators import conllx, features, letters
 from ..operators import segmentation as seg
 from ..operators import wikitext
-from ..operators.templates import templates
+from ..operators.templates import Words, templates
 from ..sources import dumps, html_tables, texts
 
 
@@ -29,7 +29,7 @@ def metas(spark: SparkSession, dump: str) -> DataFrame:
     return wikitext.metas(dumps.read_pages(spark, dump))
 
 
-def segment(metas_: DataFrame, table_texts: DataFrame, inflexions: list[str] | None = None, suffixes: list[str] | None = None, compatible: bool = False) -> tuple[DataFrame, DataFrame]:
+def segment(metas_: DataFrame, table_texts: DataFrame, inflexions: Words = None, suffixes: Words = None, compatible: bool = False) -> tuple[DataFrame, DataFrame]:
     """(segmentations, rejects)."""
     known = templates(table_texts, inflexions, suffixes)
     return seg.segmentations(metas_, known, compatible), seg.rejects(metas_, known, compatible)

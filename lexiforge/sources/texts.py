@@ -14,10 +14,10 @@ def dictionary(lines: DataFrame, drop_soft_signs: bool = False) -> DataFrame:
     return word.select((drop_signs(F.col("value")) if drop_soft_signs else F.col("value")).alias("value")).distinct()
 
 
-def dictionaries(spark: SparkSession, inflexions: str | None = None, suffixes: str | None = None) -> tuple[list[str] | None, list[str] | None]:
-    """Both dictionaries as lists: inflexions as written and the empty one, suffixes without soft and hard signs; None where no file is given. Dictionaries are small by nature."""
-    words = lambda path, bare: [r[0] for r in dictionary(spark.read.text(path), bare).collect()]
-    return sorted({"", *words(inflexions, False)}) if inflexions else None, sorted(set(words(suffixes, True))) if suffixes else None
+def dictionaries(spark: SparkSession, inflexions: str | None = None, suffixes: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Both dictionaries as tables (value): inflexions as written, suffixes without soft and hard signs; None where no file is given."""
+    read = lambda path, bare: dictionary(spark.read.text(path), bare) if path else None
+    return read(inflexions, False), read(suffixes, True)
 
 
 def decoded(path):

@@ -11,7 +11,7 @@ from lexiforge import cli
 from lexiforge.functions.automaton import automaton
 from lexiforge.functions.base_form import base_form, format_parts
 from lexiforge.functions.calls import template_call
-from lexiforge.functions.endings import default_inflexions, default_suffixes, segment_ending
+from lexiforge.functions.endings import default_inflexions, default_suffixes, segment_ending, segment_endings
 from lexiforge.operators import conllx, features, letters, segmentation, templates, wikitext
 from lexiforge.plans import api, fixtures
 from lexiforge.sources import dumps, files, html_tables, sinks, texts
@@ -171,8 +171,32 @@ def test_outputs_of_equal_names_and_beside_their_inputs(spark, tmp_path):
 
 def test_one_dictionary_alone(spark, tmp_path):
     (tmp_path / "i").write_text("# note\nам\n ым \n")
-    assert texts.dictionaries(spark, str(tmp_path / "i")) == (["", "ам", "ым"], None)
-    assert texts.dictionaries(spark, None, str(tmp_path / "i")) == (None, ["ам", "ым"])
+    one, none = texts.dictionaries(spark, str(tmp_path / "i"))
+    assert sorted(r[0] for r in one.collect()) == ["ам", "ым"] and none is None
+    none, one = texts.dictionaries(spark, None, str(tmp_path / "i"))
+    assert sorted(r[0] for r in one.collect()) == ["ам", "ым"] and none is None
+
+
+def test_dictionaries_of_any_size(spark):
+    """The joined dictionaries give what the listed ones give, and the plan does not grow with them."""
+    rng = random.Random(3)
+    words = [e for e, _ in fixtures.ENDINGS] + ["".join(rng.choice("аеиностькямч") for _ in range(rng.randint(0, 9))) + rng.choice(["", "ся", "сь"]) for _ in range(400)] + [None]
+    endings = spark.createDataFrame([(w,) for w in words], "ending string")
+    tables = [spark.createDataFrame([(w,) for w in d], "value string") for d in (default_inflexions(), default_suffixes())]
+    want = {r["ending"]: r["s"] for r in endings.select("ending", segment_ending(F.col("ending")).alias("s")).collect()}
+    assert sum(v is not None for v in want.values()) > 60
+    for dictionaries in ((None, None), tables, (tables[0], None), (None, tables[1])):
+        assert {r["ending"]: r["seg_ending"] for r in segment_endings(endings, *dictionaries).collect()} == want
+    inflexions, suffixes = ["", "а", "ом"], ["ик", "ок", "н"]
+    of = lambda n: [spark.range(n).select(F.concat(F.lit("ъ"), F.col("id").cast("string")).alias("value")).union(spark.createDataFrame([(w,) for w in d], "value string")) for d in (inflexions, suffixes)]
+    forms = spark.createDataFrame([("t", "p", e) for e in ("ика", "окна", "ом", "икнома", "иком", None)], "template_name string, parameter string, ending string")
+    plans = []
+    for n in (200_000, 100):
+        out = templates.segmented_forms(forms, *of(n))
+        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        if n > 100:
+            assert {r["ending"]: r["seg_ending"] for r in out.collect()} == {r["ending"]: r["seg_ending"] for r in templates.segmented_forms(forms, inflexions, suffixes).collect()}
+    assert abs(plans[0] - plans[1]) < 50
 
 
 def stored_model(spark, tmp_path):
