@@ -1,4 +1,4 @@
-"""Command line: pages, tables, metas, letters, model, segment, or (without a command) the whole segmentation."""
+"""Command line: pages, tables, metas, letters, model, fit, segment, or (without a command) the whole segmentation."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import logging
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import conllx, features
+from .operators import conllx, features, fitting, letters
 from .operators.letters import BEGIN
 from .plans import api
 from .sources import html_tables, sinks, texts
@@ -44,6 +44,14 @@ def parser() -> argparse.ArgumentParser:
     five.add_argument("model", help="its folder")
     five.add_argument("--labels", required=True, help="all labels, between commas")
     five.add_argument("--lexicon", action="append", default=[], metavar="TYPE=FILE", help="morphemes of a type, one a line")
+    seven = sub.add_parser("fit", help="fit a sequence model to letter rows")
+    seven.add_argument("files", nargs="+", help="what `letters` writes")
+    seven.add_argument("--model", required=True, help="its folder")
+    seven.add_argument("--lexicon", action="append", default=[], metavar="TYPE=FILE", help="morphemes of a type, one a line")
+    seven.add_argument("--features", metavar="MODULE:FUNCTION", help="feature factory")
+    seven.add_argument("--rounds", type=int, default=50)
+    seven.add_argument("--l2", type=float, default=0.1, help="penalty of large weights")
+    seven.add_argument("--min-count", type=int, default=1, help="least number of words of a feature")
     six = sub.add_parser("segment", help="add morpheme columns to CoNLL-X files")
     six.add_argument("files", nargs="+")
     six.add_argument("--beside", action="store_true", help="write beside each input in place of -O")
@@ -79,6 +87,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "model":
         lexicon = features.load_lexicon(spark, dict(x.split("=", 1) for x in args.lexicon)) if args.lexicon else None
         features.save_model(features.read_weights(spark, args.weights), args.labels.split(","), args.model, lexicon)
+    elif args.command == "fit":
+        lexicon = features.load_lexicon(spark, dict(x.split("=", 1) for x in args.lexicon)) if args.lexicon else None
+        rows = letters.letters_from_text(texts.whole_files(spark, args.files))
+        weights, labels, values = fitting.fit(rows, lexicon, features.factory(args.features) or features.all_features, args.rounds, args.l2, args.min_count)
+        logging.info("objective: %s", ", ".join(f"{v:.6g}" for v in values))
+        features.save_model(weights, labels, args.model, lexicon)
     elif args.command == "segment":
         weights, labels, lexicon = features.load_model(spark, args.model)
         whole = texts.whole_files(spark, args.files)

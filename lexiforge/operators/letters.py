@@ -65,3 +65,11 @@ def conll_text(rows: DataFrame) -> DataFrame:
     """word_id, value: the letter rows of a word as lines, with the blank line that ends it."""
     lines = rows.groupBy("word_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "letter", "label").alias("line")))).alias("l"))
     return lines.select("word_id", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
+
+
+def letters_from_text(texts: DataFrame) -> DataFrame:
+    """word_id (doc and number), pos, letter, label of whole texts (doc, value) as conll_text() makes them: a line per letter, a blank line after each word."""
+    words = texts.select("doc", F.posexplode(F.split("value", r"\n\s*\n")).alias("word", "text"))
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.split(F.trim(x), r"\s+")), lambda f: F.size(f) == 2)
+    rows = words.select(F.struct("doc", "word").alias("word_id"), F.posexplode(lines).alias("pos", "f"))
+    return rows.select("word_id", "pos", F.col("f")[0].alias("letter"), F.col("f")[1].alias("label"))
