@@ -35,6 +35,10 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--files", action="store_true", help="a file for each page in place of Parquet")
     two = sub.add_parser("tables", help="render inflexion tables")
     two.add_argument("-H", "--html", action="store_true", help="keep the HTML")
+    two.add_argument("--saved", metavar="FOLDER", help="read rendered pages that are at hand, and ask no wiki")
+    two.add_argument("--connections", type=int, default=4, help="connections to the wiki")
+    two.add_argument("--tries", type=int, default=5, help="tries for a page")
+    two.add_argument("--timeout", type=float, default=60, help="seconds for an answer")
     sub.add_parser("metas", help="metas of the dump")
     four = sub.add_parser("letters", help="letter rows of segmentation files")
     four.add_argument("files", nargs="+")
@@ -75,11 +79,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for row in found.select("title").toLocalIterator():
                 print(row["title"])
     elif args.command == "tables":
-        rendered = api.tables(spark, args.dump, html_tables.http_fetch(args.address))
+        if args.saved:
+            found = html_tables.saved_pages(spark, args.saved)
+        else:
+            fetch = html_tables.http_fetch(args.address, args.timeout, args.tries)
+            # kept, since every reading would ask again
+            found = sinks.write_answers(api.table_answers(spark, args.dump, fetch, args.connections), args.tables + ".answers")
+        rendered = html_tables.rendered(found)
         if args.html:
             sinks.write_html(rendered, args.tables + ".html")
-            rendered = spark.read.parquet(args.tables + ".html")
-        sinks.write_tables(html_tables.table_text(html_tables.parse_tables(rendered)), args.tables)
+        rows = html_tables.parse_tables(rendered)
+        sinks.write_tables(html_tables.table_text(rows), args.tables)
+        tell_rejects(html_tables.unrendered(found).unionByName(html_tables.table_rejects(rows)), args)
     elif args.command == "metas":
         sinks.write_metas(api.metas(spark, args.dump), args.output)
     elif args.command == "letters":

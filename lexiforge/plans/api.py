@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +17,9 @@ def pages(spark: SparkSession, dump: str, pattern: str) -> DataFrame:
     return wikitext.pages_by_title(dumps.read_pages(spark, dump), pattern)
 
 
-def tables(spark: SparkSession, dump: str, fetch: Callable, connections: int = 1) -> DataFrame:
-    """template_name, html of every inflexion template of a dump."""
-    found = pages(spark, dump, wikitext.TEMPLATE_TITLE)
-    return html_tables.render(found, fetch, connections)
+def table_answers(spark: SparkSession, dump: str, fetch: html_tables.Fetch, connections: int = 1) -> DataFrame:
+    """html_tables.ANSWERS of every inflexion template of a dump. Its titles are few, and each is asked for whenever this is executed: keep it (sinks.write_answers()) before it is read twice."""
+    return html_tables.answers(pages(spark, dump, wikitext.TEMPLATE_TITLE), fetch, connections)
 
 
 def metas(spark: SparkSession, dump: str) -> DataFrame:

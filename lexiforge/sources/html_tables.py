@@ -5,14 +5,17 @@ from __future__ import annotations
 import http.client
 import itertools
 import re
+import time
 import urllib.parse
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .texts import decoded
+
 FLOAT_RIGHT = re.compile("float *: *right;")
 ROWS = "template_name string, row_no int, cells array<string>, err string"
 
@@ -75,31 +78,82 @@ def table_text(rows: DataFrame) -> DataFrame:
     return per.select("template_name", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
 
 
-def http_fetch(address: str, timeout: float = 60) -> Callable[[Iterable[str]], Iterator[tuple[str, str | None]]]:
-    """A fetcher with one kept connection: (title, html), None where the answer is not 200. Every answer is read to its end."""
+#: What a fetcher gives for each title: title, html (null without one), the answer's status (null without an answer), tries, what failed.
+ANSWERS = "title string, html string, status int, tries int, err string"
+Fetch = Callable[[Iterable[str]], Iterator[tuple]]
+#: Statuses that another try may change.
+PASSING = frozenset((408, 425, 429, 500, 502, 503, 504))
+
+
+def http_fetch(address: str, timeout: float = 60, tries: int = 5, wait: float = 1.0, secure: bool = True) -> Fetch:
+    """A fetcher with one kept connection. Passing faults (no connection, a slow answer, PASSING) are tried again after wait, 2 wait, 4 wait ... seconds, or what the answer asks for, up to a minute; every answer is read to its end."""
 
-    def run(titles: Iterable[str]) -> Iterator[tuple[str, str | None]]:
-        link = http.client.HTTPSConnection(address, timeout=timeout)
+    def run(titles: Iterable[str]) -> Iterator[tuple]:
+        connect = http.client.HTTPSConnection if secure else http.client.HTTPConnection
+        link = connect(address, timeout=timeout)
         try:
             for title in titles:
-                link.request("GET", "/w/index.php?" + urllib.parse.urlencode({"action": "render", "title": title}), headers={"Connection": "keep-alive"})
-                answer = link.getresponse()
-                body = answer.read().decode("utf-8", "replace")
-                yield title, body if answer.status == 200 else None
+                for k in range(1, tries + 1):
+                    html, status, err, pause = None, None, None, wait * 2 ** (k - 1)
+                    try:
+                        link.request("GET", "/w/index.php?" + urllib.parse.urlencode({"action": "render", "title": title}), headers={"Connection": "keep-alive"})
+                        answer = link.getresponse()
+                        body, status = answer.read(), answer.status
+                        if status == 200:
+                            html = body.decode("utf-8", "replace")
+                        else:
+                            err = f"{status} {answer.reason}"
+                            asked = answer.getheader("Retry-After") or ""
+                            pause = max(pause, float(asked)) if asked.isdigit() else pause
+                    except (OSError, http.client.HTTPException) as e:
+                        err = f"{type(e).__name__}: {e}"
+                        link.close()  # the next request opens it anew
+                    if err is None or status is not None and status not in PASSING:
+                        break
+                    if k < tries:
+                        time.sleep(min(pause, 60.0))
+                yield title, html, status, k, err
         finally:
             link.close()
 
     return run
 
 
-def render(titles: DataFrame, fetch: Callable[[Iterable[str]], Iterator[tuple[str, str | None]]], connections: int = 1) -> DataFrame:
-    """template_name, html of (title), rendered by `fetch`; titles that it has nothing for are left out. One fetcher per partition."""
+def answers(titles: DataFrame, fetch: Fetch, connections: int = 1) -> DataFrame:
+    """ANSWERS for each title: a range of titles and a fetcher per connection. No title is lost: what could not be had has its status and err."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = (t for b in batches for t in b["title"])
-        found = ((t, html) for t, html in fetch(names) if html is not None)
+        found = iter(fetch(names))
         while out := list(itertools.islice(found, 100)):
-            yield pd.DataFrame(out, columns=["title", "html"])
+            yield pd.DataFrame(out, columns=["title", "html", "status", "tries", "err"]).astype({"status": "Int32", "tries": "Int32"})
+
+    return titles.select("title").repartitionByRange(connections, "title").mapInPandas(run, ANSWERS)
+
+
+def rendered(found: DataFrame) -> DataFrame:
+    """template_name, html of ANSWERS that have one."""
+    return found.where(F.col("html").isNotNull()).select(table_name(F.col("title")).alias("template_name"), "html")
+
+
+def unrendered(found: DataFrame) -> DataFrame:
+    """Rejects: stage, code, detail, key of titles without html."""
+    code = F.when(F.col("status").isNull(), "no_answer").otherwise(F.concat(F.lit("status_"), F.col("status").cast("string")))
+    return found.where(F.col("html").isNull()).select(F.lit("tables").alias("stage"), code.alias("code"), F.col("err").alias("detail"), F.col("title").alias("key"))
+
+
+def table_rejects(rows: DataFrame) -> DataFrame:
+    """Rejects of parse_tables(): pages whose markup is not well formed."""
+    return rows.where(F.col("err").isNotNull()).select(F.lit("tables").alias("stage"), F.lit("bad_markup").alias("code"), F.col("err").alias("detail"), F.col("template_name").alias("key"))
+
 
-    found = titles.select("title").repartition(connections).mapInPandas(run, "title string, html string")
-    return found.select(table_name(F.col("title")).alias("template_name"), "html")
+def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """ANSWERS from rendered pages at hand: the Parquet folder that sinks.write_html() makes, or .html files named after their templates (% for /)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/*.html")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path):
+        name = decoded(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.html$", ""))
+        rows = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.html").load(folder)
+        rows = rows.select(F.translate(name, "%", "/").alias("title"), F.col("value").alias("html"))
+    else:
+        rows = spark.read.parquet(folder).select(F.col("template_name").alias("title"), "html")
+    return rows.select("title", "html", F.lit(200).alias("status"), F.lit(0).alias("tries"), F.lit(None).cast("string").alias("err"))

@@ -30,6 +30,12 @@ def write_html(pages: DataFrame, folder: str) -> None:
     pages.select("template_name", "html").write.mode("overwrite").parquet(folder)
 
 
+def write_answers(found: DataFrame, folder: str) -> DataFrame:
+    """Keep what a render source has answered; returns the kept rows."""
+    found.write.mode("overwrite").parquet(folder)
+    return found.sparkSession.read.parquet(folder)
+
+
 def meta_lines(metas: DataFrame) -> DataFrame:
     return metas.select(F.concat_ws(";", "morfo", "template_name", "stems").alias("value"))
 

@@ -1,5 +1,11 @@
+import contextlib
+import http.server
 import itertools
 import random
+import threading
+import time
+import urllib.parse
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -83,12 +89,71 @@ def test_command_line_segments(spark, dump, tmp_path, capsys):
 
 
 def test_rendered_tables(spark):
-    fetch = lambda titles: ((t, None if "x" in t else "<table style='float:right;'><tr><td>{{{1}}}а</td></tr></table>") for t in titles)
+    fetch = lambda titles: ((t, *((None, 404, 1, "404 Not Found") if "x" in t else ("<table style='float:right;'><tr><td>{{{1}}}а</td></tr></table>", 200, 1, None))) for t in titles)
     titles = spark.createDataFrame([("Шаблон:сущ ru a",), ("Шаблон:x",)], "title string")
-    rows = html_tables.parse_tables(html_tables.render(titles, fetch)).collect()
+    found = html_tables.answers(titles, fetch)
+    rows = html_tables.parse_tables(html_tables.rendered(found)).collect()
     assert [(r["template_name"], r["row_no"], r["cells"], r["err"]) for r in rows] == [("сущ ru a", 0, ["{{{1}}}а"], None)]
-    bad = html_tables.parse_tables(spark.createDataFrame([("t", "<b></a>")], "template_name string, html string")).first()
-    assert bad["err"] and bad["cells"] is None
+    assert [tuple(r) for r in html_tables.unrendered(found).collect()] == [("tables", "status_404", "404 Not Found", "Шаблон:x")]
+    bad = html_tables.parse_tables(spark.createDataFrame([("t", "<b></a>")], "template_name string, html string"))
+    assert bad.first()["err"] and bad.first()["cells"] is None and [r["code"] for r in html_tables.table_rejects(bad).collect()] == ["bad_markup"]
+
+
+class Wiki(http.server.BaseHTTPRequestHandler):
+    """Answers at first with faults: busy titles twice 503, slow ones once too late, cut ones once with a broken connection; gone ones are not there."""
+
+    protocol_version, asked = "HTTP/1.1", Counter()
+
+    def do_GET(self):
+        title = urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)["title"][0]
+        Wiki.asked[title] += 1
+        status = 404 if "gone" in title else 503 if "busy" in title and Wiki.asked[title] < 3 or "never" in title else 200
+        if "slow" in title and Wiki.asked[title] == 1:
+            time.sleep(1.5)
+        if "cut" in title and Wiki.asked[title] == 1:
+            self.connection.close()
+            return
+        body = f"<table style='float:right;'><tr><td>{title}</td></tr></table>".encode()
+        self.send_response(status)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        with contextlib.suppress(OSError):
+            self.wfile.write(body)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_pages_come_through_faults(spark, tmp_path):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Wiki)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        names = [f"Шаблон:{kind} {k}" for kind in ("plain", "busy", "slow", "cut", "gone", "never") for k in range(3)]
+        fetch = html_tables.http_fetch(f"127.0.0.1:{server.server_address[1]}", timeout=0.7, tries=4, wait=0.02, secure=False)
+        found = sinks.write_answers(html_tables.answers(spark.createDataFrame([(n,) for n in names], "title string"), fetch, connections=3), str(tmp_path / "answers"))
+        rows = {r["title"]: r for r in found.collect()}
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert sorted(rows) == sorted(names)
+    kinds = {kind: {(r["status"], r["html"] is not None, r["tries"]) for t, r in rows.items() if kind in t} for kind in ("plain", "busy", "slow", "cut", "gone", "never")}
+    assert kinds == {"plain": {(200, True, 1)}, "busy": {(200, True, 3)}, "slow": {(200, True, 2)}, "cut": {(200, True, 2)}, "gone": {(404, False, 1)}, "never": {(503, False, 4)}}
+    assert {r["code"] for r in html_tables.unrendered(found).collect()} == {"status_404", "status_503"}
+    lost = html_tables.answers(spark.createDataFrame([("t",)], "title string"), html_tables.http_fetch("127.0.0.1:9", timeout=0.5, tries=2, wait=0.01, secure=False))
+    assert [(r["status"], r["tries"], r["html"]) for r in lost.collect()] == [(None, 2, None)] and html_tables.unrendered(lost).first()["code"] == "no_answer"
+
+
+def test_tables_of_saved_pages(spark, tmp_path):
+    (tmp_path / "saved").mkdir()
+    (tmp_path / "saved" / "сущ ru a%b.html").write_text("<table style='float:right;'><tr><td>{{{1}}}а</td></tr></table>")
+    (tmp_path / "saved" / "bad.html").write_text("<b></a>")
+    argv = ["-T", str(tmp_path / "tables"), "-R", str(tmp_path / "bad")]
+    assert cli.main([*argv, "tables", "--saved", str(tmp_path / "saved"), "-H"], spark) == 0
+    tables = lambda: sorted(map(tuple, cli.read_tables(spark, str(tmp_path / "tables")).collect()))
+    assert tables() == [("сущ ru a/b", "{{{1}}}а |\n")]
+    assert [(r["code"], r["key"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("bad_markup", "bad")]
+    assert cli.main(["-T", str(tmp_path / "again"), "tables", "--saved", str(tmp_path / "tables.html")], spark) == 0
+    assert sorted(map(tuple, cli.read_tables(spark, str(tmp_path / "again")).collect())) == tables()
 
 
 def test_output_grammar_and_poison(spark):
