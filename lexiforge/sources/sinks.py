@@ -22,8 +22,8 @@ def write_titles(pages: DataFrame, folder: str) -> None:
 
 
 def write_tables(texts: DataFrame, folder: str) -> None:
-    """template_name, value: a folder per template; / in its name becomes %."""
-    texts.select(F.translate("template_name", "/", "%").alias("table"), "value").write.mode("overwrite").partitionBy("table").text(folder)
+    """template_name, value: a folder per template; / in its name becomes %. The writer ends each value's last line itself."""
+    texts.select(F.translate("template_name", "/", "%").alias("table"), F.regexp_replace("value", r"\n$", "").alias("value")).write.mode("overwrite").partitionBy("table").text(folder)
 
 
 def write_html(pages: DataFrame, folder: str) -> None:
