@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import logging
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import conllx, features, fitting, letters
+from .operators import conllx, features, fitting, letters, segmentation, wikitext
 from .operators.letters import BEGIN
 from .plans import api
-from .sources import html_tables, sinks, texts
+from .sources import dumps, html_tables, progress, sinks, texts
+from .sources.progress import log
 
 
 def parser() -> argparse.ArgumentParser:
@@ -71,10 +74,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     logging.basicConfig(filename=args.log, level=[logging.WARNING, logging.INFO, logging.DEBUG][min(args.verbose, 2)])
     spark = spark or SparkSession.builder.appName("lexiforge").getOrCreate()
+    with progress.told(spark):
+        run(args, spark)
+    return 0
+
+
+def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.command == "pages":
         found = api.pages(spark, args.dump, args.pattern)
         if args.folder:
-            (sinks.write_page_files if args.files else sinks.write_pages)(found, args.folder)
+            with counting(found, "pages") as found:
+                (sinks.write_page_files if args.files else sinks.write_pages)(found, args.folder)
         else:
             for row in found.select("title").toLocalIterator():
                 print(row["title"])
@@ -89,12 +99,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.html:
             sinks.write_html(rendered, args.tables + ".html")
         rows = html_tables.parse_tables(rendered)
-        sinks.write_tables(html_tables.table_text(rows), args.tables)
-        tell_rejects(html_tables.unrendered(found).unionByName(html_tables.table_rejects(rows)), args)
+        with counting(html_tables.table_text(rows), "tables") as tables:
+            sinks.write_tables(tables, args.tables)
+        tell_rejects(html_tables.unrendered(found).unionByName(html_tables.table_rejects(rows)), html_tables.CODES, args)
     elif args.command == "metas":
-        sinks.write_metas(api.metas(spark, args.dump), args.output)
+        pages = wikitext.parsed_pages(dumps.read_pages(spark, args.dump)).persist()
+        with counting(wikitext.metas_of(pages), "metas") as found:
+            sinks.write_metas(found, args.output)
+        tell_rejects(wikitext.rejects_of(pages), wikitext.CODES, args)
+        pages.unpersist()
     elif args.command == "letters":
-        sinks.write_letters(api.to_letters(spark, args.files), None if args.beside else args.output)
+        with counting(api.to_letters(spark, args.files), "words") as done:
+            sinks.write_letters(done, None if args.beside else args.output)
+        tell_rejects(letters.letter_rejects(texts.segmentations(spark, args.files)), ("bad_token",), args)
     elif args.command == "model":
         lexicon = features.load_lexicon(spark, dict(x.split("=", 1) for x in args.lexicon)) if args.lexicon else None
         features.save_model(features.read_weights(spark, args.weights), args.labels.split(","), args.model, lexicon)
@@ -102,34 +119,48 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         lexicon = features.load_lexicon(spark, dict(x.split("=", 1) for x in args.lexicon)) if args.lexicon else None
         rows = letters.letters_from_text(texts.whole_files(spark, args.files))
         weights, labels, values = fitting.fit(rows, lexicon, features.factory(args.features) or features.all_features, args.rounds, args.l2, args.min_count)
-        logging.info("objective: %s", ", ".join(f"{v:.6g}" for v in values))
+        log.info("objective: %s", ", ".join(f"{v:.6g}" for v in values))
         features.save_model(weights, labels, args.model, lexicon)
     elif args.command == "segment":
         weights, labels, lexicon = features.load_model(spark, args.model)
         whole = texts.whole_files(spark, args.files)
         lines = conllx.sentences(whole)
         done = api.segment_lines(lines, weights, labels, args.begin, args.compatible, lexicon, args.strict, features.factory(args.features), args.partitions)
-        done, seen = sinks.counted(done, "tokens")
-        sinks.write_sentences(done.select("doc", "sent_id", "line_no", conllx.line().alias("line")), None if args.beside else args.output, whole)
-        logging.info("%d tokens", seen.get["rows"])
-        tell_rejects(conllx.rejects(lines), args)
+        with counting(done.select("doc", "sent_id", "line_no", conllx.line().alias("line")), "tokens") as done:
+            sinks.write_sentences(done, None if args.beside else args.output, whole)
+        tell_rejects(conllx.rejects(lines), ("bad_columns",), args)
     else:
         found = texts.metas(spark, args.metas) if args.metas else api.metas(spark, args.dump)
         inflexions, suffixes = texts.dictionaries(spark, args.inflexions, args.suffixes)
-        done, bad = api.segment(found, read_tables(spark, args.tables), inflexions, suffixes, args.compatible)
-        done, seen = sinks.counted(done, "segmentations")
-        sinks.write_segmentations(done, args.output)
-        logging.info("%d segmentations", seen.get["rows"])
-        tell_rejects(bad, args)
-    return 0
-
-
-def tell_rejects(bad, args) -> None:
-    """Writes rejects where -R says, and shows the first thousand with -d."""
+        words = api.rendered_forms(found, read_tables(spark, args.tables), inflexions, suffixes, args.compatible).persist()
+        with counting(segmentation.forms_of(words), "segmentations") as done:
+            sinks.write_segmentations(done, args.output)
+        tell_rejects(segmentation.rejects_of(words), segmentation.CODES, args)
+        words.unpersist()
+
+
+@contextlib.contextmanager
+def counting(df: DataFrame, what: str) -> Iterator[DataFrame]:
+    """df, whose rows are counted as it is written, and told afterwards."""
+    df, seen = progress.observed(df, what)
+    yield df
+    log.info("%d %s", seen.get["rows"], what)
+
+
+def tell_rejects(bad: DataFrame, codes: tuple[str, ...], args: argparse.Namespace) -> dict[str, int]:
+    """Writes rejects where -R says, shows the first thousand with -d, and tells how many there are of each code. Without any of the three they are not made."""
+    if not (args.rejects or args.debug or log.isEnabledFor(logging.INFO)):
+        return {}
+    bad, seen = progress.observed(bad, "rejects", codes)
     if args.rejects:
         sinks.write_rejects(bad, args.rejects)
+    else:
+        bad.write.format("noop").mode("overwrite").save()
+    counts = {k: v for k, v in seen.get.items() if v and k != "rows"}
+    log.info("%d rejects: %s", seen.get["rows"], ", ".join(f"{k} {v}" for k, v in sorted(counts.items())))
     if args.debug:
         bad.show(1000, truncate=False)
+    return counts
 
 
 def read_tables(spark: SparkSession, folder: str):

@@ -46,11 +46,25 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     return step.select(*pages.columns, "morfo", "template_name", "stems", err.alias("err"))
 
 
+def metas_of(parsed: DataFrame) -> DataFrame:
+    """morfo, template_name, stems of parsed_pages() rows that give one."""
+    return parsed.where(F.col("err").isNull()).select("morfo", "template_name", "stems")
+
+
 def metas(pages: DataFrame) -> DataFrame:
     """morfo, template_name, stems of every page that gives one."""
-    return parsed_pages(pages).where(F.col("err").isNull()).select("morfo", "template_name", "stems")
+    return metas_of(parsed_pages(pages))
+
+
+#: What page_rejects() may say.
+CODES = ("empty_or_not_russian", "no_ru_section", "no_morfo", "strange_symbols", "empty_morfo", "no_table_call", "no_pipe", "no_stems")
+
+
+def rejects_of(parsed: DataFrame) -> DataFrame:
+    """stage, code, detail, key of parsed_pages() rows that give no meta."""
+    return parsed.where(F.col("err").isNotNull()).select(F.lit("page").alias("stage"), F.col("err").alias("code"), F.col("morfo").alias("detail"), F.col("title").alias("key"))
 
 
 def page_rejects(pages: DataFrame) -> DataFrame:
     """stage, code, detail, key of every page that gives none."""
-    return parsed_pages(pages).where(F.col("err").isNotNull()).select(F.lit("page").alias("stage"), F.col("err").alias("code"), F.col("morfo").alias("detail"), F.col("title").alias("key"))
+    return rejects_of(parsed_pages(pages))

@@ -26,10 +26,15 @@ def metas(spark: SparkSession, dump: str) -> DataFrame:
     return wikitext.metas(dumps.read_pages(spark, dump))
 
 
+def rendered_forms(metas_: DataFrame, table_texts: DataFrame, inflexions: Words = None, suffixes: Words = None, compatible: bool = False) -> DataFrame:
+    """segmentation.rendered() of metas and table texts. Both outputs of segment() come from it: keep it if both are read."""
+    return seg.rendered(metas_, seg.sized(templates(table_texts, inflexions, suffixes)), compatible)
+
+
 def segment(metas_: DataFrame, table_texts: DataFrame, inflexions: Words = None, suffixes: Words = None, compatible: bool = False) -> tuple[DataFrame, DataFrame]:
     """(segmentations, rejects)."""
-    known = templates(table_texts, inflexions, suffixes)
-    return seg.segmentations(metas_, known, compatible), seg.rejects(metas_, known, compatible)
+    done = rendered_forms(metas_, table_texts, inflexions, suffixes, compatible)
+    return seg.forms_of(done), seg.rejects_of(done)
 
 
 def to_letters(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -57,6 +57,10 @@ PAGES = [
     ("Стол", "{{-en-}} x {{-ru-}} {{сущ ru m a 1a|основа=стол}} {{морфо||стол||}}", None, 1),
     ("стол", "", "empty_or_not_russian", None),
 ]
+#: lines of a dictionary
+DICTIONARY = ("# note", "", "ам", "ам", " ым ", "подъ", "ь", "тель", "ель\t", "ъ", "\u00a0ом\u2003")
+#: endings of the cells that queries make from words
+CELL_ENDINGS = ("", "а", "ами", "ого", "ё")
 #: ending, segmented ending
 ENDINGS = [
     ("", "оконч_"), ("ом", "оконч_ом"), ("ся", "частица_ся"), ("тся", "суфф_т частица_ся"), ("лась", "суфф_л оконч_а частица_сь"), ("ющий", "суфф_ющ оконч_ий"), ("вшись", "суфф_вш оконч_и частица_сь"),

@@ -43,9 +43,9 @@ def title_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = [(x,) for x in ("# note", "", "ам", "ам", " ым ", "подъ", "ь", "тель", "ель\t", "ъ")]
-    df = spark.createDataFrame(lines, "value string")
-    return dictionary(df).withColumn("kind", F.lit("raw")).unionByName(dictionary(df, True).withColumn("kind", F.lit("bare")))
+    """Every line of every document as a line of a dictionary, and those of X.DICTIONARY, which have signs and notes."""
+    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")).union(spark.createDataFrame([(x,) for x in X.DICTIONARY], "value string"))
+    return dictionary(lines).withColumn("kind", F.lit("raw")).unionByName(dictionary(lines, True).withColumn("kind", F.lit("bare")))
 
 
 def segment_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,11 @@ def align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.template_forms(X.table_texts(spark))
+    """The forms of a table for each document, whose cells are placeholders named by its words with an ending by their length, and of the tables of X.TABLES."""
+    endings = F.array(*map(F.lit, X.CELL_ENDINGS))
+    cells = F.transform(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""), lambda w: F.concat(F.lit("{{{"), w, F.lit("}}}"), F.get(endings, F.length(w) % len(X.CELL_ENDINGS)), F.lit(" |")))
+    tables = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("template_name"), F.array_join(cells, " ").alias("value"))
+    return templates.template_forms(tables.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).union(X.table_texts(spark)))
 
 
 def param_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +95,16 @@ def param_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", lookup(F.col("p"), F.lit("{{{1}}}")).alias("first"), lookup(F.col("p"), F.lit("{{{основа1}}}")).alias("stem1"), placeholder(F.col("p"), F.lit("{{{основа|{{{1}}}}}}")).alias("with_default"))
 
 
+def known_templates(spark: SparkSession) -> DataFrame:
+    return segmentation.sized(templates.templates(X.table_texts(spark)))
+
+
 def segment_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.segmentations(X.metas_by_key(spark, sf_dir), templates.templates(X.table_texts(spark)), keep=("k",))
+    return segmentation.segmentations(X.metas_by_key(spark, sf_dir), known_templates(spark), keep=("k",))
 
 
 def form_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.rejects(X.metas_by_key(spark, sf_dir), templates.templates(X.table_texts(spark))).groupBy("code").agg(F.count("*").alias("n"))
+    return segmentation.rejects(X.metas_by_key(spark, sf_dir), known_templates(spark)).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def template_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +127,7 @@ def page_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word_id, value: every form of every meta, numbered by key and position."""
-    done = segmentation.rendered(X.metas_by_key(spark, sf_dir), templates.templates(X.table_texts(spark))).select("k", F.posexplode(F.array_sort("forms")).alias("i", "value"))
+    done = segmentation.rendered(X.metas_by_key(spark, sf_dir), known_templates(spark)).select("k", F.posexplode(F.array_sort("forms")).alias("i", "value"))
     return done.select((F.col("k") * 100 + F.col("i")).alias("word_id"), "value")
 
 
@@ -250,16 +258,21 @@ _ALIGNED = [(i, m[3] if m[3] in ("misaligned", "suffix_gap", "no_base_stem") els
 _LINES = r"(SELECT doc_id AS doc, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS ln FROM documents)"
 _TOKENS = rf"(SELECT doc, ln, unnest(w) AS w, unnest(range(len(w))) AS k FROM (SELECT doc, ln, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') AS w FROM {_LINES}))"
 
+#: White space of any script.
+_BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 ORACLE_SQL: dict[str, str] = {
     "title_filter": rf"SELECT page_id, url FROM pages WHERE regexp_matches(url, '^(?:{URL_PATTERN})')",
-    "dictionary_load": "WITH l AS (SELECT DISTINCT trim(v, E' \\t') AS v FROM (VALUES ('# note'), (''), ('ам'), ('ам'), (' ым '), ('подъ'), ('ь'), ('тель'), (E'ель\\t'), ('ъ')) t(v)), f AS (SELECT v FROM l WHERE v <> '' AND NOT starts_with(v, '#')) SELECT v AS value, 'raw' AS kind FROM f UNION ALL SELECT DISTINCT replace(replace(v, 'ь', ''), 'ъ', ''), 'bare' FROM f",
+    "dictionary_load": rf"""
+WITH l AS (SELECT unnest(string_split(text, E'\n')) AS v FROM documents UNION ALL SELECT v FROM {X.values([(x,) for x in X.DICTIONARY], 'v')}), t AS (SELECT regexp_replace(v, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS v FROM l), f AS (SELECT DISTINCT v FROM t WHERE v <> '' AND NOT starts_with(v, '#'))
+SELECT v AS value, 'raw' AS kind FROM f UNION ALL SELECT DISTINCT translate(v, 'ьъ', ''), 'bare' FROM f""",
     "segment_endings": f"WITH e AS ({_keyed('k, word', [(i, e) for i, (e, _) in enumerate(X.ENDINGS)], 'word')}), s AS ({_ending_sql('(SELECT DISTINCT word FROM e)', default_inflexions(), default_suffixes())}) SELECT k, e.word AS ending, s.seg AS seg_ending FROM e JOIN s ON e.word = s.word",
     "suffix_words": f"SELECT * FROM ({_ending_sql(WORDS_SQL, LATIN_INFLEXIONS, LATIN_SUFFIXES)}) WHERE seg IS NOT NULL",
     "part_order": _keyed("k, name, ord::INTEGER AS ord, tag", [(i, *r) for i, r in enumerate(X.NAMES)], "name, ord, tag"),
     "base_form": _keyed("k, morfo, base", [(i, m[0], m[4]) for i, m in enumerate(X.METAS) if m[4]], "morfo, base", n=NM),
     "yot": _keyed("k, morfo, fixed, compatible", [(i, *r) for i, r in enumerate(X.YOTS)], "morfo, fixed, compatible"),
     "align_stems": _keyed("k, err, stems", _ALIGNED, "err, stems", n=NM),
-    "template_forms": rf"WITH f AS (SELECT DISTINCT template_name, unnest(regexp_extract_all(value, '\{{\{{\{{[^ ]+\}}\}}\}}[а-яёй]*')) AS f FROM {X.values(list(X.TABLES.items()), 'template_name, value')}) SELECT template_name, regexp_extract(f, '^(.*\}})([^}}]*)$', 1) AS parameter, regexp_extract(f, '^(.*\}})([^}}]*)$', 2) AS ending FROM f",
+    "template_forms": rf"WITH f AS (SELECT DISTINCT template_name, unnest(regexp_extract_all(value, '\{{\{{\{{[^ ]+\}}\}}\}}[а-яёй]*')) AS f FROM {X.values(list(X.TABLES.items()), 'template_name, value')}) SELECT template_name, regexp_extract(f, '^(.*\}})([^}}]*)$', 1) AS parameter, regexp_extract(f, '^(.*\}})([^}}]*)$', 2) AS ending FROM f" + f""" UNION ALL SELECT DISTINCT 'doc ' || doc_id, '{{{{{{' || w || '}}}}}}', ({X.quoted(list(X.CELL_ENDINGS))})[length(w) % {len(X.CELL_ENDINGS)} + 1] FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) WHERE w <> ''""",
     "param_lookup": f"""WITH s AS ({_keyed("k, stems, string_split(stems, ';') AS a, named", [(i, s, int("=" in X.METAS[i][2][0])) for i, e, s in _ALIGNED if s], "stems, named", n=NM)})
 SELECT k, a[1] AS first, CASE WHEN named = 1 THEN coalesce(a[2], a[1]) END AS stem1, coalesce(CASE WHEN named = 1 THEN a[1] END, a[1]) AS with_default FROM s""",
     "segment_forms": _keyed("k, value", _FORMS, "value", n=NM),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http
 import http.client
 import itertools
 import re
@@ -81,6 +82,8 @@ def table_text(rows: DataFrame) -> DataFrame:
 #: What a fetcher gives for each title: title, html (null without one), the answer's status (null without an answer), tries, what failed.
 ANSWERS = "title string, html string, status int, tries int, err string"
 Fetch = Callable[[Iterable[str]], Iterator[tuple]]
+#: What unrendered() and table_rejects() may say.
+CODES = ("bad_markup", "no_answer", *(f"status_{int(s)}" for s in http.HTTPStatus))
 #: Statuses that another try may change.
 PASSING = frozenset((408, 425, 429, 500, 502, 503, 504))
 

@@ -1,6 +1,7 @@
 import contextlib
 import http.server
 import itertools
+import logging
 import random
 import threading
 import time
@@ -20,7 +21,7 @@ from lexiforge.functions.calls import template_call
 from lexiforge.functions.endings import default_inflexions, default_suffixes, segment_ending, segment_endings
 from lexiforge.operators import conllx, features, letters, segmentation, templates, wikitext
 from lexiforge.plans import api, fixtures
-from lexiforge.sources import dumps, files, html_tables, sinks, texts
+from lexiforge.sources import dumps, files, html_tables, progress, sinks, texts
 from lexiforge.streaming import dumps as streams
 
 DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/">
@@ -411,6 +412,78 @@ def test_sinks_and_sources_of_files(spark, tmp_path):
     assert sorted(r["value"] for r in texts.segmentations(spark, str(tmp_path / "s.txt")).collect()) == ["корень_дом", "корень_муш суфф_к"]
     (tmp_path / "m").write_text("# x\nом\nом\n")
     assert sorted(map(tuple, features.load_lexicon(spark, {"оконч": str(tmp_path / "m"), "суфф": str(tmp_path / "m")}).collect())) == [("ом", "оконч"), ("ом", "суфф")]
-    df, seen = sinks.counted(spark.range(7), "n")
+    df, seen = progress.observed(spark.range(7).withColumn("code", F.when(F.col("id") > 4, "big")), "n", ("big", "small"))
     df.collect()
-    assert seen.get["rows"] == 7
+    assert seen.get == {"rows": 7, "big": 2, "small": 0}
+
+
+def dump_of(pages):
+    """A dump of (title, timestamp, id, text)."""
+    each = "".join(f"<page><title>{t}</title><ns>0</ns><revision><id>{k}</id><timestamp>{when}</timestamp><text>{x}</text></revision></page>" for t, when, k, x in pages)
+    return f"<mediawiki>{each}</mediawiki>"
+
+
+def call(stem):
+    return f"{{{{-ru-}}}} {{{{сущ ru m a 1a|основа={stem}}}}} {{{{морфо||{stem}||}}}}"
+
+
+FIRST = dump_of([("стол", "2024-01-02", 5, call("стол")), ("дом", "2024-01-01", 2, call("дом")), ("сад", "2024-01-01", 3, call("сад")), ("лес", "2024-03-01", 9, call("лес"))])
+SECOND = dump_of([("стол", "2024-02-01", 7, call("стул")), ("дом", "2024-02-01", 8, "no longer a word"), ("лес", "2024-02-01", 6, call("лис")), ("мост", "2024-02-01", 1, call("мост"))])
+
+
+@pytest.mark.parametrize("order", [(FIRST, SECOND), (SECOND, FIRST)])
+def test_dumps_in_any_order_give_the_last_revisions(spark, tmp_path, order):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    seen = progress.StreamLog()
+    spark.streams.addListener(seen)
+    for k, text in enumerate(order):
+        (folder / f"{k}.xml").write_text(text)
+        for _ in range(2):  # a restart finds nothing new
+            streams.stream_latest_metas(streams.stream_revisions(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    got = sorted(map(tuple, streams.current_metas(spark, str(tmp_path / "out")).collect()))
+    want = wikitext.metas(streams.latest(dumps.read_revisions(spark, str(folder))))
+    assert got == sorted(map(tuple, want.collect())) and sorted(r[0] for r in got) == [f"{{{{морфо||{w}||}}}}" for w in ("лес", "мост", "сад", "стул")]
+    assert {r["title"]: r["err"] for r in streams.current_rows(spark, str(tmp_path / "out")).collect()}["дом"] == "no_ru_section"
+    for _ in range(100):  # events come a little later
+        if seen.rows >= 8:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(seen)
+    assert seen.rows == 8 and len(list((tmp_path / "out").glob("batch=*"))) == 2
+
+
+def test_every_command_counts_its_rejects(spark, tmp_path, caplog):
+    caplog.set_level(logging.INFO, "lexiforge")
+    (tmp_path / "dump.xml").write_text(dump_of([("стол", "", 1, call("стол")), ("дом", "", 2, "no section"), ("сад", "", 3, "{{-ru-}} nothing"), ("лес", "", 4, "{{-ru-}}"), ("нос", "", 5, call("нос"))]))
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "tables" / "сущ ru m a 1a.table").write_text("{{{основа}}}а |")
+    (tmp_path / "seg").write_text("корень_дом\nbad token\n")
+    (tmp_path / "metas").write_text("{{морфо||стол||}};сущ ru m a 1a;основа=стол\n{{морфо||дом||}};none;дом\n")
+    base = ["-D", str(tmp_path / "dump.xml"), "-R", str(tmp_path / "bad"), "-T", str(tmp_path / "tables"), "-O", str(tmp_path / "out")]
+    for argv, line in (
+        (["metas"], "3 rejects: no_morfo 2, no_ru_section 1"), (["letters", str(tmp_path / "seg")], "1 rejects: bad_token 1"),
+        (["-M", str(tmp_path / "metas")], "1 rejects: template_missing 1"), ([], "0 rejects: "),
+    ):
+        caplog.clear()
+        assert cli.main([*base, *argv], spark) == 0
+        assert line in caplog.messages, caplog.messages
+        rejects = spark.read.parquet(str(tmp_path / "bad")).groupBy("code").count().orderBy("code").collect()
+        assert line == f"{sum(r['count'] for r in rejects)} rejects: " + ", ".join(f"{r['code']} {r['count']}" for r in rejects)
+        assert any(m.split()[-1] in ("metas", "words", "segmentations") for m in caplog.messages)
+
+
+def test_running_stages_are_told(spark, caplog):
+    caplog.set_level(logging.INFO, "lexiforge")
+    with progress.told(spark, 0.05):
+        spark.range(0, 40, 1, 8).select(F.expr("reflect('java.lang.Thread', 'sleep', 60L)")).write.format("noop").mode("overwrite").save()
+    assert any("of 8 tasks done" in m for m in caplog.messages)
+
+
+def test_few_templates_are_broadcast(spark, monkeypatch):
+    known = templates.templates(fixtures.table_texts(spark))
+    metas = spark.createDataFrame([(m[0], m[1], m[2]) for m in fixtures.METAS], "morfo string, template_name string, stems array<string>")
+    plan = lambda: segmentation.rendered(metas, segmentation.sized(known))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(segmentation, "BROADCAST_TEMPLATES", 1)
+    assert "broadcast" not in plan()
