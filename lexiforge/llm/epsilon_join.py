@@ -4,14 +4,17 @@ On unit vectors a cosine of at least c is a distance of at most eps = sqrt(2 - 2
 sorted by their grid cells (side eps) on the leading principal dimensions, lexicographically, and cut into
 blocks. The join runs over the sorted sequence: pairs of sequence intervals (the range partitions) are
 halved recursively, and an interval pair whose bounding boxes are farther apart than eps is skipped as a whole;
-the same test on the blocks of two joined intervals leaves the pairs of blocks that can hold links. A pair of
-blocks is one unit of work: a single-precision product finds candidates with a safe margin, a
+the same recursion over the blocks of two joined intervals leaves the pairs of blocks that can hold links. For a pair of
+blocks a single-precision product finds candidates with a safe margin, a
 double-precision cosine of the original vectors decides. It returns link counts and a spanning
 forest of its links, never the links themselves.
 
+A pair of intervals is one task. The blocks lie in the shared folder, a folder per interval; the task reads those of one interval that it needs, then goes through the other's
+one by one. So vectors are shuffled once, when they are sorted, and read once for each interval that theirs is paired with: at most INTERVALS times, until an
+interval would hold more than INTERVAL_MOST vectors (about 128 million vectors in all), beyond which there are more of them.
+
 The principal axes are fitted on at most SAMPLE vectors; they only set the order and the boxes,
-so a bad fit costs time and no link. The driver holds the boxes of at most MAX_INTERVALS intervals and recurses down to stretches of
-1 / STRETCHES of them: at most STRETCHES (STRETCHES + 1) / 2 pairs of stretches. Tasks go on from there.
+so a bad fit costs time and no link. The driver holds the intervals' boxes and pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link with nothing;
 vectors of different lengths do not link; equal vectors are joined once, with their number as weight
@@ -27,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, drop_path, filesystem, materialize, new_path, tidy
 from .graph import components
-from .vectors import batches_of, matrix, valid
+from .vectors import matrix, valid
 
-SAMPLE, MAX_INTERVALS, STRETCHES, INTERVAL_ROWS, BLOCK_ROWS, LEADING = 4096, 4096, 128, 8192, 2048, 8
-BLOCKS = "part long, block long, dim long, n long, low array<double>, high array<double>, reps binary, weights binary, vectors binary"
+SAMPLE, INTERVALS, INTERVAL_ROWS, INTERVAL_MOST, BLOCK_ROWS, LEADING = 4096, 128, 4096, 1_000_000, 2048, 8
+BLOCKS = "interval long, dim long, n long, low array<double>, high array<double>, reps binary, weights binary, vectors binary"
 
 
 def axes(sample: np.ndarray, leading: int) -> np.ndarray:
@@ -41,10 +44,10 @@ def axes(sample: np.ndarray, leading: int) -> np.ndarray:
     return np.ascontiguousarray(vec[:, ::-1][:, :leading])
 
 
-def interval_pairs(boxes: list[tuple], eps: float, width: int = 1) -> list[tuple[int, int, int, int]]:
-    """Pairs (a, b, c, d) of stretches of at most width intervals, a to b and c to d (b and d excluded, a <= c), whose boxes (dim, low, high) come within eps, by recursion over the sequence.
+def interval_pairs(boxes: list[tuple], eps: float, start: list[tuple[int, int, int, int]] | None = None) -> list[tuple[int, int]]:
+    """Pairs i <= j of a sequence of boxes (dim, low, high) that come within eps, by recursion over pairs of its stretches; a box of dimension 0 meets none.
 
-    A stretch paired with itself stands for its pairs i <= j.
+    start: the pairs of stretches (a to b, c to d, ends excluded) to begin with; by default the whole sequence with itself.
     """
     tree: dict = {}
 
@@ -59,7 +62,7 @@ def interval_pairs(boxes: list[tuple], eps: float, width: int = 1) -> list[tuple
                 tree[a, b] = (d | e, l1 if l2 is None else l2 if l1 is None else np.minimum(l1, l2), h1 if h2 is None else h2 if h1 is None else np.maximum(h1, h2))
         return tree[a, b]
 
-    out, todo = [], [(0, len(boxes), 0, len(boxes))] if boxes else []
+    out, todo = [], ([(0, len(boxes), 0, len(boxes))] if boxes else []) if start is None else list(start)
     while todo:
         a, b, c, d = todo.pop()
         (e, l1, h1), (f, l2, h2) = box(a, b), box(c, d)
@@ -68,8 +71,8 @@ def interval_pairs(boxes: list[tuple], eps: float, width: int = 1) -> list[tuple
         gap = np.maximum(0, np.maximum(l1 - h2, l2 - h1))
         if gap @ gap > eps * eps:
             continue
-        if b - a <= width and d - c <= width:
-            out.append((a, b, c, d))
+        if b - a == 1 and d - c == 1:
+            out.append((a, c))
         elif (a, b) == (c, d):
             m = (a + b) // 2
             todo += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
@@ -82,6 +85,33 @@ def interval_pairs(boxes: list[tuple], eps: float, width: int = 1) -> list[tuple
     return out
 
 
+class Blocks:
+    """The stored blocks of an interval: boxes, then vectors by number."""
+
+    def __init__(self, folder: str, interval: int):
+        from pyarrow import fs
+
+        system, path = filesystem(f"{folder}/interval={interval}")
+        # files of one finished job, in one order for every reader
+        self.files = [(system, f.path) for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.path.endswith(".parquet")]
+        heads = [r for b in self.rows(["dim", "low", "high"]) for r in b]
+        self.boxes = [(r["dim"], r["low"], r["high"]) for r in heads]
+
+    def rows(self, columns: list[str]):
+        import pyarrow.parquet as pq
+
+        for system, path in self.files:
+            with system.open_input_file(path) as f, pq.ParquetFile(f) as table:
+                for batch in table.iter_batches(batch_size=1, columns=columns):
+                    yield batch.to_pylist()
+
+    def vectors(self, wanted: set[int]):
+        """(number, reps, weights, vectors) of the blocks of these numbers, one at a time."""
+        for k, (r,) in enumerate(self.rows(["dim", "n", "reps", "weights", "vectors"])):
+            if k in wanted:
+                yield k, np.frombuffer(r["reps"], "<i8"), np.frombuffer(r["weights"], "<i8"), stored(r["vectors"], r["n"], r["dim"])
+
+
 class Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -110,7 +140,12 @@ def links(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     return i[keep], j[keep]
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, interval_rows: int = INTERVAL_ROWS, block_rows: int = BLOCK_ROWS, stretches: int = STRETCHES) -> DataFrame:
+def intervals_of(n: int, interval_rows: int = INTERVAL_ROWS, most: int = INTERVAL_MOST) -> int:
+    """The number of intervals of n vectors: of interval_rows each up to INTERVALS, then growing ones of up to `most`."""
+    return max(1, min(-(-n // interval_rows), max(INTERVALS, -(-n // most))))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, interval_rows: int = INTERVAL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable), kept."""
     spark = vectors.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
@@ -143,10 +178,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, interval_rows: int =
                 )
 
     placed = materialize(classes.select("embedding", "rep", "weight").mapInArrow(place, "dim long, cell binary, lead array<double>, rep long, weight long, embedding array<double>"), "eps-placed")
-    parts = -(-n // max(interval_rows, n // MAX_INTERVALS + 1)) or 1
+    parts = intervals_of(n, interval_rows)
 
     def cut(batches):
-        part, block, held = TaskContext.get().partitionId(), 0, []
+        part, held = TaskContext.get().partitionId(), []
         for b in batches:
             at = 0
             while at < b.num_rows:
@@ -154,66 +189,55 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, interval_rows: int =
                 held.append(b.slice(at, room))
                 at += room
                 if sum(h.num_rows for h in held) >= block_rows:
-                    for row in rows_of(held, part, block):
-                        block += 1
-                        yield row
+                    yield from rows_of(held, part)
                     held = []
         if held:
-            yield from rows_of(held, part, block)
+            yield from rows_of(held, part)
 
-    def rows_of(held, part, block):
+    def rows_of(held, part):
         t = pa.Table.from_batches(held).combine_chunks()
         dims = t["dim"].to_numpy()
-        for k, dim in enumerate(np.unique(dims)):
+        for dim in np.unique(dims):
             some_ = t.filter(pa.array(dims == dim)).combine_chunks()
             lead = matrix(some_["lead"].combine_chunks())
             x = matrix(some_["embedding"].combine_chunks())
             short = x.astype(np.float32)
             x = short if np.array_equal(short, x) else x
             yield pa.RecordBatch.from_pylist([{
-                "part": part, "block": (part << 32) + block + k, "dim": int(dim), "n": len(x), "low": lead.min(axis=0).tolist(), "high": lead.max(axis=0).tolist(),
+                "interval": part, "dim": int(dim), "n": len(x), "low": lead.min(axis=0).tolist(), "high": lead.max(axis=0).tolist(),
                 "reps": some_["rep"].to_numpy().astype("<i8").tobytes(), "weights": some_["weight"].to_numpy().astype("<i8").tobytes(), "vectors": x.astype(x.dtype.newbyteorder("<")).tobytes(),
             }], pa.schema([(c.split()[0], pa.list_(pa.float64()) if "array" in c else pa.binary() if c.endswith("binary") else pa.int64()) for c in BLOCKS.split(", ")]))
 
     ordered = placed.repartitionByRange(parts, "dim", "cell", F.col("lead")[0]).sortWithinPartitions("dim", "cell", F.col("lead")[0])
-    blocks = materialize(ordered.mapInArrow(cut, BLOCKS), "eps-blocks")
+    folder = new_path(spark, "eps-blocks")
+    ordered.mapInArrow(cut, BLOCKS).write.partitionBy("interval").parquet(folder)
     discard(placed)
 
-    # the recursion over intervals; then the same test on their blocks
-    sums = blocks.groupBy("part", "dim").agg(F.array(*(F.min(F.col("low")[k]) for k in range(LEADING))).alias("low"), F.array(*(F.max(F.col("high")[k]) for k in range(LEADING))).alias("high")).collect()
-    keys = sorted({(r["dim"], r["part"]) for r in sums})
-    box = {(r["dim"], r["part"]): (r["dim"], r["low"], r["high"]) for r in sums}
-    stretch_pairs = spark.createDataFrame(interval_pairs([box[k] for k in keys], eps, -(-len(keys) // stretches)), "a long, b long, c long, d long")
-    numbers = spark.createDataFrame([(k, *key) for k, key in enumerate(keys)], "i long, dim long, part long")
-    pairs = stretch_pairs.select(F.explode(F.sequence("a", F.col("b") - 1)).alias("i"), "c", "d").select("i", F.explode(F.sequence("c", F.col("d") - 1)).alias("j")).where(F.col("i") <= F.col("j"))
-    pairs = pairs.join(numbers, "i").join(numbers.select(F.col("i").alias("j"), "dim", F.col("part").alias("part2")), ["j", "dim"]).select("dim", "part", "part2")
-    heads = blocks.select("dim", "part", "block", "low", "high")
-    other = heads.select("dim", F.col("part").alias("part2"), F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    both = pairs.join(heads, ["dim", "part"]).join(other, ["dim", "part2"]).where((F.col("part") != F.col("part2")) | (F.col("block") <= F.col("block2")))
-    gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(F.lit(0.0), a, b)), F.lit(0.0), lambda s, g: s + g * g)
-    both = both.where(gap <= eps * eps).select("block", "block2")
-    left = blocks.select("block", "dim", "reps", "weights", "vectors", "n")
-    right = blocks.select(F.col("block").alias("block2"), F.col("reps").alias("reps2"), F.col("weights").alias("weights2"), F.col("vectors").alias("vectors2"), F.col("n").alias("n2"))
+    # the recursion over intervals; that over their blocks is the tasks'
+    blocks = spark.read.schema(BLOCKS).parquet(folder)
+    sums = blocks.groupBy("interval", "dim").agg(F.array(*(F.min(F.col("low")[k]) for k in range(LEADING))).alias("low"), F.array(*(F.max(F.col("high")[k]) for k in range(LEADING))).alias("high")).collect()
+    sums.sort(key=lambda r: (r["dim"], r["interval"]))
+    near = interval_pairs([(r["dim"], r["low"], r["high"]) for r in sums], eps)
+    pairs = sorted({tuple(sorted((sums[i]["interval"], sums[j]["interval"]))) for i, j in near})
+    pairs_ = spark.sparkContext.broadcast(pairs)
 
     def work(batches):
         for b in batches:
-            for r in b.to_pylist():
-                same, out = r["block"] == r["block2"], []
-                ra, rb = np.frombuffer(r["reps"], "<i8"), np.frombuffer(r["reps2"], "<i8")
-                wa, wb = np.frombuffer(r["weights"], "<i8"), np.frombuffer(r["weights2"], "<i8")
-                x, y = unpack(r["vectors"], r["n"], r["dim"]), unpack(r["vectors2"], r["n2"], r["dim"])
-                i, j = links(x, y, least)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                na = np.bincount(i, weights=wb[j], minlength=len(ra)).astype(np.int64)
-                nb = np.bincount(j, weights=wa[i], minlength=len(rb)).astype(np.int64)
-                out += [(int(ra[k]), None, int(na[k])) for k in np.nonzero(na)[0]] + [(int(rb[k]), None, int(nb[k])) for k in np.nonzero(nb)[0]]
-                forest, shift = Union(len(ra) + len(rb)), 0 if same else len(ra)
-                out += [(int(ra[a]), int(rb[c]), 0) for a, c in zip(i.tolist(), j.tolist(), strict=True) if forest.join(a, c + shift)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [(), (), ()])], ["a", "b", "links"])
-
-    with batches_of(spark, 1):
-        found_links = materialize(both.join(left, "block").join(right, "block2").mapInArrow(work, "a long, b long, links long"), "eps-links")
+            for k in b.column(0).to_pylist():
+                i, j = pairs_.value[k]
+                left = Blocks(folder, i)
+                right = left if i == j else Blocks(folder, j)
+                na, nb = len(left.boxes), len(right.boxes)
+                found = interval_pairs(left.boxes, eps) if i == j else interval_pairs(left.boxes + right.boxes, eps, [(0, na, na, na + nb)])
+                with_: dict[int, list[int]] = {}
+                for x, y in found:
+                    with_.setdefault(y if i == j else y - na, []).append(x)
+                held = {x: (ra, wa, v) for x, ra, wa, v in left.vectors({x for x, _ in found})}
+                for y, rb, wb, v in right.vectors(set(with_)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined_blocks([(x == y and i == j, *held[x]) for x in with_[y]], (rb, wb, v), least)], ["a", "b", "links"])
+
+    tasks = max(1, min(len(pairs), 20_000))
+    found_links = materialize(spark.range(0, len(pairs), 1, tasks).mapInArrow(tidy(work), "a long, b long, links long"), "eps-links")
     counts = found_links.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     group = components(found_links.where(F.col("b").isNotNull()).select("a", "b"))
     per_class = classes.join(counts, "rep", "left").join(group, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
@@ -221,7 +245,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, interval_rows: int =
     least = materialize(per_class.groupBy("component").agg(F.min("first").alias("component_id")), "eps-heads")
     per_class = per_class.join(least, "component")
     per_class = materialize(per_class.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "eps-result")
-    discard(blocks)
+    drop_path(spark, folder)
     rows_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows_ = rows_.withColumn("embedding", F.when(F.col("vec_id").isNotNull(), F.col("embedding")))
     # a null vector matches no class; a null key would meet in one task, so each gets a key of its own
@@ -235,6 +259,29 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def unpack(data: bytes, n: int, dim: int) -> np.ndarray:
-    """A block's vectors as doubles; it is stored as floats where these hold its values exactly."""
-    return np.frombuffer(data, f"<f{len(data) // (n * dim)}").reshape(n, dim).astype(np.float64)
+def stored(data: bytes, n: int, dim: int) -> np.ndarray:
+    """A block's vectors as they are stored: as floats where these hold its values exactly, else as doubles."""
+    return np.frombuffer(data, f"<f{len(data) // (n * dim)}").reshape(n, dim)
+
+
+def joined_blocks(others: list[tuple], block: tuple, least: float) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(a, b, links) of a block (reps, weights, vectors) with each of others (whether it is itself, reps, weights, vectors): a row with the number of links of each vector that has some, and rows of a forest that spans the links."""
+    rb, wb, y = block
+    y = y.astype(np.float64)
+    a, b, n = [], [], []
+    mine = np.zeros(len(rb), np.int64)
+    for same, ra, wa, x in others:
+        i, j = links(y if same else x.astype(np.float64), y, least)
+        if same:
+            i, j = i[i < j], j[i < j]
+        na = np.bincount(i, weights=wb[j], minlength=len(ra)).astype(np.int64)
+        mine += np.bincount(j, weights=wa[i], minlength=len(rb)).astype(np.int64)
+        forest, shift = Union(len(ra) + len(rb)), 0 if same else len(ra)
+        tree = np.fromiter((forest.join(p, q + shift) for p, q in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+        has = np.flatnonzero(na)
+        a += [ra[has], ra[i[tree]]]
+        b += [np.full(len(has), -1), rb[j[tree]]]
+        n += [na[has], np.zeros(int(tree.sum()), np.int64)]
+    has = np.flatnonzero(mine)
+    a, b, n = np.concatenate([*a, rb[has]]), np.concatenate([*b, np.full(len(has), -1)]).astype(np.int64), np.concatenate([*n, mine[has]])
+    return a, pa.array(b, mask=b < 0), n

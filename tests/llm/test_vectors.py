@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from lexiforge.llm.epsilon_join import interval_pairs, near_duplicates
+from lexiforge.llm.epsilon_join import interval_pairs, intervals_of, near_duplicates
 from lexiforge.llm.hnsw import build_index, search
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -53,7 +53,7 @@ def test_rows_that_repeat_the_query_hide_no_neighbour(spark):
     assert got == {2, 3}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"interval_rows": 40, "block_rows": 16, "stretches": 3}])
+@pytest.mark.parametrize("sizes", [{}, {"interval_rows": 40, "block_rows": 16}])
 def test_join_equals_brute_force(vectors, sizes):
     rows = vectors.collect()
     all_ = clean(rows)
@@ -95,8 +95,12 @@ def test_intervals_skip_distant_pairs_only():
         low = r.random(3) * 5
         boxes.append((int(r.integers(2, 4)), low, low + r.random(3)))
     want = {(i, j) for i in range(23) for j in range(i, 23) if boxes[i][0] == boxes[j][0] and (np.maximum(0, np.maximum(boxes[i][1] - boxes[j][2], boxes[j][1] - boxes[i][2])) ** 2).sum() <= 0.25}
-    for width in (1, 2, 5):
-        stretches = interval_pairs(boxes, 0.5, width)
-        got = [(i, j) for a, b, c, d in stretches for i in range(a, b) for j in range(c, d) if i <= j]
-        assert want <= set(got) <= {(i, j) for i in range(23) for j in range(i, 23)} and len(got) == len(set(got))
-        assert all(b - a <= width and d - c <= width for a, b, c, d in stretches)
+    got = interval_pairs(boxes, 0.5)
+    assert sorted(got) == sorted(want)
+    assert sorted(interval_pairs(boxes, 0.5, [(0, 9, 9, 23)])) == sorted((i, j) for i, j in want if i < 9 <= j)
+
+
+def test_intervals_stay_bounded_in_number_and_size():
+    assert [intervals_of(n) for n in (0, 1, 4096, 4097, 524_288, 10**7, 128 * 10**6, 10**9)] == [1, 1, 1, 2, 128, 128, 128, 1000]
+    # each vector is read once for each interval: the number does not grow with the table until intervals are full
+    assert max(intervals_of(10**k) for k in range(9)) == 128
