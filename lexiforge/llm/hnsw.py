@@ -1,30 +1,33 @@
 """Nearest neighbours with a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash of their id. Each shard is built by one task: equal vectors become one node, the layers of the
+Vectors are dealt to shards by a hash of their id and components. Each shard is built by one task: equal vectors become one node, the layers of the
 graph are flat arrays of neighbour numbers, filled by inserting blocks of nodes with a
 beam search that runs for the whole block at once. An index row holds the ids, vectors and neighbour
-arrays of a shard as binary columns. Queries go in blocks to every shard, each shard
-answers with its nearest, scores are recomputed from the original vectors in double precision, and the shards' answers
-are merged per query.
+arrays of a shard as binary columns. Shards grow with the table up to SHARD_MOST vectors, so a query asks at most SHARDS of them below 134 million vectors.
+
+A task of a search gets several shards and opens each once. The queries lie in the shared folder in blocks; the task takes them from there, block after
+block, scores each shard's nearest from the original vectors in double precision, and keeps the k nearest of each query over its shards. Tasks' answers, k for each query
+and task, are merged per query. Tables of more than SLICE queries go in slices, which bound what a task keeps.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and null ids, take no part; vectors of another length than
-the query's are no candidates; of rows that repeat a query's id one (by digest) asks, and none of them is its candidate; fewer than k
-candidates give fewer rows; an empty table gives none.
+the query's are no candidates; of rows that repeat a query's id one (by digest) asks, and none of them is its candidate; equal rows are counted, and are
+as many candidates; fewer than k candidates give fewer rows; an empty table gives none; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import filesystem, materialize, new_path, tidy
 from .vectors import batches_of, matrix, valid
 
-SHARD_ROWS, BLOCK = 8192, 512
+SHARD_ROWS, SHARD_MOST, SHARDS, BLOCK, SLICE, TASKS = 8192, 131_072, 1024, 512, 1 << 20, 1024
 M, EF_BUILD, EF_SEARCH, EXPAND = 16, 96, 128, 4
-INDEX = "shard long, dim long, n long, ids binary, id_ends binary, vectors binary, top long, entry long, neighbours binary"
+INDEX = "shard long, dim long, n long, ids binary, copies binary, id_ends binary, vectors binary, top long, entry long, neighbours binary"
 
 
 def distances(x: np.ndarray, q: np.ndarray, cand: np.ndarray) -> np.ndarray:
@@ -164,16 +167,16 @@ def connect(g: Graph, layer: int, new: np.ndarray, found: np.ndarray, dist: np.n
             table[some[over]] = spread(x, some[over], both[over][:, :wide], d[over][:, :wide], most)
 
 
-def shard_row(shard: int, ids: np.ndarray, x: np.ndarray) -> dict:
-    """An index row. Equal vectors are one node that lists all their ids, ascending."""
+def shard_row(shard: int, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> dict:
+    """An index row. Equal vectors are one node that lists all their ids, ascending, with the number of each."""
     by = np.argsort(ids, kind="stable")
-    ids, x = ids[by], x[by]
+    ids, copies, x = ids[by], copies[by], x[by]
     x = x + 0.0  # one zero
     _, first, node = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
     by = np.argsort(node, kind="stable")
     g = build(np.ascontiguousarray(x[first], np.float32), int(shard))
     return {
-        "shard": shard, "dim": x.shape[1], "n": len(first), "ids": ids[by].astype("<i8").tobytes(), "id_ends": np.cumsum(np.bincount(node)).astype("<i8").tobytes(),
+        "shard": shard, "dim": x.shape[1], "n": len(first), "ids": ids[by].astype("<i8").tobytes(), "copies": copies[by].astype("<i8").tobytes(), "id_ends": np.cumsum(np.bincount(node)).astype("<i8").tobytes(),
         "vectors": x[first].astype("<f8").tobytes(), "top": len(g.layers), "entry": g.entry, "neighbours": b"".join(t.astype("<i4").tobytes() for t in g.layers),
     }
 
@@ -186,34 +189,89 @@ def open_row(row: dict):
         wide = 2 * M if k == 0 else M
         layers.append(flat[at : at + n * wide].reshape(n, wide))
         at += n * wide
-    return Graph(x.astype(np.float32), layers, row["entry"]), x, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_ends"], "<i8")
+    return Graph(x.astype(np.float32), layers, row["entry"]), x, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["copies"], "<i8"), np.frombuffer(row["id_ends"], "<i8")
+
+
+def shards_of(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    """The number of shards of n vectors: of shard_rows each up to SHARDS of them, then growing ones of up to SHARD_MOST."""
+    return max(1, min(-(-n // shard_rows), max(SHARDS, -(-n // SHARD_MOST))))
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """INDEX rows of vectors (vec_id, embedding), stored in the shared folder. Every row is indexed."""
     found = valid(vectors)
     n = found.count()
-    shards = -(-n // shard_rows) or 1
-    keyed = found.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    # equal rows would meet in one shard, however many there are: where ids repeat, they are counted first
+    repeated = found.groupBy("vec_id").count().where("count > 1").limit(1).count()
+    counted = found.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")) if repeated else found.withColumn("copies", F.lit(1).cast("long"))
+    keyed = counted.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards_of(n, shard_rows))))
 
     def run(table):
-        ids, lists = table["vec_id"].to_numpy(), table["embedding"].combine_chunks()
+        ids, copies, lists = table["vec_id"].to_numpy(), table["copies"].to_numpy(), table["embedding"].combine_chunks()
         dims, out = np.diff(lists.offsets.to_numpy()), []
         for dim in np.unique(dims):
             at = np.nonzero(dims == dim)[0]
-            out.append(shard_row(table["shard"][0].as_py(), ids[at], matrix(lists.take(pa.array(at)))))
+            out.append(shard_row(table["shard"][0].as_py(), ids[at], copies[at], matrix(lists.take(pa.array(at)))))
         return pa.Table.from_pylist(out, pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in INDEX.split(", ")]))
 
     return materialize(keyed.groupBy("shard").applyInArrow(run, INDEX), "hnsw")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SEARCH, block: int = 1024) -> DataFrame:
+def query_blocks(folder: str, part: int):
+    """(dimension, ids, vectors) of a slice's blocks of queries, in one order for every reader."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = filesystem(f"{folder}/slice={part}")
+    for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            with system.open_input_file(f.path) as file, pq.ParquetFile(file) as table:
+                for batch in table.iter_batches(batch_size=1, columns=["q_dim", "q_ids", "q_vectors"]):
+                    for row in batch.to_pylist():
+                        yield row["q_dim"], np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_vectors"], "<f8").reshape(-1, row["q_dim"])
+
+
+def answers(opened, asks: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest found in a shard for each query, nearest first, ties to the smaller id; infinite where there are fewer."""
+    g, x, ids, copies, ends = opened
+    found = g.search(q.astype(np.float32), max(ef, k + 1))[0]
+    diff = x[np.maximum(found, 0)] - q[:, None, :]
+    dist = np.where(found >= 0, np.sqrt(np.einsum("bcd,bcd->bc", diff, diff)), np.inf)
+    out_d, out_v = np.full((len(asks), k), np.inf), np.full((len(asks), k), -1, np.int64)
+    for i, own in enumerate(asks.tolist()):
+        best: list = []
+        for j in np.argsort(dist[i], kind="stable"):
+            d = dist[i, j]
+            if not np.isfinite(d) or len(best) >= k and d > best[k - 1][0]:
+                break
+            node = found[i, j]
+            # of equal vectors only the first k other ids can be among the k nearest
+            some = slice(ends[node - 1] if node else 0, ends[node])
+            others = np.flatnonzero(ids[some] != own)[:k]
+            same = np.repeat(ids[some][others], np.minimum(copies[some][others], k))[:k]
+            best += [(float(d), int(v)) for v in same]
+            best.sort()
+        for r, (d, v) in enumerate(best[:k]):
+            out_d[i, r], out_v[i, r] = d, v
+    return out_d, out_v
+
+
+def merged(one: tuple, two: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of two answers."""
+    d, v = (np.concatenate(x, axis=1) for x in zip(one, two, strict=True))
+    order = np.lexsort((v, d), axis=1)[:, :k]  # by distance, then by id
+    return np.take_along_axis(d, order, 1), np.take_along_axis(v, order, 1)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SEARCH, block: int = 1024, slice_rows: int = SLICE, tasks: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by Euclidean distance, ties to the smaller vec_id, the query's own id left out."""
     spark = index.sparkSession
     asked = valid(queries).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
     n = asked.count()
+    slices = -(-n // slice_rows) or 1
 
     def gather(batches):
+        part = TaskContext.get().partitionId() % slices
         for b in batches:
             dims = np.diff(b.column(1).offsets.to_numpy())
             for dim in np.unique(dims):
@@ -221,40 +279,42 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SEARC
                 for lo in range(0, len(at), block):
                     some = at[lo : lo + block]
                     x = matrix(b.column(1).take(pa.array(some)))
-                    yield pa.RecordBatch.from_pylist([{"q_dim": int(dim), "q_ids": b.column(0).to_numpy()[some].astype("<i8").tobytes(), "q_vectors": x.astype("<f8").tobytes()}])
-
-    blocks = materialize(asked.repartition(-(-n // (4 * block)) or 1).mapInArrow(gather, "q_dim long, q_ids binary, q_vectors binary"), "hnsw-queries")
-    shards = index.select("shard", "dim").distinct()
-    # every block of the queries asks every shard
-    asking = blocks.join(F.broadcast(shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))), F.col("q_dim") == F.col("dim")).select("dim", "q_ids", "q_vectors", F.explode("shards").alias("shard"))
+                    yield pa.RecordBatch.from_pylist([{"slice": part, "q_dim": int(dim), "q_ids": b.column(0).to_numpy()[some].astype("<i8").tobytes(), "q_vectors": x.astype("<f8").tobytes()}], pa.schema([("slice", pa.int32()), ("q_dim", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary())]))
+
+    folder = new_path(spark, "hnsw-queries")
+    parts = max(slices, -(-n // (4 * block)))
+    asked.repartition(parts).mapInArrow(gather, "slice int, q_dim int, q_ids binary, q_vectors binary").write.partitionBy("slice").parquet(folder)
+    there = [r[0] for r in spark.read.parquet(folder).select("slice").distinct().collect()] if n else []
+    shards = index.count()
+    # several shards a task once there are more than keep all tasks busy
+    tasks = tasks or max(1, min(shards * max(1, len(there)), TASKS))
+    dealt = index.withColumn("slice", F.explode(F.array(*map(F.lit, there)) if there else F.array().cast("array<int>"))).repartition(tasks)
+    if len(there) > 1:
+        dealt = dealt.sortWithinPartitions("slice")
 
     def run(batches):
-        names = ["query_id", "vec_id", "score"]
+        now, best = None, []
+
+        def told():
+            for asks, (d, v) in best:
+                at = np.nonzero(np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([pa.array(asks[at[0]]), pa.array(v[at]), pa.array(d[at])], ["query_id", "vec_id", "score"])
+
         for b in batches:
             for row in b.to_pylist():
-                g, x, ids, ends = open_row(row)
-                asks = np.frombuffer(row["q_ids"], "<i8")
-                q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(asks), -1)
-                found = g.search(q.astype(np.float32), max(ef, k + 1))[0]
-                diff = x[np.maximum(found, 0)] - q[:, None, :]
-                dist = np.where(found >= 0, np.sqrt(np.einsum("bcd,bcd->bc", diff, diff)), np.inf)
-                out = []
-                for i, own in enumerate(asks.tolist()):
-                    best: list = []
-                    order = np.argsort(dist[i], kind="stable")
-                    for j in order:
-                        d = dist[i, j]
-                        if not np.isfinite(d) or len(best) >= k and d > best[k - 1][0]:
-                            break
-                        node = found[i, j]
-                        # of equal vectors only the first k other ids can be among the k nearest
-                        same = ids[ends[node - 1] if node else 0 : ends[node]]
-                        best += [(float(d), int(v)) for v in same[same != own][:k]]
-                        best.sort()
-                    out += [(own, v, d) for d, v in best[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [(), (), ()], (pa.int64(), pa.int64(), pa.float64()), strict=True)], names)
+                if row["slice"] != now:
+                    yield from told()
+                    now, best = row["slice"], []
+                opened = open_row(row)
+                for t, (dim, asks, q) in enumerate(query_blocks(folder, now)):
+                    found = answers(opened, asks, q, k, ef) if dim == row["dim"] else (np.full((len(asks), k), np.inf), np.full((len(asks), k), -1, np.int64))
+                    if t == len(best):
+                        best.append((asks, found))
+                    else:
+                        best[t] = (asks, merged(best[t][1], found, k))
+        yield from told()
 
     with batches_of(spark, 1):
-        found = materialize(asking.join(index, ["shard", "dim"]).mapInArrow(run, "query_id long, vec_id long, score double"), "hnsw-found")
+        found = materialize(dealt.mapInArrow(tidy(run), "query_id long, vec_id long, score double"), "hnsw-found")
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

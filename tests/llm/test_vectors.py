@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lexiforge.llm.epsilon_join import interval_pairs, intervals_of, near_duplicates
-from lexiforge.llm.hnsw import build_index, search
+from lexiforge.llm.hnsw import build_index, search, shards_of
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -29,10 +29,12 @@ def clean(rows):
     return out
 
 
-def test_neighbours_recall(vectors):
+@pytest.mark.parametrize("sizes", [{}, {"block": 16, "slice_rows": 30, "tasks": 2}])
+def test_neighbours_recall(vectors, sizes):
+    """Shards and queries, in one piece and in many: several shards a task, several slices."""
     all_ = clean(vectors.collect())
     got = {}
-    for r in search(build_index(vectors, shard_rows=200), vectors.where("vec_id % 10 = 0"), k=10).collect():
+    for r in search(build_index(vectors, shard_rows=200), vectors.where("vec_id % 10 = 0"), k=10, **sizes).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = total = 0
     for q, v in all_:
@@ -53,6 +55,17 @@ def test_rows_that_repeat_the_query_hide_no_neighbour(spark):
     assert got == {2, 3}
 
 
+def test_equal_rows_are_as_many_candidates(spark):
+    rows = [(1, [1.0, 0.0]), *[(2, [1.0, 0.0])] * 4, *[(2, [0.0, 1.0])] * 2, (3, [1.0, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS shard", "'x' AS copies", "2 AS ids", "3 AS slice")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in search(build_index(table), table.where("vec_id = 1"), k=6).orderBy("rank").collect()]
+    assert [g[:2] for g in got] == [(1, 2), (2, 2), (3, 2), (4, 2), (5, 3), (6, 2)] and got[3][2] == 0.0 and got[4][2] == 0.5
+
+
+def test_shards_stay_bounded_in_number_and_size():
+    assert [shards_of(n) for n in (0, 8192, 8193, 10**7, 10**8, 10**9)] == [1, 1, 2, 1024, 1024, 7630]
+
+
 @pytest.mark.parametrize("sizes", [{}, {"interval_rows": 40, "block_rows": 16}])
 def test_join_equals_brute_force(vectors, sizes):
     rows = vectors.collect()
