@@ -7,7 +7,7 @@ towards its suffix's, these towards all documents'. The counts are sums of the t
 before it serves as prior. One more class, undetermined, has a uniform text model, so text in an unknown language or
 script falls to it.
 
-The trigram models are fitted on about SAMPLE_DOCS distinct labelled texts, an equal number of each language (at least one; those with the smallest digests);
+The trigram models are fitted on about SAMPLE_DOCS distinct labelled texts, an equal number of each of the LANGUAGES commonest labels (at least one; those with the smallest digests);
 everything else covers all rows. A text moves through no shuffle: only its scores do.
 
 Edge cases: a null text, and one without letters, is rejected; a null or unknown declaration is no
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, tidy
 from .vectors import batches_of
 
-SAMPLE_DOCS, BUCKETS = 3000, 1 << 16
+SAMPLE_DOCS, LANGUAGES, BUCKETS = 3000, 256, 1 << 16
 UNDETERMINED = "und"
 #: Share of a trigram's log likelihood that counts: neighbouring trigrams overlap.
 TEMPER = 0.25
@@ -85,45 +85,80 @@ def visible(html: str) -> str:
     return " ".join([*kept, html[at:]])
 
 
-def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """(languages and UNDETERMINED, table of log likelihoods: trigram by language) from (text, language)."""
-    names = sorted({x for _, x in rows})
-    counts = np.zeros((len(names), BUCKETS))
-    for text, name in rows:
-        for code in trigrams(text.encode()):
-            counts[names.index(name)] += np.bincount(code, minlength=BUCKETS)
-    share = (counts + 0.01) / (counts.sum(axis=1, keepdims=True) + 0.01 * BUCKETS)
-    table = np.log(np.vstack([share, np.full((1, BUCKETS), 1 / BUCKETS)]))
-    return [*names, UNDETERMINED], np.ascontiguousarray(table.T, np.float32)
+def model_of(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """(languages and UNDETERMINED, table of log likelihoods: trigram by language) from each language's counts of trigrams."""
+    names = sorted(counts)
+    table = np.full((len(names) + 1, BUCKETS), np.log(1 / BUCKETS), np.float32)
+    for k, name in enumerate(names):
+        table[k] = np.log((counts[name] + 0.01) / (counts[name].sum() + 0.01 * BUCKETS))
+    return [*names, UNDETERMINED], np.ascontiguousarray(table.T)
 
 
-def fit_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
-    """The models of a table with text and lang. Each language has max(1, sample_docs // languages) distinct texts, or all if it has fewer."""
+def counted(texts: DataFrame) -> dict[str, np.ndarray]:
+    """The trigrams of each language's texts (lang, text), counted in tasks; the driver gets one vector for each language."""
+
+    def task(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for code in trigrams(text.encode()):
+                    own += np.bincount(code, minlength=BUCKETS)
+        for lang, own in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": [own.astype("<i8").tobytes()]})
+
+    def add(table):
+        total = sum(np.frombuffer(c, "<i8") for c in table["counts"].to_pylist())
+        return pa.Table.from_pydict({"lang": table["lang"].slice(0, 1), "counts": [total.astype("<i8").tobytes()]})
+
+    schema = "lang string, counts binary"
+    rows = texts.select("lang", "text").mapInArrow(tidy(task), schema).groupBy("lang").applyInArrow(add, schema)
+    return {r["lang"]: np.frombuffer(r["counts"], "<i8") for r in rows.toLocalIterator()}
+
+
+def least_digests(keys: DataFrame, langs: list[str], each: int) -> list[tuple[str, int]]:
+    """(language, the each-th smallest digest, or the largest if there are fewer) of keys (lang, key), by counts of leading bits, six at a time."""
+    spark = keys.sparkSession
+    found = {lang: (0, each) for lang in langs}  # the leading bits of the digest looked for, and its rank among those that share them
+    for shift in (58, 52, 46):
+        table = F.broadcast(spark.createDataFrame([(lang, bits) for lang, (bits, _) in found.items()], "lang string, bits long"))
+        part = F.shiftright("key", shift)
+        inside = F.shiftright("key", min(shift + 6, 63)) == F.col("bits") if shift < 58 else F.lit(True)
+        counts: dict[str, list] = {}
+        for r in keys.join(table, "lang").where(inside).groupBy("lang", part.alias("part")).count().collect():
+            counts.setdefault(r["lang"], []).append((r["part"], r["count"]))
+        for lang, parts in counts.items():
+            rank = found[lang][1]
+            for bits, count in sorted(parts):
+                if count >= rank:
+                    break
+                rank -= count
+            else:
+                rank += count  # fewer than asked for: all of the last part
+            found[lang] = (bits, rank)
+    table = F.broadcast(spark.createDataFrame([(lang, bits) for lang, (bits, _) in found.items()], "lang string, bits long"))
+    last: dict[str, list[int]] = {}
+    for r in keys.join(table, "lang").where(F.shiftright("key", 46) == F.col("bits")).select("lang", "key").collect():
+        last.setdefault(r["lang"], []).append(r["key"])
+    return [(lang, sorted(k)[: found[lang][1]][-1]) for lang, k in last.items()]
+
+
+def fit_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES):
+    """The models of a table with text and lang: of its `languages` commonest labels (by distinct texts, ties by name), max(1, sample_docs // their number) distinct texts each, or all if there are fewer.
+
+    Only digests, counts and a vector for each language reach the driver. Texts with a rarer label are judged like unlabelled ones.
+    """
+    spark = docs.sparkSession
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"))
-    # the digests first, so that no task sends more texts than are in the sample; their counts by upper bits say how many of them are needed
     keys = materialize(some.select("lang", "key").distinct(), "text-digests")
-    counts: dict[str, list[tuple[int, int]]] = {}
-    for r in keys.groupBy("lang", F.shiftright("key", 52).alias("part")).count().collect():
-        counts.setdefault(r["lang"], []).append((r["part"], r["count"]))
-    if not counts:
-        return fit([])
-    each = max(1, sample_docs // len(counts))
-    upto = []
-    for lang, parts in counts.items():
-        n = 0
-        for part, count in sorted(parts):
-            n += count
-            if n >= each:
-                break
-        upto.append((lang, part))
-    upto_ = F.broadcast(docs.sparkSession.createDataFrame(upto, "lang string, part long"))
-    least: dict[str, list[int]] = {}
-    for r in keys.join(upto_, "lang").where(F.shiftright("key", 52) <= F.col("part")).select("lang", "key").collect():
-        least.setdefault(r["lang"], []).append(r["key"])
-    most = F.broadcast(docs.sparkSession.createDataFrame([(lang, sorted(k)[:each][-1]) for lang, k in least.items()], "lang string, most long"))
-    rows = some.join(most, "lang").where(F.col("key") <= F.col("most")).dropDuplicates(["key", "lang"]).select("text", "lang", "key").collect()
+    langs = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    if not langs:
+        return model_of({})
+    most = F.broadcast(spark.createDataFrame(least_digests(keys, langs, max(1, sample_docs // len(langs))), "lang string, most long"))
+    rows = some.join(most, "lang").where(F.col("key") <= F.col("most")).dropDuplicates(["key", "lang"])
+    model = model_of(counted(rows))
     discard(keys)
-    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))])
+    return model
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
