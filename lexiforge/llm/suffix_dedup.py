@@ -43,7 +43,7 @@ LENGTH, REACH, SEED = 200, 70, 16
 WINDOW = 2 * REACH  # starts that one minimizer can serve; WINDOW + SEED - 1 must not exceed LENGTH
 STEM = LENGTH - REACH + 1
 HOT = 20_000
-RUN_BYTES, BLOCK_RECORDS, RANGE_BYTES, SAMPLE, MOST_RANGES = 48 << 20, 512, 12 << 20, 20_000, 100_000
+RUN_BYTES, BLOCK_RECORDS, RANGE_BYTES, SAMPLE, MOST_RANGES, SLICE = 48 << 20, 512, 12 << 20, 20_000, 100_000, 1 << 20
 RUNS = "kind int, run long, seq int, first binary, last binary, data binary"
 HEAD = struct.Struct("<BBBBBII")
 
@@ -58,12 +58,24 @@ def prefix_sums(b: np.ndarray) -> np.ndarray:
 
 
 def references(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(reference q, lo, hi, fingerprint): the windows that start at q - hi to q - lo belong to q; hi < REACH."""
-    b = np.frombuffer(data, np.uint8)
-    n = len(b) - LENGTH + 1
-    if n <= 0:
+    """(reference q, lo, hi, fingerprint): the windows that start at q - hi to q - lo belong to q; hi < REACH. Long texts are read in slices of SLICE window starts."""
+    n = len(data) - LENGTH + 1
+    parts = [slice_references(data[lo : min(n, lo + SLICE) + LENGTH - 1], lo) for lo in range(0, n, SLICE)]
+    if not parts:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
+    q, first, last, prints = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    # a reference whose windows lie in two slices
+    new = np.concatenate([[True], q[1:] != q[:-1]])
+    at = np.flatnonzero(new)
+    last = last[np.concatenate([at[1:], [len(q)]]) - 1]
+    return q[at], q[at] - last, q[at] - first[at], prints[at]
+
+
+def slice_references(data: bytes, start_at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(reference, first and last start of its windows, fingerprint) of a slice of a text that begins at start_at."""
+    b = np.frombuffer(data, np.uint8)
+    n = len(b) - LENGTH + 1
     sums = prefix_sums(b)
     m = n + WINDOW - 1
     value = (fingerprints(sums, np.arange(m), SEED) & np.uint64(0xFFFFFFFF00000000)) | np.arange(m).astype(np.uint64)
@@ -79,7 +91,7 @@ def references(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
     last = np.concatenate([first[1:], [n]]) - 1
     q = q[first]
-    return q, q - last, q - first, fingerprints(sums, q, STEM)
+    return q + start_at, first + start_at, last + start_at, fingerprints(sums, q, STEM)
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -107,28 +119,30 @@ def common_suffix(a: bytes, b: bytes) -> int:
 # An entry is (right, left, lo, multi, owner, place): bytes from the reference on, bytes before it, and the text that it comes from.
 
 
-def encode_block(entries: list[tuple]) -> bytes:
+def encode_block(entries: list[tuple], prefix: int = 0) -> bytes:
+    """prefix: what the first entry shares with the one before it in its run; it is stored, and the entry is whole all the same."""
     owners: dict = {}
     out, before = [], b""
     for right, left, lo, multi, owner, place in entries:
         k = common_prefix(before, right)
-        out.append(HEAD.pack(k, len(right), len(left), lo, multi, owners.setdefault(owner, len(owners)), place) + right[k:] + left)
+        out.append(HEAD.pack(k if out else prefix, len(right), len(left), lo, multi, owners.setdefault(owner, len(owners)), place) + right[k:] + left)
         before = right
     names = np.array(list(owners), "<i8").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(struct.pack("<II", len(entries), len(owners)) + names + b"".join(out))
 
 
 def decode_block(data: bytes):
-    """Entries with the length of the common prefix with the entry before: (prefix, right, left, lo, multi, owner, place)."""
+    """Entries with the length of the common prefix with the entry before, which for the first is that of another block: (prefix, right, left, lo, multi, owner, place)."""
     data = zstandard.ZstdDecompressor().decompress(data)
     n, m = struct.unpack_from("<II", data)
     owners = np.frombuffer(data, "<i8", 2 * m, 8).reshape(m, 2).tolist()
     at, before = 8 + 16 * m, b""
-    for _ in range(n):
+    for i in range(n):
         k, wide, left, lo, multi, owner, place = HEAD.unpack_from(data, at)
         at += HEAD.size
-        before = before[:k] + data[at : at + wide - k]
-        at += wide - k
+        have = k if i else 0
+        before = before[:have] + data[at : at + wide - have]
+        at += wide - have
         yield k, before, data[at : at + left], lo, multi, tuple(owners[owner]), place
         at += left
 
@@ -225,8 +239,11 @@ def shared_windows(group: list[tuple]) -> list[tuple]:
     return out
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """oid, tkey, start, end: bytes that repeated windows cover, for docs (oid, tkey, text). Spans can overlap."""
+def repeated_spans(docs: DataFrame, hot: int = HOT, run_bytes: int = RUN_BYTES, block_records: int = BLOCK_RECORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """oid, tkey, start, end: bytes that repeated windows cover, for docs (oid, tkey, text). Spans can overlap.
+
+    run_bytes: of a sorted run in a task; block_records: of a block; range_bytes: of the runs that are merged in one range.
+    """
     spark = docs.sparkSession
 
     def prints(batches):
@@ -256,7 +273,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         def flush():
             spans = []
             for kind in (0, 1):
-                entries, block, seq = state["held"][kind], [], 0
+                entries, block, seq, end = state["held"][kind], [], 0, b""
                 entries.sort()
                 run = (part << 24) + 2 * state["runs"] + kind
                 i = 0
@@ -269,17 +286,17 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
                         spans += [(e[3], e[4] - len(left), e[4] - lo + LENGTH) for e in entries[i:j]]
                     block.append((right, left, lo, int(j > i + 1), owner, place))
                     i = j
-                    if len(block) == BLOCK_RECORDS or i == len(entries):
-                        yield batch(kind, run, seq, block)
-                        block, seq = [], seq + 1
+                    if len(block) == block_records or i == len(entries):
+                        yield batch(kind, run, seq, block, common_prefix(end, block[0][0]))
+                        block, seq, end = [], seq + 1, block[-1][0]
                 state["held"][kind].clear()
             state["runs"] += 1
             state["size"] = 0
             if spans:
                 yield span_row(spans)
 
-        def batch(kind, run, seq, block):
-            return pa.RecordBatch.from_pylist([{"kind": kind, "run": run, "seq": seq, "first": block[0][0], "last": block[-1][0], "data": encode_block(block)}], schema)
+        def batch(kind, run, seq, block, prefix):
+            return pa.RecordBatch.from_pylist([{"kind": kind, "run": run, "seq": seq, "first": block[0][0], "last": block[-1][0], "data": encode_block(block, prefix)}], schema)
 
         def span_row(spans):
             flat = np.array([(*o, a, e) for o, a, e in spans], "<i8").tobytes()
@@ -296,13 +313,15 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
                     p, h = int(q[at]), int(hi[at])
                     cold.append((data[p : p + LENGTH - int(lo[at])], data[p - h : p], int(lo[at]), owner, p))
                     state["size"] += 400 + h
+                    if state["size"] > run_bytes:
+                        yield from flush()
                 for at in np.flatnonzero(np.isin(f, np.array(hot_, np.int64))).tolist() if hot_ else ():
                     for s in range(int(q[at] - hi[at]), int(q[at] - lo[at]) + 1):
                         warm.append((data[s : s + LENGTH], b"", 0, owner, s))
                         state["size"] += 400
-                        if state["size"] > RUN_BYTES:
+                        if state["size"] > run_bytes:
                             yield from flush()
-                if state["size"] > RUN_BYTES:
+                if state["size"] > run_bytes:
                     yield from flush()
         yield from flush()
 
@@ -310,15 +329,14 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         runs = materialize(texts.mapInArrow(build, RUNS), "suffix-runs", "uncompressed")
 
     # ranges: splitters from a bounded sample of block keys
-    size = runs.where(F.col("kind") < 2).groupBy("kind").agg(F.sum(F.length("data")).alias("n")).collect()
+    size = runs.where(F.col("kind") < 2).groupBy("kind").agg(F.sum(F.length("data")).alias("n"), F.count("*").alias("blocks")).collect()
     splitters = {}
     for r in size:
-        n = -(-r["n"] // RANGE_BYTES)
-        n = min(MOST_RANGES, max(n, min(spark.sparkContext.defaultParallelism, -(-r["n"] // (1 << 20)))))
+        n = -(-r["n"] // range_bytes)
+        n = min(MOST_RANGES, max(n, min(spark.sparkContext.defaultParallelism, -(-r["n"] // min(range_bytes, 1 << 20)))))
         stem = STEM if r["kind"] == 0 else LENGTH
-        keys = runs.where(F.col("kind") == r["kind"]).select("first").orderBy(F.xxhash64("first", "run")).limit(max(SAMPLE, 16 * n)).collect()
-        keys = sorted(bytes(k[0])[:stem] for k in keys)
-        splitters[r["kind"]] = sorted({keys[len(keys) * k // n] for k in range(1, n)})
+        keys = sampled_keys(runs.where(F.col("kind") == r["kind"]), r["blocks"], n, stem)
+        splitters[r["kind"]] = sorted({keys[len(keys) * k // n] for k in range(1, n)} if keys else set())
     shared = spark.sparkContext.broadcast(splitters)
 
     def deal(batches):
@@ -331,8 +349,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 if lo != hi:
                     parts: dict = {}
                     for e in decode_block(data):
-                        parts.setdefault(bisect.bisect_right(cuts, e[1][:stem]), []).append(e[1:])
-                    rows = [(k, encode_block(es)) for k, es in parts.items()]
+                        parts.setdefault(bisect.bisect_right(cuts, e[1][:stem]), []).append(e)
+                    rows = [(k, encode_block([e[1:] for e in es], es[0][0])) for k, es in parts.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([run] * len(rows), pa.int64()), pa.array([seq] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names)
 
     def combine(table):
@@ -353,16 +371,10 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pa.Table.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["oid", "tkey", "start", "end"])
 
     def stream(blocks):
-        """The entries of a run's blocks; a block's first entry gets its prefix with the last one of the block before."""
-        before = b""
-        for _, data in blocks:
-            first = True
-            for e in decode_block(data):
-                if first:
-                    e = (common_prefix(before, e[1]), *e[1:])
-                    first = False
-                before = e[1]
-                yield e
+        """The entries of a run's blocks in a range. The first one follows none, and so shares nothing."""
+        for i, (_, data) in enumerate(blocks):
+            for j, e in enumerate(decode_block(data)):
+                yield e if i or j else (0, *e[1:])
 
     def unpack(batches):
         for b in batches:
@@ -380,11 +392,31 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return spans
 
 
-def dedup_suffixes(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def sampled_keys(runs: DataFrame, blocks: int, n: int, stem: int) -> list[bytes]:
+    """Sorted first keys of about 16 n of the blocks (SAMPLE at least), chosen by a hash; beyond SAMPLE they are sorted by Spark, and the driver gets every 16th."""
+    wanted = max(SAMPLE, 16 * n)
+    some = runs
+    if wanted < blocks:
+        some = runs.where(F.xxhash64("first", "run", "seq") < F.lit(int((2 * wanted / blocks - 1) * (1 << 63))))
+    some = some.select(F.substring("first", 1, stem).alias("first"))
+    if wanted <= SAMPLE:
+        return sorted(bytes(k[0]) for k in some.collect())
+
+    def every(batches):
+        k = 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.flatnonzero((np.arange(b.num_rows) + k) % 16 == 8)))], ["first"])
+            k += b.num_rows
+
+    ordered = some.repartitionByRange(-(-wanted // SAMPLE), "first").sortWithinPartitions("first")
+    return sorted(bytes(k[0]) for k in ordered.mapInArrow(every, "first binary").collect())
+
+
+def dedup_suffixes(docs: DataFrame, hot: int = HOT, **sizes: int) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (arrays of start and end)."""
     oid = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), oid.alias("oid"), F.xxhash64("text").alias("tkey"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(plain.select("oid", "tkey", "text"), hot)
+    spans = repeated_spans(plain.select("oid", "tkey", "text"), hot, **sizes)
     per = materialize(spans.distinct().groupBy("oid", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans-by-text")
     discard(spans)
 

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -35,16 +36,60 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_suffixes_equal_brute_force(docs, no_docs, hot):
+@pytest.mark.parametrize("hot, sizes", [(suffix_dedup.HOT, {}), (1, {}), (suffix_dedup.HOT, {"run_bytes": 20_000, "block_records": 5, "range_bytes": 2_000}), (2, {"run_bytes": 9_000, "block_records": 3, "range_bytes": 1_000})])
+def test_suffixes_equal_brute_force(docs, no_docs, hot, sizes):
+    """With one run and range, and with many of both, whose blocks end anywhere."""
     rows = docs.collect()
     want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, *x) for r, x in zip(rows, removed([r["text"] for r in rows]), strict=True))
-    out = suffix_dedup.dedup_suffixes(docs, hot)
+    out = suffix_dedup.dedup_suffixes(docs, hot, **sizes)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in out.collect())
     assert got == want
     assert suffix_dedup.digests(no_docs).count() == 0
 
 
+def test_references_in_slices_are_the_same(monkeypatch):
+    from conftest import passage
+
+    data = (passage(60, 3000) + "x" * 1500 + passage(61, 500)).encode()
+    whole = suffix_dedup.references(data)
+    for size in (1, 37, 200, 5000):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        some = data if size > 1 else data[:900]
+        want = whole if size > 1 else None
+        if want is None:
+            monkeypatch.setattr(suffix_dedup, "SLICE", 1 << 20)
+            want = suffix_dedup.references(some)
+            monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        assert all(np.array_equal(a, b) for a, b in zip(suffix_dedup.references(some), want, strict=True))
+
+
+def test_a_long_text_takes_bounded_memory():
+    """32 MB of text: the references' arrays are made in slices."""
+    data = np.random.default_rng(1).integers(97, 123, 32 << 20).astype(np.uint8).tobytes()
+    suffix_dedup.references(data[: 1 << 20])
+    tracemalloc.start()
+    q, _, _, _ = suffix_dedup.references(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(q) > 100_000 and peak < 400 << 20
+
+
+def test_blocks_know_their_prefix_with_the_block_before():
+    entries = [(w, b"", 0, 0, (1, 2), 3) for w in (b"abcd", b"abce", b"b")]
+    data = suffix_dedup.encode_block(entries, 3)
+    assert [(e[0], e[1]) for e in suffix_dedup.decode_block(data)] == [(3, b"abcd"), (3, b"abce"), (0, b"b")]
+
+
+def test_sampled_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 300)
+    runs = spark.range(20_000).select(F.encode(F.format_string("%06d", "id"), "UTF-8").alias("first"), F.col("id").alias("run"), F.lit(0).alias("seq"))
+    few = suffix_dedup.sampled_keys(runs, 20_000, 10, 4)
+    many = suffix_dedup.sampled_keys(runs, 20_000, 200, 6)
+    assert 150 < len(few) < 450 and set(map(len, few)) == {4} and few == sorted(few)
+    assert 140 < len(many) < 260 and many == sorted(many) and max(np.diff([int(k) for k in many])) < 1000
+    assert len(suffix_dedup.sampled_keys(runs.limit(50), 50, 3, 6)) == 50
+
+
 def test_merge_of_runs_keeps_prefixes():
     r = np.random.default_rng(2)
     words = [[bytes(r.integers(97, 99, r.integers(0, 9)).astype(np.uint8)) for _ in range(r.integers(0, 40))] for _ in range(7)]
@@ -317,13 +362,62 @@ def test_rare_languages_and_copies_in_the_sample(spark, monkeypatch):
 
     rows = [(passage(k, 20), "en") for k in range(1000)] + [("the same text", "de")] * 500 + [(f"der andere text {k}", "de") for k in range(30)] + [("Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "el")]
     seen: list = []
-    fit = language.fit
-    monkeypatch.setattr(language, "fit", lambda sample: seen.append(sample) or fit(sample))
+    counted = language.counted
+    monkeypatch.setattr(language, "counted", lambda sample: seen.append([(r["text"], r["lang"]) for r in sample.collect()]) or counted(sample))
     names, _ = language.fit_on(spark.createDataFrame(rows, "text string, lang string"), sample_docs=30)
     assert names == ["de", "el", "en", language.UNDETERMINED]
     assert Counter(x for _, x in seen[0]) == {"en": 10, "de": 10, "el": 1} and len(set(seen[0])) == 21
 
 
+def test_very_many_labels_stay_bounded(spark):
+    """5,000 labels: the commonest ones are taken, ties by name, and their counts are exact."""
+    rows = [(f"text number {k}", f"x{k % 5000:04d}") for k in range(5000)] + [(f"common text {k}", f"c{k % 5}") for k in range(40)]
+    names, table = language.fit_on(spark.createDataFrame(rows, "text string, lang string"), sample_docs=40, languages=8)
+    assert names == ["c0", "c1", "c2", "c3", "c4", "x0000", "x0001", "x0002", language.UNDETERMINED] and table.shape == (language.BUCKETS, 9)
+    texts = sorted((t for t, x in rows if x == "c1"), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])[:5]
+    want = sum(np.bincount(c, minlength=language.BUCKETS) for t in texts for c in language.trigrams(t.encode()))
+    assert np.allclose(table[:, 1], np.log((want + 0.01) / (want.sum() + 0.01 * language.BUCKETS)), atol=1e-5)
+
+
+def test_pages_equal_a_plain_version(spark):
+    """Likelihoods, declared languages and the smoothing from host to suffix to all, page by page."""
+    sf = "/root/testdata/sf0.001"
+    model = language.fit_on(spark.read.parquet(f"{sf}/documents.parquet"))
+    names, table = model
+    n = len(names)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    rows += [(1000 + k, ["http://a.example.de/x", "https://A.example.de:80/y", "http://b.de", None, "nonsense"][k % 5], h) for k, (_, _, h) in enumerate(rows[:25])] + [(2000, None, None), (2001, "http://a.example.de", "<p>1 2 3</p>"), (2002, "http://z.org", "<html lang=xx><p>der die und nicht</p>")]
+    seen = []
+    for key, url, h in rows:
+        codes = [c for c in language.trigrams(language.visible(h or "").encode())] if h else []
+        score = sum((table[c].sum(axis=0, dtype=np.float64) for c in codes), np.zeros(n))
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", url or "")
+        host = m[1].lower() if m else ""
+        said = re.search(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", h or "", re.S | re.I)
+        e = np.exp(language.TEMPER * score - (language.TEMPER * score).max())
+        seen.append((key, host, host.rsplit(".", 1)[-1], said and said[1].lower(), score, e / e.sum(), sum(map(len, codes))))
+    everywhere = (sum(x[5] for x in seen) + 1) / (len(seen) + n)
+    want = {}
+    for key, host, suffix, said, score, own, letters in seen:
+        same, near = [x[5] for x in seen if x[1] == host], [x[5] for x in seen if x[2] == suffix]
+        parent = (sum(near) + language.SUFFIX_WEIGHT * everywhere) / (len(near) + language.SUFFIX_WEIGHT)
+        prior = (np.maximum(sum(same) - own, 0) + language.HOST_WEIGHT * parent) / (len(same) - 1 + language.HOST_WEIGHT)
+        declared = np.zeros(n)
+        if said and said.split("-")[0] in names[:-1]:
+            declared[:] = np.log((1 - language.DECLARED_RIGHT) / (n - 2))
+            declared[names.index(said.split("-")[0])] = np.log(language.DECLARED_RIGHT)
+            declared[-1] = np.log(1 / (n - 1))
+        log = language.TEMPER * score + declared + np.log(prior)
+        post = np.exp(log - log.max())
+        post /= post.sum()
+        k = int(post.argmax())
+        want[key] = (said, host, names[k], float(post[k]), letters > 0 and k < n - 1 and post[k] >= language.LEAST_POSTERIOR)
+    got = {r["id"]: tuple(r)[2:] for r in language.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    assert got.keys() == want.keys() and len({x[1] for x in want.values()}) > 10
+    for key, w in want.items():
+        assert got[key][:3] == w[:3] and got[key][3] == pytest.approx(w[3], abs=1e-6) and got[key][4] == w[4], key
+
+
 def test_pages_use_markup_and_host(spark):
     model = language.fit_on(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     pages = spark.createDataFrame([(1, "http://a.example.de/x", '<html lang="de"><p>der die und ist nicht keit heit schen</p>'), (2, None, None), (3, "bad", "<p>")], "page_id long, url string, html string")
