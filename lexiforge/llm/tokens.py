@@ -25,6 +25,8 @@ import numpy as np
 #: Entries of each of the two generations of the unit cache; both together take about 200 MB of a Python worker.
 #: When the young one is full it becomes the old one, and units found there again move back: rare words age out.
 CACHE_UNITS = 450_000
+#: Longer units (characters) are not kept: they hardly come again, and their number bounds no memory.
+LONG = 64
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: In texts without a match, letters are Latin ones, white space is single spaces and line feeds, and no apostrophe joins
@@ -99,17 +101,17 @@ class Encoder:
                     cache[u] = old[u]
                 else:
                     new.append(u)
-        rest = []
+        rest, long = [], {}
         for u in new:
             if _PLAIN.fullmatch(u):
-                cache[u] = self.packed(self.word_ids(u))
+                (long if len(u) > LONG else cache)[u] = self.packed(self.word_ids(u))
             else:
                 rest.append(u)
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[u] = self.packed(e.ids)
-        return b"".join(map(cache.__getitem__, units))
+                (long if len(u) > LONG else cache)[u] = self.packed(e.ids)
+        return b"".join([long[u] if u in long else cache[u] for u in units] if long else map(cache.__getitem__, units))
 
     def word_ids(self, unit: str) -> list[int]:
         """The ids of one word of Latin letters, for byte-level BPE with the space before it, if any."""

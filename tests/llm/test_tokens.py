@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from lexiforge.llm import tokens
 from lexiforge.llm.packing import pack
 from lexiforge.llm.token_tables import Table, encode_to_tables, write_tables
 from lexiforge.llm.tokens import Encoder, public_tokenizer
@@ -116,3 +117,11 @@ def test_the_last_sequence_is_padded_unless_it_is_a_power_of_two(spark, n, last)
     rows = sorted(pack(docs, public_tokenizer(FILES[False])).collect(), key=lambda r: r["start"])
     assert sum(r["length"] for r in rows) == n and rows[-1]["padded_length"] == last
     assert all(r["padded_length"] == 2048 for r in rows[:-1])
+
+
+def test_long_units_are_not_kept():
+    e = tokens.Encoder(tokens.public_tokenizer("byte_bpe_50k.json"), words=False)
+    text = " ".join(["short", "x" * 300, "Ω" * 90, "short", "y" * 64])
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode(text), e.dtype).tolist() == want == np.frombuffer(e.encode(text), e.dtype).tolist()
+    assert e.cache and max(map(len, e.cache)) <= tokens.LONG + 1
