@@ -2,7 +2,7 @@
 
 1. Documents are aggregated by membership pattern (the set of sources a document
    belongs to): one row of words per pattern. This table alone reaches the
-   driver; it is at most MAX_PATTERNS rows, else an error says so.
+   driver; with more than MAX_PATTERNS rows it stays in Spark (see plan_of_many()), where no document has several sources; else an error says so.
 2. A min-cost flow routes words from patterns to the sources' quotas. The first copy of a
    pattern's words costs 0 a word, the second 1: convex costs, so nothing is repeated
    while an unused word of the same source is left.
@@ -11,10 +11,10 @@
    flow. A task sees the rows of one bucket of one pattern at a time, or sums.
 
 Documents are taken whole: the last one is taken if the flow ends nearer to its end than to its start. The
-order is the MD5 of seed and doc_id, so reruns agree.
+order is the MD5 of seed and doc_id (of the text for a null one), so reruns agree.
 
-Edge cases: a null text has size 0; a null source is a source of its own, last in order; null and repeated
-ids share an order key, ties are broken by size and text digest, and rows that agree in all are interchangeable; an empty table mixes
+Edge cases: a null text has size 0; a null source is a source of its own, last in order; repeated
+ids, and null ones of one text, share an order key, ties are broken by size and text digest, and rows that agree in all are interchangeable; an empty table mixes
 to an empty one; documents of size 0 take 0 words, so apply_mix() leaves them out.
 """
 
@@ -138,6 +138,41 @@ def pattern_of(docs: DataFrame, sources: str):
     return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None).cast("string")))
 
 
+def plan_of_many(slim: DataFrame, weights: tuple, share: float, copies: int, parts: int = 200) -> DataFrame:
+    """pattern, source_size, target, per_copy of slim (pattern, size) whose patterns are single sources, however many: what targets() and route() give.
+
+    Sources are ranked by a range partition and its counts. The level at which sources are filled is found by aggregates: those whose bound
+    lies below it are full, which raises it for the others, until no more are. Without overlaps the flow is known: a source's first copy, then the next.
+    """
+    name = F.col("pattern")[0]
+    sums = slim.groupBy(name.alias("s")).agg(F.sum("size").cast("long").alias("n"))
+    ordered = sums.repartitionByRange(parts, F.col("s").isNull(), "s").sortWithinPartitions(F.col("s").isNull(), "s")
+    place = F.monotonically_increasing_id()  # partition and place in it
+    table = materialize(ordered.select("s", "n", place.alias("place")), "mix-sources")
+    part = F.shiftright("place", 33)
+    counts = sorted(tuple(r) for r in table.groupBy(part.alias("part")).count().collect())
+    before, at = [], 0
+    for k, n in counts:
+        before.append((k, at))
+        at += n
+    offsets = F.broadcast(slim.sparkSession.createDataFrame(before, "part long, before long"))
+    rank = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
+    ranked = materialize(table.withColumn("part", part).join(offsets, "part").select("s", "n", F.get(F.array(*map(F.lit, weights)), (rank % len(weights)).cast("int")).cast("double").alias("w")), "mix-weights")
+    total, level, full = share * (ranked.agg(F.sum("n")).first()[0] or 0), -1.0, F.lit(False)
+    while True:
+        r = ranked.agg(F.sum(F.when(full, copies * F.col("n")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.count_if(full)).first()
+        if not r[1] or (total - r[0]) / r[1] <= level:
+            break
+        level = (total - r[0]) / r[1]
+        full = F.col("w") * level > copies * F.col("n")
+    target = F.when(full, copies * F.col("n")).otherwise(F.col("w") * level).cast("double")
+    quota = F.floor(target + 0.5)
+    per_copy = F.array(*(F.greatest(F.lit(0), F.least(F.col("n"), quota - k * F.col("n"))).cast("long") for k in range(copies)))
+    plan = materialize(ranked.select(F.array("s").alias("pattern"), F.col("n").alias("source_size"), target.alias("target"), per_copy.alias("per_copy")), "mix-plan")
+    discard(table, ranked)
+    return plan
+
+
 def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, copies: int = 2, seed: str = "mix", max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """Every document of docs with size, source_size, target and taken (words that the mix takes, repeats counted).
 
@@ -147,26 +182,31 @@ def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, shar
     spark = docs.sparkSession
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), pattern_of(docs, sources).alias("pattern"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("hash"), F.xxhash64("text").alias("tie"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), F.coalesce(F.md5("text"), F.lit("")))))).alias("hash"), F.xxhash64("text").alias("tie"),
     )
     slim = materialize(slim, "mix")
     rows = slim.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns of sources")
-    words = {tuple(r["pattern"]): r["words"] for r in rows}
-    names = sorted({s for p in words for s in p}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(n for p, n in words.items() if s in p) for s in names}
-    target = targets(sizes, {s: weights[k % len(weights)] for k, s in enumerate(names)}, share, copies)
-    routed = route(words, {s: int(t + 0.5) for s, t in target.items()}, copies)
-    plan = []
-    for p, used in routed.items():
-        per_copy = [sum(n for (c, _), n in used.items() if c == k) for k in range(copies)]
-        plan.append((list(p), sizes[p[0]], float(target[p[0]]), per_copy))
-    plan = spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, per_copy array<long>")
+        if slim.where(F.size("pattern") > 1).limit(1).count():
+            raise ValueError(f"more than {max_patterns} patterns of overlapping sources")
+        plan, n_docs = plan_of_many(slim, weights, share, copies), slim.count()
+    else:
+        n_docs = sum(r["n"] for r in rows)
+        words = {tuple(r["pattern"]): r["words"] for r in rows}
+        names = sorted({s for p in words for s in p}, key=lambda s: (s is None, s or ""))
+        sizes = {s: sum(n for p, n in words.items() if s in p) for s in names}
+        target = targets(sizes, {s: weights[k % len(weights)] for k, s in enumerate(names)}, share, copies)
+        routed = route(words, {s: int(t + 0.5) for s, t in target.items()}, copies)
+        table = []
+        for p, used in routed.items():
+            per_copy = [sum(n for (c, _), n in used.items() if c == k) for k in range(copies)]
+            table.append((list(p), sizes[p[0]], float(target[p[0]]), per_copy))
+        # proven small: the driver has just checked its number of rows
+        plan = F.broadcast(spark.createDataFrame(table, "pattern array<string>, source_size long, target double, per_copy array<long>"))
 
     # buckets of some hundred rows each, by leading digits of the hash
     digits = 1
-    while sum(r["n"] for r in rows) > 256 * 16**digits and digits < 8:
+    while n_docs > 256 * 16**digits and digits < 8:
         digits += 1
     slim = slim.withColumn("bucket", F.substring("hash", 1, digits))
     sums = slim.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -180,8 +220,7 @@ def mix(docs: DataFrame, sources: str = "source", weights: tuple = WEIGHTS, shar
     inside = W.partitionBy("pattern", "bucket").orderBy("hash", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = slim.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts.hint("merge"), ["pattern", "bucket"]).withColumn("place", F.col("start") + F.col("within"))
-    # proven small: the driver has just checked its number of rows
-    placed = placed.join(F.broadcast(plan.withColumnRenamed("pattern", "p")), F.col("pattern").eqNullSafe(F.col("p")))
+    placed = placed.join(plan.withColumnRenamed("pattern", "p"), F.col("pattern").eqNullSafe(F.col("p")))
     taken = sum((F.when(2 * F.col("place") + F.col("size") <= 2 * F.col("per_copy")[k], F.col("size")).otherwise(0) for k in range(copies)), F.lit(0).cast("long"))
     return placed.select("doc_id", "pattern", "size", "source_size", "target", taken.alias("taken"), "tie")
 
@@ -223,7 +262,7 @@ o AS (SELECT *, coalesce(sum(2 * n) OVER before, 0) AS full_before, sum(w) OVER
 c AS (SELECT *, (total - full_before) * w / w_left > 2 * n AS capped FROM o),
 r AS (SELECT source, n, CASE WHEN capped THEN (2 * n)::DOUBLE ELSE (total - coalesce(sum(2 * n) FILTER (capped) OVER (), 0)) * w / (sum(w) FILTER (NOT capped) OVER ()) END AS target FROM c),
 q AS (SELECT source, n, target, floor(target + 0.5) AS quota FROM r),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(concat('mix:', coalesce(doc_id::VARCHAR, ''))), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM d)
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(concat('mix:', coalesce(doc_id::VARCHAR, 'n' || coalesce(md5(text), '')))), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM d)
 SELECT p.doc_id, p.size::BIGINT AS size, q.n::BIGINT AS source_size, q.target AS target,
   ((CASE WHEN 2 * place + size <= 2 * least(quota, n) THEN size ELSE 0 END) + (CASE WHEN 2 * place + size <= 2 * (quota - least(quota, n)) THEN size ELSE 0 END))::BIGINT AS taken
 FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source

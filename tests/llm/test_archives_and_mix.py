@@ -102,3 +102,26 @@ def test_targets_reshare_the_excess():
     t = mixing.targets({"a": 10, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 2}, 1.5, 2)
     assert t["a"] == 20 and t["c"] == 197 + 1 / 3 - 1 / 3 or t["c"] <= 200
     assert sum(t.values()) == pytest.approx(315) and all(t[k] <= 2 * v for k, v in {"a": 10, "b": 100, "c": 100}.items())
+
+
+def test_more_sources_than_the_driver_takes(spark, docs):
+    """The plan that stays in Spark takes what the driver's takes; overlapping sources raise."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") * 7919 % 61).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") * 31 % 97 * F.when(F.col("id") % 61 == 5, 40).otherwise(1)).cast("int")).alias("text"))
+    many = many.withColumn("source", F.when(F.col("doc_id") % 61 != 3, F.col("source")))
+    for table in (many, docs):
+        rows = lambda **more: sorted(map(str, mixing.mix(table, **more).select("doc_id", "size", "source_size", F.round("target", 6), "taken").collect()))  # noqa: B023, E731
+        assert rows(max_patterns=1) == rows()
+    both = many.withColumn("source", F.array("source", F.lit("all")))
+    with pytest.raises(ValueError, match="overlapping"):
+        mixing.mix(both, max_patterns=5)
+
+
+def test_rows_without_ids_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"))
+    out = mixing.mix(table)
+    assert out.agg(F.sum("taken")).first()[0] == pytest.approx(1.5 * 8000, abs=4)
+    assert out.where("taken = 4").count() == pytest.approx(1000, abs=2)
