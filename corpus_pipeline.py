@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import chunk_dedup, forest_join, language, mixing, packing
-from lexiforge.llm.common import materialize
+from lexiforge.llm.common import discard, materialize, scope
 from lexiforge.llm.tokens import public_tokenizer
 
 
@@ -55,10 +55,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder before the next one reads it."""
+    """All stages on documents, each written to the shared folder before the next one reads it. A stage's own tables go when it is written, its output when its successor is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope() as kept:
+            done = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(done)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir).drop("ids")
 
 

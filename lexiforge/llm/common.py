@@ -88,6 +88,18 @@ def discard(*tables: DataFrame) -> None:
             drop_path(t.sparkSession, path)
 
 
+@contextlib.contextmanager
+def scope():
+    """Inside, everything that new_path() names is a step's own; at the end it is deleted, but for the tables of materialize() that are put into the list it gives."""
+    mark, kept = len(_written), []
+    yield kept
+    paths = {getattr(t, "_lexiforge_path", None) for t in kept}
+    for spark, path in _written[mark:]:
+        if path not in paths:
+            drop_path(spark, path)
+    _written[mark:] = [(spark, path) for spark, path in _written[mark:] if path in paths]
+
+
 #: Hadoop's names of file systems that Arrow knows by other names.
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
 

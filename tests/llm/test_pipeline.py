@@ -151,3 +151,18 @@ def test_run_is_the_stages_in_order(spark, stages, tmp_path):
 def test_no_documents_give_no_sequences(spark, no_docs, tmp_path):
     no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_stage_leaves_its_output_alone(spark):
+    """After a run the shared folder holds the last output that is read, and what the last stage reads."""
+    import os
+
+    import corpus_pipeline
+    from lexiforge.llm import common
+
+    folder = common.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    there = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "stage-mix" in there and not there & {"stage-language", "stage-near_dups", "stage-substrings", "chunks", "scores", "mix", "answers"}
+    assert out.count() > 0
