@@ -35,7 +35,7 @@ from .graph import components
 from .vectors import matrix, valid
 
 SAMPLE, INTERVALS, INTERVAL_ROWS, INTERVAL_MOST, BLOCK_ROWS, LEADING = 4096, 128, 4096, 1_000_000, 2048, 8
-BLOCKS = "interval long, dim long, n long, low array<double>, high array<double>, reps binary, weights binary, vectors binary"
+BLOCKS = "part long, dim long, n long, low array<double>, high array<double>, reps binary, weights binary, vectors binary"
 
 
 def axes(sample: np.ndarray, leading: int) -> np.ndarray:
@@ -86,23 +86,25 @@ def interval_pairs(boxes: list[tuple], eps: float, start: list[tuple[int, int, i
 
 
 class Blocks:
-    """The stored blocks of an interval: boxes, then vectors by number."""
+    """The stored blocks of an interval, which is some parts of the sorted sequence: boxes (of dimension 0 for vectors of another dimension), then vectors by number."""
 
-    def __init__(self, folder: str, interval: int):
+    def __init__(self, folder: str, dim: int, parts: list[int]):
         from pyarrow import fs
 
-        system, path = filesystem(f"{folder}/interval={interval}")
-        # files of one finished job, in one order for every reader
-        self.files = [(system, f.path) for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.path.endswith(".parquet")]
-        heads = [r for b in self.rows(["dim", "low", "high"]) for r in b]
-        self.boxes = [(r["dim"], r["low"], r["high"]) for r in heads]
+        self.files = []
+        for part in parts:
+            system, path = filesystem(f"{folder}/part={part}")
+            # files of one finished job, in one order for every reader
+            self.files += [(system, f.path) for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.path.endswith(".parquet")]
+        heads = [r for b in self.rows(["dim", "low", "high"], 64) for r in b]
+        self.boxes = [(r["dim"] if r["dim"] == dim else 0, r["low"], r["high"]) for r in heads]
 
-    def rows(self, columns: list[str]):
+    def rows(self, columns: list[str], size: int = 1):
         import pyarrow.parquet as pq
 
         for system, path in self.files:
             with system.open_input_file(path) as f, pq.ParquetFile(f) as table:
-                for batch in table.iter_batches(batch_size=1, columns=columns):
+                for batch in table.iter_batches(batch_size=size, columns=columns):
                     yield batch.to_pylist()
 
     def vectors(self, wanted: set[int]):
@@ -145,6 +147,22 @@ def intervals_of(n: int, interval_rows: int = INTERVAL_ROWS, most: int = INTERVA
     return max(1, min(-(-n // interval_rows), max(INTERVALS, -(-n // most))))
 
 
+def grouped(parts: list[tuple], rows: int) -> list[tuple]:
+    """Intervals (dim, low, high, parts) of about `rows` vectors from the boxes (dim, part, low, high, n) of consecutive parts of the sequence, whatever number of them it was dealt to."""
+    out: list[tuple] = []
+    room = 0
+    for dim, part, low, high, n in parts:
+        low, high = np.array(low), np.array(high)
+        if out and out[-1][0] == dim and n <= room:
+            _, l0, h0, some = out[-1]
+            out[-1] = (dim, np.minimum(l0, low), np.maximum(h0, high), [*some, part])
+            room -= n
+        else:
+            out.append((dim, low, high, [part]))
+            room = rows - n
+    return out
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9, interval_rows: int = INTERVAL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable), kept."""
     spark = vectors.sparkSession
@@ -204,37 +222,36 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, interval_rows: int =
             short = x.astype(np.float32)
             x = short if np.array_equal(short, x) else x
             yield pa.RecordBatch.from_pylist([{
-                "interval": part, "dim": int(dim), "n": len(x), "low": lead.min(axis=0).tolist(), "high": lead.max(axis=0).tolist(),
+                "part": part, "dim": int(dim), "n": len(x), "low": lead.min(axis=0).tolist(), "high": lead.max(axis=0).tolist(),
                 "reps": some_["rep"].to_numpy().astype("<i8").tobytes(), "weights": some_["weight"].to_numpy().astype("<i8").tobytes(), "vectors": x.astype(x.dtype.newbyteorder("<")).tobytes(),
             }], pa.schema([(c.split()[0], pa.list_(pa.float64()) if "array" in c else pa.binary() if c.endswith("binary") else pa.int64()) for c in BLOCKS.split(", ")]))
 
     ordered = placed.repartitionByRange(parts, "dim", "cell", F.col("lead")[0]).sortWithinPartitions("dim", "cell", F.col("lead")[0])
     folder = new_path(spark, "eps-blocks")
-    ordered.mapInArrow(cut, BLOCKS).write.partitionBy("interval").parquet(folder)
+    ordered.mapInArrow(cut, BLOCKS).write.partitionBy("part").parquet(folder)
     discard(placed)
 
     # the recursion over intervals; that over their blocks is the tasks'
     blocks = spark.read.schema(BLOCKS).parquet(folder)
-    sums = blocks.groupBy("interval", "dim").agg(F.array(*(F.min(F.col("low")[k]) for k in range(LEADING))).alias("low"), F.array(*(F.max(F.col("high")[k]) for k in range(LEADING))).alias("high")).collect()
-    sums.sort(key=lambda r: (r["dim"], r["interval"]))
-    near = interval_pairs([(r["dim"], r["low"], r["high"]) for r in sums], eps)
-    pairs = sorted({tuple(sorted((sums[i]["interval"], sums[j]["interval"]))) for i, j in near})
+    sums = blocks.groupBy("dim", "part").agg(F.array(*(F.min(F.col("low")[k]) for k in range(LEADING))).alias("low"), F.array(*(F.max(F.col("high")[k]) for k in range(LEADING))).alias("high"), F.sum("n").alias("n")).collect()
+    intervals = grouped(sorted(map(tuple, sums)), -(-n // parts))
+    pairs = [(intervals[i][0], intervals[i][3], intervals[j][3] if i != j else None) for i, j in interval_pairs([x[:3] for x in intervals], eps)]
     pairs_ = spark.sparkContext.broadcast(pairs)
 
     def work(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
-                i, j = pairs_.value[k]
-                left = Blocks(folder, i)
-                right = left if i == j else Blocks(folder, j)
+                dim, one, two = pairs_.value[k]
+                left = Blocks(folder, dim, one)
+                right = left if two is None else Blocks(folder, dim, two)
                 na, nb = len(left.boxes), len(right.boxes)
-                found = interval_pairs(left.boxes, eps) if i == j else interval_pairs(left.boxes + right.boxes, eps, [(0, na, na, na + nb)])
+                found = interval_pairs(left.boxes, eps) if two is None else interval_pairs(left.boxes + right.boxes, eps, [(0, na, na, na + nb)])
                 with_: dict[int, list[int]] = {}
                 for x, y in found:
-                    with_.setdefault(y if i == j else y - na, []).append(x)
+                    with_.setdefault(y if two is None else y - na, []).append(x)
                 held = {x: (ra, wa, v) for x, ra, wa, v in left.vectors({x for x, _ in found})}
                 for y, rb, wb, v in right.vectors(set(with_)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined_blocks([(x == y and i == j, *held[x]) for x in with_[y]], (rb, wb, v), least)], ["a", "b", "links"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined_blocks([(x == y and two is None, *held[x]) for x in with_[y]], (rb, wb, v), least)], ["a", "b", "links"])
 
     tasks = max(1, min(len(pairs), 20_000))
     found_links = materialize(spark.range(0, len(pairs), 1, tasks).mapInArrow(tidy(work), "a long, b long, links long"), "eps-links")

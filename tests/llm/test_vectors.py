@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from lexiforge.llm.epsilon_join import interval_pairs, intervals_of, near_duplicates
+from lexiforge.llm.epsilon_join import grouped, interval_pairs, intervals_of, near_duplicates
 from lexiforge.llm.hnsw import build_index, search, shards_of
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -113,6 +113,12 @@ def test_intervals_skip_distant_pairs_only():
     assert sorted(interval_pairs(boxes, 0.5, [(0, 9, 9, 23)])) == sorted((i, j) for i, j in want if i < 9 <= j)
 
 
+def test_small_parts_make_one_interval():
+    parts = [(2, k, [float(k)], [k + 0.5], 10) for k in range(7)] + [(3, 6, [0.0], [1.0], 4), (3, 7, [2.0], [3.0], 50)]
+    got = [(d, low.tolist(), high.tolist(), p) for d, low, high, p in grouped(parts, 30)]
+    assert got == [(2, [0.0], [2.5], [0, 1, 2]), (2, [3.0], [5.5], [3, 4, 5]), (2, [6.0], [6.5], [6]), (3, [0.0], [1.0], [6]), (3, [2.0], [3.0], [7])]
+
+
 def test_intervals_stay_bounded_in_number_and_size():
     assert [intervals_of(n) for n in (0, 1, 4096, 4097, 524_288, 10**7, 128 * 10**6, 10**9)] == [1, 1, 1, 2, 128, 128, 128, 1000]
     # each vector is read once for each interval: the number does not grow with the table until intervals are full
