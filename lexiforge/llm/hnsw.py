@@ -214,7 +214,9 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             out.append(shard_row(table["shard"][0].as_py(), ids[at], copies[at], matrix(lists.take(pa.array(at)))))
         return pa.Table.from_pylist(out, pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in INDEX.split(", ")]))
 
-    return materialize(keyed.groupBy("shard").applyInArrow(run, INDEX), "hnsw")
+    # much work for few bytes: a range of numbers gives each shard a task, where a hash and the adaptive plan would put several into one
+    dealt = keyed.repartitionByRange(shards_of(n, shard_rows), "shard")
+    return materialize(dealt.groupBy("shard").applyInArrow(run, INDEX), "hnsw")
 
 
 def query_blocks(folder: str, part: int):
