@@ -56,6 +56,7 @@ PAGES = [
     ("стол", "{{-ru-}} {{морфо||стол||}} {{сущ ru m a 1a|слоги=сто-л}}", "no_stems", None),
     ("Стол", "{{-en-}} x {{-ru-}} {{сущ ru m a 1a|основа=стол}} {{морфо||стол||}}", None, 1),
     ("стол", "", "empty_or_not_russian", None),
+    ("рыба", "{{-ru-}} {{сущ ru m a 1a|основа=рыб}} {{морфо|корень1=рыб|суфф1=ʲ|оконч=а}}", None, 4),
 ]
 #: lines of a dictionary
 DICTIONARY = ("# note", "", "ам", "ам", " ым ", "подъ", "ь", "тель", "ель\t", "ъ", "\u00a0ом\u2003")

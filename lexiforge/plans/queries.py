@@ -12,7 +12,7 @@ from ..functions.calls import template_call
 from ..functions.endings import default_inflexions, default_suffixes, segment_ending
 from ..functions.stems import align_stems, lookup, parameters, placeholder
 from ..functions.text import computed
-from ..operators import conllx, features, letters, segmentation, templates, wikitext
+from ..operators import conllx, features, fitting, letters, segmentation, templates, wikitext
 from ..sources.html_tables import parse_tables, table_text
 from ..sources.texts import dictionary
 from . import api
@@ -204,11 +204,30 @@ def crf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("word", F.array_join(F.transform("labelled", lambda x: x["label"]), "").alias("labels"))
 
 
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter rows of the documents' words that the ending rules segment."""
+    return letters.letters(suffix_words(spark, sf_dir).select(F.col("word").alias("word_id"), F.col("seg").alias("value")))
+
+
+def labelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is fitted to: words with their labels, counted."""
+    return fitting.labelled_words(training_rows(spark, sf_dir)).select("word", F.array_join("labels", " ").alias("labels"), "n")
+
+
+def fit_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model fitted in five rounds to the labelled words of all documents, and the labels that it gives them. No SQL: see tests/test_fitting.py."""
+    weights, names, _ = fitting.fit(training_rows(spark, sf_dir), rounds=5)
+    words = fitting.labelled_words(training_rows(spark, sf_dir)).select("word", F.array_join("labels", " ").alias("labels"))
+    found = features.decode(words, weights, names)
+    return found.select("word", "labels", F.array_join(F.transform("labelled", lambda x: x["label"]), " ").alias("found"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "title_filter": title_filter, "dictionary_load": dictionary_load, "segment_endings": segment_endings, "suffix_words": suffix_words, "part_order": part_orders, "base_form": base_forms, "yot": yot,
     "align_stems": align, "template_forms": template_forms, "param_lookup": param_lookup, "segment_forms": segment_forms, "form_rejects": form_rejects, "template_misses": template_misses, "extract_template": extract_template,
     "metas": metas, "page_rejects": page_rejects, "letters": letter_rows, "letters_roundtrip": letters_roundtrip, "pivot_morphemes": pivot_morphemes, "ctx_features": ctx_features, "lexicon_features": lexicon_features,
     "conll_columns": conll_columns, "segment_conll": segment_conll, "html_tables": html_tables, "crf_decode": crf_decode,
+    "labelled_words": labelled_words, "fit_model": fit_model,
 }
 
 NM = len(X.METAS)
@@ -252,6 +271,7 @@ _CALLS = [
     (2, "{{морфо||муш|к|а}}", None), (3, "{{морфо||стол||}}", "{{сущ ru m a 1a|основа=стол}}"), (4, None, "{{сущ ru m a 1a|основа=стол}}"), (5, "{{морфо||стол|{{а№б}}}}", "{{сущ ru m a 1a|основа=стол}}"),
     (6, "{{морфо||||}}", "{{сущ ru m a 1a|основа=стол}}"), (7, "{{морфо||стол||}}", None), (8, "{{морфо||стол||}}", "{{сущ ru m a 1a}}"), (9, "{{морфо||стол||}}", "{{сущ ru m a 1a|слоги=сто-л}}"),
     (10, "{{морфо||стол||}}", "{{сущ ru m a 1a|основа=стол}}"), (11, None, None),
+    (12, "{{морфо|корень1=рыб|суфф1=ʲ|оконч=а}}", "{{сущ ru m a 1a|основа=рыб}}"),
 ]
 _ALIGNED = [(i, m[3] if m[3] in ("misaligned", "suffix_gap", "no_base_stem") else None, s) for i, m, s in (
     (i, m, {0: "корень_муш суфф_к;корень_муш суфф_ек", 1: "корень_стол", 2: "корень_стол", 3: "корень_нов", 4: "корень_рыб суфф_", 6: "корень_стол", 7: "корень_стол", 12: "корень_да"}.get(i)) for i, m in enumerate(X.METAS)) if m[4]]
@@ -301,6 +321,10 @@ SELECT doc, count(*) AS tokens, count(*) FILTER (m <> '') AS segmented, md5(stri
     "html_tables": rf"""
 WITH c AS (SELECT page_id, page_id::VARCHAR AS template_name, list_transform([url, html], lambda x: trim(replace(replace(regexp_replace(coalesce(x, ''), '{CONTROLS}', '', 'g'), E'\r\n', E'\n'), E'\r', E'\n'), E' \t\n')) AS cells FROM pages)
 SELECT template_name, array_to_string(list_transform(list_filter(cells, lambda x: x <> ''), lambda x: x || ' |'), ' ') || E'\npl. | {{{{{{s}}}}}}i |\n' AS value FROM c WHERE page_id % 5 <> 4""",
+    "labelled_words": f"""
+WITH s AS (SELECT word AS id, string_split(seg, ' ') AS toks FROM ({_ending_sql(WORDS_SQL, LATIN_INFLEXIONS, LATIN_SUFFIXES)}) WHERE seg IS NOT NULL),
+t AS (SELECT id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS tn FROM s), p AS (SELECT id, tn, split_part(tok, '_', 1) AS type, split_part(tok, '_', 2) AS part FROM t)
+SELECT word, labels, count(*) AS n FROM (SELECT string_agg(part, '' ORDER BY tn) AS word, string_agg(type || '_начало' || repeat(' ' || type, length(part)::BIGINT - 1), ' ' ORDER BY tn) AS labels FROM p WHERE part <> '' GROUP BY id) GROUP BY word, labels""",
     "crf_decode": f"SELECT word, regexp_replace(regexp_replace(word, '[aeiou]', 'V', 'g'), '[a-z]', 'C', 'g') AS labels FROM {WORDS_SQL}",
 }
 

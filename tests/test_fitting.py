@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge import cli
 from lexiforge.operators import features, fitting, letters
+from lexiforge.plans import queries
 
 ROOTS, SUFFIXES, ENDINGS = ["дом", "стол", "рук", "вод", "лес", "кот", "мост", "сад", "нос", "зуб"], ["ик", "н", "ок", "оват", "ск"], ["а", "ы", "ами", "ого", "ый", "ом"]
 
@@ -97,3 +98,12 @@ def test_letters_of_files_to_a_model_that_segments(spark, tmp_path):
     (tmp_path / "a.conll").write_text("1\tдомика\tl\tN\tN\tf\t0\tr\tp\tq\n")
     assert cli.main(["segment", str(tmp_path / "a.conll"), "--model", str(tmp_path / "model"), "--beside"], spark) == 0
     assert "\t_\tдом\tик\tа\t" in (tmp_path / "a.segmented.conll").read_text()
+
+
+def test_a_model_of_the_documents_words(spark):
+    """The registered query: all words that the ending rules segment, most of their letters labelled alike."""
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["fit_model"](spark, sf).collect()
+    want = queries.QUERIES["labelled_words"](spark, sf).count()
+    pairs = [(a, b) for r in got for a, b in zip(r["labels"].split(), r["found"].split(), strict=True)]
+    assert len(got) == want > 100 and sum(a == b for a, b in pairs) / len(pairs) > 0.9
