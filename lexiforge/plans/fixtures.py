@@ -108,7 +108,8 @@ def table_texts(spark: SparkSession) -> DataFrame:
 def by_key(spark: SparkSession, sf_dir: str, table: str, key: str, rows: list[tuple], schema: str) -> DataFrame:
     """Every row of a table by its key, with the entry of its number: k, then the columns of schema."""
     entries = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_i int, " + schema)
-    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long").alias("k"))
+    # few bytes, but much work: a million keys are a row group or two, which would be as many tasks
+    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long").alias("k")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the entries are a literal list of this module
     return keys.join(F.broadcast(entries), F.pmod("k", F.lit(len(rows))) == F.col("_i")).drop("_i")
 

@@ -487,3 +487,10 @@ def test_few_templates_are_broadcast(spark, monkeypatch):
     assert "broadcast" in plan()
     monkeypatch.setattr(segmentation, "BROADCAST_TEMPLATES", 1)
     assert "broadcast" not in plan()
+
+
+def test_keys_of_one_row_group_are_dealt_out_to_all_tasks(spark):
+    sf = "/root/testdata/sf0.001"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (fixtures.metas_by_key(spark, sf), fixtures.pages_by_key(spark, sf)):
+        assert len({r[0] for r in rows.select(F.spark_partition_id()).collect()}) == n
