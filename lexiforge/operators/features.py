@@ -302,6 +302,13 @@ def labelled(word: str, path: list[int], labels: list[str]) -> list[dict]:
 LABELLED = "array<struct<letter: string, label: string>>"
 
 
+def tables_of(weights: DataFrame, labels: list[str], lexicon: DataFrame | None) -> tuple[Model, Lexicon] | None:
+    """A model's and a lexicon's arrays; None if they are too large to be sent to executors."""
+    some = weights.limit(MODEL_ROWS + 1).collect()
+    table = lexicon_of(lexicon) if len(some) <= MODEL_ROWS else None
+    return None if table is None else (Model(some, labels), table)
+
+
 def decode(words: DataFrame, weights: DataFrame, labels: list[str], lexicon: DataFrame | None = None, features: Factory | None = None) -> DataFrame:
     """words (word, ...) with labelled: the best label sequence of a linear-chain model; none for an empty or null word.
 
@@ -310,11 +317,10 @@ def decode(words: DataFrame, weights: DataFrame, labels: list[str], lexicon: Dat
     larger ones, and features of one's own, go by joins (see scored()).
     """
     spark = words.sparkSession
-    some = weights.limit(MODEL_ROWS + 1).collect() if features is None else []
-    table = lexicon_of(lexicon) if features is None and len(some) <= MODEL_ROWS else None
-    if table is None:
+    tables = tables_of(weights, labels, lexicon) if features is None else None
+    if tables is None:
         return decode_by_join(words, weights, labels, lexicon, features or all_features)
-    shared = spark.sparkContext.broadcast((Model(some, labels), table))
+    shared = spark.sparkContext.broadcast(tables)
 
     @F.pandas_udf(LABELLED)
     def best(column: pd.Series) -> pd.Series:

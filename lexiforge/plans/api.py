@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import computed
-from ..operators import conllx, features, letters
+from ..operators import conll_arrays, conllx, features, letters
 from ..operators import segmentation as seg
 from ..operators import wikitext
 from ..operators.templates import Words, templates
@@ -65,3 +65,19 @@ def segment_lines(lines: DataFrame, weights: DataFrame, labels: list[str], begin
     spelled = features.decode(parts, weights, labels, lexicon, features_)
     found = computed(spelled, "r", letters.reconstruct(F.col("labelled"), begin)).where(F.col("r.err").isNull())
     return conllx.with_form_morphemes(tokens, found.select("form", "part_no", "r.morphemes"), compatible)
+
+
+def segment_documents(texts_: DataFrame, weights: DataFrame, labels: list[str], begin: str = letters.BEGIN, compatible: bool = False, lexicon: DataFrame | None = None, fail_fast: bool = False, features_: features.Factory | None = None) -> DataFrame:
+    """doc, lines (conll_arrays.LINES, in order) of documents (doc, values: its texts), one row each; those without tokens are left out.
+
+    A model and a lexicon that executors can hold segment each document where it is: nothing is shuffled. Larger ones, and features of one's own, go by segment_lines().
+    """
+    tables = features.tables_of(weights, labels, lexicon) if features_ is None else None
+    if tables is not None:
+        shared = texts_.sparkSession.sparkContext.broadcast(conll_arrays.Segmenter(*tables, begin, compatible))
+        return computed(texts_.select("doc", "values"), "lines", conll_arrays.segmented(F.col("values"), shared, fail_fast)).where(F.size("lines") > 0).select("doc", "lines")
+    lines = conllx.sentences(texts_.select("doc", F.explode("values").alias("value")))
+    done = segment_lines(lines, weights, labels, begin, compatible, lexicon, fail_fast, features_)
+    filled = F.exists(F.array(*conllx.COLUMNS), lambda c: c != "_")
+    per = done.select("doc", F.struct("sent_id", "line_no", conllx.line().alias("line"), filled.alias("segmented")).alias("l")).groupBy("doc")
+    return per.agg(F.array_sort(F.collect_list("l")).alias("lines"))

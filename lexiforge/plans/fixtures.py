@@ -3,9 +3,14 @@ stands for one of these entries, by its key modulo their number. Both sides of a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.conll_arrays import blocks
+
 TABLES = {
     "сущ ru f ina 3*a": "{{{основа}}}а | {{{основа}}}и |\n{{{основа}}}е | {{{основа}}}у |\n{{{основа}}}ой | {{{основа1}}} |\n{{{основа}}}ам | {{{основа}}}ами |\n{{{основа}}}ах |\n",
     "сущ ru m a 1a": "{{{основа}}} | {{{основа}}}а |\n{{{основа}}}у | {{{основа}}}ом |\n{{{основа}}}е | {{{основа}}}ы |\n{{{основа}}}ов | {{{основа}}}а |\n",
@@ -122,6 +127,34 @@ def pages_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_key(spark, sf_dir, "customer", "c_custkey", [(p[0], p[1]) for p in PAGES], "title string, text string")
 
 
+def conll_text(texts: pa.Array) -> pa.Array:
+    """CoNLL-X texts of texts: a sentence per line that is not blank, a token per word, one of the ten fields empty now and then."""
+    rows = pc.split_pattern(texts, "\n")
+    words = pc.split_pattern_regex(rows.flatten(), r"[ \t\x0b\f\r]+")
+    word, line = words.flatten(), pc.list_parent_indices(words).to_numpy()
+    full = pc.not_equal(word, "")
+    word, line = word.filter(full), line[full.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum(np.bincount(line, minlength=len(words)))
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    k = np.arange(len(line)) - offsets[line]
+    pos, head = (pa.array(names).take(pa.array(at.astype(np.int64))) for names, at in ((["N", "PR"], k % 7 == 3), (["root", ""], k % 11 == 5)))
+    tokens = pc.binary_join_element_wise(pa.array(k + 1).cast(pa.string()), word, word, "N", pos, "_", "0", head, "_", "_", "\t")
+    sentences = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens), "\n")
+    lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), sentences), "\n\n")
+
+
+def conll_texts(texts: str) -> Column:
+    """conll_text() of each of a document's texts."""
+
+    @F.arrow_udf("array<string>")
+    def run(x: pa.Array) -> pa.Array:
+        offsets = [np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(b), 0).to_numpy(zero_copy_only=False))]) for b in blocks(x)]
+        return pa.concat_arrays([pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), conll_text(b.flatten())) for o, b in zip(offsets, blocks(x), strict=True)] or [x])
+
+    return run(texts)
+
+
 def expected_forms() -> list[tuple[int, str]]:
     """(number of the meta, segmentation)."""
     return [(i, f"{m[5][p]} {seg}") for i, m in enumerate(METAS) if m[3] is None for name, p, _, seg in FORMS if name == m[1]]

@@ -12,7 +12,7 @@ from ..functions.calls import template_call
 from ..functions.endings import default_inflexions, default_suffixes, segment_ending
 from ..functions.stems import align_stems, lookup, parameters, placeholder
 from ..functions.text import computed
-from ..operators import conllx, features, fitting, letters, segmentation, templates, wikitext
+from ..operators import conll_arrays, conllx, features, fitting, letters, segmentation, templates, wikitext
 from ..sources.html_tables import parse_tables, table_text
 from ..sources.texts import dictionary
 from . import api
@@ -162,28 +162,25 @@ def lexicon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.clique_features(spelled_words(spark, sf_dir), spark.createDataFrame(lexicon, "morpheme string, type string"), "CpC")
 
 
-def conll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CoNLL-X lines from whole texts: a sentence per line of text that is not blank, a token per word, one of the ten fields empty now and then."""
-    token = lambda w, k: F.concat_ws("\t", (k + 1).cast("string"), w, w, F.lit("N"), F.when(k % 7 == 3, "PR").otherwise("N"), F.lit("_"), F.lit("0"), F.when(k % 11 == 5, "").otherwise("root"), F.lit("_"), F.lit("_"))
-    sentence = lambda line: F.array_join(F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), token), "\n")
-    # few bytes, but much work: a file of one row group would be one task
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), sentence), "\n\n").alias("value"))
-    return conllx.sentences(texts)
+def conll_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, values: CoNLL-X texts from whole texts, a row for each doc_id."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # few bytes, but much work: a file of one row group would be one task. The texts of a doc_id meet here, and are not shuffled again.
+    dealt = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return dealt.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list("text").alias("texts")).select("doc", X.conll_texts("texts").alias("values"))
 
 
 def conll_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences, tokens, their parts and the malformed lines of every document."""
-    return conllx.counts(conll_lines(spark, sf_dir))
+    return conll_arrays.counts(conll_documents(spark, sf_dir))
 
 
 def segment_conll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segmenter from end to end over every text: the output lines of each document as one digest. In its model a, e, i, o and u go on with a root, all else begins one."""
     model = spark.createDataFrame([(f"{c}-WORD|C", None, "корень", 1.0) for c in "aeiou"], features.WEIGHTS)
-    done = api.segment_lines(conll_lines(spark, sf_dir), model, ["корень" + letters.BEGIN, "корень"])
-    per = done.select("doc", F.struct("sent_id", "line_no", conllx.line().alias("line")).alias("l"), F.col("корень") != "_").toDF("doc", "l", "found")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
-    return per.groupBy("doc").agg(F.count("*").alias("tokens"), F.count_if("found").alias("segmented"), F.md5(text).alias("lines_md5"))
+    done = api.segment_documents(conll_documents(spark, sf_dir), model, ["корень" + letters.BEGIN, "корень"])
+    found = F.size(F.filter("lines.segmented", lambda x: x)).cast("long")
+    return done.select("doc", F.size("lines").cast("long").alias("tokens"), found.alias("segmented"), F.md5(F.array_join("lines.line", "\n")).alias("lines_md5"))
 
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

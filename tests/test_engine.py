@@ -19,8 +19,8 @@ from lexiforge.functions.automaton import automaton
 from lexiforge.functions.base_form import base_form, format_parts
 from lexiforge.functions.calls import template_call
 from lexiforge.functions.endings import default_inflexions, default_suffixes, segment_ending, segment_endings
-from lexiforge.operators import conllx, features, letters, segmentation, templates, wikitext
-from lexiforge.plans import api, fixtures
+from lexiforge.operators import conll_arrays, conllx, features, letters, segmentation, templates, wikitext
+from lexiforge.plans import api, fixtures, queries
 from lexiforge.sources import dumps, files, html_tables, progress, sinks, texts
 from lexiforge.streaming import dumps as streams
 
@@ -494,3 +494,44 @@ def test_keys_of_one_row_group_are_dealt_out_to_all_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for rows in (fixtures.metas_by_key(spark, sf), fixtures.pages_by_key(spark, sf)):
         assert len({r[0] for r in rows.select(F.spark_partition_id()).collect()}) == n
+
+
+ODD_CONLL = [
+    "1\tму-ша\tl\tN\tN\tf\t0\tr\tp\tq\n\n1\ta b\tl\tN\tN\tf\t0\tr\tp\tq\n2\tx\tl\tN\tPR\tf\t0\tr\tp\tq", "", " \n\t\n", "bad\tline\n\n\n\n1\t\tмуам\tl\t\tN\tN\tf\t0\tr\tp\tq\n2\tмуам\tl\tN\tN\tf\t0\tr\tp\n\n",
+    "1\tмук\tl\tN\tN\tf\t0\tr\tp\tq\r\n2\tкум\tl\tN\tN\tf\t0\tr\tp\tq\r\n\r\n \x0b\n3\tумк\tl\tN\tN\tf\t0\tr\tp\tq\r\n", " \n1\tкк-мм мум\tl\tN\tN\tf\t0\tr\tp\tq\n\u0085",
+]
+
+
+@pytest.fixture
+def conll_documents(spark):
+    """doc, values: each odd text by itself, two in one document, none."""
+    return spark.createDataFrame([(k, [x]) for k, x in enumerate(ODD_CONLL)] + [(100, [ODD_CONLL[0], ODD_CONLL[3], ODD_CONLL[4]]), (101, []), (102, None)], "doc long, values array<string>").repartition(2).cache()
+
+
+def test_conll_counts_of_whole_texts(spark, conll_documents):
+    want = conllx.counts(conllx.sentences(conll_documents.select("doc", F.explode("values").alias("value"))))
+    got = conll_arrays.counts(conll_documents)
+    assert got.count() == 5 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("compatible", [False, True])
+def test_documents_are_segmented_where_they_are(spark, conll_documents, compatible):
+    """The rows of the joins, without one; a form has a part that is no morpheme, and one with a bad start."""
+    weights = spark.createDataFrame([("м-WORD|C", None, "корень_начало", 1.0), ("у-WORD|C", None, "корень", 1.0), ("ш-WORD|C", None, "суфф_начало", 1.0), ("а-WORD|C", None, "суфф", 1.0), ("к-WORD|C", None, "корень_начало", 0.5)], features.WEIGHTS)
+    args = (weights, ["корень", "корень_начало", "суфф", "суфф_начало"], "_начало", compatible)
+    got = api.segment_documents(conll_documents, *args)
+    lines = conllx.sentences(conll_documents.select("doc", F.explode("values").alias("value")))
+    want = api.segment_lines(lines, *args).select("doc", "sent_id", "line_no", conllx.line().alias("line"), F.exists(F.array(*conllx.COLUMNS), lambda c: c != "_").alias("segmented"))
+    rows = sorted(map(tuple, got.select("doc", F.explode("lines").alias("l")).select("doc", "l.*").collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) == 15
+    assert all(r["lines"] == sorted(r["lines"]) for r in got.collect())
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    # features of one's own go by joins
+    joined = api.segment_documents(conll_documents, *args, features_=features.all_features).collect()
+    assert sorted(map(tuple, joined)) == sorted(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize("query", [queries.conll_columns, queries.segment_conll])
+def test_conll_queries_shuffle_texts_alone(spark, query):
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
