@@ -16,9 +16,13 @@ FORM = r"(\{\{\{[^ ]+\}\}\})([а-яёй]*)"
 
 def template_forms(tables: DataFrame, pattern: str = FORM) -> DataFrame:
     """template_name, parameter, ending: the distinct forms of (template_name, value)."""
-    hits = F.explode(F.array_distinct(F.regexp_extract_all(drop_stress(F.col("value")), F.lit(pattern), F.lit(0))))
-    forms = tables.select("template_name", hits.alias("form"))
-    return forms.select("template_name", F.regexp_extract("form", pattern, 1).alias("parameter"), F.regexp_extract("form", pattern, 2).alias("ending")).dropDuplicates()
+    hits = F.array_distinct(F.regexp_extract_all(drop_stress(F.col("value")), F.lit(pattern), F.lit(0)))
+    # a template's forms travel as one array: its name is not repeated with each, and mostly one text holds them all
+    per = tables.select("template_name", hits.alias("hits")).groupBy("template_name").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    forms = per.select("template_name", F.explode(F.array_distinct("hits")).alias("form"))
+    out = forms.select("template_name", F.regexp_extract("form", pattern, 1).alias("parameter"), F.regexp_extract("form", pattern, 2).alias("ending"))
+    # FORM's two groups are the whole form, so they differ where forms do
+    return out if pattern == FORM else out.dropDuplicates()
 
 
 Words = Iterable[str] | DataFrame | None

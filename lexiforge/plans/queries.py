@@ -85,8 +85,11 @@ def template_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forms of a table for each document, whose cells are placeholders named by its words with an ending by their length, and of the tables of X.TABLES."""
     endings = F.array(*map(F.lit, X.CELL_ENDINGS))
     cells = F.transform(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""), lambda w: F.concat(F.lit("{{{"), w, F.lit("}}}"), F.get(endings, F.length(w) % len(X.CELL_ENDINGS)), F.lit(" |")))
-    tables = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("template_name"), F.array_join(cells, " ").alias("value"))
-    return templates.template_forms(tables.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).union(X.table_texts(spark)))
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("template_name"), "text")
+    # dealt out by name before their tables are made: these are longer, and meet by name where they are
+    tables = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "template_name").select("template_name", F.array_join(cells, " ").alias("value"))
+    # no document's table has a name of X.TABLES
+    return templates.template_forms(tables).unionByName(templates.template_forms(X.table_texts(spark)))
 
 
 def param_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

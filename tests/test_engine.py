@@ -535,3 +535,17 @@ def test_documents_are_segmented_where_they_are(spark, conll_documents, compatib
 def test_conll_queries_shuffle_texts_alone(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_forms_of_a_template_are_distinct_over_its_texts(spark):
+    tables = spark.createDataFrame([("t", "{{{a}}}а {{{a}}}а {{{b}}}"), ("t", "{{{a}}}а́ {{{a}}}ом"), ("u", None), (None, "{{{a}}}"), (None, "{{{a}}}")], "template_name string, value string")
+    want = [(None, "{{{a}}}", ""), ("t", "{{{a}}}", "а"), ("t", "{{{a}}}", "ом"), ("t", "{{{b}}}", "")]
+    assert sorted(map(tuple, templates.template_forms(tables).collect()), key=str) == sorted(want, key=str)
+    # the groups of another pattern may be equal where its matches differ
+    assert [tuple(r) for r in templates.template_forms(tables.where("template_name = 't'"), r"(\{\{\{)(.)(?=.\}\})?[^ ]*").select("template_name", "parameter", "ending").collect()].count(("t", "{{{", "a")) == 1
+
+
+def test_documents_are_dealt_out_once_before_their_tables_are_made(spark):
+    plan = queries.template_forms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 2 and sum("REPARTITION" in x for x in shuffles) == 1
