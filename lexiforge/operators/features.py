@@ -250,6 +250,8 @@ class Model:
         two = sorted({r["feature"] for r in rows if r["label_prev"] is not None})
         at_one, at_two = ({f: k for k, f in enumerate(x)} for x in (one, two))
         self.labels, self.one, self.two = labels, pa.array(one, pa.string()), pa.array(two, pa.string())
+        #: Features of a clique that no weight names need not be made.
+        self.cliques = {SUFFIX + f.rpartition(SUFFIX)[2] for f in at_one | at_two}
         self.single, self.double = np.zeros((len(one), m)), np.zeros((len(two), m, m))
         for r in rows:
             if r["label_prev"] is None:
@@ -261,7 +263,8 @@ class Model:
         """(scores of labels, scores of label pairs) at each place of words of n letters."""
         m = len(self.labels)
         own, step = np.zeros((len(words), n, m)), np.zeros((len(words), n, m, m)) if len(self.two) else None
-        for row, pos, name in (context_rows(words), pair_rows(words, lexicon)):
+        makers = [make for suffix, make in ((SUFFIX + "C", context_rows), (SUFFIX + "CpC", lambda x: pair_rows(x, lexicon))) if suffix in self.cliques]
+        for row, pos, name in (make(words) for make in makers):
             for known, weights, out in ((self.one, self.single, own), (self.two, self.double, step)):
                 if len(known):
                     at = pc.index_in(name, value_set=known)
