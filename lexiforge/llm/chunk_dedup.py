@@ -300,12 +300,14 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     marks = wanted.withColumn("checked", checked()).join(named, same).groupBy("m_id", "m_key").agg(F.collect_set(F.struct("at", "kind", "n", "answer")).alias("lexi_marks"))
     marks = materialize(marks, "marks")
     discard(asked, found)
-    joined = keyed.join(marks, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left").select(*map(quoted, columns), "lexi_text", "lexi_marks")
+    joined = keyed.join(marks, F.col("lexi_key").eqNullSafe(F.col("m_key")) & F.col("lexi_id").eqNullSafe(F.col("m_id")), "left")
+    joined = joined.select(*(F.col("lexi_text") if c == "text" else quoted(c) for c in columns), "lexi_marks")
+    at = columns.index("text")
 
     def run(batches):
         for b in batches:
             new, sizes, spans = [], [], []
-            for text, marks_ in zip(*(b.column(b.num_columns - k).to_pylist() for k in (2, 1)), strict=True):
+            for text, marks_ in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 data = text.encode() if text else b""
                 cut: list = []
                 if marks_:
@@ -315,11 +317,18 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                 sizes.append(len(data))
                 spans.append([{"start": a, "end": e} for a, e in cut])
             out = [pa.array(new, pa.string()) if c == "text" else b.column(k) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(sizes, pa.int64()), pa.array(spans, span_type)], [*columns, "lexi_bytes", "lexi_spans"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(sizes, pa.int64()), pa.array(spans, span_type)], numbers)
 
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    schema = T.StructType([*fields, T.StructField("lexi_bytes", T.LongType()), T.StructField("lexi_spans", T.ArrayType(span))])
-    # by number on the way in: mapInArrow reads names as paths
-    return joined.toDF(*(f"c{k}" for k in range(len(joined.columns)))).mapInArrow(tidy(run), schema)
+    types = [*(f.dataType for f in fields), T.LongType(), T.ArrayType(span)]
+    # by number in the table: mapInArrow reads names as paths, and files may not take each of them
+    numbers = [f"c{k}" for k in range(len(types))]
+    schema = T.StructType([T.StructField(c, t) for c, t in zip(numbers, types, strict=True)])
+    done = joined.toDF(*numbers[:-1]).mapInArrow(tidy(run), schema)
+    # written here, where batches are small: whoever gets the rows would take texts and marks in batches of any size
+    with batches_of(spark, 500):
+        out = materialize(done, "deduplicated")
+    discard(marks)
+    return out.toDF(*columns, "lexi_bytes", "lexi_spans")

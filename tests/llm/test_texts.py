@@ -515,3 +515,10 @@ def test_asks_equal_a_plain_version():
                         ask(e, chunk_dedup.AFTER, after)
         got = chunk_dedup.asks_of(doc, cols | {"s_none": none}, 100)
         assert sorted(zip(*(got[k].tolist() for k in ("doc", "at", "kind", "n", "s_none", "s_id", "s_key", "s_at")), strict=True)) == sorted(want), trial
+
+
+def test_texts_and_marks_meet_in_small_batches(spark, docs):
+    """What is returned is a stored table: no map over texts and marks is left to run in whatever batches its reader uses."""
+    out = chunk_dedup.dedup_chunks(docs)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert out.columns == [*docs.columns, "lexi_bytes", "lexi_spans"] and out.count() == docs.count()
