@@ -32,7 +32,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, words: bool = False, release: bool = False) -> DataFrame:
     """doc_id, part, place (ids of the partition before the document), n_tokens, ids (packed, end_id last), in scan order, without a shuffle.
 
-    release: empty the unit cache at the end of each task, for jobs whose other stages need the workers' memory.
+    release: drop the tokenizer and its unit cache at the end of each task, for jobs whose other stages need the workers' memory.
     """
 
     def run(batches):
@@ -45,7 +45,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, words: bool = False,
             place += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(n), pa.int64()), pa.array(at), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "place", "n_tokens", "ids"])
         if release:
-            enc.release()
+            encoder.cache_clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, part long, place long, n_tokens long, ids binary")
 
@@ -67,20 +67,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     base = spark.sparkContext.broadcast(base)
 
     def run(batches):
-        dtype = encoder(tokenizer, words).dtype
         names = [x.split()[0] for x in PIECES.split(", ")] + ["padded_length"] + ["ids"] * with_ids
         for b in batches:
-            out = []
-            for doc, part, place, n, packed in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                ids = np.frombuffer(packed, dtype).astype("<u4")
-                at, start = base.value[part] + place, 0
-                while start < n:
-                    seq, off = divmod(at + start, length)
-                    stop = min(n, start + length - off)
-                    piece = ids[start:stop].tobytes()
-                    out.append((doc, start, stop - start, zlib.crc32(piece), n, seq, off, padded if seq == last else length, *[piece] * with_ids))
-                    start = stop
-            cols = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
+            if not b.num_rows:
+                continue
+            place, n = (b.column(k).to_numpy() for k in (2, 3))
+            at = place + np.array([base.value[p] for p in b.column(1).to_pylist()], np.int64)
+            # the sequences that each document has a piece in, one after the other
+            first, pieces = at // length, (at + n - 1) // length - at // length + 1
+            doc = np.repeat(np.arange(len(n)), pieces)
+            seq = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + first[doc]
+            start = np.maximum(seq * length - at[doc], 0)
+            size = np.minimum((seq + 1) * length - at[doc], n[doc]) - start
+            packed = b.column(4).cast(pa.large_binary())
+            offsets = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(n) + 1]
+            # a token's width follows from the bytes: the tokenizer itself is not needed here
+            width = int(offsets[-1] - offsets[0]) // int(n.sum())
+            ids = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(f"<u{width}").astype("<u4", copy=False)
+            data, lo = memoryview(ids).cast("B"), 4 * ((offsets[:-1] - offsets[0])[doc] // width + start)
+            cuts = list(zip(lo.tolist(), (lo + 4 * size).tolist(), strict=True))
+            crc = pa.array([zlib.crc32(data[i:j]) for i, j in cuts], pa.int64())
+            columns = [b.column(0).take(pa.array(doc)), pa.array(start), pa.array(size), crc, pa.array(n[doc]), pa.array(seq), pa.array(at[doc] + start - seq * length), pa.array(np.where(seq == last, padded, length))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([bytes(data[i:j]) for i, j in cuts], pa.binary())] * with_ids, names)
 
     return tokens.select("doc_id", "part", "place", "n_tokens", "ids").mapInArrow(run, PIECES + ", padded_length long" + ", ids binary" * with_ids)

@@ -125,3 +125,29 @@ def test_long_units_are_not_kept():
     want = e.tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(e.encode(text), e.dtype).tolist() == want == np.frombuffer(e.encode(text), e.dtype).tolist()
     assert e.cache and max(map(len, e.cache)) <= tokens.LONG + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(parts=st.lists(PIECES, max_size=14))
+def test_texts_with_gaps_or_odd_characters_are_unusual(parts):
+    text = "".join(parts)
+    assert tokens.unusual(text) == any(len(c.encode()) > 1 and not c.isalpha() or c in "\t\r'\x1c" or tokens._ODD.match(c) is not None or a + c in ("  ", " \n", "\n ", "\n\n") for a, c in zip(" " * 0 + "x" + text, text))
+
+
+def test_documents_are_cut_at_the_sequences_whatever_their_length(spark):
+    """Pieces, digests and ids of documents that end at a sequence's end, span many or share one, in several batches."""
+    texts = ["a b c d e f g", "a", None, "a b c", "x " * 40 + "x", "", "日本 é", "a b c d e f"]
+    rows = [(k if k != 3 else None, texts[k % len(texts)]) for k in range(1200)]
+    got = sorted((tuple(r) for r in pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), public_tokenizer(FILES[False]), end_id=1, length=8).collect()), key=lambda r: (r[5], r[6]))
+    at, want, own = 0, [], {t: ids(t, False, 1) for t in texts}
+    total = sum(len(own[t]) for _, t in rows)
+    for doc, text in rows:
+        x, start = own[text], 0
+        while start < len(x):
+            seq, off = divmod(at + start, 8)
+            stop = min(len(x), start + 8 - off)
+            data, rest = np.array(x[start:stop], "<u4").tobytes(), total % 8
+            want.append((doc, start, stop - start, zlib.crc32(data), len(x), seq, off, rest if seq == total // 8 and rest in (0, 1, 2, 4) else 8, data))
+            start = stop
+        at += len(x)
+    assert [(*r[:8], bytes(r[8])) for r in got] == want
