@@ -5,7 +5,8 @@
    that is ever asked for has no candidate and is done. The others are the tries: a trie node is a stretch of the sorted strings with a common prefix.
 3. Matching starts with whole strings and shortens the prefix level by level. On each level the trie nodes that are new (two branches meet in them)
    are verified: the classes of a node meet in one task, those of a large node in blocks, pairs of which are dealt out. A pair is compared once, in the node of the
-   longest prefix that it shares, of equal ones in the least tree. Nodes of several trees with the same classes are one unit of work. The Jaccard similarity is exact, from
+   longest prefix that it shares, of equal ones in the least tree. Nodes of several trees with the same classes are one unit of work. First only the strings
+   of the classes meet, which tell the pairs to compare; shingles are sent for classes of such pairs alone. The Jaccard similarity is exact, from
    products of incidence matrices. Tasks return link counts and a spanning forest of the links, never the pairs.
 4. A class stops asking as soon as the estimated recall of its partners reaches the target. A pair of similarity s meets at depth d with probability
    p = 1 - (1 - s^d)^TREES; the class's found partners stand for the sum of their 1 / p, and one more partner at the threshold is supposed to exist, so that a class
@@ -157,6 +158,12 @@ def own_pairs(label: np.ndarray, asking: np.ndarray, left: int, tree: int, depth
     return out if left else np.triu(out, 1)
 
 
+def with_pairs(asking: np.ndarray, label: np.ndarray, left: int, tree: int, depth: int) -> np.ndarray:
+    """Which classes of a trie node have a pair to compare in it; see own_pairs()."""
+    mine = own_pairs(label, asking, left, tree, depth)
+    return np.flatnonzero(np.concatenate([mine.any(axis=1), mine.any(axis=0)]) if left else mine.any(axis=1) | mine.any(axis=0))
+
+
 def verify(nodes: np.ndarray, weights: np.ndarray, asking: np.ndarray, label: np.ndarray, sets: list[np.ndarray], left: int, tree: int, depth: int, threshold: float) -> list[tuple]:
     """Rows of LINKS for one unit of work: (node, None, documents linked, classes linked, sum of 1 / p) and (node, node, 0, 0, 0) for a spanning forest of the links."""
     if len(sets) == 2:  # most units
@@ -263,6 +270,35 @@ def forest_links(classes: DataFrame, plain: DataFrame, threshold: float, words:
     return out
 
 
+#: What names a unit of work: a trie node, and two of its blocks.
+KEY = ["tree", "hi", "lo", "i", "j"]
+
+
+def held_together(batches):
+    """(rows, left) for each unit of work of sorted rows (KEY, block, node, ...): left of them are of block i if that is not j, else 0; None if the unit has no pair."""
+
+    def unit(held):
+        seen, rows = set(), []
+        for r in held:  # rows that repeat doc_id and text gave the same node more than once
+            if r[6] not in seen:
+                seen.add(r[6])
+                rows.append(r)
+        i, j = held[0][3:5]
+        left = sum(r[5] == i for r in rows) if i != j else 0
+        return rows, left if len(rows) > 1 and (i == j or 0 < left < len(rows)) else None
+
+    key, held = None, []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[:5] != key:
+                if held:
+                    yield unit(held)
+                key, held = r[:5], []
+            held.append(r)
+    if held:
+        yield unit(held)
+
+
 def level_links(units: DataFrame, rows: DataFrame, sets: DataFrame, depth: int, threshold: float, block: int) -> DataFrame:
     """LINKS of the pairs that units (tree, hi, lo, size) are the first ones to hold; rows: see units_of(), sets: node, weight, label, shingles."""
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -270,44 +306,44 @@ def level_links(units: DataFrame, rows: DataFrame, sets: DataFrame, depth: int,
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     members = members.select("tree", "hi", "lo", "node", "asking", "block", other)
     members = materialize(members.select("tree", "hi", "lo", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "asking"), "members")
-    key = ["tree", "hi", "lo", "i", "j"]
-    dealt = members.join(sets, "node").select(*key, "block", "node", "asking", "weight", "label", "shingles")
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "block", "node")
+    names = [*KEY, "block", "node", "asking"]
+
+    def choose(batches):
+        for rows, left in held_together(batches):
+            if left is not None:
+                asking, label = np.array([r[7] for r in rows]), np.frombuffer(b"".join(r[8] for r in rows), LABEL).reshape(len(rows), TREES)
+                used = [rows[k][:8] for k in with_pairs(asking, label, left, rows[0][0], depth)]
+                if used:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*used, strict=True), types, strict=True)], names)
+
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+    dealt = members.join(sets.select("node", "label").hint("merge"), "node").select(*names, "label").repartition(*KEY).sortWithinPartitions(*KEY, "block", "node")
+    with batches_of(units.sparkSession, 1000):
+        compared = materialize(dealt.mapInArrow(tidy(choose), "tree int, hi long, lo long, i int, j int, block int, node long, asking boolean"), "compared")
+    discard(members)
+    dealt = compared.join(sets, "node").select(*names, "weight", "label", "shingles")
+    dealt = dealt.repartition(*KEY).sortWithinPartitions(*KEY, "block", "node")
 
     def run(batches):
-        key, held, out = None, [], []
-
-        def close():
-            seen, rows = set(), []
-            for r in held:  # rows that repeat doc_id and text gave the same node more than once
-                if r[1] not in seen:
-                    seen.add(r[1])
-                    rows.append(r)
-            left = sum(r[0] == key[3] for r in rows) if key and key[3] != key[4] else 0
-            if len(rows) > 1 and (key[3] == key[4] or 0 < left < len(rows)):
-                nodes, weights, asking = (np.array([r[k] for r in rows]) for k in (1, 3, 2))
-                label = np.frombuffer(b"".join(r[4] for r in rows), LABEL).reshape(len(rows), TREES)
-                out.extend(verify(nodes, weights, asking, label, [np.frombuffer(r[5], np.uint64) for r in rows], left, key[0], depth, threshold))
+        out = []
 
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], [c.split()[0] for c in LINKS.split(", ")])
 
-        for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(11)), strict=True):
-                if r[:5] != key:
-                    close()
-                    key, held = r[:5], []
-                held.append(r[5:])
-            if out:
-                yield batch()
-                out.clear()
-        close()
+        for rows, left in held_together(batches):
+            if left is not None:
+                nodes, asking, weights = (np.array([r[k] for r in rows]) for k in (6, 7, 8))
+                label = np.frombuffer(b"".join(r[9] for r in rows), LABEL).reshape(len(rows), TREES)
+                out.extend(verify(nodes, weights, asking, label, [np.frombuffer(r[10], np.uint64) for r in rows], left, rows[0][0], depth, threshold))
+                if len(out) >= 1000:
+                    yield batch()
+                    out.clear()
         if out:
             yield batch()
 
     with batches_of(units.sparkSession, 256):
         found = materialize(dealt.mapInArrow(tidy(run), LINKS), "similar")
-    discard(members)
+    discard(compared)
     return found
 
 

@@ -522,3 +522,17 @@ def test_texts_and_marks_meet_in_small_batches(spark, docs):
     out = chunk_dedup.dedup_chunks(docs)
     assert "MapInArrow" not in out._jdf.queryExecution().toString()
     assert out.columns == [*docs.columns, "lexi_bytes", "lexi_spans"] and out.count() == docs.count()
+
+
+def test_classes_without_a_pair_to_compare_send_no_shingles():
+    """Of four classes, two share a longer prefix and the others a prefix in an earlier tree: none is compared here, but for pairs of the last two with the first."""
+    label = np.zeros((4, forest_join.TREES), forest_join.LABEL)
+    label["there"][:, 3] = 1
+    label["hi"][:, 3], label["lo"][:, 3] = 1 << 48, [1, 1, 1 << 32, 2 << 32]
+    asking = np.ones(4, bool)
+    assert forest_join.with_pairs(asking, label, 0, 3, 5).tolist() == [0, 1, 2, 3]
+    assert forest_join.with_pairs(asking[:2], label[:2], 0, 3, 5).tolist() == []
+    assert forest_join.with_pairs(asking[1:3], label[1:3], 1, 3, 5).tolist() == [0, 1]
+    label["there"][2:, 1] = 1
+    assert forest_join.with_pairs(asking[2:], label[2:], 0, 3, 5).tolist() == []
+    assert forest_join.with_pairs(~asking, label, 0, 3, 5).tolist() == []
