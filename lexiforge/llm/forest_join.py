@@ -4,7 +4,7 @@
 2. A class has TREES strings of DEPTH MinHash values. Each tree's strings are sorted; a class whose neighbours in no tree share the shortest prefix
    that is ever asked for has no candidate and is done. The others are the tries: a trie node is a stretch of the sorted strings with a common prefix.
 3. Matching starts with whole strings and shortens the prefix level by level. On each level the trie nodes that are new (two branches meet in them)
-   are verified: the classes of a node meet in one task, those of a large node in blocks, pairs of which are dealt out. A pair is compared once, in the node of the
+   are verified: the classes of a node meet in one task, those of a large node in blocks, each one row, pairs of which are dealt out. A pair is compared once, in the node of the
    longest prefix that it shares, of equal ones in the least tree. Nodes of several trees with the same classes are one unit of work. First only the strings
    of the classes meet, which tell the pairs to compare; shingles are sent for classes of such pairs alone. The Jaccard similarity is exact, from
    products of incidence matrices. Tasks return link counts and a spanning forest of the links, never the pairs.
@@ -20,6 +20,10 @@ texts of any length are read whole. Shingles and texts of equal ids are told apa
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -216,7 +220,7 @@ def units_of(trie: DataFrame, finished: DataFrame | None, depth: int) -> tuple[D
 
 
 def forest_links(classes: DataFrame, plain: DataFrame, threshold: float, words: int, target: float, block: int = BLOCK, levels: list | None = None) -> list[DataFrame]:
-    """LINKS of classes (node, first, weight, hi, lo), a table for each level; plain (oid, tkey, text) holds their texts.
+    """LINKS of classes (node, first, weight, hi, lo), a table or two for each level; plain (oid, tkey, text) holds their texts.
 
     levels: a list that gets (depth, units, classes finished after it) of each level.
     """
@@ -248,9 +252,9 @@ def forest_links(classes: DataFrame, plain: DataFrame, threshold: float, words:
     for depth in range(DEPTH, least - 1, -1):
         units, rows = units_of(trie, finished, depth)
         units = materialize(units, "trie-nodes")
-        n = units.count()
+        n, largest = units.agg(F.count("*"), F.max("size")).first()
         if n:
-            out.append(level_links(units, rows, sets, depth, threshold, block))
+            out += level_links(units, rows, sets, depth, threshold, block, largest > block)
         discard(units)
         if depth > least:
             if n:
@@ -270,79 +274,135 @@ def forest_links(classes: DataFrame, plain: DataFrame, threshold: float, words:
     return out
 
 
-#: What names a unit of work: a trie node, and two of its blocks.
-KEY = ["tree", "hi", "lo", "i", "j"]
+#: What names a block of a trie node, and what a meeting of two of them.
+KEY, MEETING = ["tree", "hi", "lo", "blocks", "block"], ["tree", "hi", "lo", "i", "j"]
+NAMED = "tree int, hi long, lo long, blocks int, block int"
+#: Classes of a block in one row, end to end. Rows hold about ROW bytes of shingles at most.
+PACKED = f"{NAMED}, nodes binary, asking binary, labels binary, weights binary, sizes binary, shingles binary"
+CHOSEN = f"{NAMED}, nodes binary, asking binary"
+ROW = 1 << 23
 
 
-def held_together(batches):
-    """(rows, left) for each unit of work of sorted rows (KEY, block, node, ...): left of them are of block i if that is not j, else 0; None if the unit has no pair."""
-
-    def unit(held):
-        seen, rows = set(), []
-        for r in held:  # rows that repeat doc_id and text gave the same node more than once
-            if r[6] not in seen:
-                seen.add(r[6])
-                rows.append(r)
-        i, j = held[0][3:5]
-        left = sum(r[5] == i for r in rows) if i != j else 0
-        return rows, left if len(rows) > 1 and (i == j or 0 < left < len(rows)) else None
-
-    key, held = None, []
+class Classes(NamedTuple):
+    """Classes of a trie node; without weights and sets where only strings meet."""
+
+    nodes: np.ndarray
+    asking: np.ndarray
+    label: np.ndarray
+    weights: np.ndarray
+    sets: list[np.ndarray]
+
+
+def rows_of(batches):
     for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r[:5] != key:
-                if held:
-                    yield unit(held)
-                key, held = r[:5], []
-            held.append(r)
-    if held:
-        yield unit(held)
-
-
-def level_links(units: DataFrame, rows: DataFrame, sets: DataFrame, depth: int, threshold: float, block: int) -> DataFrame:
-    """LINKS of the pairs that units (tree, hi, lo, size) are the first ones to hold; rows: see units_of(), sets: node, weight, label, shingles."""
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def held_together(batches):
+    """The key and Classes of each block of sorted rows (KEY, node, asking, label and possibly weight, shingles)."""
+    for key, rows in groupby(rows_of(batches), itemgetter(slice(0, 5))):
+        nodes, asking, label, *more = zip(*{r[5]: r[5:] for r in rows}.values(), strict=True)  # rows that repeat doc_id and text gave the same node more than once
+        weights, sets = more or ((), ())
+        yield key, Classes(np.array(nodes), np.array(asking), np.frombuffer(b"".join(label), LABEL).reshape(-1, TREES), np.array(weights, np.int64), [np.frombuffer(x, np.uint64) for x in sets])
+
+
+def alone(batches):
+    """(key, block of each class, left, Classes) for each trie node of one block, from rows as held_together() takes them."""
+    for key, c in held_together(batches):
+        if len(c.nodes) > 1:
+            yield key, np.zeros(len(c.nodes), np.int32), 0, c
+
+
+def pack(batches):
+    """Rows of PACKED from rows as held_together() takes them."""
+    for key, c in held_together(batches):
+        sizes = np.array([len(x) for x in c.sets] or [0] * len(c.nodes), np.int64)
+        for k in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) * 8 // ROW)) + 1):
+            data = [c.nodes[k], c.asking[k], c.label[k], c.weights[k] if c.sets else c.weights, sizes[k], np.concatenate([c.sets[x] for x in k]) if c.sets else sizes[:0]]
+            yield batch_of([[x] for x in (*key, *(x.tobytes() for x in data))], PACKED)
+
+
+def meeting(batches):
+    """(key, block of each class, left, Classes) for each two blocks of a trie node, or one with itself, from sorted rows (MEETING, columns of PACKED): left classes are of block i if that is not j, else 0."""
+    for (*_, i, j), rows in groupby(rows_of(batches), itemgetter(slice(0, 5))):
+        key, parts = None, []
+        for r in rows:
+            key = r[5:10]
+            nodes, asking, label, weights, sizes, flat = (np.frombuffer(x, t) for x, t in zip(r[10:], (np.int64, np.bool_, LABEL, np.int64, np.int64, np.uint64), strict=True))
+            parts.append((np.full(len(nodes), key[4], np.int32), nodes, asking, label.reshape(-1, TREES), weights, np.split(flat, np.cumsum(sizes)[:-1])))
+        block, nodes, asking, label, weights = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:5])
+        left = int((block == i).sum()) if i != j else 0
+        if len(nodes) > 1 and (i == j or 0 < left < len(nodes)):
+            yield key, block, left, Classes(nodes, asking, label, weights, [x for p in parts for x in p[5]])
+
+
+def batch_of(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names)
+
+
+def meet(rows: DataFrame, work, schema: str, label: str, batch: int, large: bool) -> list[DataFrame]:
+    """Tables of what work makes of alone() and meeting(). Classes of large trie nodes become rows of whole blocks first, and those meet."""
+    small = rows.where("blocks = 1").repartition(*KEY).sortWithinPartitions(*KEY, "node")
+    with batches_of(rows.sparkSession, batch):
+        out = [materialize(small.mapInArrow(tidy(lambda batches: work(alone(batches))), schema), label)]
+    if large:
+        packed = rows.where("blocks > 1").repartition(*KEY).sortWithinPartitions(*KEY, "node").mapInArrow(tidy(pack), PACKED)
+        packed = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = packed.select("tree", "hi", "lo", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *(F.col(x.split()[0]) for x in PACKED.split(", ")))
+        # tree, hi and lo are there twice: once in the name of the meeting, once in the block's
+        both = both.toDF(*MEETING, "t", "h", "l", *both.columns[8:]).repartition(*MEETING).sortWithinPartitions(*MEETING, "block")
+        with batches_of(rows.sparkSession, 16):
+            out.append(materialize(both.mapInArrow(tidy(lambda batches: work(meeting(batches))), schema), label))
+    return out
+
+
+def each(batches):
+    """A row (NAMED, node, asking) for every class of sorted rows of CHOSEN, however often a block's rows name it."""
+    for key, rows in groupby(rows_of(batches), itemgetter(slice(0, 5))):
+        nodes, asking = (b"".join(x) for x in list(zip(*rows, strict=True))[5:])
+        nodes, at = np.unique(np.frombuffer(nodes, np.int64), return_index=True)
+        yield batch_of([*([x] * len(nodes) for x in key), nodes, np.frombuffer(asking, np.bool_)[at]], f"{NAMED}, node long, asking boolean")
+
+
+def level_links(units: DataFrame, rows: DataFrame, sets: DataFrame, depth: int, threshold: float, block: int, large: bool) -> list[DataFrame]:
+    """LINKS of the pairs that units (tree, hi, lo, size) are the first ones to hold; rows: see units_of(), sets: node, weight, label, shingles; large: whether a unit has more than block classes.
+
+    Strings and shingles are joined to a class once for each of its units, before its block meets others.
+    """
     blocks = F.ceil(F.col("size") / block).cast("int")
     members = rows.join(units, ["tree", "hi", "lo"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    members = members.select("tree", "hi", "lo", "node", "asking", "block", other)
-    members = materialize(members.select("tree", "hi", "lo", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "asking"), "members")
-    names = [*KEY, "block", "node", "asking"]
-
-    def choose(batches):
-        for rows, left in held_together(batches):
-            if left is not None:
-                asking, label = np.array([r[7] for r in rows]), np.frombuffer(b"".join(r[8] for r in rows), LABEL).reshape(len(rows), TREES)
-                used = [rows[k][:8] for k in with_pairs(asking, label, left, rows[0][0], depth)]
-                if used:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*used, strict=True), types, strict=True)], names)
-
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-    dealt = members.join(sets.select("node", "label").hint("merge"), "node").select(*names, "label").repartition(*KEY).sortWithinPartitions(*KEY, "block", "node")
-    with batches_of(units.sparkSession, 1000):
-        compared = materialize(dealt.mapInArrow(tidy(choose), "tree int, hi long, lo long, i int, j int, block int, node long, asking boolean"), "compared")
+    members = materialize(members.select(*KEY, "node", "asking"), "members")
+
+    def choose(met_units):
+        for key, of, left, c in met_units:
+            used = with_pairs(c.asking, c.label, left, key[0], depth)
+            for k in np.unique(of[used]).tolist():
+                mine = used[of[used] == k]
+                yield batch_of([[x] for x in (*key[:4], k, c.nodes[mine].tobytes(), c.asking[mine].tobytes())], CHOSEN)
+
+    strings = members.join(sets.select("node", "label").hint("merge"), "node").select(*KEY, "node", "asking", "label")
+    chosen = meet(strings, choose, CHOSEN, "chosen", 1000, large)
     discard(members)
-    dealt = compared.join(sets, "node").select(*names, "weight", "label", "shingles")
-    dealt = dealt.repartition(*KEY).sortWithinPartitions(*KEY, "block", "node")
+    compared = chosen[0].mapInArrow(tidy(each), f"{NAMED}, node long, asking boolean")
+    if large:
+        compared = compared.unionByName(chosen[1].repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(each), f"{NAMED}, node long, asking boolean"))
+    compared = materialize(compared, "compared")
+    discard(*chosen)
 
-    def run(batches):
+    def compare(met_units):
         out = []
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], [c.split()[0] for c in LINKS.split(", ")])
-
-        for rows, left in held_together(batches):
-            if left is not None:
-                nodes, asking, weights = (np.array([r[k] for r in rows]) for k in (6, 7, 8))
-                label = np.frombuffer(b"".join(r[9] for r in rows), LABEL).reshape(len(rows), TREES)
-                out.extend(verify(nodes, weights, asking, label, [np.frombuffer(r[10], np.uint64) for r in rows], left, rows[0][0], depth, threshold))
-                if len(out) >= 1000:
-                    yield batch()
-                    out.clear()
+        for key, _, left, c in met_units:
+            out.extend(verify(c.nodes, c.weights, c.asking, c.label, c.sets, left, key[0], depth, threshold))
+            if len(out) >= 1000:
+                yield batch_of(list(zip(*out, strict=True)), LINKS)
+                out.clear()
         if out:
-            yield batch()
+            yield batch_of(list(zip(*out, strict=True)), LINKS)
 
-    with batches_of(units.sparkSession, 256):
-        found = materialize(dealt.mapInArrow(tidy(run), LINKS), "similar")
+    wide = compared.join(sets, "node").select(*KEY, "node", "asking", "label", "weight", "shingles")
+    found = meet(wide, compare, LINKS, "similar", 256, large)
     discard(compared)
     return found
 

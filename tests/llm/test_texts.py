@@ -536,3 +536,47 @@ def test_classes_without_a_pair_to_compare_send_no_shingles():
     label["there"][2:, 1] = 1
     assert forest_join.with_pairs(asking[2:], label[2:], 0, 3, 5).tolist() == []
     assert forest_join.with_pairs(~asking, label, 0, 3, 5).tolist() == []
+
+
+def rows_named(monkeypatch):
+    """The rows that each table of forest_join.materialize() has got, by its label."""
+    rows, write = Counter(), forest_join.materialize
+
+    def counted(df, label, *more):
+        out = write(df, label, *more)
+        rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(forest_join, "materialize", counted)
+    return rows
+
+
+def test_rows_that_meet_do_not_grow_with_the_blocks(spark, monkeypatch):
+    """op8_forest_join: strings and shingles are joined to a class once for each of its trie nodes, however many blocks the node has."""
+    docs = spark.createDataFrame(list(enumerate(near_copies(60, 1, 50, 400))), "doc_id long, text string")
+    rows, seen = rows_named(monkeypatch), []
+    for block in (256, 6):
+        links = {r["oid"]: r["n_links"] for r in forest_join.join_similar(docs, block=block).collect()}
+        seen.append((links, rows["members"], rows["compared"]))
+        rows.clear()
+    assert seen[0] == seen[1] and seen[0][1] > 60
+
+
+def test_blocks_of_several_rows_meet_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(forest_join, "ROW", 64)
+    sets = [np.arange(k, k + 5, dtype=np.uint64) for k in range(7)]
+    label = np.zeros((7, forest_join.TREES), forest_join.LABEL)
+    label["hi"] = np.arange(7)[:, None]
+    names = [*forest_join.KEY, "node", "asking", "label", "weight", "shingles"]
+    rows = [(3, 8, 9, 2, int(k > 3), k, k % 2 == 0, label[k].tobytes(), k + 1, sets[k].tobytes()) for k in (0, 1, 1, 2, 3, 4, 5, 6)]  # class 1 came twice
+    packed = [r for b in forest_join.pack([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]) for r in b.to_pylist()]
+    assert len(packed) > 2 and sum(len(r["nodes"]) for r in packed) == 7 * 8
+    for i, j, left, want in ((0, 0, 0, range(4)), (0, 1, 4, range(7)), (1, 1, 0, range(4, 7))):
+        held = [{"t": 3, "h": 8, "l": 9, "i": i, "j": j, **r} for r in packed if r["block"] in (i, j)]
+        [(key, block, got, c)] = forest_join.meeting([pa.RecordBatch.from_pylist(held)])
+        assert key[:4] == (3, 8, 9, 2) and got == left and block.tolist() == [int(k > 3) for k in want]
+        assert c.nodes.tolist() == list(want) and c.weights.tolist() == [k + 1 for k in want] and c.asking.tolist() == [k % 2 == 0 for k in want]
+        assert np.array_equal(c.label, label[list(want)]) and all(np.array_equal(s, sets[k]) for s, k in zip(c.sets, want, strict=True))
+    assert not list(forest_join.meeting([pa.RecordBatch.from_pylist([{"t": 3, "h": 8, "l": 9, "i": 1, "j": 2, **r} for r in packed if r["block"] == 1])]))
